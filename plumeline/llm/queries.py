@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .lm import score_texts
 from .simhash import near_duplicates
+from .substring import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +21,26 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, radius=3, seed=42)
 
 
+def _sha256(text: Column) -> Column:
+    """Lowercase hex digest of a string's UTF-8 bytes."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; those with crc32 remainder 2 modulo 7 take no part in training."""
+    return score_texts(_table(spark, sf_dir, "documents"), folds=7, held_out=2, deleted=3)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) after removal of repeated windows of 35 words."""
+    kept = remove_repeats(_table(spark, sf_dir, "documents"), width=35)
+    return kept.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op3_lm_scores": op3_lm_scores,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
