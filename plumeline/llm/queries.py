@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .lm import score_texts
+from .quality import quality_scores
 from .simhash import near_duplicates
 from .substring import remove_repeats
 
@@ -37,10 +39,30 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    coded = encode_decode(_table(spark, sf_dir, "documents"), vocabulary_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), _sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held_out=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_lm_scores": op3_lm_scores,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
