@@ -45,6 +45,13 @@ class Vocabulary:
     removed, followed by ByteLevel; BPE with an end-of-word suffix; added special tokens; no decoder.
     """
 
+    @classmethod
+    def of(cls, tables: dict) -> Vocabulary:
+        """From the attributes of another, which travel as plain data."""
+        out = cls.__new__(cls)
+        out.__dict__.update(tables)
+        return out
+
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
@@ -182,11 +189,11 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     and an empty text. Ids may be null or repeat; other columns are left out.
     """
     spark = docs.sparkSession
-    tables = spark.sparkContext.broadcast(Vocabulary(vocabulary_path))
+    tables = spark.sparkContext.broadcast(vars(Vocabulary(vocabulary_path)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = tables.value
+        v = Vocabulary.of(tables.value)
         encoder = Encoder(v)
         for batch in batches:
             for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import encode_decode
+from .chat import chain, format_trees, read_back
 from .decontaminate import find_contamination
 from .lines import drop_frequent_lines
 from .lm import score_texts
 from .quality import quality_scores
+from .shards import assign_shards
 from .simhash import near_duplicates
 from .substring import remove_repeats
 
@@ -60,6 +63,24 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), _sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, shard, depth, part, bytes, shard_bytes, shard_rows): shards of at most 1 MiB of text."""
+    return assign_shards(_table(spark, sf_dir, "documents"), limit=1 << 20)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation, and one of control strings, formatted and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))
+    made = read_back(format_trees(chain(rows), "conv_id", "node", "parent"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), _sha256(lines).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), _sha256(F.col("loss_text")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held_out=0)
@@ -75,14 +96,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, rank, vec_id, score): 20 best inner products for ids divisible by 20."""
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_lm_scores": op3_lm_scores,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_extendible_shards": op6_extendible_shards,
+    "op7_chat_format": op7_chat_format,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,6 +136,24 @@ k AS (SELECT doc_id, count(*) AS n, count(gone) AS removed, string_agg(word, ' '
       FROM w LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN k USING (doc_id)""",
+    "op6_extendible_shards": """
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+u AS (SELECT depth, h >> (60 - depth) AS prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows, min(h) = max(h) AS one_key
+      FROM d, unnest(range(0, 61)) AS t(depth) GROUP BY ALL),
+l AS (SELECT doc_id, bytes, h, min(depth) AS depth FROM d JOIN u ON u.prefix = d.h >> (60 - u.depth) AND (shard_bytes <= 1048576 OR one_key) GROUP BY ALL)
+SELECT doc_id, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(h >> (60 - l.depth)), l.depth::INTEGER, '0') END AS shard, l.depth::INTEGER AS depth,
+       0::BIGINT AS part, bytes, shard_bytes, shard_rows
+FROM l JOIN u ON u.depth = l.depth AND u.prefix = l.h >> (60 - l.depth)""",
+    "op7_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, chr(92), '')) + len(regexp_extract_all(text, '<\|turn\|>|<\|text\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>')) AS body,
+      length(role) AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(body + head + 23)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op9_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
