@@ -94,8 +94,11 @@ def _document_keys(docs: DataFrame, least: int, batches: int) -> DataFrame:
                 seen: list[Counter] = [Counter() for _ in range(batches)]
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     seen[xxh64_intdigest(str(i)) % batches].update({k for k in line_keys(t, least)[1] if k is not None})
-                for k, c in enumerate(seen):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["batch", "key", "n"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(np.arange(batches, dtype=np.int32), [len(c) for c in seen])),
+                    pa.array([k for c in seen for k in c], pa.binary()),
+                    pa.array([n for c in seen for n in c.values()], pa.int64()),
+                ], ["batch", "key", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "batch int, key binary, n long")
 
@@ -123,10 +126,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """
     docs = pick(docs, doc_id=id_col, text=text_col)
     scratch = Scratch(docs.sparkSession, "lines")
-    keyed = _document_keys(docs, min_chars, batches)
-    path = scratch.path("keys")
-    keyed.write.partitionBy("batch").parquet(path)
-    stored = docs.sparkSession.read.schema(keyed.schema).parquet(path)
+    keyed = _document_keys(docs, min_chars, batches).groupBy("batch", "key").agg(F.sum("n").alias("n"))
+    stored = scratch.write(keyed.sortWithinPartitions("batch", "key"), "keys")
     runs = LineRuns(scratch, min_docs)
     for k in range(batches):
         runs.add(stored.where(F.col("batch") == k).select("key", "n"))
