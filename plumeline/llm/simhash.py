@@ -11,15 +11,16 @@ one link to its local component instead of all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_digest
+from xxhash import xxh3_128_digest, xxh64_digest
 
+from .blocks import mix
 from .components import components
 from .scratch import Scratch
 from .text import pick, pieces, text_bytes
@@ -119,20 +120,14 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[open_], b[open_]
 
 
-def tile_links(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, radius: int) -> np.ndarray:
-    """For each row the place of the least row of its component in its tile.
-
-    tile is ascending; probe marks rows that only search; in a tile without such rows each row
-    both stands in the tree and searches.
-    """
-    n = len(fp)
-    label = np.arange(n)
-    if n < 2:
-        return label
+def _search_tiles(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, radius: int, link: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Give `link` the places of all pairs of rows of a tile within the radius, some at a time."""
+    if len(fp) < 2:
+        return
     build = np.flatnonzero(~probe)
     forest = BKForest(fp[build], tile[build])
-    starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-    group = np.cumsum(np.r_[True, tile[1:] != tile[:-1]]) - 1
+    new = np.r_[True, tile[1:] != tile[:-1]]
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
     probed = np.add.reduceat(probe.astype(np.int64), starts)
     size = np.add.reduceat((~probe).astype(np.int64), starts)
     root_of = np.full(len(starts), -1)
@@ -147,20 +142,27 @@ def tile_links(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, radius: int)
             for q, node in forest.search(fp[some], root_of[group[some]], radius):
                 a, b = some[q], build[node]
                 other = a != b
-                _merge(label, a[other], b[other])
+                link(a[other], b[other])
+
+
+def tile_links(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the place of the least row of its component in its tile.
+
+    tile is ascending; probe marks rows that only search; in a tile without such rows each row
+    both stands in the tree and searches.
+    """
+    label = np.arange(len(fp))
+    _search_tiles(fp, tile, probe, radius, lambda a, b: _merge(label, a, b))
     return label
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, probe, fp, rep) ordered by tile to links (a, b) of representatives."""
+def _tile_starts(t: pa.Table) -> np.ndarray:
+    key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+    return np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
 
-    def links(t: pa.Table) -> pa.RecordBatch:
-        key, i, j, probe, fp, rep = (c.to_numpy(zero_copy_only=False) if hasattr(c, "to_numpy") else c for c in (x.combine_chunks() for x in t.columns))
-        new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-        label = tile_links(fp.view(np.uint64), np.cumsum(new), probe.astype(bool), radius)
-        linked = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([t.column(5).combine_chunks().filter(pa.array(linked)), t.column(5).combine_chunks().take(pa.array(label[linked]))], ["a", "b"])
 
+def _whole_tiles(batches: Iterator[pa.RecordBatch], most: int, link: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Apply link to tables of whole tiles; rows come ordered by key, i and j."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -168,19 +170,24 @@ def _tiles(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= 4 * SHARD_ROWS:
+        if rows >= most:
             t = pa.Table.from_batches(held)
-            last = [t.column(c)[-1].as_py() for c in range(3)]
-            same = np.ones(t.num_rows, bool)
-            for c in range(3):
-                same &= t.column(c).combine_chunks().to_numpy(zero_copy_only=False) == last[c]
-            cut = int(np.argmax(same))
+            cut = int(np.flatnonzero(_tile_starts(t))[-1])
             if cut:
-                yield links(t.slice(0, cut))
-                held = t.slice(cut).to_batches()
-                rows = t.num_rows - cut
+                yield link(t.slice(0, cut))
+                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
     if held:
-        yield links(pa.Table.from_batches(held))
+        yield link(pa.Table.from_batches(held))
+
+
+def _tiled(keyed: DataFrame, shard_rows: int) -> DataFrame:
+    """Rows (key, fp, rep) of shards with two rows at least, dealt to tiles (key, i, j) of at most two parts."""
+    full = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    keyed = keyed.join(full.where("n > 1"), "key")
+    parts = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
+    part = F.pmod(F.xxhash64("fp", F.lit(7)), parts).cast("int")
+    tiles = keyed.select("key", "fp", "rep", part.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+    return tiles.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).alias("probe"), "fp", "rep")
 
 
 def near_links(nodes: DataFrame, radius: int = 3, blocks: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -195,15 +202,16 @@ def near_links(nodes: DataFrame, radius: int = 3, blocks: int = 4, shard_rows: i
         masks.append(m - (1 << 64) if m >> 63 else m)
     keyed = nodes.select("fp", "rep", F.posexplode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("t", "mask"))
     keyed = keyed.select("fp", "rep", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    keyed = keyed.join(full.where("n > 1"), "key")
-    parts = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
-    part = F.pmod(F.xxhash64("fp", F.lit(7)), parts).cast("int")
-    tiles = keyed.select("key", "fp", "rep", part.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
-    tiles = tiles.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).alias("probe"), "fp", "rep")
-    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    tiles = _tiled(keyed, shard_rows).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def link(t: pa.Table) -> pa.RecordBatch:
+        label = tile_links(t.column("fp").to_numpy().view(np.uint64), np.cumsum(_tile_starts(t)), t.column("probe").to_numpy().astype(bool), radius)
+        linked = label != np.arange(len(label))
+        rep = t.column("rep").combine_chunks()
+        return pa.RecordBatch.from_arrays([rep.filter(pa.array(linked)), rep.take(pa.array(label[linked]))], ["a", "b"])
+
     kind = nodes.schema["rep"].dataType.simpleString()
-    return tiles.mapInArrow(lambda b: _tiles(b, radius), f"a {kind}, b {kind}")
+    return tiles.mapInArrow(lambda b: _whole_tiles(b, 4 * SHARD_ROWS, link), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, blocks: int = 4, seed: int = 42, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -224,3 +232,117 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(near_links(nodes, radius, blocks, shard_rows), scratch)
     named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Differing bits within which pairs of the given similarity lie: at 0.8 the mean is 9.7, the deviation 2.9.
+WIDE_RADIUS = 20
+SEEDS = 6
+
+
+def _shingles(text: bytes | None, size: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending."""
+    return np.unique(np.frombuffer(b"".join(shingle_digests(text, size, 0)), ">u8").astype(np.uint64))
+
+
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """2048 parities of each set; two sketches differ in no more bits than the sets in elements."""
+    rows = [np.packbits((np.bincount((x & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8)) for x in sets]
+    return np.stack(rows).view(np.uint64) if rows else np.zeros((0, 32), np.uint64)
+
+
+def similar_pairs_links(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """As tile_links, where a link also needs sets of at least that Jaccard similarity.
+
+    Pairs that are connected already are not verified again.
+    """
+    label = np.arange(len(fp))
+    size = np.array([len(x) for x in sets], np.int64)
+    odd = odd_sketches(sets)
+
+    def verified(a: np.ndarray, b: np.ndarray) -> None:
+        for at in range(0, len(a), 20_000):
+            x, y = a[at : at + 20_000], b[at : at + 20_000]
+            far = label[x] != label[y]
+            x, y = x[far], y[far]
+            # J >= s means a symmetric difference of at most (1-s)/(1+s) of both sizes
+            apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
+            may = apart * (1 + similarity) <= (1 - similarity) * (size[x] + size[y]) + 1e-9
+            x, y = x[may], y[may]
+            for k in range(0, len(x), 200):
+                u, v = x[k : k + 200], y[k : k + 200]
+                far = label[u] != label[v]
+                good = []
+                for i, j in zip(u[far].tolist(), v[far].tolist(), strict=True):
+                    both = len(sets[i]) + len(sets[j])
+                    common = both - len(np.union1d(sets[i], sets[j]))
+                    if common >= similarity * (both - common):
+                        good.append((i, j))
+                if good:
+                    pairs = np.array(good)
+                    _merge(label, pairs[:, 0], pairs[:, 1])
+
+    _search_tiles(fp, tile, probe, radius, verified)
+    return label
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, seeds: int = SEEDS, shard_rows: int = SHARD_ROWS // 8) -> DataFrame:
+    """One row per row of docs: (doc_id, fingerprint, component_id), linked by similarity of shingles.
+
+    Documents link if the Jaccard similarity of their sets of `size`-word shingles is at least
+    `similarity`. A shard holds documents that have the same least shingle under one of `seeds` hash
+    functions and sizes that can reach the similarity; its BK-tree of SimHash fingerprints is searched
+    within `radius` bits, and what it finds is verified on the whole sets. A pair of just the wanted
+    similarity s shares no shard with probability (1-s)^seeds, and lies outside the radius in about
+    three of 10,000 cases; the more similar, the less. Equal sets are one node and always linked;
+    null and empty texts have the empty set. Ids may repeat; a null id can't name a component.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    salts = np.array([int.from_bytes(xxh64_digest(str(k).encode())) | 1 for k in range(seeds)], np.uint64)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                sets = [_shingles(t, size) for t in texts]
+                least = [[int(x) for x in (mix(s[None, :] * salts[:, None]).min(axis=1)).view(np.int64)] if len(s) else [] for s in sets]
+                names = ["doc_id", "fp", "sig", "n", "least"]
+                cols = [part.column(0), pa.array(fingerprints(texts, size).view(np.int64)), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    signed = scratch.write(docs.mapInArrow(sign, f"doc_id {kind}, fp long, sig binary, n long, least array<long>"), "signed")
+    nodes = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(F.struct("fp", "n", "least")).alias("s")).select("sig", "rep", "s.*")
+    nodes = scratch.write(nodes, "nodes")
+    keyed = nodes.select("sig", "fp", "n", F.posexplode("least").alias("k", "h"))
+    level = F.floor(F.log("n") / F.lit(-np.log(similarity))) if similarity < 1 else F.col("n")
+    keyed = keyed.select("sig", "fp", "k", "h", F.explode(F.array(level, level + 1)).alias("level"))
+    keyed = keyed.select("sig", "fp", F.xxhash64("k", "h", "level").alias("key"))
+    tiles = scratch.write(_tiled(keyed.withColumnRenamed("sig", "rep"), shard_rows), "tiles")
+    wanted = tiles.select(F.col("rep").alias("sig")).distinct()
+
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_shingles(t, size).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["sig", "body"])
+
+    one = nodes.join(wanted, "sig", "left_semi").where("rep is not null").select("sig", F.col("rep").alias("doc_id"))
+    sets = docs.join(one, "doc_id").select("sig", "text").mapInArrow(shingle_sets, "sig binary, body binary")
+    sets = scratch.write(sets.groupBy("sig").agg(F.max("body").alias("body")), "sets")
+
+    def link(t: pa.Table) -> pa.RecordBatch:
+        new = _tile_starts(t)
+        body = [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
+        label = similar_pairs_links(t.column("fp").to_numpy().view(np.uint64), np.cumsum(new), t.column("probe").to_numpy().astype(bool), body, radius, similarity)
+        linked = label != np.arange(len(label))
+        rep = t.column("rep").combine_chunks()
+        return pa.RecordBatch.from_arrays([rep.filter(pa.array(linked)), rep.take(pa.array(label[linked]))], ["a", "b"])
+
+    filled = tiles.join(sets, tiles.rep == sets.sig).select("key", "i", "j", "probe", "fp", "rep", "body")
+    filled = filled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = filled.mapInArrow(lambda b: _whole_tiles(b, shard_rows, link), "a binary, b binary")
+    found = components(links, scratch)
+    rooted = scratch.write(nodes.join(found, nodes.sig == found.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(least, "root").select("sig", "component_id")
+    return signed.join(named, "sig", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
