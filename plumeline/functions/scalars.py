@@ -7,6 +7,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def blank_to_null(text: Column) -> Column:
@@ -64,7 +65,7 @@ def identity_problem(mmsi: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     """Inverse of the standard normal distribution; Spark has no such function. Null outside (0, 1)."""
     normal = NormalDist()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # Fixed values.
 STEP_H, CELLS = 0.25, 288
 MASS, FLOOR, LEAST_GAIN = 0.80, 1e-4, 0.10
-ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def age_grid(spark: SparkSession) -> DataFrame:

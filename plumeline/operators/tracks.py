@@ -6,7 +6,7 @@ and ordered by time, so a fleet of any size spreads over the cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
@@ -15,7 +15,10 @@ from ..functions.scalars import identity_problem, minutes_between
 # Minutes between two fixes across which a position may be interpolated.
 DENSE_CEILING_MIN, HOURLY_CEILING_MIN = 30.0, 75.0
 UNDERWAY_KNOTS = 2.0
-BY_TIME = Window.partitionBy("mmsi").orderBy("ts")
+
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("mmsi").orderBy("ts")
 
 
 def dense_wins(positions: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def dense_wins(positions: DataFrame) -> DataFrame:
 
 def with_gaps(positions: DataFrame) -> DataFrame:
     """Each fix with the next of its vessel (next_*) and the minutes to it; null at a track's end."""
-    ahead = [F.lead(c).over(BY_TIME).alias(f"next_{c}") for c in ("ts", "lon", "lat", "sog", "source") if c in positions.columns]
+    ahead = [F.lead(c).over(by_time()).alias(f"next_{c}") for c in ("ts", "lon", "lat", "sog", "source") if c in positions.columns]
     return positions.select("*", *ahead).withColumn("gap_min", minutes_between(F.col("ts"), F.col("next_ts")))
 
 
@@ -127,14 +130,15 @@ def last_outside(positions: DataFrame, approach: DataFrame, lon0: float, lat0: f
 
 def heard_inside(gaps: DataFrame, hourly: DataFrame) -> DataFrame:
     """(mmsi, heard): hourly rows strictly inside a silence (mmsi, gap_start, gap_end), vessels without any at 0."""
-    inside = (hourly.mmsi == gaps.mmsi) & (hourly.ts > gaps.gap_start) & (hourly.ts < gaps.gap_end)
-    return gaps.join(hourly.select("mmsi", "ts"), inside, "left").groupBy(gaps.mmsi).agg(F.count(hourly.ts).alias("heard"))
+    rows = hourly.select(F.col("mmsi").alias("_m"), F.col("ts").alias("_t"))
+    inside = (F.col("_m") == F.col("mmsi")) & (F.col("_t") > F.col("gap_start")) & (F.col("_t") < F.col("gap_end"))
+    return gaps.join(rows, inside, "left").groupBy("mmsi").agg(F.count("_t").alias("heard"))
 
 
 def decimate(positions: DataFrame, most: int = 500) -> DataFrame:
     """At most `most` fixes of each vessel, evenly by place, both ends kept."""
     order = Window.partitionBy("mmsi")
-    df = positions.withColumn("_k", F.row_number().over(BY_TIME) - 1).withColumn("_n", F.count("*").over(order))
+    df = positions.withColumn("_k", F.row_number().over(by_time()) - 1).withColumn("_n", F.count("*").over(order))
     # place k is kept if some j in 0..most-1 has round-half-even(j * (n-1) / (most-1)) = k
     j = F.floor(F.col("_k") * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     hit = F.lit(False)
@@ -161,7 +165,7 @@ def clip_to_window(positions: DataFrame, t0, t1) -> DataFrame:  # noqa: ANN001
     """Fixes inside a closed window; of a vessel with fewer than two there, its first two fixes."""
     inside = F.col("ts").between(t0, t1)
     n = F.count_if(inside).over(Window.partitionBy("mmsi"))
-    k = F.row_number().over(BY_TIME)
+    k = F.row_number().over(by_time())
     return positions.select("*", inside.alias("_in"), n.alias("_n"), k.alias("_k")).where(F.when(F.col("_n") >= 2, F.col("_in")).otherwise(F.col("_k") <= 2)).drop("_in", "_n", "_k")
 
 

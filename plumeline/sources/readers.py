@@ -25,7 +25,8 @@ POSITIONS = T.StructType([T.StructField(n, t) for n, t in (
 def read_reports(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """Daily CSV files, joined by column name, ids as text; bad lines stand in `_bad`.
 
-    Years differ in their columns: each header that occurs is read with the columns it has.
+    Years differ in their columns: each header that occurs is read with the columns it has. All fields
+    are parsed, also where few are asked for, so that a bad line counts as bad in every query.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for p in paths:
@@ -36,7 +37,7 @@ def read_reports(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     out = None
     for names, files in by_header.items():
         schema = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names] + [T.StructField("_bad", T.StringType())])
-        df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).csv(files)
+        df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).option("columnPruning", False).csv(files)
         df = df.withColumn("_file", F.input_file_name())
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     for f in RAW_REPORT if out is not None else ():
@@ -46,8 +47,11 @@ def read_reports(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 
 def rejected(reports: DataFrame) -> DataFrame:
-    """Lines that did not fit the schema, by file."""
-    return reports.groupBy("_file").agg(F.count_if(F.col("_bad").isNotNull()).alias("n_bad"), F.count("*").alias("n_rows"))
+    """(file, n_bad, n_rows, n_ids): lines that did not fit the schema, all lines, and those with an id.
+
+    The parser fills the column of bad lines only where another column is read too.
+    """
+    return reports.groupBy("_file").agg(F.count_if(F.col("_bad").isNotNull()).alias("n_bad"), F.count("*").alias("n_rows"), F.count("MMSI").alias("n_ids"))
 
 
 def has_column(df: DataFrame, name: str) -> bool:
