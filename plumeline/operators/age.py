@@ -51,7 +51,8 @@ def age_gate(discharge: Column) -> Column:
 def elongation_band(elongation: Column, shear_s: Column, discharge: Column) -> tuple[Column, Column]:
     """(lo_h, hi_h) of a patch stretched by simple shear; null where no age can be read."""
     a = F.when(elongation > 1, elongation)
-    hours = F.sqrt(F.greatest(a + 1 / a - 2, F.lit(0.0))) / F.when(shear_s > 0, shear_s) / 3600
+    # greatest() skips nulls, so the guard comes first
+    hours = F.when(a.isNotNull(), F.sqrt(F.greatest(a + 1 / a - 2, F.lit(0.0)))) / F.when(shear_s > 0, shear_s) / 3600
     gate = age_gate(discharge)
     share = F.when(gate == "allow_widened", WIDE_BAND).otherwise(BAND)
     lo = hours * (1 - share)
@@ -74,7 +75,7 @@ def weathering(wind_ms: Column, centre_db: Column, edge_db: Column) -> Column:
 
 def detectability(surface_share: Column) -> Column:
     """Likelihood that oil with this share still afloat is seen: 0 up to 5 percent, 1 from 30."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (surface_share - 0.05) / 0.25))
+    return F.when(surface_share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (surface_share - 0.05) / 0.25)))
 
 
 def choose_hypothesis(patch_gain: Column, track_gain: Column, least: float = 0.10) -> Column:

@@ -15,7 +15,7 @@ W_ORIGIN, W_TERMINUS, DECAY_KM, STRUCTURE_FLOOR, TERMINUS_SHARE = 0.6, 0.4, 2.0,
 def speed_bound(km: Column, hours: Column) -> Column:
     """Knots a vessel may go in the prism: half as fast again as its straight pace, 6 to 25; 25 where unknown."""
     pace = km / KM_PER_KNOT_HOUR / F.nullif(hours, F.lit(0.0))
-    return F.coalesce(F.least(F.lit(REACH_KNOTS), F.greatest(F.lit(LEAST_KNOTS), pace * HEADROOM)), F.lit(REACH_KNOTS))
+    return F.when(pace.isNotNull(), F.least(F.lit(REACH_KNOTS), F.greatest(F.lit(LEAST_KNOTS), pace * HEADROOM))).otherwise(REACH_KNOTS)
 
 
 def scene_fixes(positions: DataFrame, t0: Column, minutes: float = REACH_MIN) -> DataFrame:

@@ -48,7 +48,7 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     n = F.nullif(n.cast("double"), F.lit(0.0))
     p = hits / n
     mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
+    return F.when(n.isNotNull(), F.greatest(mid - half, F.lit(0.0))), F.when(n.isNotNull(), F.least(mid + half, F.lit(1.0)))
 
 
 def trial_summary(trials: DataFrame, keys: list[str]) -> DataFrame:

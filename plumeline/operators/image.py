@@ -204,7 +204,8 @@ def normalise(pixels: DataFrame, most: float = 6.0) -> DataFrame:
     med = pixels.groupBy("scene_id").agg(F.median("db").alias("med"))
     mad = pixels.join(med, "scene_id").groupBy("scene_id", "med").agg((F.median(F.abs(F.col("db") - F.col("med"))) * 1.4826 + 1e-6).alias("mad"))
     z = (F.col("db") - F.col("med")) / F.col("mad")
-    return pixels.join(mad, "scene_id").withColumn("x", F.greatest(F.lit(-most), F.least(F.lit(most), z)) / most).drop("med", "mad")
+    x = F.when(F.col("db").isNotNull(), F.greatest(F.lit(-most), F.least(F.lit(most), z)) / most)
+    return pixels.join(mad, "scene_id").withColumn("x", x).drop("med", "mad")
 
 
 def histogram_modes(pixels: DataFrame, bins: int = 256, lo: float = -40.0, hi: float = 0.0) -> DataFrame:

@@ -32,14 +32,14 @@ def a01(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("mmsi", us("ts").alias("us"), r6("lon").alias("lon"), r6("lat").alias("lat"), r6("sog").alias("sog"), "cog", "heading", "name", "type_code", "vessel_type", "cargo_code", "source")
 
 
-@query("a02_rejected_rows", "SELECT (SELECT count(*) FROM events)::BIGINT + 2 AS n_rows, (SELECT count(*) FROM events)::BIGINT + 2 AS n_ids, 1::BIGINT AS n_bad")
+@query("a02_rejected_rows", "SELECT (SELECT count(*) FROM events)::BIGINT + 2 AS n_rows, (SELECT count(*) FROM events)::BIGINT + 1 AS n_located, 1::BIGINT AS n_bad")
 def a02(spark: SparkSession, sf: str) -> DataFrame:
     path = folder(spark)
     raw_reports(spark, sf).write.option("header", True).csv(f"{path}/a")
     head = "MMSI,BaseDateTime,LAT,LON,SOG,COG,Heading,VesselName,VesselType,Cargo"
     spark.createDataFrame([(head,), ("123456789,2024-01-01T00:00:00,28,-94,1,1,1,X,70,1",), ("123456789,2024-01-01T00:00:00,north,-94,1,1,1,X,70,1",)], "value string").coalesce(1).write.text(f"{path}/b")
     d = readers.rejected(readers.read_reports(spark, [f"{path}/a/*.csv", f"{path}/b/*.txt"]))
-    return d.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_ids").alias("n_ids"), F.sum("n_bad").alias("n_bad"))
+    return d.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_located").alias("n_located"), F.sum("n_bad").alias("n_bad"))
 
 
 @query("a04_file_days", "SELECT strftime(d, '%Y-%m-%d') AS day, 'AIS_' || strftime(d, '%Y_%m_%d') || '.csv' AS file FROM (SELECT DISTINCT ts::DATE AS d FROM events)")

@@ -57,7 +57,7 @@ CONTACTS = "contacts AS (SELECT s_suppkey AS contact_id, -95 + ((s_suppkey * 791
 
 
 def _knots(a: str, b: str, c: str, d: str, h: str) -> str:
-    return f"coalesce(least(25, greatest(6, {hav(a, b, c, d)} / 1.852 / nullif({h}, 0) * 1.5)), 25)"
+    return f"CASE WHEN {h} <> 0 THEN least(25, greatest(6, {hav(a, b, c, d)} / 1.852 / {h} * 1.5)) ELSE 25 END"
 
 
 _H = f"((b.us - a.us) / 3600e6)"  # noqa: F541

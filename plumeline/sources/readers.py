@@ -25,8 +25,7 @@ POSITIONS = T.StructType([T.StructField(n, t) for n, t in (
 def read_reports(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """Daily CSV files, joined by column name, ids as text; bad lines stand in `_bad`.
 
-    Years differ in their columns: each header that occurs is read with the columns it has. All fields
-    are parsed, also where few are asked for, so that a bad line counts as bad in every query.
+    Years differ in their columns: each header that occurs is read with the columns it has.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for p in paths:
@@ -37,7 +36,7 @@ def read_reports(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     out = None
     for names, files in by_header.items():
         schema = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names] + [T.StructField("_bad", T.StringType())])
-        df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).option("columnPruning", False).csv(files)
+        df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).csv(files)
         df = df.withColumn("_file", F.input_file_name())
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     for f in RAW_REPORT if out is not None else ():
@@ -47,11 +46,14 @@ def read_reports(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
 
 
 def rejected(reports: DataFrame) -> DataFrame:
-    """(file, n_bad, n_rows, n_ids): lines that did not fit the schema, all lines, and those with an id.
+    """(file, n_bad, n_rows, n_located): lines that did not fit the schema, all lines, and those with a place.
 
-    The parser fills the column of bad lines only where another column is read too.
+    The parser looks only at columns that a query reads, so all typed ones are read here.
     """
-    return reports.groupBy("_file").agg(F.count_if(F.col("_bad").isNotNull()).alias("n_bad"), F.count("*").alias("n_rows"), F.count("MMSI").alias("n_ids"))
+    typed = [f.name for f in RAW_REPORT if isinstance(f.dataType, T.DoubleType)]
+    measured = F.greatest(*(F.col(c).isNotNull().cast("int") for c in typed))
+    located = F.col("LAT").isNotNull() & F.col("LON").isNotNull() & (measured == 1)
+    return reports.groupBy("_file").agg(F.count_if(F.col("_bad").isNotNull()).alias("n_bad"), F.count("*").alias("n_rows"), F.count_if(located).alias("n_located"))
 
 
 def has_column(df: DataFrame, name: str) -> bool:
@@ -142,10 +144,10 @@ def box_drift(declared: DataFrame, found: DataFrame, limit: float = 1e-3) -> Dat
 
 
 def byte_scale(pixels: DataFrame, value: str = "db", lo: float = 0.02, hi: float = 0.98) -> DataFrame:
-    """Scale decibels to 0..255 by scene, between two percentiles."""
+    """Scale decibels to 0..255 by scene, between two percentiles; null where there is no value or a scene has one only."""
     ends = pixels.groupBy("scene_id").agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("e"))
     a, z = F.col("e")[0], F.col("e")[1]
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - a) / F.nullif(z - a, F.lit(0.0))))
+    share = F.when(F.col(value).isNotNull() & (z > a), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - a) / F.nullif(z - a, F.lit(0.0)))))
     return pixels.join(ends, "scene_id").withColumn("byte", F.bround(share * 255).cast("int")).drop("e")
 
 
