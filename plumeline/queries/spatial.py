@@ -202,10 +202,10 @@ def f02(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.distinct_positions(h).select("mmsi", F.col("ts").alias("day"), "source", "type_code")
 
 
-@query("f03_day_continuity", "WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events WHERE day(ts) NOT IN (7, 8)), l AS (SELECT day, lag(day) OVER (ORDER BY day) AS before FROM d) SELECT strftime(day, '%Y-%m-%d') AS day, (day - before)::INTEGER AS step, CASE WHEN day - before = 0 THEN 'duplicate' WHEN day - before > 1 THEN 'hole' END AS problem FROM l")
+@query("f03_day_continuity", "WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events WHERE day(ts) NOT IN (7, 8)), l AS (SELECT day, lag(day) OVER (ORDER BY day) AS before FROM d) SELECT strftime(day, '%Y-%m-%d') AS day, (day - before)::DOUBLE AS step, CASE WHEN day - before = 0 THEN 'duplicate' WHEN day - before > 1 THEN 'hole' END AS problem FROM l")
 def f03(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "events").where("day(ts) not in (7, 8)").select(F.to_date("ts").alias("day")).distinct()
-    return ingest.day_continuity(d).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "step", "problem")
+    return ingest.day_continuity(d).select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("step").cast("double").alias("step"), "problem")
 
 
 @query("f04_fixed_cadence_walk", f"""WITH {POS}, {GAPS}, s AS (SELECT mmsi, greatest(min(us), {T0_US}) AS a, least(max(us), {T1_US}) AS b FROM pos GROUP BY mmsi), k AS (SELECT mmsi, a + unnest(range(1, (b - a) // 3600000000 + 1)) * 3600000000 AS q_at FROM s),

@@ -32,6 +32,7 @@ def sf_dir():
 def same_rows(spark, queries, oracles, name, sf_dir=SF):
     """Compare a query with its SQL; returns the number of rows."""
     import duckdb
+    import pandas as pd
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -46,7 +47,7 @@ def same_rows(spark, queries, oracles, name, sf_dir=SF):
             v = v.tolist()
         if isinstance(v, list):
             return repr([plain(x) for x in v])
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if isinstance(v, float):
             return f"{v:.9g}" if v else "0"
