@@ -6,7 +6,7 @@ works on all that the one before kept; all but the last return the columns of do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.llm.bpe import encode_decode
@@ -20,33 +20,48 @@ from plumeline.llm.simhash import similar_groups
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """docs with the text that `changed` (doc_id, kept) has for them, and its length."""
-    rest = docs.select("doc_id", "lang", "source")
-    return rest.join(changed, "doc_id").select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+def _row() -> Column:
+    """A document's other columns as one value that goes along with its text: no stage joins on ids that may be null or repeat."""
+    return F.struct("doc_id", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of documents from a row and its text."""
+    return df.select(F.col("row.doc_id").alias("doc_id"), F.col(text).alias("text"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), F.col("row.n_chars").alias("n_chars"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not reject."""
-    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(scored.where("predicted = 1").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    whole = docs.select("doc_id", "text", F.struct(*COLUMNS).alias("row"))
+    scored = quality_scores(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry="row")
+    return scored.where("predicted = 1").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand in at least 10 of them."""
-    return _with_text(docs, drop_frequent_lines(docs, min_docs=10).select("doc_id", "kept"))
+    """Documents without the lines that stand in at least 10 of them, with their new length."""
+    kept = drop_frequent_lines(docs.select(_row().alias("row"), "text"), min_docs=10, id_col="row")
+    return _documents(kept.withColumnRenamed("doc_id", "row"), "kept").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 of 5-word shingles: the least id."""
-    groups = similar_groups(docs, size=5, similarity=0.8)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group linked by a similarity of 0.8 of 5-word shingles: the least id.
+
+    Rows are numbered in a written table, so that null and repeated ids are documents of their own.
+    """
+    scratch = Scratch(spark, "near_dedup")
+    last = F.lit(2**63 - 1)
+    numbered = docs.select(F.struct(F.coalesce("doc_id", last).alias("doc_id"), F.monotonically_increasing_id().alias("n")).alias("row_id"), *COLUMNS)
+    numbered = scratch.write(numbered, "numbered", "zstd")
+    groups = similar_groups(numbered, size=5, similarity=0.8, id_col="row_id")
+    stays = groups.where("doc_id = component_id").select(F.col("doc_id.n").alias("n"))
+    return numbered.join(stays, F.col("row_id.n") == F.col("n"), "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of 10 words of a benchmark item."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
-    return docs.join(found.where(F.size("spans") == 0).select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    whole = docs.select(F.struct(*COLUMNS).alias("row"), "text")
+    found = find_contamination(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, id_col="row")
+    return found.where(F.size("spans") == 0).select("doc_id.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def marks(k: int, out: DataFrame) -> DataFrame:
+        last = k == chunks - 1
         own = [(r.name, None if r.body is None else bytes(r.body)) for r in items.where(F.pmod(F.xxhash64("name"), F.lit(chunks)) == k).select("name", "body").toLocalIterator()]
         words = frozenset(w for _, t in own for w in match_words(t))
         index = docs.sparkSession.sparkContext.broadcast(build_index(own, width, _word_counts(docs, words)))
@@ -116,7 +117,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
                         spans.append([{"start": a, "stop": z} for a, z in zip(turn[::2], turn[1::2], strict=True)])
                         names.append(sorted(who | set(known)))
                     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, span), pa.array(names, pa.list_(pa.string())), pa.array(n, pa.int64())], ["doc_id", "text", "spans", "items", "n_words"])
+                    text = pa.nulls(part.num_rows, pa.string()) if last else part.column(1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(spans, span), pa.array(names, pa.list_(pa.string())), pa.array(n, pa.int64())], ["doc_id", "text", "spans", "items", "n_words"])
 
         return out.select("doc_id", "text", "spans", "items").mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<start:long,stop:long>>, items array<string>, n_words long")
 

@@ -78,16 +78,18 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) for docs with columns doc_id and text."""
+def document_statistics(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """(doc_id, x) for docs with columns doc_id and text, and the column `carry` as it is."""
+    more = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
                 x = [statistics(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64())), *part.columns[2:]], ["doc_id", "x", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *more)]
+    return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join([kinds[0], "x array<double>", *kinds[1:]]))
 
 
 @dataclass
@@ -158,8 +160,8 @@ def class_sums(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return sums[:, 0], sums[:, 1 : 1 + D], sums[:, 1 + D :].reshape(2, D, D)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", folds: int = 5, held_out: int = 0, pooled: float = 0.3, identity: float = 0.02, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: (doc_id, held_out, score, predicted).
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", folds: int = 5, held_out: int = 0, pooled: float = 0.3, identity: float = 0.02, threshold: float = THRESHOLD, carry: str | None = None) -> DataFrame:
+    """One row per row of docs: (doc_id, held_out, score, predicted), and the column `carry` if named.
 
     Learns from all labelled rows whose id has not the crc32 remainder `held_out` modulo `folds`;
     labels other than 0 and 1 are ignored, repeated labels count each. score is the posterior of
@@ -168,7 +170,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     the statistics of the text and nothing else.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    seen = scratch.write(document_statistics(pick(docs, doc_id=id_col, text=text_col)), "statistics")
+    named = {"doc_id": id_col, "text": text_col} | ({"carried": carry} if carry else {})
+    seen = scratch.write(document_statistics(pick(docs, **named), "carried" if carry else None), "statistics")
     known = pick(labels, doc_id=label_id_col, label=label_col).where("label in (0, 1)")
     train = known.where(fold_column(F.col("doc_id"), folds) != held_out).select("doc_id", F.col("label").cast("int").alias("label"))
     model = fit(*class_sums(seen.join(train, "doc_id")), pooled, identity)
@@ -176,8 +179,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = model.score(np.array(b.column(1).flatten()).reshape(-1, D))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), *b.columns[2:]], ["doc_id", "score", *b.schema.names[2:]])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = seen.mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (fold_column(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in seen.schema if f.name != "x"]
+    scored = seen.mapInArrow(run, ", ".join([kinds[0], "score double", *kinds[1:]]))
+    out = scored.select("doc_id", (fold_column(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["carried"] if carry else []))
+    return out.withColumnRenamed("carried", carry) if carry else out

@@ -244,6 +244,17 @@ def _shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_digests(text, size, 0)), ">u8").astype(np.uint64))
 
 
+def _pack40(hashes: np.ndarray) -> bytes:
+    """The first 40 bits of ascending hashes: in sets of a thousand, two differ with probability 1e-6."""
+    return np.ascontiguousarray((hashes >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack40(body: bytes) -> np.ndarray:
+    wide = np.zeros((len(body) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(body, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
 def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """2048 parities of each set; two sketches differ in no more bits than the sets in elements."""
     rows = [np.packbits((np.bincount((x & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8)) for x in sets]
@@ -324,7 +335,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_shingles(t, size).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["sig", "body"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack40(_shingles(t, size)) for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["sig", "body"])
 
     one = nodes.join(wanted, "sig", "left_semi").where("rep is not null").select("sig", F.col("rep").alias("doc_id"))
     sets = docs.join(one, "doc_id").select("sig", "text").mapInArrow(shingle_sets, "sig binary, body binary")
@@ -332,7 +343,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
 
     def link(t: pa.Table) -> pa.RecordBatch:
         new = _tile_starts(t)
-        body = [np.frombuffer(x, np.uint64) for x in t.column("body").to_pylist()]
+        body = [_unpack40(x) for x in t.column("body").to_pylist()]
         label = similar_pairs_links(t.column("fp").to_numpy().view(np.uint64), np.cumsum(new), t.column("probe").to_numpy().astype(bool), body, radius, similarity)
         linked = label != np.arange(len(label))
         rep = t.column("rep").combine_chunks()

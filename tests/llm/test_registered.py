@@ -51,3 +51,17 @@ def test_pipeline_of_no_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_stages_with_null_and_repeated_rows(spark, sf_dir):
+    """Ids may be null or repeat, texts may be null; a stage neither loses nor multiplies rows."""
+    own = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, own, None, None, None), (None, own + " end", "en", "s", 1), (5, None, "en", "s", 0), (5, "other text here, plain prose.", "en", "s", 9), (5, "other text here, plain prose.", "en", "s", 9), (7, "third. " * 40, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.lines(spark, docs, sf_dir).count() == 6
+    assert corpus_pipeline.decontaminate(spark, docs, sf_dir).count() == 6
+    assert corpus_pipeline.encode(spark, docs, sf_dir).count() == 6
+    kept = corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == [("5", ""), ("5", "other text here, plain prose."), ("7", "third. " * 40), ("None", kept[0].text if kept[0].doc_id is None else next(r.text for r in kept if r.doc_id is None))]
+    scored = corpus_pipeline.quality(spark, docs, sf_dir)
+    assert scored.count() <= 6 and tuple(scored.columns) == corpus_pipeline.COLUMNS
