@@ -87,7 +87,7 @@ def calibration(twins: DataFrame, keys: list[str]) -> DataFrame:
 def leave_one_out(twins: DataFrame, field: str = "field") -> DataFrame:
     """twins once for each field, without that field's own, keyed by `without`."""
     fields = twins.select(F.col(field).alias("without")).distinct()
-    return twins.crossJoin(F.broadcast(fields)).where(F.col(field) != F.col("without"))
+    return twins.join(fields, F.col(field) != F.col("without"))
 
 
 def release_points(particles: DataFrame, ages: DataFrame, minutes: float) -> DataFrame:

@@ -75,15 +75,33 @@ def bootstrap(df: DataFrame, unit: str, numerator: str, denominator: str, times:
     return ratio.agg(F.percentile("r", 0.025).alias("lo"), F.percentile("r", 0.975).alias("hi"))
 
 
+def running_totals(df: DataFrame, order: str, columns: dict[str, str], parts: int = 256) -> DataFrame:
+    """df with running sums (name: column) from the largest value of `order` down, values being distinct.
+
+    No task sorts everything: values are cut into parts at approximate quantiles, running sums are taken
+    inside the parts, and the sums of the parts before, at most `parts` rows, are added.
+    """
+    edges = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.25 / parts)))
+    part = sum((F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0)) if len(edges) < 16 else F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e < F.col(order)))
+    df = df.withColumn("_part", part)
+    down = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy("_part").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in columns.items()))
+    before = sums.select("_part", *(F.coalesce(F.sum(f"_s_{n}").over(down), F.lit(0)).alias(f"_b_{n}") for n in columns))
+    inside = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(F.broadcast(before), "_part")
+    for n, c in columns.items():
+        out = out.withColumn(n, F.sum(c).over(inside) + F.col(f"_b_{n}"))
+    return out.drop("_part", *(f"_b_{n}" for n in columns))
+
+
 def best_threshold(df: DataFrame, score: str = "score", label: str = "label", least_recall: float = 0.0) -> DataFrame:
     """(threshold, f1, precision, recall): the cut with the best F1 among those that keep the recall.
 
     Scores are summed by value first; the running sum is over distinct scores.
     """
     s = df.groupBy(score).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     total = s.agg(F.sum("p").alias("total"))
-    c = s.withColumn("tp", F.sum("p").over(w)).withColumn("k", F.sum("n").over(w)).crossJoin(F.broadcast(total)).where("total > 0")
+    c = running_totals(s, score, {"tp": "p", "k": "n"}).crossJoin(F.broadcast(total)).where("total > 0")
     c = c.select(F.col(score).alias("threshold"), (2 * F.col("tp") / (F.col("k") + F.col("total"))).alias("f1"), (F.col("tp") / F.col("k")).alias("precision"), (F.col("tp") / F.col("total")).alias("recall"))
     return c.where(F.col("recall") >= least_recall).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
@@ -128,4 +146,4 @@ def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     n = df.groupBy(label).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("t"), F.count("*").alias("k"))
     w = n.crossJoin(F.broadcast(total)).select(label, (F.col("t") / (F.col("k") * F.col("n"))).alias("w"))
-    return df.join(F.broadcast(w), label)
+    return df.join(w, label)

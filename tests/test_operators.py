@@ -301,3 +301,58 @@ def test_library_stands_without_the_llm_folders(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_running_totals_over_parts(spark):
+    from plumeline.operators import evaluate
+
+    df = spark.range(1, 2001).select(((F.col("id") * 7919) % 2003).cast("double").alias("s"), F.lit(1).alias("n"))
+    got = sorted((r.s, r.k) for r in evaluate.running_totals(df, "s", {"k": "n"}, parts=32).collect())
+    values = sorted((s for s, _ in got), reverse=True)
+    assert got == sorted((s, k + 1) for k, s in enumerate(values))
+    perfect = df.withColumn("label", (F.col("s") > 1000).cast("int"))
+    best = evaluate.best_threshold(perfect, "s").first()
+    assert best.f1 == 1 and best.threshold > 1000
+
+
+def test_outline_closes(spark):
+    from plumeline.operators import curves
+
+    mask = np.zeros((8, 8), bool)
+    mask[2:5, 3:7] = True
+    ring = curves.trace_outline(mask)
+    assert sorted(map(tuple, ring.tolist())) == [(2, 3), (2, 7), (5, 3), (5, 7)]
+    assert len(curves.trace_outline(np.zeros((3, 3), bool))) == 0
+
+
+def test_track_width_and_contrast(spark):
+    from plumeline.operators import curves
+
+    px = synth.radar_scene(spark, "s", 80, 140, slick=(40, 70, 5.0, 50.0, 0.0))
+    p = curves.width_profile(px.where("gt = 1").select(F.col("scene_id").alias("case_id"), "r", "c"), 10.0).first()
+    assert p.aspect > 8 and 60 <= p.width_tail_m <= 110 and p.length_m > 700
+    c = curves.centre_edge_contrast(px).first()
+    assert c.centre_db == pytest.approx(-8, abs=0.5) and c.sea_db == pytest.approx(-18, abs=0.5)
+    assert curves.centre_edge_contrast(px.withColumn("gt", F.lit(0))).first().centre_db is None
+
+
+def test_dispersion_lengthens_and_gives_ages(spark):
+    from plumeline.operators import curves
+
+    seeds = spark.range(300).select(F.lit("c").alias("case_id"), F.col("id").cast("int").alias("pid"), (-94 + 0.001 * F.cos("id")).alias("lon"), (28.5 + 0.001 * F.sin("id")).alias("lat"))
+    m = spark.createDataFrame([(0, 0.03, 1.0, 2.0), (1, 0.03, 1.0, 4.0)], "member int, wind_share double, current_scale double, k_m2s double")
+    c = curves.dispersion_curves(seeds, m, drift.constant_field(0.1, 0), drift.constant_field(0, 0), [1.0, 4.0, 16.0], 15.0)
+    rows = {(r.member, r.hours): r.length_km for r in c.collect()}
+    for member, k in ((0, 2.0), (1, 4.0)):
+        assert rows[member, 16.0] == pytest.approx(4 * math.sqrt(2 * k * 16 * 3600) / 1000, rel=0.2)
+    ages = {r.member: r.age_h for r in curves.length_ages(c, 1.2).collect()}
+    assert ages[1] < ages[0]
+
+
+def test_stride_must_divide_the_span(spark):
+    from plumeline.operators import curves
+
+    p = spark.range(10).select(F.lit("c").alias("case_id"), F.col("id").alias("step"))
+    assert curves.every_nth_frame(p, 3).count() == 4
+    with pytest.raises(Exception, match="divide"):
+        curves.every_nth_frame(p, 4).collect()
