@@ -32,9 +32,9 @@ def _documents(df: DataFrame, text: str = "text") -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not reject."""
-    whole = docs.select("doc_id", "text", F.struct(*COLUMNS).alias("row"))
+    whole = docs.select("doc_id", "text", _row().alias("row"))
     scored = quality_scores(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry="row")
-    return scored.where("predicted = 1").select("row.*")
+    return _documents(scored.where("predicted = 1"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,22 +46,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 of 5-word shingles: the least id.
 
-    Rows are numbered in a written table, so that null and repeated ids are documents of their own.
+    A document is known by its id and a hash of its text, so that null and repeated ids are documents
+    of their own; rows that agree in both are copies, of which one stays.
     """
-    scratch = Scratch(spark, "near_dedup")
-    last = F.lit(2**63 - 1)
-    numbered = docs.select(F.struct(F.coalesce("doc_id", last).alias("doc_id"), F.monotonically_increasing_id().alias("n")).alias("row_id"), *COLUMNS)
-    numbered = scratch.write(numbered, "numbered", "zstd")
-    groups = similar_groups(numbered, size=5, similarity=0.8, id_col="row_id")
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id.n").alias("n"))
-    return numbered.join(stays, F.col("row_id.n") == F.col("n"), "left_semi").select(*COLUMNS)
+    name = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("h"))
+    named = docs.select(name.alias("row_id"), *COLUMNS)
+    groups = similar_groups(named, size=5, similarity=0.8, id_col="row_id")
+    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
+    kept = named.join(stays, F.col("row_id") == F.col("stays"), "left_semi")
+    return kept.groupBy("row_id").agg(F.first(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of 10 words of a benchmark item."""
-    whole = docs.select(F.struct(*COLUMNS).alias("row"), "text")
-    found = find_contamination(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, id_col="row")
-    return found.where(F.size("spans") == 0).select("doc_id.*")
+    whole = docs.select(_row().alias("row"), "text")
+    found = find_contamination(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, id_col="row", keep_text=True)
+    return _documents(found.where(F.size("spans") == 0).withColumnRenamed("doc_id", "row"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,8 +77,8 @@ def _word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> Counter:
     return Counter({bytes(r.word): r.n for r in rows})
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per row of docs: (doc_id, n_words, spans, items).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, keep_text: bool = False) -> DataFrame:
+    """One row per row of docs: (doc_id, n_words, spans, items), and the text if it is to be kept.
 
     spans are the maximal runs of words that lie in an occurrence of a window of an item, stop
     excluded; items are the ids, as text, of the items with occurring windows, sorted as text. Words
@@ -95,7 +95,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def marks(k: int, out: DataFrame) -> DataFrame:
-        last = k == chunks - 1
+        last = k == chunks - 1 and not keep_text
         own = [(r.name, None if r.body is None else bytes(r.body)) for r in items.where(F.pmod(F.xxhash64("name"), F.lit(chunks)) == k).select("name", "body").toLocalIterator()]
         words = frozenset(w for _, t in own for w in match_words(t))
         index = docs.sparkSession.sparkContext.broadcast(build_index(own, width, _word_counts(docs, words)))
@@ -126,4 +126,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
     out = none
     for k in range(chunks):
         out = marks(k, out)
-    return out.select("doc_id", "n_words", "spans", "items")
+    return out.select("doc_id", "n_words", "spans", "items", *(["text"] if keep_text else []))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -78,18 +79,16 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, carry: str | None = None) -> DataFrame:
-    """(doc_id, x) for docs with columns doc_id and text, and the column `carry` as it is."""
-    more = [carry] if carry else []
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) for docs with columns doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
                 x = [statistics(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64())), *part.columns[2:]], ["doc_id", "x", *more])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *more)]
-    return docs.select("doc_id", "text", *more).mapInArrow(run, ", ".join([kinds[0], "x array<double>", *kinds[1:]]))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass
@@ -161,27 +160,33 @@ def class_sums(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id_col: str = "doc_id", folds: int = 5, held_out: int = 0, pooled: float = 0.3, identity: float = 0.02, threshold: float = THRESHOLD, carry: str | None = None) -> DataFrame:
-    """One row per row of docs: (doc_id, held_out, score, predicted), and the column `carry` if named.
+    """One row per row of docs: (doc_id, held_out, score, predicted), and the column `carry` with the text if named.
 
     Learns from all labelled rows whose id has not the crc32 remainder `held_out` modulo `folds`;
     labels other than 0 and 1 are ignored, repeated labels count each. score is the posterior of
     label 1, predicted is 1 from `threshold` up. A null text counts as empty and is scored like any
     other; a null id finds no label. Without labels every score is one half. Inputs of a score are
-    the statistics of the text and nothing else.
+    the statistics of the text and nothing else. With `carry` texts are read a second time to be scored
+    on their way, as storing them with their statistics would take their size on disk.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     named = {"doc_id": id_col, "text": text_col} | ({"carried": carry} if carry else {})
-    seen = scratch.write(document_statistics(pick(docs, **named), "carried" if carry else None), "statistics")
+    seen = scratch.write(document_statistics(pick(docs, doc_id=id_col, text=text_col)), "statistics")
     known = pick(labels, doc_id=label_id_col, label=label_col).where("label in (0, 1)")
     train = known.where(fold_column(F.col("doc_id"), folds) != held_out).select("doc_id", F.col("label").cast("int").alias("label"))
     model = fit(*class_sums(seen.join(train, "doc_id")), pooled, identity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = model.score(np.array(b.column(1).flatten()).reshape(-1, D))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), *b.columns[2:]], ["doc_id", "score", *b.schema.names[2:]])
+    @F.pandas_udf("double")
+    def posterior(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack(x.to_list())) if len(x) else np.zeros(0))
+
+    @F.pandas_udf("double")
+    def text_posterior(texts: pd.Series) -> pd.Series:
+        x = [statistics(None if t is None else t.encode()) for t in texts]
+        return pd.Series(model.score(np.array(x).reshape(-1, D)))
 
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in seen.schema if f.name != "x"]
-    scored = seen.mapInArrow(run, ", ".join([kinds[0], "score double", *kinds[1:]]))
-    out = scored.select("doc_id", (fold_column(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["carried"] if carry else []))
+    more = ["carried", "text"] if carry else []
+    rows, score = (pick(docs, **named), text_posterior("text")) if carry else (seen, posterior("x"))
+    out = rows.select("doc_id", (fold_column(F.col("doc_id"), folds) == held_out).alias("held_out"), score.alias("score"), *more)
+    out = out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
     return out.withColumnRenamed("carried", carry) if carry else out

@@ -38,8 +38,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "snappy", free: bool = False) -> DataFrame:
+        """Write df and read it back. With `free`, the driver's JVM collects garbage afterwards: Spark's
+        cleaner then deletes the files of shuffles that only led up to the table."""
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        if free:
+            self.spark.sparkContext._jvm.System.gc()
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_digest
 
@@ -27,6 +27,8 @@ from .text import pick, pieces, text_bytes
 
 PIECE_BYTES = 2_000_000
 SHARD_ROWS = 8192
+#: Bytes of tiles that a task takes together, and shingles in a part of a shard.
+TILE_BYTES, PART_SHINGLES = 16_000_000, 8_000_000
 #: Pairs of a query and a tree node that are looked at together.
 FRONTIER = 2_000_000
 
@@ -164,27 +166,28 @@ def _tile_starts(t: pa.Table) -> np.ndarray:
 def _whole_tiles(batches: Iterator[pa.RecordBatch], most: int, link: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Apply link to tables of whole tiles; rows come ordered by key, i and j."""
     held: list[pa.RecordBatch] = []
-    rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        rows += batch.num_rows
-        if rows >= most:
+        if sum(b.num_rows for b in held) >= most or sum(b.nbytes for b in held) >= TILE_BYTES:
             t = pa.Table.from_batches(held)
             cut = int(np.flatnonzero(_tile_starts(t))[-1])
             if cut:
                 yield link(t.slice(0, cut))
-                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+                held = t.slice(cut).to_batches()
     if held:
         yield link(pa.Table.from_batches(held))
 
 
-def _tiled(keyed: DataFrame, shard_rows: int) -> DataFrame:
-    """Rows (key, fp, rep) of shards with two rows at least, dealt to tiles (key, i, j) of at most two parts."""
-    full = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    keyed = keyed.join(full.where("n > 1"), "key")
-    parts = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
+def _tiled(keyed: DataFrame, shard_rows: int, weight: Column | None = None, most: int = 1) -> DataFrame:
+    """Rows (key, fp, rep) of shards with two rows at least, dealt to tiles (key, i, j) of at most two parts.
+
+    A part has about shard_rows rows, and about `most` of their summed weight if they have one.
+    """
+    full = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.lit(0) if weight is None else weight).alias("weight"))
+    keyed = keyed.join(full.where("rows > 1"), "key")
+    parts = F.greatest(F.ceil(F.col("rows") / F.lit(shard_rows)), F.ceil(F.col("weight") / F.lit(most))).cast("int")
     part = F.pmod(F.xxhash64("fp", F.lit(7)), parts).cast("int")
     tiles = keyed.select("key", "fp", "rep", part.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
     return tiles.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).alias("probe"), "fp", "rep")
@@ -244,20 +247,14 @@ def _shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_digests(text, size, 0)), ">u8").astype(np.uint64))
 
 
-def _pack40(hashes: np.ndarray) -> bytes:
-    """The first 40 bits of ascending hashes: in sets of a thousand, two differ with probability 1e-6."""
-    return np.ascontiguousarray((hashes >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack40(body: bytes) -> np.ndarray:
-    wide = np.zeros((len(body) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(body, np.uint8).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
+def _pack32(hashes: np.ndarray) -> bytes:
+    """The first 32 bits of hashes: in sets of a thousand, two of them agree by chance once in 10,000 sets."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
 
 
 def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """2048 parities of each set; two sketches differ in no more bits than the sets in elements."""
-    rows = [np.packbits((np.bincount((x & np.uint64(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8)) for x in sets]
+    rows = [np.packbits((np.bincount((x & x.dtype.type(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8)) for x in sets]
     return np.stack(rows).view(np.uint64) if rows else np.zeros((0, 32), np.uint64)
 
 
@@ -327,23 +324,23 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     nodes = scratch.write(nodes, "nodes")
     keyed = nodes.select("sig", "fp", "n", F.posexplode("least").alias("k", "h"))
     level = F.floor(F.log("n") / F.lit(-np.log(similarity))) if similarity < 1 else F.col("n")
-    keyed = keyed.select("sig", "fp", "k", "h", F.explode(F.array(level, level + 1)).alias("level"))
-    keyed = keyed.select("sig", "fp", F.xxhash64("k", "h", "level").alias("key"))
-    tiles = scratch.write(_tiled(keyed.withColumnRenamed("sig", "rep"), shard_rows), "tiles")
+    keyed = keyed.select("sig", "fp", "n", "k", "h", F.explode(F.array(level, level + 1)).alias("level"))
+    keyed = keyed.select(F.col("sig").alias("rep"), "fp", "n", F.xxhash64("k", "h", "level").alias("key"))
+    tiles = scratch.write(_tiled(keyed, shard_rows, F.col("n"), PART_SHINGLES), "tiles")
     wanted = tiles.select(F.col("rep").alias("sig")).distinct()
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack40(_shingles(t, size)) for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["sig", "body"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack32(_shingles(t, size)) for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["sig", "body"])
 
     one = nodes.join(wanted, "sig", "left_semi").where("rep is not null").select("sig", F.col("rep").alias("doc_id"))
     sets = docs.join(one, "doc_id").select("sig", "text").mapInArrow(shingle_sets, "sig binary, body binary")
-    sets = scratch.write(sets.groupBy("sig").agg(F.max("body").alias("body")), "sets")
+    sets = scratch.write(sets.groupBy("sig").agg(F.max("body").alias("body")), "sets", free=True)
 
     def link(t: pa.Table) -> pa.RecordBatch:
         new = _tile_starts(t)
-        body = [_unpack40(x) for x in t.column("body").to_pylist()]
+        body = [np.frombuffer(x, "<u4") for x in t.column("body").to_pylist()]
         label = similar_pairs_links(t.column("fp").to_numpy().view(np.uint64), np.cumsum(new), t.column("probe").to_numpy().astype(bool), body, radius, similarity)
         linked = label != np.arange(len(label))
         rep = t.column("rep").combine_chunks()
@@ -351,8 +348,10 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
 
     filled = tiles.join(sets, tiles.rep == sets.sig).select("key", "i", "j", "probe", "fp", "rep", "body")
     filled = filled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = filled.mapInArrow(lambda b: _whole_tiles(b, shard_rows, link), "a binary, b binary")
-    found = components(links, scratch)
+    links = filled.mapInArrow(lambda b: _whole_tiles(b, SHARD_ROWS // 2, link), "a binary, b binary")
+    found = components(scratch.write(links, "links", free=True), scratch)
+    scratch.drop("tiles")
+    scratch.drop("sets")
     rooted = scratch.write(nodes.join(found, nodes.sig == found.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("sig", "component_id")
