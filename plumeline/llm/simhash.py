@@ -43,8 +43,17 @@ def shingle_digests(text: bytes | None, size: int, seed: int) -> list[bytes]:
 
 def fingerprints(texts: list[bytes | None], size: int = 3, seed: int = 42) -> np.ndarray:
     """A 64-bit fingerprint for each text: a bit is set if it is in over half of the shingles' hashes."""
-    out = np.zeros(len(texts), np.uint64)
-    parts = [b"".join(shingle_digests(t, size, seed)) for t in texts]
+    return _majority([b"".join(shingle_digests(t, size, seed)) for t in texts])
+
+
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """As fingerprints, from sets of distinct shingle hashes: what a text repeats counts once."""
+    return _majority([s.astype(">u8").tobytes() for s in sets])
+
+
+def _majority(parts: list[bytes]) -> np.ndarray:
+    """For each run of 8-byte hashes the bits that are set in over half of them."""
+    out = np.zeros(len(parts), np.uint64)
     n = np.array([len(p) // 8 for p in parts])
     full = np.flatnonzero(n)
     if full.size:
@@ -302,7 +311,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     within `radius` bits, and what it finds is verified on the whole sets. A pair of just the wanted
     similarity s shares no shard with probability (1-s)^seeds, and lies outside the radius in about
     three of 10,000 cases; the more similar, the less. Equal sets are one node and always linked;
-    null and empty texts have the empty set. Ids may repeat; a null id can't name a component.
+    null and empty texts have the empty set. The fingerprint is that of the set that is verified, so
+    repeated passages move it no further than they move the similarity. Ids may repeat; a null id
+    can't name a component.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     docs = pick(docs, doc_id=id_col, text=text_col)
@@ -316,7 +327,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
                 sets = [_shingles(t, size) for t in texts]
                 least = [[int(x) for x in (mix(s[None, :] * salts[:, None]).min(axis=1)).view(np.int64)] if len(s) else [] for s in sets]
                 names = ["doc_id", "fp", "sig", "n", "least"]
-                cols = [part.column(0), pa.array(fingerprints(texts, size).view(np.int64)), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+                cols = [part.column(0), pa.array(set_fingerprints(sets).view(np.int64)), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     signed = scratch.write(docs.mapInArrow(sign, f"doc_id {kind}, fp long, sig binary, n long, least array<long>"), "signed")

@@ -80,6 +80,16 @@ def test_similar_groups(spark, shard_rows):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, least[g]) for (i, _), g in zip(rows, group, strict=True))
 
 
+def test_similar_groups_with_a_line_repeated_hundreds_of_times(spark):
+    rows = []
+    for k in range(12):
+        own = " ".join(f"d{k}w{i}" for i in range(1000))
+        line = " ".join(f"d{k}again{i}" for i in range(12))
+        rows += [(2 * k, f"{own}\n{line}"), (2 * k + 1, own + f"\n{line}" * 300)]
+    got = simhash.similar_groups(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i in range(24)]
+
+
 @pytest.mark.parametrize("keys", [lines.BROADCAST_KEYS, 0])
 def test_lines(spark, keys):
     rows = awkward() + [(200 + i, f"  Common LINE\t\nown {i}\n\ncommon line") for i in range(4)] + [(300, "common line")] * 2
