@@ -22,7 +22,7 @@ from .text import pick
 #: Vectors that the codebooks are fitted on, the first by a hash of their ids; all vectors are indexed.
 SAMPLE = 8192
 BLOCK = 8192
-#: Vectors of each block that are reranked for a query.
+#: Vectors of each block that are reranked for a query, and all that tie with the last of them.
 RERANK = 128
 #: Queries that are sent to every executor at a time.
 QUERIES = 8192
@@ -116,12 +116,17 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(z: Quantiser, packed: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_id: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of a block's best vectors for one query, itself left out."""
+    """Ids and exact scores of a block's best vectors for one query, itself left out.
+
+    All vectors that tie with the last one to be reranked are reranked too, so that copies are told
+    apart by their ids and not by their places.
+    """
     if len(ids) > rerank + 1:
         score = np.zeros(len(ids))
         for table, code in zip(z.tables(q), packed, strict=True):
             score += table.take(code)
-        some = np.argpartition(score, len(ids) - rerank - 1)[-(rerank + 1) :]
+        at = len(ids) - rerank - 1
+        some = np.flatnonzero(score >= np.partition(score, at)[at])
     else:
         some = np.arange(len(ids))
     some = some[ids[some] != q_id]

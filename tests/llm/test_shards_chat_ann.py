@@ -95,6 +95,19 @@ def test_recall_against_brute_force(spark):
     assert np.allclose(got.score, [s[q, v] for q, v in zip(got.query_id, got.vec_id, strict=True)])
 
 
+def test_ann_where_a_third_of_the_vectors_are_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    ids = rng.permutation(3000)
+    x[::3] = 3 * x[0]
+    got = ann.nearest(vectors(spark, list(zip(ids.tolist(), x, strict=True))), every=100, k=20, rerank=32).collect()
+    copies = sorted(ids[::3].tolist())
+    asked = [i for i in copies if i % 100 == 0]
+    assert asked
+    for q in asked:
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [i for i in copies if i != q][:20]
+
+
 def test_ann_awkward(spark):
     rows = [(0, [1, 0]), (20, [1, 1]), (1, [2, 0]), (2, [2, 0]), (3, None), (4, [0, 0]), (5, [float("nan"), 1]), (6, [float("inf"), 1]), (7, [None, 1]), (None, [1, 1]), (8, []), (9, [1, 2, 3]), (0, [1, 0])]
     good = vectors(spark, [r for r in rows if r[1] is None or len(r[1]) != 3])
