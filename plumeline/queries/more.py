@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import age, compare, drift, evaluate, grid as G, image, posterior as P, slick, synth, tracks, validate as V
 from ..sources import readers, sinks
-from .registry import POS, T0, T0_US, T1, T1_US, hav, instant, positions, query, r6, table, us
+from .registry import ORACLES, POS, T0, T0_US, T1, T1_US, hav, instant, part, positions, query, r6, table, us
 
 
 def _cloud(spark: SparkSession, sf: str, shift: float = 0.0) -> DataFrame:
@@ -212,11 +212,11 @@ def l11(spark: SparkSession, sf: str) -> DataFrame:
     return age.shape_likelihood(m, 3.0, 0.05, 30.0).select("hours", F.round("lik", 8).alias("lik"))
 
 
-@query("l18_deformation_rate", "SELECT l_orderkey, l_linenumber, round(sqrt(pow((l_quantity / 100 - l_tax) / 9000 - (l_discount - l_tax) / 9000, 2) + pow((l_discount - l_quantity / 100) / 9000 + (l_tax - l_discount) / 9000, 2)) * 1e6, 5) AS rate FROM lineitem WHERE l_orderkey % 30 = 0")
-def l18(spark: SparkSession, sf: str) -> DataFrame:
+@query("l18_deformation_rate", "SELECT l_orderkey, l_linenumber, round(sqrt(pow((l_quantity / 100 - l_tax) / 9000 - (l_discount - l_tax) / 9000, 2) + pow((l_discount - l_quantity / 100) / 9000 + (l_tax - l_discount) / 9000, 2)) * 1e6, 5) AS rate FROM lineitem WHERE l_orderkey % 30 = 0", whole=True)
+def l18(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     q, d, t = F.col("l_quantity") / 100, F.col("l_discount"), F.col("l_tax")
     rate = age.deformation_rate((q, d), (t, q), (t, d), (d, t), F.lit(9000.0), F.lit(9000.0))
-    return table(spark, sf, "lineitem").where("l_orderkey % 30 = 0").select("l_orderkey", "l_linenumber", F.round(rate * 1e6, 5).alias("rate"))
+    return part(table(spark, sf, "lineitem"), "l_orderkey % 30 = 0", whole).select("l_orderkey", "l_linenumber", F.round(rate * 1e6, 5).alias("rate"))
 
 
 @query("n13_usable_band", "SELECT l_returnflag AS scene_id, round(median(-l_quantity), 6) AS med, median(-l_quantity) > -24 AS usable FROM lineitem GROUP BY 1")
@@ -339,12 +339,15 @@ def q08(spark: SparkSession, sf: str) -> DataFrame:
     return V.check_posterior(p, b).select("case_id", "rule")
 
 
-@query("q10_track_rules", f"WITH {POS} SELECT mmsi AS place, 'vessels.points' AS rule FROM pos WHERE event_id % 40 = 0 GROUP BY mmsi HAVING count(*) < 2")
-def q10(spark: SparkSession, sf: str) -> DataFrame:
-    lines = tracks.track_lines(positions(spark, sf).where("event_id % 40 = 0")).withColumn("case_id", F.lit("c"))
+@query("q10_track_rules", f"WITH {POS} SELECT mmsi AS place, 'vessels.points' AS rule FROM pos WHERE event_id % 40 = 0 GROUP BY mmsi HAVING count(*) < 2", whole=True)
+def q10(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    lines = tracks.track_lines(part(positions(spark, sf), "event_id % 40 = 0", whole)).withColumn("case_id", F.lit("c"))
     return V.check_tracks(lines).select("place", "rule")
 
 
+ORACLES["q10_track_rules_whole"] = f"WITH {POS} SELECT mmsi AS place, 'vessels.points' AS rule FROM pos GROUP BY mmsi HAVING count(*) < 2"
+
+
 @query("q12_verification_rules", "SELECT s_suppkey AS case_id, 'verification.verdict' AS rule FROM supplier WHERE s_suppkey % 9 = 0 UNION ALL SELECT s_suppkey, 'verification.claimed' FROM supplier WHERE s_suppkey % 2 = 1")
 def q12(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")

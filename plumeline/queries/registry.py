@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,12 @@ T0, T1 = "2024-01-10T00:00:00Z", "2024-01-13T00:00:00Z"
 T0_US, T1_US = 1704844800000000, 1705104000000000
 
 
-def query(name: str, sql: str | None = None):  # noqa: ANN201
+def query(name: str, sql: str | None = None, whole: bool = False):  # noqa: ANN201
+    """whole: the query and its SQL keep a part of the ids; NAME_whole, without SQL, keeps every row."""
     def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = f
+        if whole:
+            QUERIES[f"{name}_whole"] = partial(f, whole=True)
         if sql is not None:
             ORACLES[name] = sql
         return f
@@ -37,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def part(df: DataFrame, of: str, whole: bool) -> DataFrame:
+    """The rows of a part of the ids, or all of them."""
+    return df if whole else df.where(of)
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     u, i = F.col("user_id"), F.col("event_id")
