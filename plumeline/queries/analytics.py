@@ -314,9 +314,9 @@ def k11(spark: SparkSession, sf: str) -> DataFrame:
     return drift.time_window(m, 30.0, 9).select(F.col("case_id").alias("k"), r6("hours_back_from").alias("from_h"), "method")
 
 
-@query("k03_constant_current", "SELECT s_suppkey AS pid, round(-94 - 0.5 * 36000 / (111320 * cos(radians(28.5))), 4) AS lon, 28.5::DOUBLE AS lat, FALSE AS stranded FROM supplier WHERE s_suppkey < 50")
-def k03(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").where("s_suppkey < 50").select(F.lit("c").alias("case_id"), F.col("s_suppkey").cast("int").alias("pid"), F.lit(-94.0).alias("lon"), F.lit(28.5).alias("lat"))
+@query("k03_constant_current", "SELECT s_suppkey AS pid, round(-94 - 0.5 * 36000 / (111320 * cos(radians(28.5))), 4) AS lon, 28.5::DOUBLE AS lat, FALSE AS stranded FROM supplier WHERE s_suppkey < 50", whole=True)
+def k03(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    s = part(table(spark, sf, "supplier"), "s_suppkey < 50", whole).select(F.lit("c").alias("case_id"), F.col("s_suppkey").cast("int").alias("pid"), F.lit(-94.0).alias("lon"), F.lit(28.5).alias("lat"))
     one = spark.createDataFrame([(0, 0.0, 1.0)], "member int, wind_share double, current_scale double")
     d = drift.run_ensemble(s, one, drift.constant_field(0.5, 0.0), drift.constant_field(0.0, 0.0), 0.0, 15.0, 41)
     return d.select(F.col("pid").cast("long").alias("pid"), F.round("lon", 4).alias("lon"), r6("lat").alias("lat"), "stranded")

@@ -113,28 +113,28 @@ def h06(spark: SparkSession, sf: str) -> DataFrame:
     return drift.pool_models(d).groupBy("model").agg(F.count("*").alias("n"), r6(F.sum("w")).alias("total"))
 
 
-def _outlines(spark: SparkSession, sf: str) -> DataFrame:
-    """Three parts of a ribbon and a lone patch in each of a few cases."""
-    s = table(spark, sf, "supplier").where("s_suppkey < 5").select(F.concat(F.lit("case"), F.col("s_suppkey").cast("string")).alias("case_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+def _outlines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Three parts of a ribbon and a lone patch in each of a few cases, or of all."""
+    s = part(table(spark, sf, "supplier"), "s_suppkey < 5", whole).select(F.concat(F.lit("case"), F.col("s_suppkey").cast("string")).alias("case_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     x = F.when(F.col("k") < 3, -94.0 + F.col("k") * 0.101).otherwise(-93.0)
     y = F.when(F.col("k") < 3, 28.5).otherwise(29.4)
     corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
     return s.select("case_id", F.concat(F.lit("d"), F.col("k").cast("string")).alias("det_id"), F.lit("oil").alias("classification"), F.array(F.array(corner(0.0, 0.0), corner(0.1, 0.0), corner(0.1, 0.01), corner(0.0, 0.01))).alias("parts"), x.alias("lon"), y.alias("lat"), (F.col("k") + 1.0).alias("area_km2"), F.lit("unknown").alias("discharge_class"), F.lit(0.5).alias("confidence"), F.lit(4.0).alias("elongation"))
 
 
-@query("h07_spill_groups", "SELECT 'case' || s_suppkey AS case_id, d AS det_id, CASE WHEN d = 'd3' THEN 2 ELSE 1 END AS group_id FROM supplier, (VALUES ('d0'), ('d1'), ('d2'), ('d3')) AS v(d) WHERE s_suppkey < 5")
-def h07(spark: SparkSession, sf: str) -> DataFrame:
-    return slick.spill_groups(slick.outline_points(_outlines(spark, sf)))
+@query("h07_spill_groups", "SELECT 'case' || s_suppkey AS case_id, d AS det_id, CASE WHEN d = 'd3' THEN 2 ELSE 1 END AS group_id FROM supplier, (VALUES ('d0'), ('d1'), ('d2'), ('d3')) AS v(d) WHERE s_suppkey < 5", whole=True)
+def h07(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return slick.spill_groups(slick.outline_points(_outlines(spark, sf, whole)))
 
 
-@query("k14_ribbon_measures", "SELECT 'case' || s_suppkey AS case_id, 3::BIGINT AS n_parts, TRUE AS is_ribbon FROM supplier WHERE s_suppkey < 5")
-def k14(spark: SparkSession, sf: str) -> DataFrame:
-    return slick.ribbon_measures(slick.outline_points(_outlines(spark, sf)).where("det_id <> 'd3'"), ["case_id"]).select("case_id", "n_parts", "is_ribbon")
+@query("k14_ribbon_measures", "SELECT 'case' || s_suppkey AS case_id, 3::BIGINT AS n_parts, TRUE AS is_ribbon FROM supplier WHERE s_suppkey < 5", whole=True)
+def k14(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return slick.ribbon_measures(slick.outline_points(_outlines(spark, sf, whole)).where("det_id <> 'd3'"), ["case_id"]).select("case_id", "n_parts", "is_ribbon")
 
 
-@query("k15_merged_features", "SELECT 'case' || s_suppkey AS case_id, id, a AS area_km2, p AS place FROM supplier, (VALUES ('d2+d1+d0', 6.0::DOUBLE, 1), ('d3', 4.0, 2)) AS v(id, a, p) WHERE s_suppkey < 5")
-def k15(spark: SparkSession, sf: str) -> DataFrame:
-    d = _outlines(spark, sf)
+@query("k15_merged_features", "SELECT 'case' || s_suppkey AS case_id, id, a AS area_km2, p AS place FROM supplier, (VALUES ('d2+d1+d0', 6.0::DOUBLE, 1), ('d3', 4.0, 2)) AS v(id, a, p) WHERE s_suppkey < 5", whole=True)
+def k15(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    d = _outlines(spark, sf, whole)
     return slick.merged_features(d, slick.spill_groups(slick.outline_points(d))).select("case_id", "id", "area_km2", "place")
 
 
@@ -171,11 +171,12 @@ def k24(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", r6(compare.required_pad_deg(s / F.lit(20.0), F.lit(48.0), s.cast("double"))[0]).alias("pad_lon"))
 
 
-@query("d15_particle_matching", "SELECT s_suppkey::INTEGER AS pid, (1000 - s_suppkey)::INTEGER AS pid2 FROM supplier WHERE s_suppkey < 60")
-def d15(spark: SparkSession, sf: str) -> DataFrame:
+@query("d15_particle_matching", "SELECT s_suppkey::INTEGER AS pid, (1000 - s_suppkey)::INTEGER AS pid2 FROM supplier WHERE s_suppkey < 60", whole=True)
+def d15(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     k = F.col("s_suppkey").cast("int")
-    a = table(spark, sf, "supplier").where("s_suppkey < 60").select(F.lit("c").alias("case_id"), k.alias("pid"), (-94 + k * 0.001).alias("lon"), F.lit(28.0).alias("lat"))
-    b = a.select("case_id", (F.lit(1000) - F.col("pid")).alias("pid"), (F.col("lon") + 1e-7).alias("lon"), "lat")
+    case = F.floor(k / 500).cast("string")  # a case is matched in one group
+    a = part(table(spark, sf, "supplier"), "s_suppkey < 60", whole).select(case.alias("case_id"), k.alias("pid"), (-94 + k % 500 * 0.001).alias("lon"), F.lit(28.0).alias("lat"))
+    b = a.select("case_id", (F.lit(-1 if whole else 1000) - F.col("pid")).alias("pid"), (F.col("lon") + 1e-7).alias("lon"), "lat")
     return compare.match_particles(a, b).select("pid", "pid2")
 
 
@@ -199,9 +200,9 @@ def i15(spark: SparkSession, sf: str) -> DataFrame:
     return P.interpolate_likelihood(c, P.age_grid(spark), ["case_id"]).select("age_h", r6("ll").alias("ll"))
 
 
-@query("l08_pit", "WITH p AS (SELECT i * 0.25::DOUBLE AS age_h, 1 / 288.0::DOUBLE AS p FROM range(1, 289) AS t(i)) SELECT p_partkey AS k, round(least(1, greatest(1 / 288.0::DOUBLE, (p_size / 0.25::DOUBLE) / 288)), 6) AS pit FROM part WHERE p_partkey < 50")
-def l08b(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("truth_h"))
+@query("l08_pit", "WITH p AS (SELECT i * 0.25::DOUBLE AS age_h, 1 / 288.0::DOUBLE AS p FROM range(1, 289) AS t(i)) SELECT p_partkey AS k, round(least(1, greatest(1 / 288.0::DOUBLE, (p_size / 0.25::DOUBLE) / 288)), 6) AS pit FROM part WHERE p_partkey < 50", whole=True)
+def l08b(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    t = part(table(spark, sf, "part"), "p_partkey < 50", whole).select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("truth_h"))
     post = t.select("k").crossJoin(P.age_grid(spark)).withColumn("p", F.lit(1 / 288))
     return P.pit(post, t, ["k"]).select("k", r6("pit").alias("pit"))
 
@@ -361,10 +362,10 @@ def a27(spark: SparkSession, sf: str) -> DataFrame:
     return synth.fleet(spark, 20, 25, T0_US, 10.0, (-95.0, 28.0, -93.0, 30.0)).agg(F.countDistinct("mmsi").alias("n_vessels"), F.count("*").alias("n_rows"))
 
 
-@query("m18_injected_offenders", f"SELECT s_suppkey AS trial_id, {T0_US} + s_suppkey * 60000000 AS us, round(28 + s_suppkey / 100.0::DOUBLE, 6) AS lat FROM supplier WHERE s_suppkey < 100")
-def m18b(spark: SparkSession, sf: str) -> DataFrame:
+@query("m18_injected_offenders", f"SELECT s_suppkey AS trial_id, {T0_US} + s_suppkey * 60000000 AS us, round(28 + s_suppkey / 100.0::DOUBLE, 6) AS lat FROM supplier WHERE s_suppkey < 100", whole=True)
+def m18b(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     k = F.col("s_suppkey")
-    t = table(spark, sf, "supplier").where("s_suppkey < 100").select(k.alias("trial_id"), F.lit(-94.0).alias("lon"), (28 + k / F.lit(100.0)).alias("lat"), (F.lit(T0_US) + k * 60000000).alias("at_us"), (k * 7 % 360).cast("double").alias("cog"), F.lit(12.0).alias("sog"), F.lit(45.0).alias("gap_min"))
+    t = part(table(spark, sf, "supplier"), "s_suppkey < 100", whole).select(k.alias("trial_id"), F.lit(-94.0).alias("lon"), (28 + k % 100 / F.lit(100.0)).alias("lat"), (F.lit(T0_US) + k * 60000000).alias("at_us"), (k * 7 % 360).cast("double").alias("cog"), F.lit(12.0).alias("sog"), F.lit(45.0).alias("gap_min"))
     d = synth.offender(spark, t)
     mid = d.join(t.select("trial_id", "at_us"), "trial_id").where(us("ts") == F.col("at_us"))
     return mid.select("trial_id", us("ts").alias("us"), r6("lat").alias("lat"))

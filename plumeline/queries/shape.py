@@ -20,9 +20,9 @@ def l10(spark: SparkSession, sf: str) -> DataFrame:
     return curves.age_band(curves.length_ages(c, 3.0), ["case_id"])
 
 
-@query("l14_track_width_age")
-def l14(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "supplier").where("s_suppkey < 5").select(F.col("s_suppkey").cast("string").alias("case_id"), (300.0 + 200 * F.col("s_suppkey")).alias("width_tail_m"))
+@query("l14_track_width_age", whole=True)
+def l14(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    t = part(table(spark, sf, "supplier"), "s_suppkey < 5", whole).select(F.col("s_suppkey").cast("string").alias("case_id"), (300.0 + 200 * (F.col("s_suppkey") % 5)).alias("width_tail_m"))
     s = curves.track_age_samples(t, 2000)
     lo, hi = F.col("sample_h") < 0.25, F.col("sample_h") > 72
     s = s.select("case_id", F.when(~lo & ~hi, F.col("sample_h")).alias("sample_h"), F.when(lo, "young").when(hi, "old").alias("censored"))

@@ -21,3 +21,24 @@ def test_every_id(spark, name):
     assert ORACLES[name].count(PARTS[name]) == 1
     whole = f"{name}_whole"
     same_rows(spark, QUERIES, {whole: ORACLES[name].replace(PARTS[name], "")}, whole)
+
+
+PREFIXES = {
+    "h07_spill_groups": " WHERE s_suppkey < 5", "k14_ribbon_measures": " WHERE s_suppkey < 5", "k15_merged_features": " WHERE s_suppkey < 5", "k03_constant_current": " WHERE s_suppkey < 50",
+    "d15_particle_matching": " WHERE s_suppkey < 60", "l08_pit": " WHERE p_partkey < 50", "m18_injected_offenders": " WHERE s_suppkey < 100",
+}
+ANY_ID = {"d15_particle_matching": ("1000 - s_suppkey", "-1 - s_suppkey"), "m18_injected_offenders": ("28 + s_suppkey /", "28 + s_suppkey % 100 /")}
+
+
+@pytest.mark.parametrize("name", sorted(PREFIXES))
+def test_beyond_the_first_ids(spark, name):
+    whole, sql = f"{name}_whole", ORACLES[name].replace(PREFIXES[name], "").replace(*ANY_ID.get(name, ("", "")))
+    assert sql.count("WHERE") == 0
+    sf = "/root/testdata/sf0.01" if name[:3] in ("h07", "k14", "k15", "l08") else "/root/testdata/sf0.1"
+    assert same_rows(spark, QUERIES, {whole: sql}, whole, sf) > 100 - 1
+
+
+def test_track_ages_of_every_supplier(spark, sf_dir):
+    few, every = ({r.case_id: r for r in QUERIES[name](spark, sf_dir).collect()} for name in ("l14_track_width_age", "l14_track_width_age_whole"))
+    assert set(every) == {str(r.s_suppkey) for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()} > set(few)
+    assert all(every[k].status == few[k].status for k in few)
