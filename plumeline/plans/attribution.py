@@ -10,12 +10,13 @@ from ..operators import grid as G
 from ..operators import score, tracks
 
 
-def suspects(positions: DataFrame, cells: DataFrame, head: dict, t0: Column, t1: Column, min_points: int = 10, with_gap: bool = True, walk_seconds: int | None = 60, gap_min: float = score.GAP_MIN) -> DataFrame:
+def suspects(positions: DataFrame, cells: DataFrame, head: dict, t0: Column, t1: Column, min_points: int = 10, with_gap: bool = True, walk_seconds: int | None = 60, gap_min: float = score.GAP_MIN, dense_min: float = tracks.DENSE_CEILING_MIN, hourly_min: float = tracks.HOURLY_CEILING_MIN) -> DataFrame:
     """(case_id, mmsi, score, weight_live, n_applicable, grid_probability, closest_km, rank).
 
     positions: one case's positions (mmsi, ts, lon, lat, sog, cog, source, vessel_type). head: the
     grid's box and shape with case_id, clon, clat, radius_90_km and method. Vessels are cut down by
     the cheap test of presence in the window before tracks are walked and scored.
+    dense_min and hourly_min are the longest minutes between reports that a track is walked over.
     """
     inside = F.col("ts").between(t0, t1)
     attributes = tracks.track_attributes(positions.withColumn("name", F.lit(None).cast("string")).withColumn("type_code", F.lit(None).cast("int")))
@@ -25,7 +26,7 @@ def suspects(positions: DataFrame, cells: DataFrame, head: dict, t0: Column, t1:
     points = own.where(inside).select("mmsi", F.col("ts").alias("at"), "lon", "lat", F.lit(False).alias("walked"))
     if walk_seconds:
         spans = usable.select("mmsi", F.greatest("start_ts", t0).alias("walk_from"), F.least("end_ts", t1).alias("walk_to"))
-        walked = tracks.positions_at(own, tracks.walk_instants(spans, walk_seconds))
+        walked = tracks.positions_at(own, tracks.walk_instants(spans, walk_seconds), dense_min, dense=dense_min, hourly=hourly_min)
         points = points.union(walked.select("mmsi", "at", "lon", "lat", F.lit(True)))
     sampled = G.sample(points, cells, head).withColumn("case_id", F.lit(head["case_id"]))
     best = score.proximity(sampled).where(F.col("value") > score.PLAUSIBLE_MIN)
