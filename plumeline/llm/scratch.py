@@ -10,16 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset, a temporary folder is set.
+    """The session's ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    The fallback serves tests and single-machine sessions; clusters set the option.
+    Where neither is set, a session of one machine gets a temporary folder; a cluster gets an error,
+    as its executors would not see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         ref = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = ref.get() if ref.isDefined() else tempfile.mkdtemp(prefix="plumeline-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if ref.isDefined():
+            base = ref.get()
+        elif spark.sparkContext.master.startswith("local["):
+            base = tempfile.mkdtemp(prefix="plumeline-")
+            spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -38,12 +43,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "snappy", free: bool = False) -> DataFrame:
-        """Write df and read it back. With `free`, the driver's JVM collects garbage afterwards: Spark's
-        cleaner then deletes the files of shuffles that only led up to the table."""
+    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """Write df and read it back."""
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
-        if free:
-            self.spark.sparkContext._jvm.System.gc()
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

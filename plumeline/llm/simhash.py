@@ -347,7 +347,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
 
     one = nodes.join(wanted, "sig", "left_semi").where("rep is not null").select("sig", F.col("rep").alias("doc_id"))
     sets = docs.join(one, "doc_id").select("sig", "text").mapInArrow(shingle_sets, "sig binary, body binary")
-    sets = scratch.write(sets.groupBy("sig").agg(F.max("body").alias("body")), "sets", free=True)
+    sets = scratch.write(sets.groupBy("sig").agg(F.max("body").alias("body")), "sets")
 
     def link(t: pa.Table) -> pa.RecordBatch:
         new = _tile_starts(t)
@@ -360,7 +360,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     filled = tiles.join(sets, tiles.rep == sets.sig).select("key", "i", "j", "probe", "fp", "rep", "body")
     filled = filled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = filled.mapInArrow(lambda b: _whole_tiles(b, SHARD_ROWS // 2, link), "a binary, b binary")
-    found = components(scratch.write(links, "links", free=True), scratch)
+    found = components(scratch.write(links, "links"), scratch)
     scratch.drop("tiles")
     scratch.drop("sets")
     rooted = scratch.write(nodes.join(found, nodes.sig == found.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root")), "rooted")

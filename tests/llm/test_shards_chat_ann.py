@@ -1,11 +1,18 @@
 """Sharding, chat formatting and nearest neighbours."""
 
+import hashlib
+import pathlib
+import subprocess
+import sys
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from plumeline.llm import ann, chat, shards
+from plumeline.llm.scratch import shared_folder
 
 
 def docs(spark, rows):
@@ -50,6 +57,40 @@ def test_write_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
 
 
+def test_write_shards_writes_each_row_once(spark, tmp_path):
+    """Of repeated ids, one too large for a shard, of null ids and of a column named like a folder's."""
+    rows = [(5, "y" * 30 + str(i)) for i in range(200)] + [(6, "z")] * 3 + [(None, "abc"), (None, None)] + [(100 + i, "") for i in range(20)]
+    shards.write_shards(docs(spark, rows), str(tmp_path / "out"), 100)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in rows)
+    by = {}
+    for r in got:
+        by.setdefault((r.shard, r.part), []).append(len(r.text or ""))
+    assert all(sum(n) <= 100 or len(n) == 1 for n in by.values())
+
+
+def test_a_shallow_shard_below_the_even_spread(spark):
+    """One huge text makes the even spread deep, though all others fit a shard of few bits."""
+    rows = [(i, "t") for i in range(50)] + [(99, "x" * 300_000)]
+    got = shards.assign_shards(docs(spark, rows), 100).collect()
+    check_shards(got, 100)
+    key = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)
+    for r in got:
+        fits = lambda d: sum(len(t) for i, t in rows if key(i) >> (60 - d) == key(r.doc_id) >> (60 - d)) <= 100  # noqa: B023, E731
+        assert r.doc_id == 99 or r.depth == next(d for d in range(61) if fits(d))
+
+
+def test_scratch_without_a_shared_folder():
+    """A local session gets a temporary folder, a cluster an error."""
+    code = "from pyspark.sql import SparkSession; from plumeline.llm.scratch import Scratch; s = SparkSession.builder.master('{}').config('spark.ui.enabled', 'false').getOrCreate(); print(Scratch(s, 't').write(s.range(3), 'x').count())"
+    run = subprocess.run([sys.executable, "-c", code.format("local[1]")], capture_output=True, text=True, cwd=pathlib.Path(__file__).parents[2], timeout=240)
+    assert run.stdout.strip() == "3"
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+
+
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "<|turn|>", "a\\b"]), st.text(alphabet=st.sampled_from("ab\\<|>/[]INSTs turnext\nend")) | st.sampled_from(chat.CONTROLS)), max_size=6))
 def test_template_is_reversible(turns):
     made, mask = chat.format_turns(turns)
