@@ -26,7 +26,7 @@ def _round(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
     """(node, root) for every node that has an edge; root is the least node that it reaches.
 
     edges has columns a and b. A hub's neighbours are never gathered: its minimum is a partial
@@ -35,12 +35,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     are ignored, as are loops and repeated edges.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    e = scratch.write(e.where("u <> v").distinct(), "edges0")
+    e = scratch.write(e.where("u <> v").distinct(), f"{name}0")
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before, k = mark(e), 0
     while before[0]:
-        e = scratch.write(_round(e), f"edges{k + 1}")
-        scratch.drop(f"edges{k}")
+        e = scratch.write(_round(e), f"{name}{k + 1}")
+        scratch.drop(f"{name}{k}")
         now, k = mark(e), k + 1
         if now == before:
             break

@@ -28,7 +28,7 @@ from .text import pick, pieces, text_bytes
 PIECE_BYTES = 2_000_000
 SHARD_ROWS = 8192
 #: Bytes of tiles that a task takes together, and shingles in a part of a shard.
-TILE_BYTES, PART_SHINGLES = 16_000_000, 8_000_000
+TILE_BYTES, PART_SHINGLES = 16_000_000, 4_000_000
 #: Pairs of a query and a tree node that are looked at together.
 FRONTIER = 2_000_000
 
@@ -103,15 +103,17 @@ class BKForest:
         order = np.argsort(self.edge)
         self.edge, self.child = self.edge[order], self.child[order]
 
-    def search(self, query: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (index of the query, node) within the radius, level by level."""
+    def search(self, query: np.ndarray, root: np.ndarray, radius: np.ndarray | int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (index of the query, node) within the radius, level by level; a query may have its own radius."""
         q, node = np.arange(len(query)), root
+        within = np.broadcast_to(np.asarray(radius, np.int64), len(query))
         while q.size:
             d = np.bitwise_count(query[q] ^ self.fp[node]).astype(np.int64)
-            near = d <= radius
+            r = within[q]
+            near = d <= r
             yield q[near], node[near]
-            low = np.searchsorted(self.edge, node * 65 + np.maximum(d - radius, 0), "left")
-            n = np.searchsorted(self.edge, node * 65 + np.minimum(d + radius, 64), "right") - low
+            low = np.searchsorted(self.edge, node * 65 + np.maximum(d - r, 0), "left")
+            n = np.searchsorted(self.edge, node * 65 + np.minimum(d + r, 64), "right") - low
             pos = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
             q, node = np.repeat(q, n), self.child[pos]
 
@@ -131,7 +133,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[open_], b[open_]
 
 
-def _search_tiles(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, radius: int, link: Callable[[np.ndarray, np.ndarray], None]) -> None:
+def _search_tiles(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, radius: np.ndarray | int, link: Callable[[np.ndarray, np.ndarray], None]) -> None:
     """Give `link` the places of all pairs of rows of a tile within the radius, some at a time."""
     if len(fp) < 2:
         return
@@ -147,10 +149,11 @@ def _search_tiles(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, radius: i
     work = np.cumsum(size[group[ask]])
     cuts = np.searchsorted(work, np.arange(FRONTIER, work[-1] + FRONTIER, FRONTIER), "left") + 1 if ask.size else []
     at = 0
+    radius = np.broadcast_to(np.asarray(radius, np.int64), len(fp))
     for cut in cuts:
         some, at = ask[at:cut], max(at, int(cut))
         if some.size:
-            for q, node in forest.search(fp[some], root_of[group[some]], radius):
+            for q, node in forest.search(fp[some], root_of[group[some]], radius[some]):
                 a, b = some[q], build[node]
                 other = a != b
                 link(a[other], b[other])
@@ -167,13 +170,20 @@ def tile_links(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, radius: int)
     return label
 
 
-def _tile_starts(t: pa.Table) -> np.ndarray:
-    key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-    return np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+TILE = ("key", "i", "j")
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch], most: int, link: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Apply link to tables of whole tiles; rows come ordered by key, i and j."""
+def _tile_starts(t: pa.Table, tile: tuple[str, ...] = TILE) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in tile:
+        x = t.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch], most: int, link: Callable[[pa.Table], pa.RecordBatch], tile: tuple[str, ...] = TILE) -> Iterator[pa.RecordBatch]:
+    """Apply link to tables of whole tiles; rows come ordered by the tile's columns."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -181,7 +191,7 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], most: int, link: Callable[[p
         held.append(batch)
         if sum(b.num_rows for b in held) >= most or sum(b.nbytes for b in held) >= TILE_BYTES:
             t = pa.Table.from_batches(held)
-            cut = int(np.flatnonzero(_tile_starts(t))[-1])
+            cut = int(np.flatnonzero(_tile_starts(t, tile))[-1])
             if cut:
                 yield link(t.slice(0, cut))
                 held = t.slice(cut).to_batches()
@@ -189,8 +199,8 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], most: int, link: Callable[[p
         yield link(pa.Table.from_batches(held))
 
 
-def _tiled(keyed: DataFrame, shard_rows: int, weight: Column | None = None, most: int = 1) -> DataFrame:
-    """Rows (key, fp, rep) of shards with two rows at least, dealt to tiles (key, i, j) of at most two parts.
+def _tiled(keyed: DataFrame, shard_rows: int, carry: tuple[str, ...] = (), weight: Column | None = None, most: int = 1) -> DataFrame:
+    """Rows (key, fp, rep, carry) of shards with two rows at least, dealt to tiles (key, i, j) of at most two parts.
 
     A part has about shard_rows rows, and about `most` of their summed weight if they have one.
     """
@@ -198,8 +208,8 @@ def _tiled(keyed: DataFrame, shard_rows: int, weight: Column | None = None, most
     keyed = keyed.join(full.where("rows > 1"), "key")
     parts = F.greatest(F.ceil(F.col("rows") / F.lit(shard_rows)), F.ceil(F.col("weight") / F.lit(most))).cast("int")
     part = F.pmod(F.xxhash64("fp", F.lit(7)), parts).cast("int")
-    tiles = keyed.select("key", "fp", "rep", part.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
-    return tiles.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).alias("probe"), "fp", "rep")
+    tiles = keyed.select("key", "fp", "rep", *carry, part.alias("p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+    return tiles.select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).alias("probe"), "fp", "rep", *carry)
 
 
 def near_links(nodes: DataFrame, radius: int = 3, blocks: int = 4, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -246,9 +256,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Differing bits within which pairs of the given similarity lie: at 0.8 the mean is 9.7, the deviation 2.9.
-WIDE_RADIUS = 20
+#: Differing bits within which pairs of the wanted similarity lie, by the size of the larger set: at a
+#: similarity of 0.8 large sets differ in 9.7 bits with a deviation of 2.9, sets of a few dozen scatter more.
+RADII = ((24, 64), (100, 26), (None, 22))
 SEEDS = 6
+#: Rows that may be sent to every executor in place of a shuffle of texts.
+BROADCAST_ROWS = 100_000
+
+
+def radius_of(n: np.ndarray) -> np.ndarray:
+    """The search radius of sets of n shingles."""
+    out = np.full(len(n), RADII[-1][1], np.int64)
+    for most, r in reversed(RADII[:-1]):
+        out[n <= most] = r
+    return out
 
 
 def _shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -256,30 +277,25 @@ def _shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_digests(text, size, 0)), ">u8").astype(np.uint64))
 
 
-def _pack32(hashes: np.ndarray) -> bytes:
-    """The first 32 bits of hashes: in sets of a thousand, two of them agree by chance once in 10,000 sets."""
-    return np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
-
-
 def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """2048 parities of each set; two sketches differ in no more bits than the sets in elements."""
     rows = [np.packbits((np.bincount((x & x.dtype.type(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8)) for x in sets]
     return np.stack(rows).view(np.uint64) if rows else np.zeros((0, 32), np.uint64)
 
 
-def similar_pairs_links(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
-    """As tile_links, where a link also needs sets of at least that Jaccard similarity.
+def similar_pairs_links(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, up: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """As tile_links from given labels, where a link also needs sets of at least that Jaccard similarity.
 
-    Pairs that are connected already are not verified again.
+    Pairs that are connected already are not verified again, nor are pairs of which both are `up`.
     """
-    label = np.arange(len(fp))
+    label = label.copy()
     size = np.array([len(x) for x in sets], np.int64)
     odd = odd_sketches(sets)
 
     def verified(a: np.ndarray, b: np.ndarray) -> None:
         for at in range(0, len(a), 20_000):
             x, y = a[at : at + 20_000], b[at : at + 20_000]
-            far = label[x] != label[y]
+            far = (label[x] != label[y]) & ~(up[x] & up[y])
             x, y = x[far], y[far]
             # J >= s means a symmetric difference of at most (1-s)/(1+s) of both sizes
             apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
@@ -298,25 +314,50 @@ def similar_pairs_links(fp: np.ndarray, tile: np.ndarray, probe: np.ndarray, set
                     pairs = np.array(good)
                     _merge(label, pairs[:, 0], pairs[:, 1])
 
-    _search_tiles(fp, tile, probe, radius, verified)
+    _search_tiles(fp, tile, probe, radius_of(size), verified)
     return label
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, seeds: int = SEEDS, shard_rows: int = SHARD_ROWS // 8) -> DataFrame:
+def _candidates(t: pa.Table) -> pa.RecordBatch:
+    """Rows of tiles that have another row within the radius, with the least such row that they reach."""
+    fp, probe, up = t.column("fp").to_numpy().view(np.uint64), t.column("probe").to_numpy().astype(bool), t.column("up").to_numpy().astype(bool)
+    label, found = np.arange(len(fp)), np.zeros(len(fp), bool)
+
+    def near(a: np.ndarray, b: np.ndarray) -> None:
+        one = ~(up[a] & up[b])
+        a, b = a[one], b[one]
+        found[a] = found[b] = True
+        _merge(label, a, b)
+
+    _search_tiles(fp, np.cumsum(_tile_starts(t)), probe, radius_of(t.column("n").to_numpy()), near)
+    names = ["key", "i", "j", "k", "probe", "up", "fp", "rep"]
+    kept = t.filter(pa.array(found)).combine_chunks()
+    group = t.column("rep").combine_chunks().take(pa.array(label[found]))
+    return pa.RecordBatch.from_arrays([*(kept.column(c).combine_chunks() for c in names), group], [*names, "near"])
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS, shard_rows: int = SHARD_ROWS // 8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: (doc_id, fingerprint, component_id), linked by similarity of shingles.
 
     Documents link if the Jaccard similarity of their sets of `size`-word shingles is at least
-    `similarity`. A shard holds documents that have the same least shingle under one of `seeds` hash
-    functions and sizes that can reach the similarity; its BK-tree of SimHash fingerprints is searched
-    within `radius` bits, and what it finds is verified on the whole sets. A pair of just the wanted
-    similarity s shares no shard with probability (1-s)^seeds, and lies outside the radius in about
-    three of 10,000 cases; the more similar, the less. Equal sets are one node and always linked;
-    null and empty texts have the empty set. The fingerprint is that of the set that is verified, so
-    repeated passages move it no further than they move the similarity. Ids may repeat; a null id
-    can't name a component.
+    `similarity`; it is verified on the whole sets of 64-bit hashes. A shard holds documents that
+    have the same least shingle under one of `seeds` hash functions and sizes that can reach the
+    similarity. BK-trees of SimHash fingerprints find the candidates of a shard, on rows without
+    sets; only documents with a candidate have their sets made. Sets go to groups of candidates in
+    waves: first each part of a shard by itself under the first function, then the parts of a shard
+    with its first part, then what is left; a wave skips the groups that the waves before it have
+    already connected, so that a group of near copies is sent about once and not once for each
+    function and tile.
+
+    A pair of just the wanted similarity s shares no shard with probability (1-s)^seeds, and lies
+    outside the radius (`RADII`) in about one of 100,000 cases; the more similar, the less. Equal
+    sets are one node and always linked; null and empty texts have the empty set. Very long texts
+    are taken whole. The fingerprint is that of the set, so repeated passages move it no further
+    than they move the similarity. Ids may repeat, with equal or other texts; a null id takes part
+    but can't name a component. Other columns are left out.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    docs = pick(docs, doc_id=id_col, text=text_col)
+    docs = pick(docs, doc_id=id_col, text=text_col).withColumns({"t1": F.xxhash64("text"), "t2": F.hash("text")})
     kind = docs.schema["doc_id"].dataType.simpleString()
     salts = np.array([int.from_bytes(xxh64_digest(str(k).encode())) | 1 for k in range(seeds)], np.uint64)
 
@@ -326,44 +367,57 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 sets = [_shingles(t, size) for t in texts]
                 least = [[int(x) for x in (mix(s[None, :] * salts[:, None]).min(axis=1)).view(np.int64)] if len(s) else [] for s in sets]
-                names = ["doc_id", "fp", "sig", "n", "least"]
-                cols = [part.column(0), pa.array(set_fingerprints(sets).view(np.int64)), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+                names = ["doc_id", "t1", "t2", "fp", "sig", "n", "least"]
+                cols = [part.column(0), part.column(2), part.column(3), pa.array(set_fingerprints(sets).view(np.int64)), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    signed = scratch.write(docs.mapInArrow(sign, f"doc_id {kind}, fp long, sig binary, n long, least array<long>"), "signed")
-    nodes = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(F.struct("fp", "n", "least")).alias("s")).select("sig", "rep", "s.*")
+    signed = scratch.write(docs.mapInArrow(sign, f"doc_id {kind}, t1 long, t2 int, fp long, sig binary, n long, least array<long>"), "signed")
+    nodes = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "t1", "t2")).alias("text"), F.min(F.struct("fp", "n", "least")).alias("s")).select("sig", "rep", "text", "s.*")
     nodes = scratch.write(nodes, "nodes")
     keyed = nodes.select("sig", "fp", "n", F.posexplode("least").alias("k", "h"))
     level = F.floor(F.log("n") / F.lit(-np.log(similarity))) if similarity < 1 else F.col("n")
-    keyed = keyed.select("sig", "fp", "n", "k", "h", F.explode(F.array(level, level + 1)).alias("level"))
-    keyed = keyed.select(F.col("sig").alias("rep"), "fp", "n", F.xxhash64("k", "h", "level").alias("key"))
-    tiles = scratch.write(_tiled(keyed, shard_rows, F.col("n"), PART_SHINGLES), "tiles")
-    wanted = tiles.select(F.col("rep").alias("sig")).distinct()
+    keyed = keyed.select("sig", "fp", "n", "k", "h", level.alias("base"), F.explode(F.array(level, level + 1)).alias("level"))
+    keyed = keyed.select(F.col("sig").alias("rep"), "fp", "n", F.col("k").cast("byte").alias("k"), (F.col("level") > F.col("base")).alias("up"), F.xxhash64("k", "h", "level").alias("key"))
+    tiles = _tiled(keyed, shard_rows, ("n", "k", "up"), F.col("n"), PART_SHINGLES).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = tiles.mapInArrow(lambda b: _whole_tiles(b, 4 * SHARD_ROWS, _candidates), "key long, i int, j int, k byte, probe boolean, up boolean, fp long, rep binary, near binary")
+    found = scratch.write(found.withColumn("group", F.xxhash64("key", "i", "j", "near")).drop("key", "near"), "candidates")
+    wanted = scratch.write(nodes.join(found.select(F.col("rep").alias("sig")).distinct(), "sig").select("sig", "text"), "wanted")
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_pack32(_shingles(t, size)) for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["sig", "body"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_shingles(t, size).astype("<u8").tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["sig", "body"])
 
-    one = nodes.join(wanted, "sig", "left_semi").where("rep is not null").select("sig", F.col("rep").alias("doc_id"))
-    sets = docs.join(one, "doc_id").select("sig", "text").mapInArrow(shingle_sets, "sig binary, body binary")
-    sets = scratch.write(sets.groupBy("sig").agg(F.max("body").alias("body")), "sets")
+    small = wanted.count() <= broadcast_rows
+    same = docs.doc_id.eqNullSafe(F.col("w.text.doc_id")) & (docs.t1 == F.col("w.text.t1")) & (docs.t2 == F.col("w.text.t2"))
+    sets = docs.join((F.broadcast(wanted) if small else wanted).alias("w"), same).select("w.sig", docs.text).mapInArrow(shingle_sets, "sig binary, body binary")
+    sets = scratch.write(sets, "sets")
+    labels = None
 
     def link(t: pa.Table) -> pa.RecordBatch:
-        new = _tile_starts(t)
-        body = [np.frombuffer(x, "<u4") for x in t.column("body").to_pylist()]
-        label = similar_pairs_links(t.column("fp").to_numpy().view(np.uint64), np.cumsum(new), t.column("probe").to_numpy().astype(bool), body, radius, similarity)
-        linked = label != np.arange(len(label))
+        body = [np.frombuffer(x, "<u8") for x in t.column("body").to_pylist()]
+        code = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        start = np.unique(code, return_index=True)[1][code]
+        column = lambda c: t.column(c).to_numpy()
+        label = similar_pairs_links(column("fp").view(np.uint64), np.cumsum(_tile_starts(t, ("group",))), column("probe").astype(bool), column("up").astype(bool), start, body, similarity)
+        linked = label != start
         rep = t.column("rep").combine_chunks()
         return pa.RecordBatch.from_arrays([rep.filter(pa.array(linked)), rep.take(pa.array(label[linked]))], ["a", "b"])
 
-    filled = tiles.join(sets, tiles.rep == sets.sig).select("key", "i", "j", "probe", "fp", "rep", "body")
-    filled = filled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = filled.mapInArrow(lambda b: _whole_tiles(b, SHARD_ROWS // 2, link), "a binary, b binary")
-    found = components(scratch.write(links, "links"), scratch)
-    scratch.drop("tiles")
-    scratch.drop("sets")
-    rooted = scratch.write(nodes.join(found, nodes.sig == found.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root")), "rooted")
+    for wave, of in enumerate(("k = 0 and i = j", "k = 0 and i = 0 and j > 0", "k > 0 or i > 0 and j > i")):
+        rows = found.where(of)
+        rows = rows.withColumn("label", F.col("rep")) if labels is None else rows.join(labels, rows.rep == labels.node, "left").withColumn("label", F.coalesce("root", "rep")).drop("node", "root")
+        rows = scratch.write(rows, f"rows{wave}")
+        open_ = rows.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
+        filled = rows.join(open_, "group", "left_semi").join(sets, rows.rep == sets.sig).select("group", "probe", "up", "fp", "rep", "label", "body")
+        filled = filled.repartition("group").sortWithinPartitions("group")
+        links = scratch.write(filled.mapInArrow(lambda b: _whole_tiles(b, SHARD_ROWS // 2, link, ("group",)), "a binary, b binary"), f"links{wave}")
+        if labels is not None:
+            links = links.union(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        labels = components(links, scratch, f"wave{wave}")
+    rooted = scratch.write(nodes.join(labels, nodes.sig == labels.node, "left").select("sig", "rep", F.coalesce("root", "sig").alias("root")), "rooted")
+    for name in ("candidates", "sets", "wanted", "rows0", "rows1", "rows2"):
+        scratch.drop(name)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("sig", "component_id")
     return signed.join(named, "sig", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -67,10 +67,12 @@ def test_bk_forest_loses_nothing():
     assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)}
 
 
-@pytest.mark.parametrize("shard_rows", [1024, 2])
-def test_similar_groups(spark, shard_rows):
-    rows = [r for r in awkward() if r[0] is not None]
-    got = simhash.similar_groups(table(spark, rows), shard_rows=shard_rows).collect()
+@pytest.mark.parametrize(("shard_rows", "broadcast_rows"), [(1024, 10**6), (2, 0)])
+def test_similar_groups(spark, shard_rows, broadcast_rows):
+    base = [f"v{i}" for i in range(90)]
+    grown = [(500 + k, " ".join(base[: 60 + k])) for k in range(30)]
+    rows = [r for r in awkward() if r[0] is not None] + grown + [(2, " ".join(base) + " more")]
+    got = simhash.similar_groups(table(spark, rows), shard_rows=shard_rows, broadcast_rows=broadcast_rows).collect()
     sets = [set(simhash._shingles(None if t is None else t.encode(), 5).tolist()) for _, t in rows]
     same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
     group = roots(len(rows), lambda i, j: same(sets[i], sets[j]))
@@ -80,6 +82,23 @@ def test_similar_groups(spark, shard_rows):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, least[g]) for (i, _), g in zip(rows, group, strict=True))
 
 
+def test_similar_texts_of_null_ids_link(spark):
+    base = " ".join(f"word{i}" for i in range(120))
+    got = simhash.similar_groups(table(spark, [(None, base), (None, base + " end"), (4, base + " end here")])).collect()
+    assert [r.component_id for r in got] == [4, 4, 4]
+
+
+@pytest.mark.parametrize(("shared", "a", "b"), [(4, 0, 1), (12, 1, 2), (40, 4, 6)])
+def test_short_pairs_are_found(spark, shared, a, b):
+    """Pairs of a similarity of 0.8: at most one of 15,000 has no shard in common."""
+    rows = []
+    for k in range(300):
+        line = " ".join(f"p{k}w{i}" for i in range(shared + 4))
+        rows += [(2 * k, line + "".join(f" a{k}x{i}" for i in range(a))), (2 * k + 1, line + "".join(f" b{k}x{i}" for i in range(b)))]
+    got = simhash.similar_groups(table(spark, rows)).collect()
+    assert sum(r.component_id == r.doc_id - r.doc_id % 2 for r in got) >= 599
+
+
 def test_similar_groups_with_a_line_repeated_hundreds_of_times(spark):
     rows = []
     for k in range(12):
