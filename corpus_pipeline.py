@@ -15,7 +15,7 @@ from plumeline.llm.lines import drop_frequent_lines
 from plumeline.llm.quality import quality_scores
 from plumeline.llm.queries import vocabulary_path
 from plumeline.llm.scratch import Scratch
-from plumeline.llm.simhash import similar_groups
+from plumeline.llm.simhash import BROADCAST_ROWS, similar_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -46,15 +46,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 of 5-word shingles: the least id.
 
-    A document is known by its id and a hash of its text, so that null and repeated ids are documents
-    of their own; rows that agree in both are copies, of which one stays.
+    A document is known by its id and a hash of its row, so that null and repeated ids are documents
+    of their own; of rows that agree in all columns one stays, and null ids give way to others.
+    Null and empty texts are one group. Very long texts count whole.
     """
-    name = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("h"))
+    name = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64(*COLUMNS).alias("h"))
     named = docs.select(name.alias("row_id"), *COLUMNS)
     groups = similar_groups(named, size=5, similarity=0.8, id_col="row_id")
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    kept = named.join(stays, F.col("row_id") == F.col("stays"), "left_semi")
-    return kept.groupBy("row_id").agg(F.first(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    kinds = groups.groupBy(F.col("doc_id").alias("known")).agg((F.min("component_id") == F.col("doc_id")).alias("stays"), (F.count("*") > 1).alias("many"))
+    scratch = Scratch(spark, "near-dedup")
+    told = scratch.write(kinds.where("not stays or many"), "told")
+    told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told
+    kept = named.join(told, F.col("row_id") == F.col("known"), "left").where("coalesce(stays, true)")
+    once, repeated = kept.where("not coalesce(many, false)"), kept.where("many")
+    return once.select(*COLUMNS).union(repeated.dropDuplicates(["row_id"]).select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
