@@ -120,19 +120,33 @@ def brute_hits(text, items, width):
     return len(w), len(hit), sorted(who)
 
 
-@pytest.mark.parametrize("chunk", [decontaminate.CHUNK_BYTES, 20])
-def test_decontamination(spark, chunk):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination(spark, most):
     item = "alpha beta gamma delta epsilon zeta"
     items = [(1, item), (2, "the the the the"), (3, "Short one"), (4, None), (5, " ... "), (None, "beta gamma delta"), (6, item), (10, "é É ø2 3x")]
-    rows = AWKWARD[:-1] + [(20, f"x {item.upper()} y"), (21, "alpha, beta; gamma! delta"), (22, "the " * 9), (23, "it is short one!"), (24, "é É ø2 3x"), (25, "beta gamma"), (20, item * 2)]
+    rows = AWKWARD + [(20, f"x {item.upper()} y"), (21, "alpha, beta; gamma! delta"), (22, "the " * 9), (23, "it is short one!"), (24, "é É ø2 3x"), (25, "beta gamma"), (20, item * 2)]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    got = decontaminate.find_contamination(docs(spark, rows), bench, width=4, chunk_bytes=chunk).collect()
+    got = decontaminate.find_contamination(docs(spark, rows), bench, width=4, broadcast_rows=most).collect()
     want = sorted((str(i), *brute_hits(t, items, 4)) for i, t in rows)
     assert sorted((str(r.doc_id), r.n_words, sum(s.stop - s.start for s in r.spans), r["items"]) for r in got) == want
     assert decontaminate.find_contamination(docs(spark, []), bench).count() == 0
+    clean = decontaminate.drop_contaminated(docs(spark, rows), bench, width=4, broadcast_rows=most)
+    assert clean.columns == docs(spark, []).columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == sorted((str(i), str(t)) for i, t in rows if not brute_hits(t, items, 4)[1])
     assert all(not r["items"] for r in decontaminate.find_contamination(docs(spark, rows), bench.where("false")).collect())
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_ROWS, 50])
+def test_a_benchmark_larger_than_the_documents(spark, most):
+    rng = np.random.default_rng(4)
+    word = lambda: f"w{int(rng.zipf(1.3)) % 400}"
+    items = [(i, " ".join(word() for _ in range(int(rng.integers(0, 40))))) for i in range(300)]
+    rows = [(i, " ".join(word() for _ in range(40)) + " " + items[i][1][20:80]) for i in range(60)]
+    got = decontaminate.find_contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), width=5, broadcast_rows=most).collect()
+    assert sorted((r.doc_id, r.n_words, sum(s.stop - s.start for s in r.spans), r["items"]) for r in got) == [(i, *brute_hits(t, items, 5)) for i, t in rows]
+    assert any(r["items"] for r in got)
+
+
 def test_discriminant_matches_direct_density():
     rng = np.random.default_rng(0)
     x = [rng.normal(size=(300, quality.D)), rng.normal(loc=0.5, scale=1.5, size=(200, quality.D))]
