@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.llm.bpe import encode_decode
-from plumeline.llm.decontaminate import find_contamination
+from plumeline.llm.decontaminate import drop_contaminated
 from plumeline.llm.lines import drop_frequent_lines
 from plumeline.llm.quality import quality_scores
 from plumeline.llm.queries import vocabulary_path
@@ -31,14 +31,21 @@ def _documents(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones among them, does not reject."""
+    """Documents that the classifier, trained on the labelled ones among them, does not reject.
+
+    Null and empty texts are scored like any other; repeated rows share a score; without labels no
+    document is told from another.
+    """
     whole = docs.select("doc_id", "text", _row().alias("row"))
     scored = quality_scores(whole, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry="row")
     return _documents(scored.where("predicted = 1"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand in at least 10 of them, with their new length."""
+    """Documents without the lines that stand in at least 10 of them, with their new length.
+
+    Rows are counted, repeated ones too; a null text becomes empty, as does one that loses all lines.
+    """
     kept = drop_frequent_lines(docs.select(_row().alias("row"), "text"), min_docs=10, id_col="row")
     return _documents(kept.withColumnRenamed("doc_id", "row"), "kept").withColumn("n_chars", F.length("text").cast("long"))
 
@@ -63,14 +70,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of 10 words of a benchmark item."""
-    whole = docs.select(_row().alias("row"), "text")
-    found = find_contamination(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, id_col="row", keep_text=True)
-    return _documents(found.where(F.size("spans") == 0).withColumnRenamed("doc_id", "row"))
+    """Documents that hold no window of 10 words of a benchmark item. Null and empty texts hold none; repeated rows stay."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left; a null text has no tokens."""
     coded = encode_decode(docs, vocabulary_path())
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
