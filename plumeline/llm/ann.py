@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ SAMPLE = 8192
 BLOCK = 8192
 #: Vectors of each block that are reranked for a query, and all that tie with the last of them.
 RERANK = 128
-#: Queries that are sent to every executor at a time.
+#: Queries of a block, which a task holds while vectors pass by.
 QUERIES = 8192
+#: Groups that blocks are dealt to at least, if there are so many blocks, and blocks of a group.
+GROUPS, GROUP_BLOCKS = 64, 1024
 CODES = 16
 
 
@@ -135,82 +138,104 @@ def search_block(z: Quantiser, packed: np.ndarray, x: np.ndarray, ids: np.ndarra
     return ids[some][top], exact[top]
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, rerank: int = RERANK, threshold: float = 0.2, queries_at_a_time: int = QUERIES) -> DataFrame:
+def _cells(blocks: DataFrame, asked: DataFrame, groups: int, n_asked: int) -> DataFrame:
+    """Rows of data and of queries dealt to cells (c, g): each group of blocks meets each block of queries once.
+
+    Of the queries a cell gets its block `c` first; its vectors follow.
+    """
+    data = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("c"), F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"), F.lit(1).cast("byte").alias("kind"), "ids", "codes", "x")
+    queries = asked.select("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(0).cast("byte").alias("kind"), "ids", F.lit(None).cast("binary").alias("codes"), "x")
+    return data.union(queries).repartition("c", "g").sortWithinPartitions("c", "g", "kind")
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, rerank: int = RERANK, threshold: float = 0.2, queries_at_a_time: int = QUERIES, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k best of all other rows by inner product.
 
     Queries are the rows whose id is divisible by `every`. Vectors that are null or zero, or hold a
     null or non-finite component, take no part, nor do rows with a null id or with another number of
-    components than the first sampled vector. Scores are double-precision products of the original
-    vectors, ties go to the smaller id. Equal vectors are rows of their own; of rows with the query's
-    own id none is an answer to it, and a repeated id is searched for once per row but ranked
-    together. Without vectors there are no rows. Recall is that of the block-wise reranking: blocks
-    of up to `rerank` vectors are searched exactly.
+    components than most rows have. Scores are double-precision products of the original vectors,
+    ties go to the smaller id. Equal vectors are rows of their own; of rows with the query's own id
+    none is an answer to it, and a repeated id is searched for once per row but ranked together.
+    Other columns are left out. Without vectors there are no rows. Recall is that of the block-wise
+    reranking: blocks of up to `rerank` vectors are searched exactly.
+
+    Vectors stand in blocks of `block`, queries in blocks of about `queries_at_a_time`; both are
+    rows of tables, paired in cells, and a cell keeps only the k best of each of its queries. The
+    driver sees the sample that the codebooks are fitted on, and numbers of blocks.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     v = pick(vectors, vec_id=id_col, x=vector_col)
-    v = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("x").cast("array<double>").alias("x")).where("vec_id is not null and size(x) > 0")
+    single = v.schema["x"].dataType.simpleString() == "array<float>"
+    kind = np.dtype(np.float32 if single else np.float64)
+    v = v.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("x").cast(f"array<{'float' if single else 'double'}>").alias("x")).where("vec_id is not null and size(x) > 0")
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = v.where(~bad & F.exists("x", lambda c: c != 0))
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toPandas()["x"].tolist()
     out = "query_id long, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], f"{out}, rank int").select("query_id", "rank", "vec_id", "score")
-    d = len(sample[0])
+    usual = v.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    none = lambda: spark.createDataFrame([], f"{out}, rank int").select("query_id", "rank", "vec_id", "score")
+    if usual is None:
+        return none()
+    d = int(usual["d"])
     v = v.where(F.size("x") == d)
-    z = fit_quantiser(np.array([x for x in sample if len(x) == d]), threshold)
+    queries = v.where(F.col("vec_id") % every == 0)
+    n_asked = -(-queries.count() // queries_at_a_time)
+    if not n_asked:
+        return none()
+    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toPandas()["x"].tolist()
+    z = fit_quantiser(np.array(sample, np.float64), threshold)
     sent = spark.sparkContext.broadcast((z.books, z.ratio))
+    flat = lambda column: column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
+    whole = lambda a: pa.array([np.ascontiguousarray(a).tobytes()], pa.binary())
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = Quantiser(*sent.value)
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                x = np.array(part.column(1).flatten()).reshape(-1, d)
-                codes = pack_codes(z.encode(x))
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in ((np.array(part.column(0)).tobytes(), pa.binary()), (codes.tobytes(), pa.binary()), (x.tobytes(), pa.binary()))], ["ids", "codes", "x"])
-
-    blocks = scratch.write(v.mapInArrow(index, "ids binary, codes binary, x binary"), "blocks", "uncompressed")
-
-    def search(asked) -> DataFrame:  # noqa: ANN001
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            z = Quantiser(*sent.value)
-            q_ids, qs = asked.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q_ids)
-            for b in batches:
-                for i in range(b.num_rows):
-                    ids = np.frombuffer(b.column(0)[i].as_py(), np.int64)
-                    packed = np.frombuffer(b.column(1)[i].as_py(), np.uint8).reshape(-1, len(ids)).astype(np.intp)
-                    x = np.frombuffer(b.column(2)[i].as_py(), np.float64).reshape(-1, d)
-                    for j, (q_id, q) in enumerate(zip(q_ids.tolist(), qs, strict=True)):
-                        found, score = search_block(z, packed, x, ids, q, q_id, k, rerank)
-                        found, score = np.r_[best[j][0], found], np.r_[best[j][1], score]
-                        top = _best(score, found, k)
-                        best[j] = found[top], score[top]
-            n = [len(x) for x, _ in best]
+            for at in range(0, b.num_rows, block):
+                part = b.slice(at, block)
+                x = flat(part.column(1))
+                yield pa.RecordBatch.from_arrays([whole(part.column(0).to_numpy()), whole(pack_codes(z.encode(x.astype(np.float64)))), whole(x)], ["ids", "codes", "x"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = pa.array([TaskContext.get().partitionId()], pa.int32())
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([c, whole(b.column(0).to_numpy()), whole(flat(b.column(1)))], ["c", "ids", "x"])
+
+    blocks = v.mapInArrow(index, "ids binary, codes binary, x binary").withColumn("block", F.monotonically_increasing_id())
+    blocks = scratch.write(blocks, "blocks", "uncompressed")
+    asked = scratch.write(queries.repartition(n_asked).mapInArrow(pack, "c int, ids binary, x binary"), "queries", "uncompressed")
+    n_blocks = blocks.count()
+    groups = max(1, min(n_blocks, max(GROUPS, -(-n_blocks // GROUP_BLOCKS))))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = Quantiser(*sent.value)
+        cell, asks, best = None, [], []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            n = [len(ids) for ids, _ in best]
             if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([x for x, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "vec_id", "score"])
-
-        return blocks.mapInArrow(run, out)
-
-    queries = scratch.write(v.where(F.col("vec_id") % every == 0).orderBy("vec_id"), "queries")
-    held: list[tuple[int, list[float]]] = []
-    found: list[DataFrame] = []
-
-    def flush() -> None:
-        if held:
-            found.append(search(spark.sparkContext.broadcast((np.array([i for i, _ in held]), np.array([x for _, x in held])))))
-            held.clear()
-
-    for r in queries.toLocalIterator():
-        held.append((r.vec_id, r.x))
-        if len(held) >= queries_at_a_time:
-            flush()
-    flush()
-    if not found:
-        return spark.createDataFrame([], f"{out}, rank int").select("query_id", "rank", "vec_id", "score")
-    every_one = found[0]
-    for more in found[1:]:
-        every_one = every_one.union(more)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in asks], n), pa.int64()), pa.array(np.concatenate([ids for ids, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "vec_id", "score"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                here = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                if here != cell:
+                    yield from told()
+                    cell, asks, best = here, [], []
+                ids = np.frombuffer(b.column(3)[i].as_py(), np.int64)
+                x = np.frombuffer(b.column(5)[i].as_py(), kind).reshape(-1, d).astype(np.float64)
+                if b.column(2)[i].as_py() == 0:
+                    asks += zip(ids.tolist(), x, strict=True)
+                    best += [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+                    continue
+                packed = np.frombuffer(b.column(4)[i].as_py(), np.uint8).reshape(-1, len(ids)).astype(np.intp)
+                for j, (q_id, q) in enumerate(asks):
+                    found, score = search_block(z, packed, x, ids, q, q_id, k, rerank)
+                    found, score = np.r_[best[j][0], found], np.r_[best[j][1], score]
+                    top = _best(score, found, k)
+                    best[j] = found[top], score[top]
+        yield from told()
+
+    near = _cells(blocks, asked, groups, n_asked).mapInArrow(search, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return every_one.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return near.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -136,6 +136,41 @@ def test_recall_against_brute_force(spark):
     assert np.allclose(got.score, [s[q, v] for q, v in zip(got.query_id, got.vec_id, strict=True)])
 
 
+def test_recall_over_several_blocks_of_vectors_and_of_queries(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 24)).astype(np.float32)
+    v = vectors(spark, list(enumerate(x))).repartition(3)
+    got = ann.nearest(v, queries_at_a_time=30, block=300).toPandas()
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    recall = np.mean([len(set(g.vec_id) & set(np.argsort(-s[q])[:20])) / 20 for q, g in got.groupby("query_id")])
+    assert recall >= 0.9 and len(got) == 200 * 20
+    assert np.allclose(got.score, [s[q, w] for q, w in zip(got.query_id, got.vec_id, strict=True)])
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_of_the_registered_query(spark, sf):
+    """As registered, against all inner products: at least 0.9 of the exact answers, and exact scores."""
+    from plumeline.llm.queries import op10_nearest_neighbours
+
+    sf_dir = f"/root/testdata/sf{sf}"
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ok = [e is not None and len(e) > 0 and np.isfinite(np.array(e, float)).all() and np.any(np.array(e, float)) for e in v.embedding]
+    v = v[ok]
+    ids, x = v.vec_id.to_numpy(), np.array(v.embedding.tolist(), np.float64)
+    got = op10_nearest_neighbours(spark, sf_dir).toPandas()
+    at = {i: k for k, i in enumerate(ids.tolist())}
+    asked = [i for i in ids.tolist() if i % 20 == 0]
+    hit = 0
+    for q, g in got.sort_values("rank").groupby("query_id"):
+        score = x @ x[at[q]]
+        other = ids != q
+        order = np.lexsort((ids[other], -score[other]))[:20]
+        hit += len(set(ids[other][order]) & set(g.vec_id))
+        assert np.allclose(g.score, score[[at[i] for i in g.vec_id]]) and list(g["rank"]) == list(range(1, len(g) + 1))
+    assert set(got.query_id) == set(asked) and hit >= 0.9 * len(asked) * min(20, len(ids) - 1)
+
+
 def test_ann_where_a_third_of_the_vectors_are_copies(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
