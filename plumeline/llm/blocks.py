@@ -5,6 +5,11 @@ are packed into blocks, one written row each. A block asks about its distinct 64
 bucket of the key space one row with a sorted, delta-coded array. A bucket merges the arrays of all
 blocks and answers each with an array in the same order. Each block sends a key once, however often
 it has it, so a hot key is at most one entry per block; buckets are even, as keys are hashes.
+
+A block parts its keys among 2^FAN_BITS buckets at most. Where the corpus needs more, a team of blocks
+gathers what it asks of one bucket into one sorted array, which is parted again, and answers come back
+the same way. So a row always holds some hundred keys or more, and rows grow with the text and not
+with the product of blocks and buckets.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ from .scratch import Scratch
 
 BLOCK_BYTES = 8_000_000
 #: Bytes of text for each bucket: at least the first, at most the second, which bounds a bucket's task.
-BUCKET_BYTES = (4_000_000, 64_000_000)
-ANSWER = "block long, bucket int, body binary, tally array<long>"
+BUCKET_BYTES = (4_000_000, 16_000_000)
+#: Key bits by which a sender parts its keys at one hop, and senders that a team gathers at the next.
+FAN_BITS, TEAM = 12, 4096
 
 
 class Block:
@@ -111,40 +117,101 @@ def decode(body: bytes, dtype: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
 
 
-def exchange(blocks: DataFrame, ask: Callable[[Block], tuple[np.ndarray, np.ndarray]], answer: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[int]]], kind: np.dtype, bits: int) -> DataFrame:
+def distinct(keys: np.ndarray, vals: np.ndarray, same: str | None, add: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, their values, and for each entry the place of its key among them.
+
+    Entries are alike if they agree in key and in the field `same`; the fields `add` are summed.
+    """
+    order = np.argsort(keys, kind="stable")
+    k, v = keys[order], vals[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    if same and np.any(~new[1:] & (v[same][1:] != v[same][:-1])):
+        order = np.lexsort((vals[same], keys))
+        k, v = keys[order], vals[order]
+        new[1:] = (k[1:] != k[:-1]) | (v[same][1:] != v[same][:-1])
+    at = np.flatnonzero(new)
+    out = v[at]
+    for f in add if len(at) else ():
+        out[f] = np.add.reduceat(v[f], at)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return k[at], out, inverse
+
+
+def _parted(keys: np.ndarray, vals: np.ndarray, sender: int, bucket: int, have: int, more: int) -> Iterator[pa.RecordBatch]:
+    """Ascending keys that agree in their first `have` bits, a row for each value of the next `more`."""
+    shift, mask = np.uint64(64 - have - more), np.uint64((1 << more) - 1)
+    sub = ((keys >> shift) & mask).astype(np.int64) if have + more else np.zeros(len(keys), np.int64)
+    edges = np.searchsorted(sub, np.arange((1 << more) + 1))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        some = keys[edges[k] : edges[k + 1]]
+        body = encode(np.diff(some, prepend=np.uint64(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket << more | k], pa.int64()), pa.array([sender], pa.int64()), pa.array([body], pa.binary()), pa.array([encode(vals[edges[k] : edges[k + 1]])], pa.binary())], ["bucket", "sender", "keys", "vals"])
+
+
+ASKED, TOLD_ROW = "bucket long, sender long, keys binary, vals binary", "sender long, bucket long, body binary, tally array<long>"
+
+
+def exchange(blocks: DataFrame, ask: Callable[[Block], tuple[np.ndarray, np.ndarray]], answer: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, list[int]]], kind: np.dtype, told: np.dtype, bits: int, scratch: Scratch, same: str | None = None, add: tuple[str, ...] = (), fan: int = FAN_BITS, team: int = TEAM) -> DataFrame:
     """Rows (block, bucket, body, tally) with the answers to each block, in the order of its keys.
 
-    ask: a block's distinct keys, ascending, and a value of type `kind` for each. answer: from all
-    keys of a bucket, ascending and repeated, with their values, an answer for each and figures of
-    the bucket; those stand as `tally` in one of the bucket's rows, null in the others.
+    ask: a block's distinct keys, ascending, and a value of type `kind` for each; see `distinct` for
+    `same` and `add`. answer: from all keys of a bucket, ascending and repeated, with their values, an
+    answer of type `told` for each and figures of the bucket; those stand as `tally` in one of the
+    bucket's rows, null in the others.
     """
-    shift = np.uint64(64 - bits)
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in each_block(batches):
-            keys, vals = ask(b)
-            edges = np.r_[np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << shift if bits else np.zeros(1, np.uint64)), len(keys)]
-            for k in range(1 << bits):
-                lo, hi = edges[k], edges[k + 1]
-                if lo < hi:
-                    some = keys[lo:hi]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b.block], pa.int64()), pa.array([encode(np.diff(some, prepend=np.uint64(0)))], pa.binary()), pa.array([encode(vals[lo:hi])], pa.binary())], ["bucket", "block", "keys", "vals"])
+            yield from _parted(*ask(b), b.block, 0, 0, min(bits, fan))
 
-    def merge(t: pa.Table) -> pa.Table:
+    def opened(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
         each = [np.cumsum(decode(x, np.uint64), dtype=np.uint64) for x in t.column("keys").to_pylist()]
-        keys = np.concatenate(each)
-        vals = np.concatenate([decode(x, kind) for x in t.column("vals").to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        told, tally = answer(keys[order], vals[order])
-        back = np.empty_like(told)
-        back[order] = told
-        ends = np.cumsum([len(x) for x in each])
-        bodies = [encode(x) for x in np.split(back, ends[:-1])]
+        return each, np.concatenate([decode(x, kind) for x in t.column("vals").to_pylist()])
+
+    def rows(t: pa.Table, each: list[np.ndarray], back: np.ndarray, tally: list[int] | None) -> pa.Table:
+        bodies = [encode(x) for x in np.split(back, np.cumsum([len(x) for x in each])[:-1])]
         tallies = pa.array([tally] + [None] * (len(bodies) - 1), pa.list_(pa.int64()))
-        return pa.table([t.column("block"), t.column("bucket"), pa.array(bodies, pa.binary()), tallies], ["block", "bucket", "body", "tally"])
+        return pa.table([t.column("sender"), t.column("bucket"), pa.array(bodies, pa.binary()), tallies], ["sender", "bucket", "body", "tally"])
 
-    asked = blocks.mapInArrow(requests, "bucket int, block long, keys binary, vals binary")
-    return asked.groupBy("bucket").applyInArrow(merge, ANSWER)
+    def merge(t: pa.Table) -> pa.Table:
+        each, vals = opened(t)
+        keys = np.concatenate(each)
+        order = np.argsort(keys, kind="stable")
+        out, tally = answer(keys[order], vals[order])
+        back = np.empty_like(out)
+        back[order] = out
+        return rows(t, each, back, tally)
+
+    def resolve(asked: DataFrame, have: int, senders: int) -> DataFrame:
+        """Answers to rows whose bucket is the first `have` bits; at most `senders` ask a bucket."""
+        if have >= bits:
+            return asked.groupBy("bucket").applyInArrow(merge, TOLD_ROW)
+        more, teams = min(fan, bits - have), -(-senders // team)
+        asked = scratch.write(asked.withColumn("team", F.pmod(F.xxhash64("sender"), F.lit(teams))), f"asked{have}")
+
+        def gather(t: pa.Table) -> pa.Table:
+            each, vals = opened(t)
+            keys, vals, _ = distinct(np.concatenate(each), vals, same, add)
+            bucket = t.column("bucket")[0].as_py()
+            return pa.Table.from_batches(list(_parted(keys, vals, t.column("team")[0].as_py() << have | bucket, bucket, have, more)))
+
+        def scatter(t: pa.Table, answers: pa.Table) -> pa.Table:
+            each, vals = opened(t)
+            _, _, place = distinct(np.concatenate(each), vals, same, add)
+            answers = answers.sort_by("bucket")
+            got = np.concatenate([decode(x, told) for x in answers.column("body").to_pylist()])
+            tallies = [x for x in answers.column("tally").to_pylist() if x]
+            return rows(t, each, got[place], [sum(x) for x in zip(*tallies, strict=True)] or None)
+
+        answers = resolve(asked.groupBy("team", "bucket").applyInArrow(gather, ASKED), have + more, teams)
+        answers = answers.withColumns({"of": F.shiftright("sender", have), "under": F.col("sender").bitwiseAND(F.lit((1 << have) - 1))})
+        return asked.groupBy("team", "bucket").cogroup(answers.groupBy("of", "under")).applyInArrow(scatter, TOLD_ROW)
+
+    asked = blocks.mapInArrow(requests, ASKED)
+    hops = min(bits, fan)
+    return resolve(asked, hops, blocks.count() if hops < bits else 0).withColumnRenamed("sender", "block")
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, dtype: np.dtype, use: Callable[[Block, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -7,8 +7,9 @@ a fold of the training texts is deleted from the counts, and its own counts are
 the rest has to predict. Scores then use the counts of all training texts.
 
 Counts of words and word pairs are exchanged between blocks of documents and buckets of keys (see
-`blocks`): nothing that grows with the corpus comes to the driver or to every executor. The driver
-sees three sums and a histogram of the deleted fold whose number of cells is bounded.
+`blocks`): nothing that grows with the corpus comes to the driver or to every executor. The deleted
+fold's tokens are counted by their exact estimates in a table, over which each round of the
+expectation-maximisation is an aggregate: the driver sees three sums, and weights of a few classes.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .blocks import Block, block_table, bucket_bits, exchange, mix, with_answers
+from .blocks import FAN_BITS, TEAM, Block, block_table, bucket_bits, exchange, mix, with_answers
 from .scratch import Scratch
 from .text import fold, pick
 
 TRAIN, DELETED, HELD_OUT = 0, 1, 2
-ASK = np.dtype([("n", "u4"), ("what", "u1")])
+ASK = np.dtype([("c", "u8"), ("d", "u8"), ("word", "u1")])
 TOLD = np.dtype([("c", "u8"), ("d", "u8")])
 #: The token that ends a text, and stands before its first.
 END = np.uint64(0x5851F42D4C957F2D)
 PAIR = np.uint64(0x2545F4914F6CDD1D)
 #: Context classes: never seen, then one for each power of two.
 CLASSES = 32
-#: Steps of the histogram for each halving of a probability, and steps at most.
-FINE, STEPS = 4, 160
+#: Rounds of expectation-maximisation.
+ROUNDS = 20
 SCHEMA = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -56,9 +57,10 @@ def _ask(b: Block) -> tuple[np.ndarray, np.ndarray]:
     u, nu = np.unique(h, return_counts=True)
     p, np_ = np.unique(pair, return_counts=True)
     keys = np.r_[u, p]
+    n = np.r_[nu, np_].astype(np.uint64)
     vals = np.empty(len(keys), ASK)
-    vals["n"] = np.r_[nu, np_] if b.fold != HELD_OUT else 0
-    vals["what"] = np.r_[np.ones(len(u), np.uint8), np.zeros(len(p), np.uint8)] | (2 if b.fold == DELETED else 0)
+    vals["c"], vals["d"] = n * (b.fold != HELD_OUT), n * (b.fold == DELETED)
+    vals["word"] = np.r_[np.ones(len(u), np.uint8), np.zeros(len(p), np.uint8)]
     order = np.argsort(keys)
     return keys[order], vals[order]
 
@@ -67,10 +69,8 @@ def _answer(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Training and deleted counts of each key; of the bucket: distinct words, tokens, deleted tokens."""
     first = np.r_[True, keys[1:] != keys[:-1]]
     at, run = np.flatnonzero(first), np.cumsum(first) - 1
-    n = vals["n"].astype(np.uint64)
-    c = np.add.reduceat(n, at)
-    d = np.add.reduceat(np.where(vals["what"] & 2, n, 0).astype(np.uint64), at)
-    word = (vals["what"][at] & 1) > 0
+    c, d = np.add.reduceat(vals["c"], at), np.add.reduceat(vals["d"], at)
+    word = vals["word"][at] > 0
     out = np.empty(len(keys), TOLD)
     out["c"], out["d"] = c[run], d[run]
     return out, [int(np.count_nonzero(c[word])), int(c[word].sum()), int(d[word].sum())]
@@ -94,46 +94,41 @@ def context_class(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.minimum(1 + np.log2(np.maximum(c, 1)).astype(np.int64), CLASSES - 1), 0)
 
 
-def _step(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, 1 + np.minimum(np.round(-FINE * np.log2(np.where(p > 0, p, 1))), STEPS), 0).astype(np.int64)
-
-
-def _held(b: Block, told: np.ndarray, kept_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Histogram of a deleted block's tokens by context class and by both estimates without the fold."""
+def _held(b: Block, told: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How many of a deleted block's tokens have which counts of context, pair and word without the fold."""
     word, context, pair, _ = _counts(b, told)
-    left = lambda x: (x["c"] - x["d"]).astype(np.float64)
-    ctx = left(context)
-    cell = (context_class(ctx) * (STEPS + 2) + _step(left(pair) / np.maximum(ctx, 1))) * (STEPS + 2) + _step(left(word) / max(kept_tokens, 1))
-    at, n = np.unique(cell, return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["cell", "n"])
+    counts = np.stack([x["c"] - x["d"] for x in (context, pair, word)]).astype(np.int64)
+    counts = counts[:, np.lexsort(counts)]
+    at = np.flatnonzero(np.r_[True, np.any(counts[:, 1:] != counts[:, :-1], axis=0)]) if counts.size else np.zeros(0, np.int64)
+    n = np.diff(np.r_[at, counts.shape[1]])
+    yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in counts), pa.array(n, pa.int64())], ["context", "pair", "word", "n"])
 
 
-def learn_weights(cell: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int = 60) -> np.ndarray:
-    """Weights (class, [pair, word, uniform]) that maximise the likelihood of the histogram's tokens.
+def learn_weights(cells: DataFrame, tokens: int, vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (class, [pair, word, uniform]) that maximise the likelihood of the tokens of cells (context, pair, word, n).
 
-    Classes without deleted tokens take the weights of all tokens together; without any tokens the
-    weights are equal. A floor keeps every text possible.
+    Each round is one aggregate over the cells. Classes without deleted tokens take the weights of
+    all tokens together; without any tokens the weights are equal. A floor keeps every text possible.
     """
-    back = lambda q: np.where(q > 0, 2.0 ** (-(q - 1) / FINE), 0.0)
-    klass, q2, q1 = cell // (STEPS + 2) ** 2, cell // (STEPS + 2) % (STEPS + 2), cell % (STEPS + 2)
-    p = np.stack([back(q2), back(q1), np.full(len(cell), 1 / (vocabulary + 1))], axis=1)
-
-    def em(rows: np.ndarray) -> np.ndarray:
-        w = np.full(3, 1 / 3)
-        for _ in range(rounds if rows.any() else 0):
-            part = p[rows] * w
-            share = part / part.sum(axis=1, keepdims=True) * n[rows, None]
-            w = np.maximum(share.sum(axis=0) / n[rows].sum(), 1e-6)
-            w /= w.sum()
-        return w
-
-    everywhere = em(np.ones(len(cell), bool))
-    out = np.stack([em(klass == k) if np.any(klass == k) else everywhere for k in range(CLASSES)])
+    c = F.col("context").cast("double")
+    klass = F.when(c > 0, F.least(F.length(F.bin("context")), F.lit(CLASSES - 1))).otherwise(0).cast("int")
+    p = [F.when(c > 0, F.col("pair") / c).otherwise(0.0), F.col("word") / F.lit(float(max(tokens, 1))), F.lit(1 / (vocabulary + 1))]
+    rows = cells.select("n", F.array(*p).alias("p"), F.explode(F.array(klass, F.lit(CLASSES))).alias("k"))
+    w = np.full((CLASSES + 1, 3), 1 / 3)
+    for _ in range(rounds):
+        now = F.array(*(F.lit(float(x)) for x in w.ravel()))
+        part = [F.col("p")[i] * F.get(now, F.col("k") * 3 + i) for i in range(3)]
+        sums = rows.select("k", "n", *(x.alias(f"s{i}") for i, x in enumerate(part)), (part[0] + part[1] + part[2]).alias("all")).groupBy("k")
+        for r in sums.agg(*(F.sum(F.col("n") * F.col(f"s{i}") / F.col("all")) for i in range(3)), F.sum("n")).collect():
+            share = np.maximum(np.array(r[1:4]) / r[4], 1e-6)
+            w[r[0]] = share / share.sum()
+    seen = {r.k for r in rows.select("k").distinct().collect()}
+    out = np.stack([w[k] if k in seen else w[CLASSES] for k in range(CLASSES)])
     out[0] = [0, *(out[0, 1:] / out[0, 1:].sum())]
     return out
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, deleted: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, deleted: int = 3, bits: int | None = None, fan: int = FAN_BITS, team: int = TEAM) -> DataFrame:
     """One row per row of docs: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Texts whose id has crc32 remainder `held_out` modulo `folds` take no part in training; those
@@ -141,8 +136,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the words with A-Z lowered, then one end. base_score sums log10((c+1)/(N+V+1)) over a text's
     tokens, score the model's log10 probabilities; both are of the natural length, not per token.
     A null text is empty: one token, the end. A null id counts as empty text for the fold. Repeated
-    rows count and are scored each. Without training texts all estimates are uniform. Other columns
-    are left out.
+    rows count and are scored each. Without training texts all estimates are uniform. Very long texts
+    are taken whole. Other columns are left out. bits, fan and team size the exchange of counts.
     """
 
     def fold_of(i: object) -> int:
@@ -151,13 +146,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     scratch = Scratch(docs.sparkSession, "lm")
     blocks = block_table(pick(docs, doc_id=id_col, text=text_col), scratch, "blocks", fold_of)
-    answers = scratch.write(exchange(blocks, _ask, _answer, ASK, bucket_bits(blocks)), "answers")
+    answers = scratch.write(exchange(blocks, _ask, _answer, ASK, TOLD, bucket_bits(blocks) if bits is None else bits, scratch, None, ("c", "d"), fan, team), "answers")
     sums = answers.where("tally is not null").agg(*(F.coalesce(F.sum(F.col("tally")[k]), F.lit(0)) for k in range(3))).first()
     vocabulary, tokens, gone = int(sums[0]), int(sums[1]), int(sums[2])
     own = lambda df: df.where(F.pmod("block", F.lit(8)) == DELETED)
-    cells = with_answers(own(blocks), own(answers), TOLD, lambda b, told: _held(b, told, tokens - gone), "cell long, n long")
-    seen = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(seen["cell"].to_numpy(np.int64), seen["n"].to_numpy(np.float64), vocabulary)
+    cells = with_answers(own(blocks), own(answers), TOLD, _held, "context long, pair long, word long, n long")
+    cells = scratch.write(cells.groupBy("context", "pair", "word").agg(F.sum("n").alias("n")), "cells")
+    weights = learn_weights(cells, tokens - gone, vocabulary)
 
     def use(b: Block, told: np.ndarray) -> Iterator[pa.RecordBatch]:
         word, context, pair, n = _counts(b, told)

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumeline.llm import lines, simhash, substring
+from plumeline.llm import blocks, lines, simhash, substring
 
 SCHEMA = "doc_id long, text string, fp long, rep string, key string, block int, node long, body string"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
@@ -132,10 +132,11 @@ def test_line_runs_settle_across_batches(spark):
     assert sorted(bytes(r.key) for r in runs.finish().collect()) == [b"a"]
 
 
-def test_substring(spark):
+@pytest.mark.parametrize("sizes", [{}, {"bits": 6, "fan": 2, "team": 2}])
+def test_substring(spark, sizes):
     width = 5
     rows = [(i, t) for i, t in awkward() if i != 9] + [(400, "p q r s t u p q r s t"), (401, "z " * 12)]
-    got = substring.remove_repeats(table(spark, rows), width=width).collect()
+    got = substring.remove_repeats(table(spark, rows).repartition(5), width=width, **sizes).collect()
     words = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[k : k + width]) for w in words for k in range(len(w) - width + 1))
     want = []
@@ -154,11 +155,23 @@ def test_very_long_text(spark):
     assert {(r.doc_id, r.n_words, r.n_removed) for r in got} == {(1, 60_000, 60_000), (2, 60_001, 60_000)}
 
 
-def test_check_byte_parts_equal_keys():
+def test_check_bits_part_equal_keys():
     keys = np.array([5, 5, 5, 9], np.uint64)
     vals = np.zeros(4, substring.KIND)
     vals["check"], vals["many"] = [1, 2, 1, 0], 1
     assert substring._answer(keys, vals)[0].tolist() == [1, 0, 1, 0]
+    u, v, place = blocks.distinct(keys, vals, "check", ("many",))
+    assert u.tolist() == [5, 5, 9] and v["many"].tolist() == [2, 1, 1] and place.tolist() == [0, 1, 0, 2]
+
+
+def test_rows_of_an_exchange_grow_with_the_keys():
+    """A sender's rows are bounded by the fan, whatever the number of buckets."""
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64))
+    vals = np.zeros(5000, substring.KIND)
+    rows = list(blocks._parted(keys, vals, 1, 0, 0, 4))
+    assert len(rows) == 16
+    own = np.cumsum(blocks.decode(rows[3].column("keys")[0].as_py(), np.uint64), dtype=np.uint64)
+    assert np.all(own >> np.uint64(60) == 3) and len(list(blocks._parted(own, vals[: len(own)], 2, 3, 4, 4))) == 16
 
 
 @pytest.mark.parametrize("run", [simhash.near_duplicates, simhash.similar_groups, lines.drop_frequent_lines, substring.remove_repeats])

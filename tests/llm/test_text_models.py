@@ -39,22 +39,55 @@ def test_lm_base_and_tokens(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_mixture_is_a_distribution():
+CELLS = "context long, pair long, word long, n long"
+
+
+def test_lm_mixture_is_a_distribution(spark):
     """For any context the probabilities of all words and one unknown sum to one."""
     counts = {("a", "b"): 3, ("a", "c"): 1, ("b", "a"): 4}
     unigram = {"a": 4, "b": 3, "c": 1}
-    w = lm.learn_weights(np.zeros(0, np.int64), np.zeros(0), 3)[int(lm.context_class(np.array([4]))[0])]
+    w = lm.learn_weights(spark.createDataFrame([], CELLS), 8, 3)[int(lm.context_class(np.array([4]))[0])]
     total = sum(w[0] * counts.get(("a", x), 0) / 4 + w[1] * unigram[x] / 8 + w[2] / 4 for x in unigram) + w[2] / 4
     assert total == pytest.approx(1)
 
 
-def test_lm_em_raises_likelihood():
-    cell = np.array([(3 * (lm.STEPS + 2) + 3) * (lm.STEPS + 2) + 20, (3 * (lm.STEPS + 2) + 0) * (lm.STEPS + 2) + 30])
-    w = lm.learn_weights(cell, np.array([90.0, 10.0]), 1000)
+def test_lm_em_raises_likelihood(spark):
+    w = lm.learn_weights(spark.createDataFrame([(5, 4, 1, 90), (5, 0, 1, 10)], CELLS), 1000, 1000)
     assert w[3][0] > 0.7 and w[3].sum() == pytest.approx(1)
     assert w[0][0] == 0
 
 
+def brute_lm(rows):
+    """Scores by plain dictionaries: counts, expectation-maximisation on the deleted fold, mixture."""
+    tokens = lambda t: [*(t or "").lower().split(), None]
+    pairs = lambda t: list(zip([None, *tokens(t)], tokens(t), strict=False))
+    count = lambda ok: tuple(Counter(x for i, t in rows if ok(crc(i, 7)) for x in of(t)) for of in (tokens, pairs))
+    (word, pair), (word_left, pair_left) = count(lambda k: k != 2), count(lambda k: k not in (2, 3))
+    n, v, left = sum(word.values()), len(word), sum(word_left.values())
+    klass = lambda c: min(c.bit_length(), lm.CLASSES - 1)
+    seen = [(klass(word_left[a]), pair_left[a, b] / max(word_left[a], 1), word_left[b] / max(left, 1), 1 / (v + 1)) for i, t in rows if crc(i, 7) == 3 for a, b in pairs(t)]
+    weights = {}
+    for k in (*range(lm.CLASSES), None):
+        own, w = np.array([s[1:] for s in seen if k is None or s[0] == k]), np.full(3, 1 / 3)
+        for _ in range(lm.ROUNDS if len(own) else 0):
+            part = own * w
+            w = np.maximum((part / part.sum(axis=1, keepdims=True)).mean(axis=0), 1e-6)
+            w /= w.sum()
+        weights[k] = w if len(own) else None
+    weights = [weights[None] if w is None else w for w in weights.values()]
+    weights[0] = np.array([0, *(weights[0][1:] / weights[0][1:].sum())])
+    p = lambda a, b: weights[klass(word[a])] @ [pair[a, b] / max(word[a], 1), word[b] / max(n, 1), 1 / (v + 1)]
+    return sorted((str(i), round(sum(math.log10(p(a, b)) for a, b in pairs(t)), 5)) for i, t in rows)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bits": 5, "fan": 2, "team": 2}])
+def test_lm_scores_equal_brute_force(spark, sizes):
+    rng = np.random.default_rng(6)
+    rows = AWKWARD + [(10 + i, " ".join(f"w{min(int(rng.zipf(1.4)), 60)}" for _ in range(int(rng.integers(0, 40))))) for i in range(200)]
+    got = lm.score_texts(docs(spark, rows).repartition(6), **sizes).collect()
+    assert sorted((str(r.doc_id), round(r.score, 5)) for r in got) == brute_lm(rows)
+
+
 def test_lm_without_training(spark):
     only_held = [(i, "a b") for i in range(200) if crc(i, 7) == 2][:3]
     got = lm.score_texts(docs(spark, only_held)).collect()
