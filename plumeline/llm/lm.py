@@ -57,12 +57,12 @@ def _ask(b: Block) -> tuple[np.ndarray, np.ndarray]:
     u, nu = np.unique(h, return_counts=True)
     p, np_ = np.unique(pair, return_counts=True)
     keys = np.r_[u, p]
-    n = np.r_[nu, np_].astype(np.uint64)
+    order = np.argsort(keys)
+    n = np.r_[nu, np_].astype(np.uint64)[order]
     vals = np.empty(len(keys), ASK)
     vals["c"], vals["d"] = n * (b.fold != HELD_OUT), n * (b.fold == DELETED)
-    vals["word"] = np.r_[np.ones(len(u), np.uint8), np.zeros(len(p), np.uint8)]
-    order = np.argsort(keys)
-    return keys[order], vals[order]
+    vals["word"] = order < len(u)
+    return keys[order], vals
 
 
 def _answer(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -77,16 +77,18 @@ def _answer(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 
 def _counts(b: Block, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Told counts of each token, its context and their pair, and the number of tokens of each text."""
+    """Told figures of each token, its context and their pair, and the number of tokens of each text."""
     h, pair, n = _tokens(b)
     u, iu = np.unique(h, return_inverse=True)
+    end = int(np.searchsorted(u, END))
+    words = len(u)
+    del h
     p, ip = np.unique(pair, return_inverse=True)
     back = np.empty_like(told)
     back[np.argsort(np.r_[u, p])] = told
-    word = back[: len(u)][iu]
-    end = back[np.searchsorted(u, END)]
-    context = np.r_[end, word[:-1]] if len(word) else word
-    return word, context, back[len(u) :][ip], n
+    word = back[:words][iu]
+    context = np.r_[back[end], word[:-1]] if len(word) else word
+    return word, context, back[words:][ip], n
 
 
 def context_class(c: np.ndarray) -> np.ndarray:
@@ -96,8 +98,8 @@ def context_class(c: np.ndarray) -> np.ndarray:
 
 def _held(b: Block, told: np.ndarray) -> Iterator[pa.RecordBatch]:
     """How many of a deleted block's tokens have which counts of context, pair and word without the fold."""
-    word, context, pair, _ = _counts(b, told)
-    counts = np.stack([x["c"] - x["d"] for x in (context, pair, word)]).astype(np.int64)
+    word, context, pair, _ = _counts(b, (told["c"] - told["d"]).astype(np.int64))
+    counts = np.stack([context, pair, word])
     counts = counts[:, np.lexsort(counts)]
     at = np.flatnonzero(np.r_[True, np.any(counts[:, 1:] != counts[:, :-1], axis=0)]) if counts.size else np.zeros(0, np.int64)
     n = np.diff(np.r_[at, counts.shape[1]])
@@ -155,10 +157,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weights = learn_weights(cells, tokens - gone, vocabulary)
 
     def use(b: Block, told: np.ndarray) -> Iterator[pa.RecordBatch]:
-        word, context, pair, n = _counts(b, told)
-        c, ctx = word["c"].astype(np.float64), context["c"].astype(np.float64)
+        c, ctx, pair, n = _counts(b, told["c"].astype(np.float64))
         w = weights[context_class(ctx)]
-        p = w[:, 0] * pair["c"] / np.maximum(ctx, 1) + w[:, 1] * c / max(tokens, 1) + w[:, 2] / (vocabulary + 1)
+        p = w[:, 0] * pair / np.maximum(ctx, 1) + w[:, 1] * c / max(tokens, 1) + w[:, 2] / (vocabulary + 1)
         at = np.cumsum(n) - n
         base = np.add.reduceat(np.log10((c + 1) / (tokens + vocabulary + 1)), at)
         score = np.add.reduceat(np.log10(p), at)
