@@ -42,8 +42,9 @@ def kde_log_age(samples: DataFrame, grid: DataFrame, keys: list[str], young_boun
     """
     own = samples.where("censored is null and sample_h > 0").withColumn("ls", F.log("sample_h"))
     bw = F.greatest(F.coalesce(F.stddev_pop("ls"), F.lit(0.0)) * 1.06 * F.pow(F.count("*").cast("double"), F.lit(-0.2)), F.lit(0.15))
-    # one array of samples for each group meets each of the 288 ages: groups are Monte Carlo runs of bounded size
-    packed = own.groupBy(*keys).agg(F.collect_list("ls").alias("ls"), bw.alias("bw"))
+    widths = own.groupBy(*keys).agg(bw.alias("bw"))
+    alike = own.groupBy(*keys, "ls").agg(F.count("*").alias("m"))
+    alike = alike.repartition(samples.sparkSession.sparkContext.defaultParallelism, *keys, "ls")  # few bytes, much work: adaptive execution would put them in one task
     counts = samples.where("censored is not null or sample_h > 0").groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("censored") == "young").alias("n_young"), F.count_if(F.col("censored") == "old").alias("n_old"))
     lg = F.log("age_h")
     wide = grid.withColumn("lg", lg)
@@ -56,9 +57,12 @@ def kde_log_age(samples: DataFrame, grid: DataFrame, keys: list[str], young_boun
     wide = wide.withColumn("in_young", F.coalesce(F.col("age_h") <= low, F.lit(False)).cast("double")).withColumn("in_old", F.coalesce(F.col("age_h") >= high, F.lit(False)).cast("double"))
     slab = lambda c: F.coalesce(F.col(c) / F.nullif(F.sum(F.col(c) * F.col("width")).over(Window.partitionBy(F.lit(0))), F.lit(0.0)), F.lit(0.0))
     wide = wide.withColumn("s_young", slab("in_young")).withColumn("s_old", slab("in_old"))
-    each = counts.join(packed, keys, "left").crossJoin(F.broadcast(wide))
-    z = lambda s: (F.col("lg") - s) / F.col("bw")
-    kernel = F.coalesce(F.aggregate("ls", F.lit(0.0), lambda t, s: t + F.exp(-0.5 * z(s) * z(s))) / (F.col("bw") * math.sqrt(2 * math.pi)), F.lit(0.0))
+    # equal samples count together; each of them meets the 288 ages, and tasks sum before the shuffle
+    z = (F.col("lg") - F.col("ls")) / F.col("bw")
+    met = alike.join(widths, keys).crossJoin(F.broadcast(grid.select("age_h", lg.alias("lg"))))
+    sums = met.groupBy(*keys, "age_h").agg((F.sum(F.col("m") * F.exp(-0.5 * z * z)) / (F.first("bw") * math.sqrt(2 * math.pi))).alias("kernel"))
+    each = counts.crossJoin(F.broadcast(wide)).join(sums, [*keys, "age_h"], "left")
+    kernel = F.coalesce(F.col("kernel"), F.lit(0.0))
     dens = (kernel + F.col("n_young") * F.col("s_young") + F.col("n_old") * F.col("s_old")) / F.col("n")
     out = each.select(*keys, "age_h", F.when(dens > 0, F.log(dens)).alias("ll"))
     return floored(out.withColumn("ll", F.coalesce("ll", F.lit(-1e300))), keys)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import angle_between_deg, bearing_deg, haversine_km
 from ..operators import age, dark, drift, evaluate, grid as G, image, posterior as P, score, synth, tracks, validate as V
 from ..plans import attribution
-from .registry import GRID, HEAD, POS, T0, T0_US, T1, T1_US, ang, brg, grid, hav, instant, part, positions, query, r6, sampled, table, us
+from .registry import GRID, HEAD, POS, T0, T0_US, T1, T1_US, ang, brg, grid, hav, instant, positions, query, r6, sampled, table, us
 from .spatial import GAPS
 
 SMP = f"{POS}, {GRID}, {sampled()}"
@@ -103,19 +103,19 @@ def f22(spark: SparkSession, sf: str) -> DataFrame:
     return score.score_candidates(c, facts).where("rank <= 5").select("case_id", "mmsi", "score", "weight_live", "rank")
 
 
-@query("m13_ranking_confidence", f"""WITH {COMP}, r AS (SELECT case_id, score, weight_live, row_number() OVER w AS k, lead(score) OVER w AS s1, count(*) OVER (PARTITION BY case_id) AS n FROM scored JOIN one USING (case_id, mmsi) WHERE mmsi::INTEGER % 40 = 0 WINDOW w AS (PARTITION BY case_id ORDER BY score DESC, weight_live DESC, n_applicable DESC, q DESC, mmsi))
-SELECT case_id, round_even((score - s1) / greatest(score, 1e-9), 4) AS separation, weight_live, CASE WHEN n > 40 THEN 'indicative' WHEN (score - s1) / greatest(score, 1e-9) < 0.03 OR weight_live < 0.4 OR score < 0.25 THEN 'low' WHEN (score - s1) / greatest(score, 1e-9) < 0.10 THEN 'moderate' ELSE 'high' END AS level FROM r WHERE k = 1""", whole=True)
-def m13(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+@query("m13_ranking_confidence", f"""WITH {COMP}, r AS (SELECT case_id, score, weight_live, row_number() OVER w AS k, lead(score) OVER w AS s1, count(*) OVER (PARTITION BY case_id) AS n FROM scored JOIN one USING (case_id, mmsi) WINDOW w AS (PARTITION BY case_id ORDER BY score DESC, weight_live DESC, n_applicable DESC, q DESC, mmsi))
+SELECT case_id, round_even((score - s1) / greatest(score, 1e-9), 4) AS separation, weight_live, CASE WHEN n > 40 THEN 'indicative' WHEN (score - s1) / greatest(score, 1e-9) < 0.03 OR weight_live < 0.4 OR score < 0.25 THEN 'low' WHEN (score - s1) / greatest(score, 1e-9) < 0.10 THEN 'moderate' ELSE 'high' END AS level FROM r WHERE k = 1""")
+def m13(spark: SparkSession, sf: str) -> DataFrame:
     c = _components(spark, sf)
     facts = c.where("component = 'proximity'").select("case_id", "mmsi", F.col("value").alias("grid_probability"), F.lit(None).cast("double").alias("closest_km"))
     gated = score.gate_sources(score.gate_constants(c))
-    few = part(score.weighted_scores(gated).join(facts, ["case_id", "mmsi"]), "cast(mmsi AS int) % 40 = 0", whole)
+    few = score.weighted_scores(gated).join(facts, ["case_id", "mmsi"])
     return score.confidence(score.rank(few), gated).select("case_id", "separation", "weight_live", "level")
 
 
-@query("e17_shared_basis", f"WITH {COMP} SELECT case_id, string_agg(component, ',' ORDER BY component) AS basis FROM (SELECT case_id, component FROM comp WHERE mmsi::INTEGER % 40 = 0 GROUP BY 1, 2 HAVING count(*) = count(value)) GROUP BY case_id", whole=True)
-def e17(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    c = part(_components(spark, sf), "cast(mmsi AS int) % 40 = 0", whole)
+@query("e17_shared_basis", f"WITH {COMP} SELECT case_id, string_agg(component, ',' ORDER BY component) AS basis FROM (SELECT case_id, component FROM comp GROUP BY 1, 2 HAVING count(*) = count(value)) GROUP BY case_id")
+def e17(spark: SparkSession, sf: str) -> DataFrame:
+    c = _components(spark, sf)
     s = c.groupBy("case_id", "component").agg(F.count("*").alias("n"), F.count("value").alias("m")).where("n = m")
     return s.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("component")), ",").alias("basis"))
 
@@ -144,9 +144,9 @@ def m15(spark: SparkSession, sf: str) -> DataFrame:
     return dark.contact_scores(c, F.lit(30.0)).select("contact_id", "score")
 
 
-@query("m16_speed_bound", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber > 1 THEN least(25, greatest(6, l_quantity / 1.852 / (l_linenumber - 1) * 1.5)) ELSE 25 END, 6) AS knots FROM lineitem WHERE l_orderkey % 20 = 0", whole=True)
-def m16(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    d = part(table(spark, sf, "lineitem"), "l_orderkey % 20 = 0", whole)
+@query("m16_speed_bound", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_linenumber > 1 THEN least(25, greatest(6, l_quantity / 1.852 / (l_linenumber - 1) * 1.5)) ELSE 25 END, 6) AS knots FROM lineitem")
+def m16(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "lineitem")
     return d.select("l_orderkey", "l_linenumber", r6(dark.speed_bound(F.col("l_quantity"), (F.col("l_linenumber") - 1).cast("double"))).alias("knots"))
 
 
@@ -177,61 +177,61 @@ def l01(spark: SparkSession, sf: str) -> DataFrame:
     return P.log_prior(P.age_grid(spark)).select("age_h", F.round("lp", 8).alias("lp"))
 
 
-KDE = f"""{AGE}, smp AS (SELECT l_suppkey % 5 AS k, ln(l_quantity) AS ls FROM lineitem WHERE l_orderkey % 40 = 0), bw AS (SELECT k, count(*) AS n, greatest(1.06 * stddev_pop(ls) * pow(count(*), -0.2), 0.15) AS b FROM smp GROUP BY k),
+KDE = f"""{AGE}, smp AS (SELECT l_suppkey % 5 AS k, ln(l_quantity) AS ls FROM lineitem), bw AS (SELECT k, count(*) AS n, greatest(1.06 * stddev_pop(ls) * pow(count(*), -0.2), 0.15) AS b FROM smp GROUP BY k),
 dens AS (SELECT k, age_h, sum(exp(-0.5 * pow((ln(age_h) - ls) / b, 2))) / (any_value(b) * sqrt(2 * pi())) / any_value(n) AS d FROM smp JOIN bw USING (k) CROSS JOIN ages GROUP BY k, age_h),
 ll AS (SELECT k, age_h, greatest(CASE WHEN d > 0 THEN ln(d) ELSE -1e300 END, max(CASE WHEN d > 0 THEN ln(d) ELSE -1e300 END) OVER (PARTITION BY k) + ln(1e-4)) AS ll FROM dens),
 post AS (SELECT k, age_h, exp(ll) * pr / sum(exp(ll) * pr) OVER (PARTITION BY k) AS p FROM ll JOIN prior USING (age_h))"""
 
 
-def _ll(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    s = part(table(spark, sf, "lineitem"), "l_orderkey % 40 = 0", whole).select((F.col("l_suppkey") % 5).alias("k"), F.col("l_quantity").alias("sample_h"), F.lit(None).cast("string").alias("censored"))
+def _ll(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 5).alias("k"), F.col("l_quantity").alias("sample_h"), F.lit(None).cast("string").alias("censored"))
     return P.kde_log_age(s, P.age_grid(spark), ["k"])
 
 
-def _post(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return P.fuse(_ll(spark, sf, whole).withColumn("weight", F.lit(1.0)), P.log_prior(P.age_grid(spark)), ["k"])
+def _post(spark: SparkSession, sf: str) -> DataFrame:
+    return P.fuse(_ll(spark, sf).withColumn("weight", F.lit(1.0)), P.log_prior(P.age_grid(spark)), ["k"])
 
 
-@query("l03_kde_in_log_age", f"WITH {KDE} SELECT k, age_h, round(ll, 6) AS ll FROM ll", whole=True)
-def l03(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return _ll(spark, sf, whole).select("k", "age_h", r6("ll").alias("ll"))
+@query("l03_kde_in_log_age", f"WITH {KDE} SELECT k, age_h, round(ll, 6) AS ll FROM ll")
+def l03(spark: SparkSession, sf: str) -> DataFrame:
+    return _ll(spark, sf).select("k", "age_h", r6("ll").alias("ll"))
 
 
-@query("l04_model_mixture", f"WITH {KDE}, m AS (SELECT age_h, avg(exp(ll - mx)) AS v FROM (SELECT *, max(ll) OVER (PARTITION BY k) AS mx FROM ll) GROUP BY age_h) SELECT age_h, round(ln(v), 6) AS ll FROM m", whole=True)
-def l04(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    m = P.mix_models(_ll(spark, sf, whole).withColumn("case_id", F.lit("c")), ["case_id"], "k")
+@query("l04_model_mixture", f"WITH {KDE}, m AS (SELECT age_h, avg(exp(ll - mx)) AS v FROM (SELECT *, max(ll) OVER (PARTITION BY k) AS mx FROM ll) GROUP BY age_h) SELECT age_h, round(ln(v), 6) AS ll FROM m")
+def l04(spark: SparkSession, sf: str) -> DataFrame:
+    m = P.mix_models(_ll(spark, sf).withColumn("case_id", F.lit("c")), ["case_id"], "k")
     return m.select("age_h", r6("ll").alias("ll"))
 
 
-@query("l05_fused_posterior", f"WITH {KDE} SELECT k, age_h, round(p, 8) AS p FROM post", whole=True)
-def l05(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return _post(spark, sf, whole).select("k", "age_h", F.round("p", 8).alias("p"))
+@query("l05_fused_posterior", f"WITH {KDE} SELECT k, age_h, round(p, 8) AS p FROM post")
+def l05(spark: SparkSession, sf: str) -> DataFrame:
+    return _post(spark, sf).select("k", "age_h", F.round("p", 8).alias("p"))
 
 
-@query("l06_average_posterior", f"WITH {KDE}, a AS (SELECT age_h, sum(p * (k + 1)) / sum(k + 1) AS p FROM post GROUP BY age_h) SELECT age_h, round(p / (SELECT sum(p) FROM a), 8) AS p FROM a", whole=True)
-def l06(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    a = P.average(_post(spark, sf, whole).withColumn("case_id", F.lit("c")).withColumn("weight", (F.col("k") + 1).cast("double")), ["case_id"])
+@query("l06_average_posterior", f"WITH {KDE}, a AS (SELECT age_h, sum(p * (k + 1)) / sum(k + 1) AS p FROM post GROUP BY age_h) SELECT age_h, round(p / (SELECT sum(p) FROM a), 8) AS p FROM a")
+def l06(spark: SparkSession, sf: str) -> DataFrame:
+    a = P.average(_post(spark, sf).withColumn("case_id", F.lit("c")).withColumn("weight", (F.col("k") + 1).cast("double")), ["case_id"])
     return a.select("age_h", F.round("p", 8).alias("p"))
 
 
-@query("l07_hpd_band", f"WITH {KDE}, h AS (SELECT k, age_h, p, sum(p) OVER (PARTITION BY k ORDER BY p DESC, age_h DESC ROWS UNBOUNDED PRECEDING) - p AS before FROM post), s AS (SELECT k, age_h, age_h - lag(age_h) OVER (PARTITION BY k ORDER BY age_h) AS step FROM h WHERE before < 0.8) SELECT k, greatest(min(age_h) - 0.125, 0) AS lo_h, least(max(age_h) + 0.125, 72) AS hi_h, coalesce(bool_or(step > 0.375), FALSE) AS multimodal FROM s GROUP BY k", whole=True)
-def l07(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return P.hpd(_post(spark, sf, whole), ["k"])
+@query("l07_hpd_band", f"WITH {KDE}, h AS (SELECT k, age_h, p, sum(p) OVER (PARTITION BY k ORDER BY p DESC, age_h DESC ROWS UNBOUNDED PRECEDING) - p AS before FROM post), s AS (SELECT k, age_h, age_h - lag(age_h) OVER (PARTITION BY k ORDER BY age_h) AS step FROM h WHERE before < 0.8) SELECT k, greatest(min(age_h) - 0.125, 0) AS lo_h, least(max(age_h) + 0.125, 72) AS hi_h, coalesce(bool_or(step > 0.375), FALSE) AS multimodal FROM s GROUP BY k")
+def l07(spark: SparkSession, sf: str) -> DataFrame:
+    return P.hpd(_post(spark, sf), ["k"])
 
 
-@query("f12_posterior_quantiles", f"WITH {KDE}, c AS (SELECT k, age_h, sum(p) OVER (PARTITION BY k ORDER BY age_h) AS c FROM post), d AS (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY age_h) AS c0, lag(age_h) OVER (PARTITION BY k ORDER BY age_h) AS a0 FROM c) SELECT k, round(arg_min(CASE WHEN c0 IS NULL THEN age_h ELSE a0 + (0.5 - c0) / (c - c0) * (age_h - a0) END, age_h) FILTER (WHERE c >= 0.5), 6) AS median_h FROM d GROUP BY k", whole=True)
-def f12(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return P.quantile(_post(spark, sf, whole), ["k"], 0.5, "median_h").select("k", r6("median_h").alias("median_h"))
+@query("f12_posterior_quantiles", f"WITH {KDE}, c AS (SELECT k, age_h, sum(p) OVER (PARTITION BY k ORDER BY age_h) AS c FROM post), d AS (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY age_h) AS c0, lag(age_h) OVER (PARTITION BY k ORDER BY age_h) AS a0 FROM c) SELECT k, round(arg_min(CASE WHEN c0 IS NULL THEN age_h ELSE a0 + (0.5 - c0) / (c - c0) * (age_h - a0) END, age_h) FILTER (WHERE c >= 0.5), 6) AS median_h FROM d GROUP BY k")
+def f12(spark: SparkSession, sf: str) -> DataFrame:
+    return P.quantile(_post(spark, sf), ["k"], 0.5, "median_h").select("k", r6("median_h").alias("median_h"))
 
 
-@query("l08_information_gain", f"WITH {KDE} SELECT k, round(sum(p * (ln(p) - ln(pr))), 6) AS gain_nats FROM post JOIN prior USING (age_h) WHERE p > 0 GROUP BY k", whole=True)
-def l08(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return P.information_gain(_post(spark, sf, whole), P.log_prior(P.age_grid(spark)), ["k"]).select("k", r6("gain_nats").alias("gain_nats"))
+@query("l08_information_gain", f"WITH {KDE} SELECT k, round(sum(p * (ln(p) - ln(pr))), 6) AS gain_nats FROM post JOIN prior USING (age_h) WHERE p > 0 GROUP BY k")
+def l08(spark: SparkSession, sf: str) -> DataFrame:
+    return P.information_gain(_post(spark, sf), P.log_prior(P.age_grid(spark)), ["k"]).select("k", r6("gain_nats").alias("gain_nats"))
 
 
-@query("l09_refusal", f"WITH {KDE}, g AS (SELECT k, sum(p * (ln(p) - ln(pr))) AS g FROM post JOIN prior USING (age_h) WHERE p > 0 GROUP BY k) SELECT k, CASE WHEN g < 0.3 THEN 'none' ELSE 'ok' END AS status FROM g", whole=True)
-def l09(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return P.summarise(_post(spark, sf, whole), P.log_prior(P.age_grid(spark)), ["k"], 0.3).select("k", "status")
+@query("l09_refusal", f"WITH {KDE}, g AS (SELECT k, sum(p * (ln(p) - ln(pr))) AS g FROM post JOIN prior USING (age_h) WHERE p > 0 GROUP BY k) SELECT k, CASE WHEN g < 0.3 THEN 'none' ELSE 'ok' END AS status FROM g")
+def l09(spark: SparkSession, sf: str) -> DataFrame:
+    return P.summarise(_post(spark, sf), P.log_prior(P.age_grid(spark)), ["k"], 0.3).select("k", "status")
 
 
 @query("l12_okubo_diffusivity", "SELECT p_partkey, round(0.0103 * pow(p_size * 100, 1.15) * 1e-4, 9) AS d FROM part")
@@ -278,9 +278,9 @@ def l21(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", h.alias("hypothesis"))
 
 
-@query("l22_combined_bands", "WITH b AS (SELECT l_orderkey AS k, l_quantity AS lo, l_quantity + l_linenumber * 5 AS hi FROM lineitem WHERE l_orderkey % 10 = 0), a AS (SELECT k, max(lo) AS l, min(hi) AS h, min(lo) AS ul, max(hi) AS uh, count(*) AS n FROM b GROUP BY k) SELECT k, CASE WHEN l < h THEN l ELSE ul END AS lo_h, CASE WHEN l < h THEN h ELSE uh END AS hi_h, CASE WHEN n = 1 THEN 'single' WHEN l < h THEN 'combined' ELSE 'disagreement' END AS how FROM a", whole=True)
-def l22(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    b = part(table(spark, sf, "lineitem"), "l_orderkey % 10 = 0", whole).select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("lo_h"), (F.col("l_quantity") + F.col("l_linenumber") * 5).alias("hi_h"))
+@query("l22_combined_bands", "WITH b AS (SELECT l_orderkey AS k, l_quantity AS lo, l_quantity + l_linenumber * 5 AS hi FROM lineitem), a AS (SELECT k, max(lo) AS l, min(hi) AS h, min(lo) AS ul, max(hi) AS uh, count(*) AS n FROM b GROUP BY k) SELECT k, CASE WHEN l < h THEN l ELSE ul END AS lo_h, CASE WHEN l < h THEN h ELSE uh END AS hi_h, CASE WHEN n = 1 THEN 'single' WHEN l < h THEN 'combined' ELSE 'disagreement' END AS how FROM a")
+def l22(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("lo_h"), (F.col("l_quantity") + F.col("l_linenumber") * 5).alias("hi_h"))
     return P.combine_bands(b, ["k"])
 
 
@@ -314,9 +314,9 @@ def k11(spark: SparkSession, sf: str) -> DataFrame:
     return drift.time_window(m, 30.0, 9).select(F.col("case_id").alias("k"), r6("hours_back_from").alias("from_h"), "method")
 
 
-@query("k03_constant_current", "SELECT s_suppkey AS pid, round(-94 - 0.5 * 36000 / (111320 * cos(radians(28.5))), 4) AS lon, 28.5::DOUBLE AS lat, FALSE AS stranded FROM supplier WHERE s_suppkey < 50", whole=True)
-def k03(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    s = part(table(spark, sf, "supplier"), "s_suppkey < 50", whole).select(F.lit("c").alias("case_id"), F.col("s_suppkey").cast("int").alias("pid"), F.lit(-94.0).alias("lon"), F.lit(28.5).alias("lat"))
+@query("k03_constant_current", "SELECT s_suppkey AS pid, round(-94 - 0.5 * 36000 / (111320 * cos(radians(28.5))), 4) AS lon, 28.5::DOUBLE AS lat, FALSE AS stranded FROM supplier")
+def k03(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier").select(F.lit("c").alias("case_id"), F.col("s_suppkey").cast("int").alias("pid"), F.lit(-94.0).alias("lon"), F.lit(28.5).alias("lat"))
     one = spark.createDataFrame([(0, 0.0, 1.0)], "member int, wind_share double, current_scale double")
     d = drift.run_ensemble(s, one, drift.constant_field(0.5, 0.0), drift.constant_field(0.0, 0.0), 0.0, 15.0, 41)
     return d.select(F.col("pid").cast("long").alias("pid"), F.round("lon", 4).alias("lon"), r6("lat").alias("lat"), "stranded")
@@ -420,9 +420,9 @@ def n12(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", image.rule_score(-F.col("p_size") / F.lit(5.0), e)[0].alias("classification"), image.classify_shape(e, F.col("p_size") % 10 / F.lit(10.0)).alias("discharge"))
 
 
-@query("g05_ranked_detections", "WITH d AS (SELECT l_suppkey AS case_id, l_orderkey * 10 + l_linenumber AS region_id, max(l_tax) AS confidence, max(l_quantity) AS area FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2) SELECT case_id, region_id, printf('det-%02d', row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, area DESC, region_id)) AS id FROM d", whole=True)
-def g05(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    d = part(table(spark, sf, "lineitem"), "l_orderkey % 20 = 0", whole).groupBy(F.col("l_suppkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region_id")).agg(F.max("l_tax").alias("confidence"), F.max("l_quantity").alias("area_km2"))
+@query("g05_ranked_detections", "WITH d AS (SELECT l_suppkey AS case_id, l_orderkey * 10 + l_linenumber AS region_id, max(l_tax) AS confidence, max(l_quantity) AS area FROM lineitem GROUP BY 1, 2) SELECT case_id, region_id, printf('det-%02d', row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, area DESC, region_id)) AS id FROM d")
+def g05(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("region_id")).agg(F.max("l_tax").alias("confidence"), F.max("l_quantity").alias("area_km2"))
     return image.rank_detections(d).select("case_id", "region_id", "id")
 
 
@@ -447,12 +447,12 @@ def q07(spark: SparkSession, sf: str) -> DataFrame:
     return V.check_origin(h, c).select("case_id", "rule")
 
 
-@query("q11_suspect_rules", "WITH s AS (SELECT o_custkey % 30 AS case_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderkey) AS rank, o_orderkey % 13 AS x FROM orders WHERE o_orderkey % 50 = 0) SELECT case_id, 'suspects.score_range' AS rule, o_orderkey::VARCHAR AS place FROM s WHERE x > 10 UNION ALL SELECT case_id, 'suspects.track', o_orderkey::VARCHAR FROM s WHERE o_orderkey % 3 = 0 UNION ALL SELECT case_id, 'suspects.sorted', o_orderkey::VARCHAR FROM (SELECT *, lag(x) OVER (PARTITION BY case_id ORDER BY rank) AS b FROM s) WHERE b < x", whole=True)
-def q11(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+@query("q11_suspect_rules", "WITH s AS (SELECT o_custkey % 30 AS case_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderkey) AS rank, o_orderkey % 13 AS x FROM orders) SELECT case_id, 'suspects.score_range' AS rule, o_orderkey::VARCHAR AS place FROM s WHERE x > 10 UNION ALL SELECT case_id, 'suspects.track', o_orderkey::VARCHAR FROM s WHERE o_orderkey % 3 = 0 UNION ALL SELECT case_id, 'suspects.sorted', o_orderkey::VARCHAR FROM (SELECT *, lag(x) OVER (PARTITION BY case_id ORDER BY rank) AS b FROM s) WHERE b < x")
+def q11(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     k = F.col("o_orderkey")
-    s = part(table(spark, sf, "orders"), "o_orderkey % 50 = 0", whole).select((F.col("o_custkey") % 30).alias("case_id"), k.cast("string").alias("mmsi"), F.row_number().over(Window.partitionBy(F.col("o_custkey") % 30).orderBy("o_orderkey")).alias("rank"), (k % 13 / F.lit(10.0)).alias("score"), F.lit(0.5).alias("weight_live"), k.alias("k"))
+    s = table(spark, sf, "orders").select((F.col("o_custkey") % 30).alias("case_id"), k.cast("string").alias("mmsi"), F.row_number().over(Window.partitionBy(F.col("o_custkey") % 30).orderBy("o_orderkey")).alias("rank"), (k % 13 / F.lit(10.0)).alias("score"), F.lit(0.5).alias("weight_live"), k.alias("k"))
     n = s.groupBy("case_id").agg(F.count("*").alias("n"))
     f = n.select("case_id", *(F.col("n").alias(c) for c in ("in_region", "in_window", "plausible", "scored")))
     return V.check_suspects(s.drop("k"), f, s.where("k % 3 <> 0")).select("case_id", "rule", "place")

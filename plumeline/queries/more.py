@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import age, compare, drift, evaluate, grid as G, image, posterior as P, slick, synth, tracks, validate as V
 from ..sources import readers, sinks
-from .registry import ORACLES, POS, T0, T0_US, T1, T1_US, hav, instant, part, positions, query, r6, table, us
+from .registry import ORACLES, POS, T0, T0_US, T1, T1_US, hav, instant, positions, query, r6, table, us
 
 
 def _cloud(spark: SparkSession, sf: str, shift: float = 0.0) -> DataFrame:
@@ -49,11 +49,11 @@ def a17b(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("value", r6("db").alias("db")).agg(F.count("*").alias("n"))
 
 
-@query("u43_first_pass", "WITH i AS (SELECT c_custkey AS case_id, TIMESTAMP '1998-01-01' AS t FROM customer), b AS (SELECT case_id, i.t AS t0, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS scene_id, min(o_orderdate) AS t1 FROM i JOIN orders ON o_custkey = case_id AND o_orderdate >= i.t GROUP BY 1, 2) SELECT case_id, scene_id, CASE WHEN epoch_us(t1) - epoch_us(t0) <= 3 * 86400000000 THEN 'green' WHEN epoch_us(t1) - epoch_us(t0) <= 10 * 86400000000 THEN 'amber' ELSE 'red' END AS light FROM b")
+@query("u43_first_pass", "WITH i AS (SELECT c_custkey AS case_id, TIMESTAMP '1998-01-01' AS t FROM customer), b AS (SELECT case_id, i.t AS t0, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS scene_id, min(o_orderdate) AS t1 FROM i LEFT JOIN orders ON o_custkey = case_id AND o_orderdate >= i.t GROUP BY 1, 2) SELECT case_id, scene_id, CASE WHEN epoch_us(t1) - epoch_us(t0) <= 3 * 86400000000 THEN 'green' WHEN epoch_us(t1) - epoch_us(t0) <= 10 * 86400000000 THEN 'amber' ELSE 'red' END AS light FROM b")
 def u43(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").cast("timestamp").alias("t"))
     i = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), instant("1998-01-01T00:00:00Z").alias("t_incident"))
-    return readers.first_pass(c, i).where("scene_id is not null").select("case_id", "scene_id", "light")
+    return readers.first_pass(c, i).select("case_id", "scene_id", "light")
 
 
 @query("a21_feature_collections", "SELECT s_nationkey AS case_id, count(*)::INTEGER AS n FROM supplier GROUP BY 1")
@@ -113,28 +113,28 @@ def h06(spark: SparkSession, sf: str) -> DataFrame:
     return drift.pool_models(d).groupBy("model").agg(F.count("*").alias("n"), r6(F.sum("w")).alias("total"))
 
 
-def _outlines(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def _outlines(spark: SparkSession, sf: str) -> DataFrame:
     """Three parts of a ribbon and a lone patch in each of a few cases, or of all."""
-    s = part(table(spark, sf, "supplier"), "s_suppkey < 5", whole).select(F.concat(F.lit("case"), F.col("s_suppkey").cast("string")).alias("case_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("case"), F.col("s_suppkey").cast("string")).alias("case_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     x = F.when(F.col("k") < 3, -94.0 + F.col("k") * 0.101).otherwise(-93.0)
     y = F.when(F.col("k") < 3, 28.5).otherwise(29.4)
     corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
     return s.select("case_id", F.concat(F.lit("d"), F.col("k").cast("string")).alias("det_id"), F.lit("oil").alias("classification"), F.array(F.array(corner(0.0, 0.0), corner(0.1, 0.0), corner(0.1, 0.01), corner(0.0, 0.01))).alias("parts"), x.alias("lon"), y.alias("lat"), (F.col("k") + 1.0).alias("area_km2"), F.lit("unknown").alias("discharge_class"), F.lit(0.5).alias("confidence"), F.lit(4.0).alias("elongation"))
 
 
-@query("h07_spill_groups", "SELECT 'case' || s_suppkey AS case_id, d AS det_id, CASE WHEN d = 'd3' THEN 2 ELSE 1 END AS group_id FROM supplier, (VALUES ('d0'), ('d1'), ('d2'), ('d3')) AS v(d) WHERE s_suppkey < 5", whole=True)
-def h07(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return slick.spill_groups(slick.outline_points(_outlines(spark, sf, whole)))
+@query("h07_spill_groups", "SELECT 'case' || s_suppkey AS case_id, d AS det_id, CASE WHEN d = 'd3' THEN 2 ELSE 1 END AS group_id FROM supplier, (VALUES ('d0'), ('d1'), ('d2'), ('d3')) AS v(d)")
+def h07(spark: SparkSession, sf: str) -> DataFrame:
+    return slick.spill_groups(slick.outline_points(_outlines(spark, sf)))
 
 
-@query("k14_ribbon_measures", "SELECT 'case' || s_suppkey AS case_id, 3::BIGINT AS n_parts, TRUE AS is_ribbon FROM supplier WHERE s_suppkey < 5", whole=True)
-def k14(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return slick.ribbon_measures(slick.outline_points(_outlines(spark, sf, whole)).where("det_id <> 'd3'"), ["case_id"]).select("case_id", "n_parts", "is_ribbon")
+@query("k14_ribbon_measures", "SELECT 'case' || s_suppkey AS case_id, 3::BIGINT AS n_parts, TRUE AS is_ribbon FROM supplier")
+def k14(spark: SparkSession, sf: str) -> DataFrame:
+    return slick.ribbon_measures(slick.outline_points(_outlines(spark, sf)).where("det_id <> 'd3'"), ["case_id"]).select("case_id", "n_parts", "is_ribbon")
 
 
-@query("k15_merged_features", "SELECT 'case' || s_suppkey AS case_id, id, a AS area_km2, p AS place FROM supplier, (VALUES ('d2+d1+d0', 6.0::DOUBLE, 1), ('d3', 4.0, 2)) AS v(id, a, p) WHERE s_suppkey < 5", whole=True)
-def k15(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    d = _outlines(spark, sf, whole)
+@query("k15_merged_features", "SELECT 'case' || s_suppkey AS case_id, id, a AS area_km2, p AS place FROM supplier, (VALUES ('d2+d1+d0', 6.0::DOUBLE, 1), ('d3', 4.0, 2)) AS v(id, a, p)")
+def k15(spark: SparkSession, sf: str) -> DataFrame:
+    d = _outlines(spark, sf)
     return slick.merged_features(d, slick.spill_groups(slick.outline_points(d))).select("case_id", "id", "area_km2", "place")
 
 
@@ -171,12 +171,12 @@ def k24(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", r6(compare.required_pad_deg(s / F.lit(20.0), F.lit(48.0), s.cast("double"))[0]).alias("pad_lon"))
 
 
-@query("d15_particle_matching", "SELECT s_suppkey::INTEGER AS pid, (1000 - s_suppkey)::INTEGER AS pid2 FROM supplier WHERE s_suppkey < 60", whole=True)
-def d15(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+@query("d15_particle_matching", "SELECT s_suppkey::INTEGER AS pid, (-1 - s_suppkey)::INTEGER AS pid2 FROM supplier")
+def d15(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey").cast("int")
     case = F.floor(k / 500).cast("string")  # a case is matched in one group
-    a = part(table(spark, sf, "supplier"), "s_suppkey < 60", whole).select(case.alias("case_id"), k.alias("pid"), (-94 + k % 500 * 0.001).alias("lon"), F.lit(28.0).alias("lat"))
-    b = a.select("case_id", (F.lit(-1 if whole else 1000) - F.col("pid")).alias("pid"), (F.col("lon") + 1e-7).alias("lon"), "lat")
+    a = table(spark, sf, "supplier").select(case.alias("case_id"), k.alias("pid"), (-94 + k % 500 * 0.001).alias("lon"), F.lit(28.0).alias("lat"))
+    b = a.select("case_id", (F.lit(-1) - F.col("pid")).alias("pid"), (F.col("lon") + 1e-7).alias("lon"), "lat")
     return compare.match_particles(a, b).select("pid", "pid2")
 
 
@@ -200,9 +200,9 @@ def i15(spark: SparkSession, sf: str) -> DataFrame:
     return P.interpolate_likelihood(c, P.age_grid(spark), ["case_id"]).select("age_h", r6("ll").alias("ll"))
 
 
-@query("l08_pit", "WITH p AS (SELECT i * 0.25::DOUBLE AS age_h, 1 / 288.0::DOUBLE AS p FROM range(1, 289) AS t(i)) SELECT p_partkey AS k, round(least(1, greatest(1 / 288.0::DOUBLE, (p_size / 0.25::DOUBLE) / 288)), 6) AS pit FROM part WHERE p_partkey < 50", whole=True)
-def l08b(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    t = part(table(spark, sf, "part"), "p_partkey < 50", whole).select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("truth_h"))
+@query("l08_pit", "WITH p AS (SELECT i * 0.25::DOUBLE AS age_h, 1 / 288.0::DOUBLE AS p FROM range(1, 289) AS t(i)) SELECT p_partkey AS k, round(least(1, greatest(1 / 288.0::DOUBLE, (p_size / 0.25::DOUBLE) / 288)), 6) AS pit FROM part")
+def l08b(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("truth_h"))
     post = t.select("k").crossJoin(P.age_grid(spark)).withColumn("p", F.lit(1 / 288))
     return P.pit(post, t, ["k"]).select("k", r6("pit").alias("pit"))
 
@@ -213,11 +213,11 @@ def l11(spark: SparkSession, sf: str) -> DataFrame:
     return age.shape_likelihood(m, 3.0, 0.05, 30.0).select("hours", F.round("lik", 8).alias("lik"))
 
 
-@query("l18_deformation_rate", "SELECT l_orderkey, l_linenumber, round(sqrt(pow((l_quantity / 100 - l_tax) / 9000 - (l_discount - l_tax) / 9000, 2) + pow((l_discount - l_quantity / 100) / 9000 + (l_tax - l_discount) / 9000, 2)) * 1e6, 5) AS rate FROM lineitem WHERE l_orderkey % 30 = 0", whole=True)
-def l18(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+@query("l18_deformation_rate", "SELECT l_orderkey, l_linenumber, round(sqrt(pow((l_quantity / 100 - l_tax) / 9000 - (l_discount - l_tax) / 9000, 2) + pow((l_discount - l_quantity / 100) / 9000 + (l_tax - l_discount) / 9000, 2)) * 1e6, 5) AS rate FROM lineitem")
+def l18(spark: SparkSession, sf: str) -> DataFrame:
     q, d, t = F.col("l_quantity") / 100, F.col("l_discount"), F.col("l_tax")
     rate = age.deformation_rate((q, d), (t, q), (t, d), (d, t), F.lit(9000.0), F.lit(9000.0))
-    return part(table(spark, sf, "lineitem"), "l_orderkey % 30 = 0", whole).select("l_orderkey", "l_linenumber", F.round(rate * 1e6, 5).alias("rate"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(rate * 1e6, 5).alias("rate"))
 
 
 @query("n13_usable_band", "SELECT l_returnflag AS scene_id, round(median(-l_quantity), 6) AS med, median(-l_quantity) > -24 AS usable FROM lineitem GROUP BY 1")
@@ -340,13 +340,12 @@ def q08(spark: SparkSession, sf: str) -> DataFrame:
     return V.check_posterior(p, b).select("case_id", "rule")
 
 
-@query("q10_track_rules", f"WITH {POS} SELECT mmsi AS place, 'vessels.points' AS rule FROM pos WHERE event_id % 40 = 0 GROUP BY mmsi HAVING count(*) < 2", whole=True)
-def q10(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    lines = tracks.track_lines(part(positions(spark, sf), "event_id % 40 = 0", whole)).withColumn("case_id", F.lit("c"))
+@query("q10_track_rules", f"WITH {POS} SELECT mmsi AS place, 'vessels.points' AS rule FROM pos GROUP BY mmsi HAVING count(*) < 2")
+def q10(spark: SparkSession, sf: str) -> DataFrame:
+    lines = tracks.track_lines(positions(spark, sf)).withColumn("case_id", F.lit("c"))
     return V.check_tracks(lines).select("place", "rule")
 
 
-ORACLES["q10_track_rules_whole"] = f"WITH {POS} SELECT mmsi AS place, 'vessels.points' AS rule FROM pos GROUP BY mmsi HAVING count(*) < 2"
 
 
 @query("q12_verification_rules", "SELECT s_suppkey AS case_id, 'verification.verdict' AS rule FROM supplier WHERE s_suppkey % 9 = 0 UNION ALL SELECT s_suppkey, 'verification.claimed' FROM supplier WHERE s_suppkey % 2 = 1")
@@ -362,10 +361,10 @@ def a27(spark: SparkSession, sf: str) -> DataFrame:
     return synth.fleet(spark, 20, 25, T0_US, 10.0, (-95.0, 28.0, -93.0, 30.0)).agg(F.countDistinct("mmsi").alias("n_vessels"), F.count("*").alias("n_rows"))
 
 
-@query("m18_injected_offenders", f"SELECT s_suppkey AS trial_id, {T0_US} + s_suppkey * 60000000 AS us, round(28 + s_suppkey / 100.0::DOUBLE, 6) AS lat FROM supplier WHERE s_suppkey < 100", whole=True)
-def m18b(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+@query("m18_injected_offenders", f"SELECT s_suppkey AS trial_id, {T0_US} + s_suppkey * 60000000 AS us, round(28 + s_suppkey % 100 / 100.0::DOUBLE, 6) AS lat FROM supplier")
+def m18b(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
-    t = part(table(spark, sf, "supplier"), "s_suppkey < 100", whole).select(k.alias("trial_id"), F.lit(-94.0).alias("lon"), (28 + k % 100 / F.lit(100.0)).alias("lat"), (F.lit(T0_US) + k * 60000000).alias("at_us"), (k * 7 % 360).cast("double").alias("cog"), F.lit(12.0).alias("sog"), F.lit(45.0).alias("gap_min"))
+    t = table(spark, sf, "supplier").select(k.alias("trial_id"), F.lit(-94.0).alias("lon"), (28 + k % 100 / F.lit(100.0)).alias("lat"), (F.lit(T0_US) + k * 60000000).alias("at_us"), (k * 7 % 360).cast("double").alias("cog"), F.lit(12.0).alias("sog"), F.lit(45.0).alias("gap_min"))
     d = synth.offender(spark, t)
     mid = d.join(t.select("trial_id", "at_us"), "trial_id").where(us("ts") == F.col("at_us"))
     return mid.select("trial_id", us("ts").alias("us"), r6("lat").alias("lat"))

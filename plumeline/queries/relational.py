@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import evaluate, grid as G, ingest, score, tracks
 from ..sources import readers, sinks
-from .registry import GRID, HEAD, POS, T0, T0_US, T1, T1_US, folder, grid, instant, part, positions, query, r6, sampled, table, us
+from .registry import GRID, HEAD, POS, T0, T0_US, T1, T1_US, folder, grid, instant, positions, query, r6, sampled, table, us
 
 
 def raw_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,9 +64,9 @@ def a06(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_extracts(spark, [a, b]).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("a10_presence_rows", f"WITH {POS} SELECT mmsi, (us // 60000000) * 60000000 AS us, round(lon, 6) AS lon, round(lat, 6) AS lat, NULL::DOUBLE AS sog, CASE WHEN event_id % 4 = 0 THEN 'tanker' ELSE 'other' END AS vessel_type, 'gfw' AS source FROM pos WHERE event_id % 9 = 0 AND (us // 60000000) * 60000000 BETWEEN {T0_US} AND {T1_US}", whole=True)
-def a10(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    p = part(positions(spark, sf), "event_id % 9 = 0", whole)
+@query("a10_presence_rows", f"WITH {POS} SELECT mmsi, (us // 60000000) * 60000000 AS us, round(lon, 6) AS lon, round(lat, 6) AS lat, NULL::DOUBLE AS sog, CASE WHEN event_id % 4 = 0 THEN 'tanker' ELSE 'other' END AS vessel_type, 'gfw' AS source FROM pos WHERE (us // 60000000) * 60000000 BETWEEN {T0_US} AND {T1_US}")
+def a10(spark: SparkSession, sf: str) -> DataFrame:
+    p = positions(spark, sf)
     row = F.struct("mmsi", "lat", "lon", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("date"), F.lit(" ").alias("shipName"), F.when(F.col("event_id") % 4 == 0, "Tanker").otherwise("GEAR").alias("vesselType"))
     docs = p.groupBy(F.col("event_id") % 10).agg(F.to_json(F.struct(F.array(F.create_map(F.lit("presence"), F.collect_list(row))).alias("entries"))).alias("body"))
     d = readers.presence_positions(readers.presence_rows(docs), instant(T0), instant(T1))
@@ -187,9 +187,9 @@ def c04(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.search_box(o).select("case_id", r6("west").alias("west"), r6("south").alias("south"), us("start").alias("start_us"), us("stop").alias("stop_us"))
 
 
-@query("c07_overlapping_tracks", f"WITH {POS}, t AS (SELECT mmsi, min(us) AS a, max(us) AS b FROM pos WHERE event_id % 50 = 0 GROUP BY mmsi) SELECT mmsi FROM t WHERE NOT (b < {T0_US} OR a > {T1_US})", whole=True)
-def c07(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    t = part(positions(spark, sf), "event_id % 50 = 0", whole).groupBy("mmsi").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+@query("c07_overlapping_tracks", f"WITH {POS}, t AS (SELECT mmsi, min(us) AS a, max(us) AS b FROM pos GROUP BY mmsi) SELECT mmsi FROM t WHERE NOT (b < {T0_US} OR a > {T1_US})")
+def c07(spark: SparkSession, sf: str) -> DataFrame:
+    t = positions(spark, sf).groupBy("mmsi").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return t.where(tracks.overlaps(F.col("a"), F.col("b"), instant(T0), instant(T1))).select("mmsi")
 
 
@@ -358,9 +358,9 @@ def h05(spark: SparkSession, sf: str) -> DataFrame:
     return score.exclusions(*(o.where(F.col("p") == k) for k in range(3))).select("case_id", "mmsi", "ord")
 
 
-@query("i04_reason_text", f"WITH {POS} SELECT event_id, printf('%.0f kn at %.3f', sog, lon) || CASE WHEN sog >= 10 THEN '; fast' ELSE '' END AS said FROM pos WHERE event_id % 10 = 1 AND abs(sog - floor(sog) - 0.5) > 1e-9")
+@query("i04_reason_text", f"WITH {POS} SELECT event_id, printf('%.0f kn at %.3f', sog, lon) || CASE WHEN sog >= 10 THEN '; fast' ELSE '' END AS said FROM pos WHERE abs(sog - floor(sog) - 0.5) > 1e-9")
 def i04(spark: SparkSession, sf: str) -> DataFrame:
-    p = positions(spark, sf).where((F.col("event_id") % 10 == 1) & (F.abs(F.col("sog") - F.floor("sog") - 0.5) > 1e-9))
+    p = positions(spark, sf).where(F.abs(F.col("sog") - F.floor("sog") - 0.5) > 1e-9)
     return p.select("event_id", F.concat_ws("; ", F.format_string("%.0f kn at %.3f", "sog", "lon"), F.when(F.col("sog") >= 10, "fast")).alias("said"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import curves, dark, drift, evaluate, grid as G, image, posterior as P, synth
-from .registry import HEAD, POS, part, positions, query, r6, table
+from .registry import HEAD, POS, positions, query, r6, table
 
 
 @query("l10_dispersion_ages")
@@ -20,9 +20,9 @@ def l10(spark: SparkSession, sf: str) -> DataFrame:
     return curves.age_band(curves.length_ages(c, 3.0), ["case_id"])
 
 
-@query("l14_track_width_age", whole=True)
-def l14(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    t = part(table(spark, sf, "supplier"), "s_suppkey < 5", whole).select(F.col("s_suppkey").cast("string").alias("case_id"), (300.0 + 200 * (F.col("s_suppkey") % 5)).alias("width_tail_m"))
+@query("l14_track_width_age")
+def l14(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("case_id"), (300.0 + 200 * (F.col("s_suppkey") % 5)).alias("width_tail_m"))
     s = curves.track_age_samples(t, 2000)
     lo, hi = F.col("sample_h") < 0.25, F.col("sample_h") > 72
     s = s.select("case_id", F.when(~lo & ~hi, F.col("sample_h")).alias("sample_h"), F.when(lo, "young").when(hi, "old").alias("censored"))
@@ -99,10 +99,10 @@ def i13(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(r6(F.lit(50.0) + F.log(F.sum(F.exp(F.col("l_quantity") - 50)))).alias("v"))
 
 
-@query("i21_hemisphere_text", f"WITH {POS} SELECT event_id, printf('%.3f', abs(lat)) || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || ' ' || printf('%.3f', abs(lon)) || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END AS said FROM pos WHERE event_id % 10 = 3", whole=True)
-def i21(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+@query("i21_hemisphere_text", f"WITH {POS} SELECT event_id, printf('%.3f', abs(lat)) || CASE WHEN lat < 0 THEN 'S' ELSE 'N' END || ' ' || printf('%.3f', abs(lon)) || CASE WHEN lon < 0 THEN 'W' ELSE 'E' END AS said FROM pos")
+def i21(spark: SparkSession, sf: str) -> DataFrame:
     half = lambda c, a, b: F.concat(F.format_string("%.3f", F.abs(c)), F.when(F.col(c) < 0, a).otherwise(b))
-    return part(positions(spark, sf), "event_id % 10 = 3", whole).select("event_id", F.concat(half("lat", "S", "N"), F.lit(" "), half("lon", "W", "E")).alias("said"))
+    return positions(spark, sf).select("event_id", F.concat(half("lat", "S", "N"), F.lit(" "), half("lon", "W", "E")).alias("said"))
 
 
 @query("u01_own_contacts", "SELECT c_custkey AS contact_id, CASE WHEN c_custkey % 5 > 0 THEN round_even(sqrt(c_custkey % 5) * 10.5, 0) END AS est_length_m FROM customer")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import dark, drift, grid as G, image, ingest, tracks
 from ..streaming import gaps
-from .registry import GRID, HEAD, POS, T0, T0_US, T1, T1_US, ang, brg, grid, hav, instant, part, positions, query, r6, sampled, table, us
+from .registry import GRID, HEAD, POS, T0, T0_US, T1, T1_US, ang, brg, grid, hav, instant, positions, query, r6, sampled, table, us
 
 GAPS = "g AS (SELECT *, lead(us) OVER w AS nus, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat, lead(sog) OVER w AS nsog, lead(source) OVER w AS nsource FROM pos WINDOW w AS (PARTITION BY mmsi ORDER BY us))"
 
@@ -88,11 +88,11 @@ def d06(spark: SparkSession, sf: str) -> DataFrame:
     return dark.match_contacts(_contacts(spark, sf), placed, none, instant(T0)).select("contact_id", "matched")
 
 
-@query("d07_nearest_vertex", f"""WITH {CONTACTS}, v AS (SELECT c_custkey, -95 + ((c_custkey * 31) % 2000) / 1000.0::DOUBLE AS vlon, 28 + ((c_custkey * 17) % 2000) / 1000.0::DOUBLE AS vlat FROM customer WHERE c_custkey % 10 = 0)
-SELECT contact_id, round(min({hav('lon', 'lat', 'vlon', 'vlat')}), 6) AS near_km FROM contacts CROSS JOIN v GROUP BY contact_id""", whole=True)
-def d07(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+@query("d07_nearest_vertex", f"""WITH {CONTACTS}, v AS (SELECT c_custkey, -95 + ((c_custkey * 31) % 2000) / 1000.0::DOUBLE AS vlon, 28 + ((c_custkey * 17) % 2000) / 1000.0::DOUBLE AS vlat FROM customer)
+SELECT contact_id, round(min({hav('lon', 'lat', 'vlon', 'vlat')}), 6) AS near_km FROM contacts CROSS JOIN v GROUP BY contact_id""")
+def d07(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    v = part(table(spark, sf, "customer"), "c_custkey % 10 = 0", whole).select(F.lit("c").alias("case_id"), k.alias("det_id"), (-95 + ((k * 31) % 2000) / F.lit(1000.0)).alias("vlon"), (28 + ((k * 17) % 2000) / F.lit(1000.0)).alias("vlat"))
+    v = table(spark, sf, "customer").select(F.lit("c").alias("case_id"), k.alias("det_id"), (-95 + ((k * 31) % 2000) / F.lit(1000.0)).alias("vlon"), (28 + ((k * 17) % 2000) / F.lit(1000.0)).alias("vlat"))
     d = dark.nearest_vertex(_contacts(spark, sf).withColumn("case_id", F.lit("c")), v, ["contact_id"], ["det_id"])
     return d.select("contact_id", r6("near_km").alias("near_km"))
 
@@ -124,9 +124,9 @@ def d12(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").join(c, "o_custkey", "left_anti").select("o_orderkey")
 
 
-@query("d14_nearest_hour", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 3, 0)::INTEGER AS step FROM lineitem WHERE l_orderkey % 50 = 1", whole=True)
-def d14(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return part(table(spark, sf, "lineitem"), "l_orderkey % 50 = 1", whole).select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 3, 0).cast("int").alias("step"))
+@query("d14_nearest_hour", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 3, 0)::INTEGER AS step FROM lineitem")
+def d14(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 3, 0).cast("int").alias("step"))
 
 
 @query("d16_region_overlap", "SELECT l_returnflag AS scene_id, l_suppkey AS region_id, round(avg((l_linenumber <= 2)::INTEGER), 6) AS overlap, (avg((l_linenumber <= 2)::INTEGER) >= 0.25)::INTEGER AS label FROM lineitem GROUP BY 1, 2")

@@ -160,9 +160,13 @@ def scene_search(catalogue: DataFrame, west: float, south: float, east: float, n
 
 
 def first_pass(catalogue: DataFrame, incidents: DataFrame) -> DataFrame:
-    """For each incident (case_id, t_incident) the first scene after it and how soon: green to 3 days, amber to 10."""
-    after = incidents.join(catalogue, "case_id", "left").where("t >= t_incident or t is null")
-    best = after.groupBy("case_id").agg(F.min(F.struct("t", "scene_id")).alias("s"), F.first("t_incident").alias("t_incident"))
+    """For each incident (case_id, t_incident) the first scene after it and how soon: green to 3 days, amber to 10.
+
+    An incident with no scene, or with earlier ones only, stays with a null scene and is red.
+    """
+    scenes = catalogue.select(F.col("case_id").alias("of_case"), "t", "scene_id")
+    after = incidents.join(scenes, (F.col("case_id") == F.col("of_case")) & (F.col("t") >= F.col("t_incident")), "left")
+    best = after.groupBy("case_id", "t_incident").agg(F.min(F.when(F.col("t").isNotNull(), F.struct("t", "scene_id"))).alias("s"))
     days = (F.unix_micros("s.t") - F.unix_micros("t_incident")) / F.lit(86400e6)
     light = F.when(days <= 3, "green").when(days <= 10, "amber").otherwise("red")
     return best.select("case_id", F.col("s.scene_id").alias("scene_id"), days.alias("days"), light.alias("light"))

@@ -356,3 +356,11 @@ def test_stride_must_divide_the_span(spark):
     assert curves.every_nth_frame(p, 3).count() == 4
     with pytest.raises(Exception, match="divide"):
         curves.every_nth_frame(p, 4).collect()
+
+
+def test_first_pass_keeps_incidents_with_earlier_scenes_only(spark):
+    from plumeline.sources.readers import first_pass
+
+    scenes = spark.sql("select * from values ('a', 's1', timestamp'2024-01-01'), ('b', 's2', timestamp'2024-01-01'), ('b', 's3', timestamp'2024-01-05') as t(case_id, scene_id, t)")
+    incidents = spark.sql("select case_id, timestamp'2024-01-03' as t_incident from values ('a'), ('b'), ('c') as t(case_id)")
+    assert {r.case_id: (r.scene_id, r.light) for r in first_pass(scenes, incidents).collect()} == {"a": (None, "red"), "b": ("s3", "green"), "c": (None, "red")}

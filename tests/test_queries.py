@@ -7,9 +7,13 @@ from plumeline.queries import ORACLES, QUERIES
 from .conftest import same_rows
 
 
+#: Rules that no row of the smallest tables breaks.
+EMPTY = {"q10_track_rules"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
-    same_rows(spark, QUERIES, ORACLES, name)
+    assert same_rows(spark, QUERIES, ORACLES, name) > 0 or name in EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
