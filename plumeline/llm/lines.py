@@ -4,16 +4,21 @@ Line keys are 128-bit hashes. Documents come in batches; a batch's keys, counted
 are merge-anti-joined with the runs of keys already known to be frequent, and the rest is added as a
 sorted run. Runs are levelled: when a level has FANOUT runs they are merged into one run of the next
 level, and keys whose sum reaches the limit move to the settled runs. A last merge settles all.
+
+Runs are tables bucketed and sorted by key in one fixed number of buckets, as are the keys of the
+batches: after these are dealt to buckets once, counting, anti-joins and merges shuffle nothing. Runs
+outlive the session: `LineRuns.state` is all that a later one needs to add its own batches.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
@@ -37,52 +42,76 @@ def line_keys(text: bytes | None, least: int) -> tuple[list[bytes], list[bytes |
 class LineRuns:
     """Sorted runs (key, n) by level, and settled runs of the keys with at least `limit` documents."""
 
-    def __init__(self, scratch: Scratch, limit: int, fanout: int = FANOUT) -> None:
-        self.scratch, self.limit, self.fanout = scratch, limit, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = [[]]
-        self.settled: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, root: str, limit: int, buckets: int, fanout: int = FANOUT) -> None:
+        self.spark, self.root, self.limit, self.buckets, self.fanout = spark, root, limit, buckets, fanout
+        self.prefix = f"plumeline_runs_{uuid.uuid4().hex}"
+        self.levels: list[list[str]] = [[]]
+        self.settled: list[str] = []
         self.made = 0
 
-    def _run(self, df: DataFrame) -> tuple[str, DataFrame]:
+    def state(self) -> dict:
+        """What :meth:`resume` needs, as plain values."""
+        return {"root": self.root, "limit": self.limit, "buckets": self.buckets, "fanout": self.fanout, "levels": self.levels, "settled": self.settled, "made": self.made}
+
+    @classmethod
+    def resume(cls, spark: SparkSession, state: dict) -> LineRuns:
+        """The runs that another session left under their root."""
+        out = cls(spark, *(state[k] for k in ("root", "limit", "buckets", "fanout")))
+        out.levels, out.settled, out.made = [list(x) for x in state["levels"]], list(state["settled"]), state["made"]
+        runs = {n: "key binary, n bigint" for level in out.levels for n in level} | dict.fromkeys(out.settled, "key binary")
+        for name, columns in runs.items():
+            spark.sql(f"CREATE TABLE {out.prefix}_{name} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {out.buckets} BUCKETS LOCATION '{out.root}/{name}'")
+        return out
+
+    def write(self, df: DataFrame, name: str | None = None) -> str:
+        """A run of df, which is dealt by key already or is dealt here."""
         self.made += 1
-        name = f"run{self.made}"
-        return name, self.scratch.write(df.sortWithinPartitions("key"), name)
+        name = name or f"run{self.made}"
+        df.write.bucketBy(self.buckets, "key").sortBy("key").format("parquet").option("path", f"{self.root}/{name}").saveAsTable(f"{self.prefix}_{name}")
+        return name
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.prefix}_{name}")
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def add(self, batch: DataFrame) -> None:
         """batch: (key, n), a key any number of times; n counts documents."""
         counts = batch.groupBy("key").agg(F.sum("n").alias("n"))
         for known in self.settled:
-            counts = counts.join(known.hint("merge"), "key", "left_anti")
-        self.levels[0].append(self._run(counts))
+            counts = counts.join(self.read(known).hint("merge"), "key", "left_anti")
+        self.levels[0].append(self.write(counts))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level)
             level += 1
 
     def _compact(self, level: int) -> None:
-        runs, self.levels[level] = self.levels[level], []
-        merged = runs[0][1]
-        for _, r in runs[1:]:
-            merged = merged.union(r)
-        _, merged = self._run(merged.groupBy("key").agg(F.sum("n").alias("n")))
-        self.settled.append(self._run(merged.where(F.col("n") >= self.limit).select("key"))[1])
+        names, self.levels[level] = self.levels[level], []
+        merged = self.read(names[0]).withColumnRenamed("n", "n0")
+        for k, name in enumerate(names[1:], 1):  # a merge of sorted runs; a union would lose their buckets
+            merged = merged.join(self.read(name).withColumnRenamed("n", f"n{k}").hint("merge"), "key", "full")
+        merged = self.write(merged.select("key", sum((F.coalesce(f"n{k}", F.lit(0)) for k in range(len(names))), F.lit(0)).cast("long").alias("n")))
+        self.settled.append(self.write(self.read(merged).where(F.col("n") >= self.limit).select("key")))
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(self._run(merged.where(F.col("n") < self.limit)))
-        for name, _ in runs:
-            self.scratch.drop(name)
-
-    def finish(self) -> DataFrame | None:
-        """All keys with at least `limit` documents; None where nothing was added."""
-        left = [r for runs in self.levels for r in runs]
-        if not left:
-            return None
-        self.levels = [left]
-        self._compact(0)
-        keys = self.settled[0]
+        self.levels[level + 1].append(self.write(self.read(merged).where(F.col("n") < self.limit)))
+        for name in (*names, merged):
+            self.drop(name)
+
+    def finish(self) -> DataFrame:
+        """All keys with at least `limit` documents; more batches may follow."""
+        left = [n for level in self.levels for n in level]
+        if left:
+            self.levels = [left]
+            self._compact(0)
+        keys = self.read(self.settled[0]) if self.settled else self.spark.createDataFrame([], "key binary")
         for more in self.settled[1:]:
-            keys = keys.union(more)
-        return self.scratch.write(keys.distinct(), "settled")
+            keys = keys.union(self.read(more))
+        return keys
 
 
 def _document_keys(docs: DataFrame, least: int, batches: int) -> DataFrame:
@@ -121,18 +150,20 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     least min_chars code points that stand in at least min_docs rows lose all their lines; the
     others stay as they are, joined by a line feed. A null or empty text is one empty line. Rows are
     counted, so repeated rows count each; ids may be null or repeat. If all lines go, kept is empty.
+    Very long texts are taken whole.
     Settled keys go to the executors while there are at most `broadcast_keys`; beyond that, they are
     joined to the documents that have them. Other columns are left out.
     """
     docs = pick(docs, doc_id=id_col, text=text_col)
     scratch = Scratch(docs.sparkSession, "lines")
-    keyed = _document_keys(docs, min_chars, batches).groupBy("batch", "key").agg(F.sum("n").alias("n"))
-    stored = scratch.write(keyed.sortWithinPartitions("batch", "key"), "keys")
-    runs = LineRuns(scratch, min_docs)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = LineRuns(docs.sparkSession, scratch.path("runs"), min_docs, buckets)
+    keyed = _document_keys(docs, min_chars, batches).repartition(buckets, "key").groupBy("batch", "key").agg(F.sum("n").alias("n"))
+    runs.write(keyed, "keys")
     for k in range(batches):
-        runs.add(stored.where(F.col("batch") == k).select("key", "n"))
-    frequent = runs.finish()
-    scratch.drop("keys")
+        runs.add(runs.read("keys").where(F.col("batch") == k).select("key", "n"))
+    runs.drop("keys")
+    frequent = scratch.write(runs.finish(), "settled")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept string"
     if frequent.count() <= broadcast_keys:
         found = frozenset(bytes(r.key) for r in frequent.collect())

@@ -1,5 +1,6 @@
 """Near-duplicate, line and substring dedup against brute force, with awkward rows."""
 
+import json
 from collections import Counter
 
 import numpy as np
@@ -123,13 +124,27 @@ def test_lines(spark, keys):
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept) for r in got) == sorted(want)
 
 
-def test_line_runs_settle_across_batches(spark):
-    from plumeline.llm.scratch import Scratch
+def batch(spark, k):
+    return spark.createDataFrame([(bytearray(b"a"), 1), (bytearray(b"b"), 1 if k % 2 else 0), (bytearray([k]), 1)], "key binary, n long")
+
+
+def test_line_runs_settle_across_batches_and_sessions(spark, tmp_path):
+    runs = lines.LineRuns(spark, str(tmp_path), limit=5, buckets=3, fanout=2)
+    for k in range(4):
+        runs.add(batch(spark, k))
+    later = lines.LineRuns.resume(spark.newSession(), json.loads(json.dumps(runs.state())))
+    for k in range(4, 7):
+        later.add(batch(later.spark, k))
+    assert sorted(bytes(r.key) for r in later.finish().collect()) == [b"a"]
+
 
-    runs = lines.LineRuns(Scratch(spark, "test"), limit=5, fanout=2)
-    for k in range(7):
-        runs.add(spark.createDataFrame([(bytearray(b"a"), 1), (bytearray(b"b"), 1 if k % 2 else 0), (bytearray([k]), 1)], "key binary, n long"))
-    assert sorted(bytes(r.key) for r in runs.finish().collect()) == [b"a"]
+def test_runs_are_joined_and_merged_without_a_shuffle(spark, tmp_path):
+    runs = lines.LineRuns(spark, str(tmp_path), limit=2, buckets=3, fanout=9)
+    for k in range(3):
+        runs.add(batch(spark, k))
+    a, b = (runs.read(n) for n in runs.levels[0][:2])
+    for joined in (a.join(b.select("key").hint("merge"), "key", "left_anti"), a.groupBy("key").agg(F.sum("n"))):
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("sizes", [{}, {"bits": 6, "fan": 2, "team": 2}])
