@@ -1,4 +1,4 @@
 """Queries on the driver's tables, and the SQL that checks them."""
 
-from . import analytics, more, relational, shape, spatial  # noqa: F401
+from . import analytics, more, records, relational, shape, spatial  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

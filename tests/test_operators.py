@@ -364,3 +364,33 @@ def test_first_pass_keeps_incidents_with_earlier_scenes_only(spark):
     scenes = spark.sql("select * from values ('a', 's1', timestamp'2024-01-01'), ('b', 's2', timestamp'2024-01-01'), ('b', 's3', timestamp'2024-01-05') as t(case_id, scene_id, t)")
     incidents = spark.sql("select case_id, timestamp'2024-01-03' as t_incident from values ('a'), ('b'), ('c') as t(case_id)")
     assert {r.case_id: (r.scene_id, r.light) for r in first_pass(scenes, incidents).collect()} == {"a": (None, "red"), "b": ("s3", "green"), "c": (None, "red")}
+
+
+def test_rate_limit_counts_accepted_hits_only(spark):
+    from plumeline.operators.records import limited
+
+    times = {"a": [0, 1, 2, 3, 4, 5, 59, 60, 61, 62, 100], "b": [0, 61, 61, 61, 61, 61, 61]}
+    want = {}
+    for who, ts in times.items():
+        passed = []
+        for k, t in enumerate(ts):
+            ok = sum(t - p <= 60 for p in passed) < 5
+            passed += [t] * ok
+            want[who, k] = ok
+    rows = [(who, k, float(t)) for who, ts in times.items() for k, t in enumerate(ts)]
+    got = limited(spark.createDataFrame(rows, "client string, k int, at_s double").orderBy("k")).collect()
+    assert sum(r.accepted for r in got) == sum(want.values()) and {(r.client, r.at_s) for r in got if not r.accepted} == {(w, float(times[w][k])) for (w, k), ok in want.items() if not ok}
+
+
+def test_ellipse_of_seven():
+    from plumeline.operators.records import ellipse
+
+    width = {dy: sum(a == dy for a, _ in ellipse(7)) for dy in range(-3, 4)}
+    assert width == {-3: 1, -2: 5, -1: 7, 0: 7, 1: 7, 2: 5, 3: 1}
+
+
+def test_placeholders_at_any_depth(spark):
+    from plumeline.operators.records import placeholders
+
+    doc = '{"a": {"b": [1, {"c": "TODO, prose"}]}, "_status": "TODO", "d": [["x", "TODO"]]}'
+    assert {r.path for r in placeholders(spark.createDataFrame([(1, doc), (2, None)], "case_id int, body string")).collect()} == {"a.b[1].c", "d[0][1]"}
