@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
-WEAK_DB, STRONG_DB, NOISE_K, TILE = 3.0, 5.0, 2.0, 256
+WEAK_DB, STRONG_DB, WEAK_MADS, STRONG_MADS, TILE = 1.0, 2.0, 1.5, 3.0, 256
+RING_OUT, RING_IN, CLOSE_SIZE, SEA_SIGMA = 25, 5, 11, 3.0
 CHRONIC_ELONGATION, STRAIGHT, ACUTE_ELONGATION = 5.0, 0.60, 3.0
 VH_USABLE_DB = -24.0
 
@@ -52,11 +53,59 @@ def box_mean(a: np.ndarray, size: int) -> np.ndarray:
     return (s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]) / size**2
 
 
-def depth_map(db: np.ndarray, sizes: tuple[int, ...] = (41, 121, 361), smooth: int = 3) -> np.ndarray:
-    """How much darker each pixel is than the water around it, over several scales."""
+def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur, cut off at four sigmas, edges mirrored."""
+    half = round(4 * sigma)
+    weight = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    weight /= weight.sum()
+    for axis in (0, 1):
+        n = a.shape[axis]
+        at = np.abs(np.arange(-half, n + half)) % max(2 * n - 2, 1)
+        wide = np.take(a, np.where(at >= n, 2 * n - 2 - at, at) if n > 1 else at * 0, axis=axis)
+        a = sum(w * np.take(wide, np.arange(k, k + n), axis=axis) for k, w in enumerate(weight))
+    return a
+
+
+def depth_map(db: np.ndarray, sizes: tuple[int, ...] = (41, 121, 361), smooth: int = 3, sea_sigma: float = SEA_SIGMA) -> np.ndarray:
+    """How much darker each pixel is than the water around it, the most over several scales, never negative.
+
+    The water is a closing of a blurred copy: of single pixels it would pick the brightest noise.
+    """
     filled = np.where(np.isnan(db), np.nanmedian(db), db)
     soft = median_filter(filled, smooth) if smooth > 1 else filled
-    return np.max([grey_closing(soft, min(s, 2 * min(soft.shape) - 1) | 1) for s in sizes], axis=0) - soft
+    sea = gaussian(soft, sea_sigma) if sea_sigma else soft
+    return np.maximum(np.max([grey_closing(sea, min(s, 2 * min(soft.shape) - 1) | 1) for s in sizes], axis=0) - soft, 0.0)
+
+
+def ellipse(size: int) -> list[tuple[int, int]]:
+    """Offsets of the ellipse inscribed in a square of odd size: each row as wide as the circle at its height."""
+    r = size // 2
+    return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if abs(dx) <= round(r * (1 - (dy / r) ** 2) ** 0.5)] if r else [(0, 0)]
+
+
+def closed(mask: np.ndarray, size: int = CLOSE_SIZE) -> np.ndarray:
+    """Morphological closing with an ellipse; what lies outside the scene neither adds nor removes pixels."""
+    h, w = mask.shape
+    r = size // 2
+    for seed, join in ((False, np.logical_or), (True, np.logical_and)):
+        wide = np.pad(mask, r, constant_values=seed)
+        mask = np.full((h, w), seed)
+        for dy, dx in ellipse(size):
+            mask = join(mask, wide[r + dy : r + dy + h, r + dx : r + dx + w])
+    return mask
+
+
+def steps_to(mask: np.ndarray) -> np.ndarray:
+    """Steps along rows and columns from each pixel to the nearest true one."""
+    d = np.where(mask, 0, sum(mask.shape) + 1)
+    for axis in (0, 1):
+        d = np.moveaxis(d, axis, 0)
+        for k in range(1, len(d)):
+            d[k] = np.minimum(d[k], d[k - 1] + 1)
+        for k in range(len(d) - 2, -1, -1):
+            d[k] = np.minimum(d[k], d[k + 1] + 1)
+        d = np.moveaxis(d, 0, axis)
+    return d
 
 
 def label_components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
@@ -110,33 +159,53 @@ def distance_to(mask: np.ndarray) -> np.ndarray:
 REGION = "scene_id string, region_id int, area_px int, mean_depth_db double, max_depth_db double, contrast_db double, elongation double, edge_gradient double, solidity double, r double, c double"
 
 
-def regions_of(scene_id: str, db: np.ndarray, min_px: int, sizes: tuple[int, ...]) -> pd.DataFrame:
-    """Dark regions of one scene with their shape and contrast."""
+def region_boxes(lab: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first row, last row, first column, last column) of each labelled region."""
+    r, c = np.nonzero(lab)
+    k, n = lab[r, c] - 1, int(lab.max(initial=0))
+    lo, hi = np.full((2, n), max(lab.shape)), np.full((2, n), -1)
+    for i, x in enumerate((r, c)):
+        np.minimum.at(lo[i], k, x)
+        np.maximum.at(hi[i], k, x)
+    return list(zip(lo[0].tolist(), hi[0].tolist(), lo[1].tolist(), hi[1].tolist(), strict=True))
+
+
+def regions_of(scene_id: str, db: np.ndarray, pixel_km2: float, least_km2: float, most_km2: float, least_extent: int, sizes: tuple[int, ...], close: int = CLOSE_SIZE) -> pd.DataFrame:
+    """Dark regions of one scene with their shape and contrast.
+
+    A region counts if it is large enough or long enough, and not too large. Its background is the
+    ring of 5 to 25 steps about it; all of that lies in a window about the region's box.
+    """
     depth = depth_map(db, sizes)
     med = np.median(depth)
-    noise = NOISE_K * 1.4826 * np.median(np.abs(depth - med))
-    lab = hysteresis(depth, med + max(WEAK_DB, noise), med + max(STRONG_DB, noise))
+    mad = 1.4826 * np.median(np.abs(depth - med))
+    lab = label_components(closed(hysteresis(depth, med + max(WEAK_DB, WEAK_MADS * mad), med + max(STRONG_DB, STRONG_MADS * mad)) > 0, close))
     gy, gx = np.gradient(np.where(np.isnan(db), np.nanmedian(db), db))
     slope = np.hypot(gx, gy)
     out = []
-    for k in range(1, lab.max(initial=0) + 1):
-        own = lab == k
-        if own.sum() < min_px:
+    for k, (r0, r1, c0, c1) in enumerate(region_boxes(lab), 1):
+        near = (slice(max(0, r0 - RING_OUT - 1), r1 + RING_OUT + 2), slice(max(0, c0 - RING_OUT - 1), c1 + RING_OUT + 2))
+        own, here = lab[near] == k, db[near]
+        n, extent = int(own.sum()), max(r1 - r0, c1 - c0) + 1
+        if n * pixel_km2 > most_km2 or (n * pixel_km2 < least_km2 and extent < least_extent):
             continue
         r, c = np.nonzero(own)
-        cov = np.cov(np.stack([r, c])) if len(r) > 2 else np.eye(2)
+        cov = np.cov(np.stack([r, c])) if n > 2 else np.eye(2)
         lo, hi = np.sqrt(np.maximum(np.linalg.eigvalsh(cov), 1 / 12))
-        ring = binary_dilate(own, 12) & ~binary_dilate(own, 2) & (lab == 0)
+        away = steps_to(own)
+        ring = here[(away <= RING_OUT) & (away > RING_IN) & ~np.isnan(here)]
+        inside = here[own & ~np.isnan(here)]
+        contrast = float(np.median(inside) - np.median(ring)) if ring.size and inside.size else None
         edge = own & binary_dilate(~own)
-        sea = np.nanmedian(db[ring]) if ring.any() else np.nanmedian(db)
-        box = (np.ptp(r) + 1) * (np.ptp(c) + 1)
-        out.append((scene_id, len(out) + 1, int(own.sum()), float(depth[own].mean()), float(depth[own].max()), float(np.nanmean(db[own]) - sea), float(hi / lo), float(slope[edge].mean()) if edge.any() else 0.0, float(own.sum() / box), float(r.mean()), float(c.mean())))
+        at = depth[near][own]
+        box = (r1 - r0 + 1) * (c1 - c0 + 1)
+        out.append((scene_id, len(out) + 1, n, float(at.mean()), float(at.max()), contrast, float(hi / lo), float(slope[near][edge].mean()) if edge.any() else 0.0, n / box, float(r.mean() + near[0].start), float(c.mean() + near[1].start)))
     return pd.DataFrame(out, columns=[x.split()[0] for x in REGION.split(", ")])
 
 
-def dark_regions(pixels: DataFrame, min_px: int = 30, sizes: tuple[int, ...] = (41, 121, 361)) -> DataFrame:
+def dark_regions(pixels: DataFrame, pixel_km2: float = 1e-4, least_km2: float = 0.05, most_km2: float = 500.0, least_extent: int = 80, sizes: tuple[int, ...] = (41, 121, 361)) -> DataFrame:
     """Dark regions of every scene, a scene a task."""
-    return pixels.groupBy("scene_id").applyInPandas(lambda pdf: regions_of(str(pdf["scene_id"].iloc[0]), dense(pdf), min_px, sizes), REGION)
+    return pixels.groupBy("scene_id").applyInPandas(lambda pdf: regions_of(str(pdf["scene_id"].iloc[0]), dense(pdf), pixel_km2, least_km2, most_km2, least_extent, sizes), REGION)
 
 
 CONTACT = "scene_id string, contact_id int, r double, c double, px_area int, peak_db double, fill double"

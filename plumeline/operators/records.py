@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .image import label_components
+from .image import ellipse, label_components
 
 # The properties of a reference slick that may be kept; all others describe its source.
 KEPT_PROPERTIES = ("id", "slick_timestamp", "s1_scene_id", "length", "area", "perimeter", "machine_confidence", "polsby_popper", "fill_factor", "linearity")
@@ -127,12 +127,6 @@ def forward_document(particles: DataFrame, t0: DataFrame, minutes: float) -> Dat
     return whole.select("case_id", n.alias("n_steps"), m.alias("n_particles"), body.alias("body"))
 
 
-def ellipse(size: int) -> list[tuple[int, int]]:
-    """Offsets of the ellipse inscribed in a square of odd size: each row as wide as the circle at its height."""
-    r = size // 2
-    return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if abs(dx) <= round(r * (1 - (dy / r) ** 2) ** 0.5)] if r else [(0, 0)]
-
-
 def close_mask(mask: DataFrame, scenes: DataFrame, size: int = 7) -> DataFrame:
     """Morphological closing with an ellipse: mask (scene_id, r, c) of set pixels, scenes (scene_id, rows, cols).
 
@@ -154,8 +148,8 @@ def close_mask(mask: DataFrame, scenes: DataFrame, size: int = 7) -> DataFrame:
 def regions_of_scores(scores: DataFrame, scenes: DataFrame, threshold: float, pixel_km2: float, size: int = 7, least_km2: float = 0.02, most_km2: float = 500.0, least_extent: int = 60) -> DataFrame:
     """(scene_id, region_id, n_px, area_km2, r0, r1, c0, c1) from scores (scene_id, r, c, p, valid).
 
-    Pixels at the threshold or above, closed, fall into 8-connected regions within the area bounds
-    and at least so many pixels long; ids follow the first pixel. Labelling takes one scene's closed
+    Pixels at the threshold or above, closed, fall into 8-connected regions that are large or long
+    enough, and not too large; ids follow the first pixel. Labelling takes one scene's closed
     pixels at a time, which the threshold keeps far below the scene.
     """
     closed = close_mask(scores.where((F.col("p") >= threshold) & F.col("valid")).select("scene_id", "r", "c"), scenes, size)
@@ -169,7 +163,9 @@ def regions_of_scores(scores: DataFrame, scenes: DataFrame, threshold: float, pi
     kinds = {f.name: f.dataType.simpleString() for f in closed.schema}
     labelled = closed.groupBy("scene_id").applyInPandas(label, f"scene_id {kinds['scene_id']}, r {kinds['r']}, c {kinds['c']}, label long")
     each = labelled.groupBy("scene_id", "label").agg(F.count("*").alias("n_px"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("r", "c")).alias("first"))
-    each = each.withColumn("area_km2", F.col("n_px") * pixel_km2).where(F.col("area_km2").between(least_km2, most_km2) & (F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) + 1 >= least_extent))
+    each = each.withColumn("area_km2", F.col("n_px") * pixel_km2)
+    long = F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) + 1 >= least_extent
+    each = each.where((F.col("area_km2") <= most_km2) & ((F.col("area_km2") >= least_km2) | long))
     order = F.row_number().over(Window.partitionBy("scene_id").orderBy("first"))
     return each.select("scene_id", order.alias("region_id"), "n_px", "area_km2", "r0", "r1", "c0", "c1")
 

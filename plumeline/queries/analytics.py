@@ -369,7 +369,7 @@ def e30(spark: SparkSession, sf: str) -> DataFrame:
 @query("n06_dark_regions")
 def n06(spark: SparkSession, sf: str) -> DataFrame:
     px = synth.radar_scene(spark, "s", 96, 96, slick=(48, 40, 5.0, 18.0, 0.3))
-    return image.dark_regions(px, 30, (21, 41))
+    return image.dark_regions(px, 0.01, 0.3, 500.0, 80, (21, 41))
 
 
 @query("n09_bright_contacts")

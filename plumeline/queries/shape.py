@@ -129,4 +129,4 @@ def n11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("n08_edge_and_shape")
 def n08(spark: SparkSession, sf: str) -> DataFrame:
-    return image.dark_regions(synth.radar_scene(spark, "s", 96, 96, slick=(48, 48, 6.0, 24.0, 0.5)), 30, (21, 41)).select("region_id", "edge_gradient", "solidity", "elongation")
+    return image.dark_regions(synth.radar_scene(spark, "s", 96, 96, slick=(48, 48, 6.0, 24.0, 0.5)), 0.01, 0.3, 500.0, 80, (21, 41)).select("region_id", "edge_gradient", "solidity", "elongation")

@@ -243,7 +243,7 @@ def test_fewest_groups():
 
 def test_dark_region_is_found(spark):
     px = synth.radar_scene(spark, "s", 96, 96, slick=(48, 40, 5.0, 18.0, 0.0))
-    r = image.dark_regions(px, 30, (21, 41)).collect()
+    r = image.dark_regions(px, 0.01, 0.3, 500.0, 80, (21, 41)).collect()
     truth = px.agg(F.sum("gt")).first()[0]
     assert len(r) == 1 and abs(r[0].area_px - truth) < 0.25 * truth and r[0].contrast_db < -5 and r[0].elongation > 2.5
 
@@ -394,3 +394,28 @@ def test_placeholders_at_any_depth(spark):
 
     doc = '{"a": {"b": [1, {"c": "TODO, prose"}]}, "_status": "TODO", "d": [["x", "TODO"]]}'
     assert {r.path for r in placeholders(spark.createDataFrame([(1, doc), (2, None)], "case_id int, body string")).collect()} == {"a.b[1].c", "d[0][1]"}
+
+
+def test_ring_and_closing_by_brute_force():
+    rng = np.random.default_rng(3)
+    mask = rng.random((30, 26)) < 0.04
+    on = list(zip(*np.nonzero(mask), strict=True))
+    steps = np.array([[min(abs(r - a) + abs(c - b) for a, b in on) for c in range(26)] for r in range(30)])
+    assert np.array_equal(image.steps_to(mask), steps)
+    k = image.ellipse(7)
+    at = lambda m, r, c, other: m[r, c] if 0 <= r < 30 and 0 <= c < 26 else other
+    wide = np.array([[any(at(mask, r + a, c + b, False) for a, b in k) for c in range(26)] for r in range(30)])
+    want = np.array([[all(at(wide, r + a, c + b, True) for a, b in k) for c in range(26)] for r in range(30)])
+    assert np.array_equal(image.closed(mask, 7), want)
+
+
+def test_dark_region_by_hand():
+    """A strip 6 dB below an even sea: its pixels, contrast and box; a short speck is left out, a long thin streak kept."""
+    db = np.full((160, 200), -10.0)
+    db[60:70, 40:140] = -16.0
+    db[120:122, 50:140] = -16.0
+    db[20:24, 20:24] = -16.0
+    r = image.regions_of("s", db, 1e-4, 0.05, 500.0, 80, (41,))
+    big = r[r.area_px > 500].iloc[0]
+    assert len(r) == 2 and abs(big.area_px - 1000) <= 60 and big.contrast_db == -6.0 and (abs(big.r - 64.5) < 1 and abs(big.c - 89.5) < 1)
+    assert len(image.regions_of("s", db, 1e-4, 0.05, 0.05, 80, (41,))) == 1
