@@ -53,8 +53,8 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(batch.slice(i, 1))
 
 
-def block_table(docs: DataFrame, scratch: Scratch, name: str, fold_of: Callable[[object], int] = lambda _: 0) -> DataFrame:
-    """docs (doc_id, text) packed into written rows of about BLOCK_BYTES of text.
+def block_table(docs: DataFrame, scratch: Scratch, name: str, fold_of: Callable[[object], int] = lambda _: 0, most: int = BLOCK_BYTES) -> DataFrame:
+    """docs (doc_id, text) packed into written rows of about `most` bytes of text.
 
     A block holds only documents of one fold, a number from 0 to 7 that fold_of gives to an id and
     that is the rest of `block` modulo 8. Columns: block, fold, ids, lens (bytes of each text, -1
@@ -80,7 +80,7 @@ def block_table(docs: DataFrame, scratch: Scratch, name: str, fold_of: Callable[
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 k = fold_of(i)
                 n = len(t) if t is not None else 0
-                if k in open_ and full[k] + n > BLOCK_BYTES:
+                if k in open_ and full[k] + n > most:
                     yield row(k)
                 if k not in open_:
                     open_[k], full[k] = ([], [], []), 0

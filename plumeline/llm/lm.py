@@ -34,6 +34,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 PAIR = np.uint64(0x2545F4914F6CDD1D)
 #: Context classes: never seen, then one for each power of two.
 CLASSES = 32
+#: Bytes of text in a block: a task holds several numbers for each of its tokens.
+BLOCK_BYTES = 5_000_000
 #: Rounds of expectation-maximisation.
 ROUNDS = 20
 SCHEMA = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -147,7 +149,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return HELD_OUT if k == held_out else DELETED if k == deleted else TRAIN
 
     scratch = Scratch(docs.sparkSession, "lm")
-    blocks = block_table(pick(docs, doc_id=id_col, text=text_col), scratch, "blocks", fold_of)
+    blocks = block_table(pick(docs, doc_id=id_col, text=text_col), scratch, "blocks", fold_of, BLOCK_BYTES)
     answers = scratch.write(exchange(blocks, _ask, _answer, ASK, TOLD, bucket_bits(blocks) if bits is None else bits, scratch, None, ("c", "d"), fan, team), "answers")
     sums = answers.where("tally is not null").agg(*(F.coalesce(F.sum(F.col("tally")[k]), F.lit(0)) for k in range(3))).first()
     vocabulary, tokens, gone = int(sums[0]), int(sums[1]), int(sums[2])
