@@ -11,7 +11,8 @@ one link to its local component instead of all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +27,9 @@ from .scratch import Scratch
 from .text import pick, pieces, text_bytes
 
 PIECE_BYTES = 2_000_000
+#: Bytes of a text that are split into words together.
+PART_BYTES = 1_000_000
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SHARD_ROWS = 8192
 #: Bytes of tiles that a task takes together, and shingles in a part of a shard.
 TILE_BYTES, PART_SHINGLES = 16_000_000, 4_000_000
@@ -33,35 +37,62 @@ TILE_BYTES, PART_SHINGLES = 16_000_000, 4_000_000
 FRONTIER = 2_000_000
 
 
-def shingle_digests(text: bytes | None, size: int, seed: int) -> list[bytes]:
-    """XXH64 digests of the shingles of lowered words; a shorter text is one shingle, an empty one none."""
-    w = text.lower().split() if text else []
-    if len(w) <= size:
-        return [xxh64_digest(b" ".join(w), seed)] if w else []
-    return [xxh64_digest(s, seed) for s in map(b" ".join, zip(*(w[i:] for i in range(size)), strict=False))]
+def shingle_digests(text: bytes | None, size: int, seed: int) -> Iterator[bytes]:
+    """XXH64 digests of the shingles of lowered words, those of a part of the text joined at a time.
+
+    A text of fewer words is one shingle, an empty one none. Parts end at white space and the last
+    words of one go on to the next, so a long text costs no more memory at once than a part.
+    """
+    words, at, fewer = [], 0, True
+    while text and at < len(text):
+        cut = SPACE.search(text, at + PART_BYTES)
+        end = cut.start() if cut else len(text)
+        words += text[at:end].lower().split()
+        at = end
+        if len(words) >= size:
+            yield b"".join(xxh64_digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+            words, fewer = words[len(words) - size + 1 :], False
+    if words and fewer:
+        yield xxh64_digest(b" ".join(words), seed)
 
 
 def fingerprints(texts: list[bytes | None], size: int = 3, seed: int = 42) -> np.ndarray:
     """A 64-bit fingerprint for each text: a bit is set if it is in over half of the shingles' hashes."""
-    return _majority([b"".join(shingle_digests(t, size, seed)) for t in texts])
+    return _majority(shingle_digests(t, size, seed) for t in texts)
 
 
 def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     """As fingerprints, from sets of distinct shingle hashes: what a text repeats counts once."""
-    return _majority([s.astype(">u8").tobytes() for s in sets])
-
-
-def _majority(parts: list[bytes]) -> np.ndarray:
-    """For each run of 8-byte hashes the bits that are set in over half of them."""
-    out = np.zeros(len(parts), np.uint64)
-    n = np.array([len(p) // 8 for p in parts])
-    full = np.flatnonzero(n)
-    if full.size:
-        bits = np.unpackbits(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8), axis=1)
-        starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32)
-        out[full] = np.packbits(2 * ones > n[full, None], axis=1).view(">u8").ravel()
-    return out
+    return _majority((s[k : k + PART_BYTES // 2].astype(">u8").tobytes() for k in range(0, len(s), PART_BYTES // 2)) for s in sets)
+
+
+def _majority(texts: Iterable[Iterable[bytes]]) -> np.ndarray:
+    """For each text, its 8-byte hashes in parts, the bits that are set in over half of them."""
+    n, ones = [], []
+    held, owner, size = [], [], 0
+
+    def count() -> None:
+        bits = np.unpackbits(np.frombuffer(b"".join(held), np.uint8).reshape(-1, 8), axis=1)
+        starts = np.cumsum([0, *(len(p) // 8 for p in held[:-1])])
+        for k, sums in zip(owner, np.add.reduceat(bits, starts, axis=0, dtype=np.uint32), strict=True):
+            ones[k] += sums
+
+    for k, parts in enumerate(texts):
+        n.append(0)
+        ones.append(np.zeros(64, np.int64))
+        for part in parts:
+            held.append(part)
+            owner.append(k)
+            n[k] += len(part) // 8
+            size += len(part)
+            if size >= 4 * PART_BYTES:
+                count()
+                held, owner, size = [], [], 0
+    if held:
+        count()
+    if not n:
+        return np.zeros(0, np.uint64)
+    return np.packbits(2 * np.stack(ones) > np.array(n)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def simhash(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
@@ -244,8 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints and so one component; null and empty texts have the fingerprint zero, linked like
     any other. Repeated doc_ids give a row each. A null doc_id can't name a component: its row
     takes part, and gets null where no row with an id has a linked fingerprint. Other columns of
-    docs are left out, whatever their names. Exact copies are collapsed by a partial aggregate
-    before anything else is shuffled.
+    docs are left out, whatever their names. Very long texts count whole, read a part at a time. Exact copies
+    are collapsed by a partial aggregate before anything else is shuffled.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(simhash(pick(docs, doc_id=id_col, text=text_col), size, seed), "fingerprints")
@@ -277,6 +308,12 @@ def _shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_digests(text, size, 0)), ">u8").astype(np.uint64))
 
 
+def _least(s: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The least hash of a set under each salt, for a part of the set at a time."""
+    cuts = range(0, len(s), PART_BYTES // 2)
+    return np.min([mix(s[None, k : k + PART_BYTES // 2] * salts[:, None]).min(axis=1) for k in cuts], axis=0)
+
+
 def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """2048 parities of each set; two sketches differ in no more bits than the sets in elements."""
     rows = [np.packbits((np.bincount((x & x.dtype.type(2047)).astype(np.int64), minlength=2048) & 1).astype(np.uint8)) for x in sets]
@@ -366,7 +403,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
             for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 sets = [_shingles(t, size) for t in texts]
-                least = [[int(x) for x in (mix(s[None, :] * salts[:, None]).min(axis=1)).view(np.int64)] if len(s) else [] for s in sets]
+                least = [_least(s, salts).view(np.int64).tolist() if len(s) else [] for s in sets]
                 names = ["doc_id", "t1", "t2", "fp", "sig", "n", "least"]
                 cols = [part.column(0), part.column(2), part.column(3), pa.array(set_fingerprints(sets).view(np.int64)), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names)

@@ -44,6 +44,21 @@ def roots(n, linked):
     return label
 
 
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_fingerprints_of_texts_in_parts(monkeypatch, size):
+    """Where a text is cut changes nothing: words longer than a part, white space alone, fewer words than a shingle."""
+    texts = [LONG[:9000], "a " * 700, " \n" * 300, "w" * 500 + " b c", "one two", " x", "", None]
+    whole = [b"".join(simhash.shingle_digests(t and t.encode(), size, 42)) for t in texts]
+    sets = [simhash._shingles(t and t.encode(), size) for t in texts]
+    salts = np.array([3, 5], np.uint64)
+    marks, least = simhash.set_fingerprints(sets), [simhash._least(x, salts).tolist() for x in sets if len(x)]
+    monkeypatch.setattr(simhash, "PART_BYTES", 50)
+    assert [b"".join(simhash.shingle_digests(t and t.encode(), size, 42)) for t in texts] == whole
+    assert simhash.fingerprints([t and t.encode() for t in texts], size).tolist() == [brute_fp(t, size) for t in texts]
+    assert simhash.set_fingerprints(sets).tolist() == marks.tolist()
+    assert [simhash._least(x, salts).tolist() for x in sets if len(x)] == least
+
+
 @pytest.mark.parametrize("shard_rows", [8192, 2])
 def test_simhash_components(spark, shard_rows):
     rows = awkward()
