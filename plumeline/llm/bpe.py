@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 from .text import pick, pieces, text_bytes
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 CACHE_CHUNKS = 300_000
 NEVER = np.int64(1 << 40)
 #: Separators that str.split parts at although they are no white space in Unicode.

@@ -26,13 +26,13 @@ from .components import components
 from .scratch import Scratch
 from .text import pick, pieces, text_bytes
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 #: Bytes of a text that are split into words together.
-PART_BYTES = 1_000_000
+PART_BYTES = 500_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SHARD_ROWS = 8192
 #: Bytes of tiles that a task takes together, and shingles in a part of a shard.
-TILE_BYTES, PART_SHINGLES = 16_000_000, 4_000_000
+TILE_BYTES, PART_SHINGLES = 8_000_000, 4_000_000
 #: Pairs of a query and a tree node that are looked at together.
 FRONTIER = 2_000_000
 
