@@ -74,11 +74,12 @@ def _word_counts(docs: DataFrame, vocabulary: DataFrame, most: int) -> DataFrame
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
         has = known.value.__contains__ if known else None
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                total.update(filter(has, match_words(t)) if has else match_words(t))
-                if len(total) > HELD_WORDS:
-                    yield flush()
-                    total.clear()
+            for part in pieces(batch, text_bytes(batch.column(0)), PIECE_BYTES):
+                for t in part.column(0).cast(pa.binary()).to_pylist():
+                    total.update(filter(has, match_words(t)) if has else match_words(t))
+                    if len(total) > HELD_WORDS:
+                        yield flush()
+                        total.clear()
         yield flush()
 
     counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -15,16 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, as they are; null has none."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z lowered; null has none."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def fold(doc_id: object, n: int) -> int:
     """crc32 of the id as text, modulo n. A null id counts as the empty text."""
     return binascii.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
