@@ -107,9 +107,18 @@ def best_threshold(df: DataFrame, score: str = "score", label: str = "label", le
 
 
 def stratified_split(units: DataFrame, unit: str, stratum: str, folds: int = 5, seed: int = 0) -> DataFrame:
-    """(unit, stratum, fold): folds dealt in turn within each stratum in hash order, so that each has its share."""
-    k = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(unit, F.lit(seed)), unit)) - 1
-    return units.select(unit, stratum, F.pmod(k, F.lit(folds)).alias("fold"))
+    """(unit, stratum, fold): folds dealt in turn within each stratum in hash order, so that each has its share.
+
+    A stratum may be most of the rows: ranks are taken in 4096 ranges of hashes, and the counts of
+    the ranges before, 4096 rows for each stratum at most, are added.
+    """
+    cell = ["_stratum", "_range"]
+    hashed = units.select(unit, stratum, F.col(stratum).alias("_stratum"), F.xxhash64(unit, F.lit(seed)).alias("_h")).withColumn("_range", F.shiftright("_h", 52))
+    below = Window.partitionBy("_stratum").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = hashed.groupBy(*cell).agg(F.count("*").alias("_n")).select(F.col("_stratum").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
+    ranked = hashed.withColumn("_k", F.row_number().over(Window.partitionBy(*cell).orderBy("_h", unit)) - 1)
+    placed = ranked.join(before, F.col("_stratum").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    return placed.select(unit, stratum, F.pmod(F.col("_k") + F.col("_before"), F.lit(folds)).cast("int").alias("fold"))
 
 
 def scene_labels(rows: DataFrame, scene: str = "scene_id") -> DataFrame:
