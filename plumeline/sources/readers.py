@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +23,26 @@ POSITIONS = T.StructType([T.StructField(n, t) for n, t in (
 )])
 
 
+#: First lines of files that are read at the same time.
+HEADERS_AT_A_TIME = 16
+
+
 def read_reports(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """Daily CSV files, joined by column name, ids as text; bad lines stand in `_bad`.
 
-    Years differ in their columns: each header that occurs is read with the columns it has.
+    Years differ in their columns: each header that occurs is read with the columns it has. Headers
+    are read by small jobs of one line, some at a time.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        head = spark.read.text(p).limit(1).collect()
-        names = tuple(x.strip().strip('"') for x in head[0][0].lstrip("﻿").split(",")) if head else ()
-        by_header.setdefault(names, []).append(p)
+
+    def header(path: str) -> tuple[str, ...]:
+        head = spark.read.text(path).limit(1).collect()
+        return tuple(x.strip().strip('"') for x in head[0][0].lstrip("﻿").split(",")) if head else ()
+
+    paths = list(paths)
+    with ThreadPoolExecutor(HEADERS_AT_A_TIME) as pool:
+        for p, names in zip(paths, pool.map(header, paths), strict=True):
+            by_header.setdefault(names, []).append(p)
     known = {f.name: f for f in RAW_REPORT}
     out = None
     for names, files in by_header.items():
