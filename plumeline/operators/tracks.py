@@ -6,6 +6,10 @@ and ordered by time, so a fleet of any size spreads over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -65,11 +69,10 @@ def silences_over(gapped: DataFrame, t0, t1) -> DataFrame:  # noqa: ANN001
 
 
 def longest_silence(positions: DataFrame, t0, t1) -> DataFrame:  # noqa: ANN001
-    """(mmsi, max_gap_min, window_gap_min): longest silence, and longest that overlaps the window; 0 for none."""
+    """(mmsi, max_gap_min, window_gap_min): longest silence, and longest that overlaps the window; to a decimal, 0 for none."""
     inside = (F.col("ts") < t1) & (F.col("next_ts") > t0)
-    return with_gaps(positions).groupBy("mmsi").agg(
-        F.coalesce(F.bround(F.max("gap_min"), 1), F.lit(0.0)).alias("max_gap_min"), F.coalesce(F.max(F.when(inside, F.col("gap_min"))), F.lit(0.0)).alias("window_gap_min")
-    )
+    longest = lambda gap: F.coalesce(F.bround(F.max(gap), 1), F.lit(0.0))
+    return with_gaps(positions).groupBy("mmsi").agg(longest(F.col("gap_min")).alias("max_gap_min"), longest(F.when(inside, F.col("gap_min"))).alias("window_gap_min"))
 
 
 def underway_median(positions: DataFrame, least: int = 3) -> DataFrame:
@@ -150,15 +153,37 @@ def decimate(positions: DataFrame, most: int = 500) -> DataFrame:
 def thin_by_cadence(positions: DataFrame, seconds: float) -> DataFrame:
     """Keep a fix if it is at least `seconds` after the last one kept; the first is kept.
 
-    What is kept depends on what was kept before, so each track folds over its ordered fixes.
+    What is kept depends on what was kept before, which no window expresses. Fixes stream past in
+    order of vessel and time, other columns breaking ties, and only the last kept instant is
+    remembered, so a track of any length costs one batch. Fixes without a time are left out; those
+    without a vessel are one track.
     """
-    rows = F.array_sort(F.collect_list(F.struct("ts", *(c for c in positions.columns if c not in ("mmsi", "ts")))))
-    packed = positions.groupBy("mmsi").agg(rows.alias("rows"))
-    kept = F.aggregate(
-        "rows", F.slice("rows", 1, 0),
-        lambda out, r: F.when((F.size(out) == 0) | ((F.unix_micros(r["ts"]) - F.unix_micros(F.try_element_at(out, F.lit(-1))["ts"])) >= F.lit(seconds * 1e6)), F.concat(out, F.array(r))).otherwise(out),
-    )
-    return packed.select("mmsi", F.inline(kept))
+    others = [c for c in positions.columns if c not in ("mmsi", "ts")]
+    ordered = positions.where("ts is not null").select("mmsi", "ts", *others, F.unix_micros("ts").alias("_us"))
+    ordered = ordered.repartition("mmsi").sortWithinPartitions("mmsi", "ts", *others)
+    wait = max(int(-(-seconds * 1e6 // 1)), 0)
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vessel, due = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            us = batch.column(batch.num_columns - 1).to_numpy()
+            track = batch.column(0).dictionary_encode(null_encoding="encode")
+            code = track.indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            kept = []
+            for a, z in zip(starts, np.r_[starts[1:], len(us)], strict=True):
+                name = track.dictionary[int(code[a])].as_py()
+                at = a + np.searchsorted(us[a:z], due, "left") if due is not None and name == vessel else a
+                while at < z:
+                    kept.append(at)
+                    due = int(us[at]) + wait
+                    at = max(at + 1, a + np.searchsorted(us[a:z], due, "left"))
+                vessel = name
+            yield batch.take(pa.array(kept, pa.int64())).select(range(batch.num_columns - 1))
+
+    return ordered.mapInArrow(thin, ordered.drop("_us").schema)
 
 
 def clip_to_window(positions: DataFrame, t0, t1) -> DataFrame:  # noqa: ANN001

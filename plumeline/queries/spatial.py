@@ -143,10 +143,9 @@ def d20(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").join(s, "l_suppkey").groupBy("l_suppkey", "s_nationkey").agg(F.count("*").alias("n"))
 
 
-@query("e09_longest_silence", f"WITH {POS}, {GAPS} SELECT mmsi, coalesce(round_even(max((nus - us) / 60e6), 1), 0) AS max_gap_min, round(coalesce(max((nus - us) / 60e6) FILTER (WHERE us < {T1_US} AND nus > {T0_US}), 0), 6) AS window_gap_min FROM g GROUP BY mmsi")
+@query("e09_longest_silence", f"WITH {POS}, {GAPS} SELECT mmsi, coalesce(round_even(max((nus - us) / 60e6), 1), 0) AS max_gap_min, coalesce(round_even(max((nus - us) / 60e6) FILTER (WHERE us < {T1_US} AND nus > {T0_US}), 1), 0) AS window_gap_min FROM g GROUP BY mmsi")
 def e09(spark: SparkSession, sf: str) -> DataFrame:
-    d = tracks.longest_silence(positions(spark, sf), instant(T0), instant(T1))
-    return d.select("mmsi", "max_gap_min", r6("window_gap_min").alias("window_gap_min"))
+    return tracks.longest_silence(positions(spark, sf), instant(T0), instant(T1))
 
 
 @query("e18_centroid_and_radii", "WITH p AS (SELECT l_returnflag AS k, l_quantity / 50 AS lon, l_discount * 10 AS lat FROM lineitem), c AS (SELECT k, avg(lon) AS clon, avg(lat) AS clat FROM p GROUP BY k), d AS (SELECT k, clon, clat, sqrt(pow((lon - clon) * greatest(cos(radians(lat)), 1e-6) * 111320, 2) + pow((lat - clat) * 111320, 2)) / 1000 AS d FROM p JOIN c USING (k)) SELECT k, round(clon, 6) AS clon, round(clat, 6) AS clat, round(quantile_cont(d, 0.5), 5) AS r50_km, round(quantile_cont(d, 0.9), 5) AS r90_km FROM d GROUP BY k, clon, clat")

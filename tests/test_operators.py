@@ -1,13 +1,14 @@
 """Hand-computed cases of the library's operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumeline.functions import geo, scalars
-from plumeline.operators import age, compare, dark, drift, image, ingest, posterior, score, slick, synth, tracks, validate
+from plumeline.operators import age, compare, dark, drift, evaluate, image, ingest, posterior, score, slick, synth, tracks, validate
 from plumeline.operators import grid as G
 
 TRACK = "mmsi string, ts timestamp, lon double, lat double, sog double, cog double, source string"
@@ -82,6 +83,8 @@ def test_silence_overlaps_strictly(spark):
     w = lambda a, b: tracks.longest_silence(p, F.to_timestamp(F.lit(a)), F.to_timestamp(F.lit(b))).first().window_gap_min
     assert w("2024-01-01 00:30:00", "2024-01-01 00:40:00") == 60
     assert w("2024-01-01 01:00:00", "2024-01-01 01:05:00") == 10
+    p = fixes(spark, [("2024-01-01 00:00:00", -94, 5.0, "noaa"), ("2024-01-01 00:20:20", -93, 5.0, "noaa")])
+    assert w("2024-01-01 00:00:00", "2024-01-01 00:10:00") == 20.3
 
 
 def test_dense_wins_by_hour(spark):
@@ -94,6 +97,35 @@ def test_thinning_depends_on_what_was_kept(spark):
     assert [r.ts.second for r in tracks.thin_by_cadence(p, 10).orderBy("ts").collect()] == [0, 10, 20]
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_thinning_equals_a_walk_over_each_track(spark, batch):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(60)]), k) for k in range(300)]
+    p = spark.createDataFrame(rows, "mmsi string, s int, k int").select("mmsi", F.timestamp_seconds("s").alias("ts"), "k")
+    want = set()
+    for m in ("a", "b", "c", None):
+        last = None
+        for s, k in sorted((s, k) for n, s, k in rows if n == m and s is not None):
+            if last is None or s - last >= 7.5:
+                want.add((m, k))
+                last = s
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [(r.mmsi, r.k) for r in tracks.thin_by_cadence(p, 7.5).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_strata_are_dealt_in_turn(spark):
+    rows = [(k, None if k % 50 == 0 else "few" if k % 9 == 0 else "many") for k in range(3000)]
+    split = evaluate.stratified_split(spark.createDataFrame(rows, "u long, s string"), "u", "s", folds=7)
+    assert split.count() == split.select("u").distinct().count() == 3000
+    sizes = split.groupBy("s").agg(F.countDistinct("fold").alias("folds"), F.count("*").alias("n")).join(split.groupBy("s", "fold").count().groupBy("s").agg((F.max("count") - F.min("count")).alias("apart")).withColumnRenamed("s", "z"), F.col("s").eqNullSafe(F.col("z")))
+    assert [(r.folds, r.apart <= 1) for r in sizes.collect()] == [(7, True)] * 3
+
+
 HEAD = {"west": -95.0, "south": 29.0, "east": -94.0, "north": 30.0, "rows": 3, "cols": 3}
 
 
@@ -304,8 +336,6 @@ def test_library_stands_without_the_llm_folders(tmp_path):
 
 
 def test_running_totals_over_parts(spark):
-    from plumeline.operators import evaluate
-
     df = spark.range(1, 2001).select(((F.col("id") * 7919) % 2003).cast("double").alias("s"), F.lit(1).alias("n"))
     got = sorted((r.s, r.k) for r in evaluate.running_totals(df, "s", {"k": "n"}, parts=32).collect())
     values = sorted((s for s, _ in got), reverse=True)
