@@ -29,21 +29,28 @@ def match_particles(a: DataFrame, b: DataFrame, limit_m: float = 1.0) -> DataFra
     """(case_id, pid, pid2, residual_m): the closest pairs first, each particle once; an incomplete or loose match is an error.
 
     Which pair is taken depends on those before, so a case is matched in one group; ids that both
-    models carry need no matching.
+    models carry need no matching. Only pairs within the limit can stand in a match that is no error,
+    so particles meet by cells of its size, never all with all.
     """
 
     def one(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         wide = 111320.0 * np.cos(np.radians(pd.concat([x["lat"], y["lat"]]).mean()))
         to = lambda d: np.stack([d["lon"] * wide, d["lat"] * 111320.0], axis=1)
-        gap = np.hypot(*(to(x)[:, None, :] - to(y)[None, :, :]).transpose(2, 0, 1))
+        side = limit_m or 1.0
+        near = []
+        for d in (to(x), to(y)):
+            cell = np.floor(d / side).astype("int64")
+            near.append(pd.DataFrame({"n": np.arange(len(d)), "east": d[:, 0], "north": d[:, 1], "cx": cell[:, 0], "cy": cell[:, 1]}))
+        around = pd.concat([near[1].assign(cx=near[1]["cx"] + dx, cy=near[1]["cy"] + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        met = near[0].merge(around, on=["cx", "cy"])
+        met["gap"] = np.hypot(met["east_x"] - met["east_y"], met["north_x"] - met["north_y"])
         left, right, rows = set(range(len(x))), set(range(len(y))), []
-        for flat in np.argsort(gap, axis=None, kind="stable"):
-            i, j = divmod(int(flat), len(y))
+        for i, j, gap in met[met["gap"] <= limit_m].sort_values(["gap", "n_x", "n_y"])[["n_x", "n_y", "gap"]].itertuples(index=False):
             if i in left and j in right:
-                rows.append((x["case_id"].iloc[0], x["pid"].iloc[i], y["pid"].iloc[j], gap[i, j]))
+                rows.append((x["case_id"].iloc[0], x["pid"].iloc[i], y["pid"].iloc[j], gap))
                 left.remove(i)
                 right.remove(j)
-        if left or right or any(r[3] > limit_m for r in rows):
+        if left or right:
             raise ValueError("particles of the two models are not the same set")
         return pd.DataFrame(rows, columns=["case_id", "pid", "pid2", "residual_m"])
 

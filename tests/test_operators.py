@@ -301,6 +301,27 @@ def test_loose_particle_match_is_an_error(spark):
         compare.match_particles(a, a.withColumn("lon", F.col("lon") + 1)).collect()
 
 
+def test_particles_match_as_over_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    lon, lat = -94 + rng.integers(0, 12, 60) * 4e-6, 28 + rng.integers(0, 12, 60) * 4e-6
+    x = [("c", k, float(lon[k]), float(lat[k])) for k in range(60)]
+    y = [("c", 100 + k, float(lon[k] + rng.normal() * 1e-6), float(lat[k])) for k in rng.permutation(60).tolist()]
+    wide = 111320 * math.cos(math.radians(float(np.mean([r[3] for r in x + y]))))
+    pairs = sorted((math.hypot((p[2] - q[2]) * wide, (p[3] - q[3]) * 111320), i, j) for i, p in enumerate(x) for j, q in enumerate(y))
+    want = {}
+    for _, i, j in pairs:
+        if i not in want and j not in want.values():
+            want[i] = j
+    schema = "case_id string, pid int, lon double, lat double"
+    a, b = spark.createDataFrame(x, schema).coalesce(1), spark.createDataFrame(y, schema).coalesce(1)
+    got = compare.match_particles(a, b, limit_m=50.0).collect()
+    assert {r.pid: r.pid2 for r in got} == {x[i][1]: y[j][1] for i, j in want.items()}
+    near = max(r.residual_m for r in got)
+    assert len(compare.match_particles(a, b, limit_m=near + 1e-6).collect()) == 60
+    with pytest.raises(Exception, match="same set"):
+        compare.match_particles(a, b, limit_m=near - 1e-6).collect()
+
+
 @pytest.mark.parametrize(("column", "value", "rule"), [("west", -90.0, "bounds.lon_order"), ("south", 31.0, "bounds.lat_order"), ("east", 181.0, "bounds.lon_range"), ("north", 91.0, "bounds.lat_range"), ("width_px", 0, "bounds.size"), (None, None, None)])
 def test_bound_mutations(spark, column, value, rule):
     b = spark.createDataFrame([("c", -95.0, 28.0, -93.0, 30.0, 10, 10)], "case_id string, west double, south double, east double, north double, width_px int, height_px int")
