@@ -14,9 +14,13 @@ from .decontaminate import find_contamination
 from .lines import drop_frequent_lines
 from .lm import score_texts
 from .quality import quality_scores
+from .ranked import search
+from .scratch import Scratch
 from .shards import assign_shards
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .transducer import count_tokens
+from .trie import numbered, prefix_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +105,41 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of every document; the limit is 4096 tokens."""
+    counted = count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, rank, doc_id, score): the 50 best documents of every benchmark item."""
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv, pos, role, text) and members (conv) of all conversations with the first turns of another.
+
+    Conversation c takes the first h turns of c - c % 100, h = crc32(c) % 6, or all it has, and goes on
+    with its own turns after its first h. Rows without an id belong to no conversation.
+    """
+    scratch = Scratch(conversations.sparkSession, "rebuilt")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv is not null")
+    turns = scratch.write(numbered(rows, "conv", ["turn", "role", "text"], scratch), "turns")
+    known = turns.groupBy("conv").agg(F.max("pos").alias("n"))
+    plan = known.select("conv", (F.col("conv") - F.col("conv") % 100).alias("base"), (F.crc32(F.col("conv").cast("string").cast("binary")) % 6).alias("h"))
+    lent = F.least("h", F.coalesce("n", F.lit(0)))
+    plan = scratch.write(plan.join(known.withColumnRenamed("conv", "base"), "base", "left").select("conv", "base", "h", lent.alias("lent")), "plan")
+    heads = turns.where("pos <= 5").select(F.col("conv").alias("base"), "pos", "role", "text")
+    borrowed = plan.where("lent > 0").join(heads, "base").where("pos <= lent").select("conv", "pos", "role", "text")
+    own = turns.join(plan, "conv").where("pos > h").select("conv", (F.col("pos") - F.col("h") + F.col("lent")).alias("pos"), "role", "text")
+    return borrowed.union(own), plan.select("conv")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations, with its subtree's totals."""
+    return prefix_trie(*rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -112,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_token_counts": op11_token_counts,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -168,4 +210,35 @@ o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)""",
+    "op12_ranked_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT count(*)::BIGINT AS big_n, sum(len(ws))::BIGINT AS big_l FROM d WHERE len(ws) > 0),
+p AS (SELECT doc_id, len(ws)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, ws, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, big_n),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), g GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 50""",
+    "op13_prefix_trie": """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS r FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT c, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)), lambda a, b:
+          list_reduce(list_prepend(xor(a, b), range(1, 9)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS a
+        FROM (SELECT DISTINCT c FROM t)),
+k AS (SELECT c, c - c % 100 AS base, xor(a, 4294967295) % 6 AS h FROM crc),
+ln AS (SELECT c, max(r) AS n FROM t GROUP BY c),
+m AS (SELECT k.c, base, h, least(h, coalesce(n, 0)) AS lent FROM k LEFT JOIN ln ON ln.c = base),
+b AS (SELECT m.c, t.r AS d, role, text FROM m JOIN t ON t.c = base AND t.r <= lent
+      UNION ALL SELECT m.c, t.r - h + lent, role, text FROM m JOIN t ON t.c = m.c AND t.r > h),
+e AS (SELECT c, d, text, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '|') OVER (PARTITION BY c ORDER BY d)) AS s FROM b),
+x AS (SELECT c, d, text, s FROM e UNION ALL SELECT c, 0, '', '' FROM m),
+y AS (SELECT c, d, text, min(c) OVER (PARTITION BY d, s) AS v, lead(c) OVER (PARTITION BY c ORDER BY d) IS NULL AS ends FROM x),
+n AS (SELECT v, d, count(*) AS n_convs, max(length(text)) AS size, coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE ends), '') AS ids FROM y GROUP BY v, d),
+up AS (SELECT n.v, n.d, n_convs, size, ids, y.v AS parent FROM n LEFT JOIN y ON y.c = n.v AND y.d = n.d - 1),
+kids AS (SELECT parent AS v, d - 1 AS d, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL),
+z AS (SELECT v, d, parent, n_convs, size, ids, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (v, d)),
+sums AS (SELECT y.v, y.d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM z JOIN y ON y.c = z.v AND y.d <= z.d GROUP BY y.v, y.d)
+SELECT v AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(ids) AS ends_sha256
+FROM z JOIN sums USING (v, d)""",
 }
