@@ -34,6 +34,7 @@ MAX_STATES = 400_000
 CONTEXT = 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NODE, _LAST, _SINCE = 21, 21, 8  # bits of a code point beside a node; of a piece's node and of a number of pieces in a state's entry
+_PAGE = 16  # bits of a row's place in a page of the table
 _ZERO = 1 << _SINCE - 1  # pieces since may be negative
 SPACE_MARK = "▁"
 
@@ -98,7 +99,7 @@ class Transducer:
         self.states: list[tuple[int, ...]] = [(_ZERO,)]  # entries: node, the last piece's node, pieces since
         self.number = {self.states[0]: 0}
         self._meets: dict[int, bool] = {}
-        self._table(1 << 18)
+        self._table(1 << _PAGE + 2)
         self._place(np.array([[0, _ZERO]]))  # a code point of no piece: counted by its bytes
         for p in ordered:  # compile the vocabulary's own prefixes
             s = 0
@@ -107,7 +108,7 @@ class Transducer:
                 if k not in self.known:
                     self._learn(np.array([k]))
                 s = self.known[k]
-        self.base = (len(self.states), self.table.copy(), self.filled)
+        self.base = (len(self.states), self.table.copy(), self.rest.copy(), self.filled)
 
     def tables(self) -> dict:
         return {k: v for k, v in vars(self).items() if k != "known"}
@@ -160,29 +161,35 @@ class Transducer:
         return k, adds
 
     def _table(self, size: int) -> None:
-        """An empty open-addressing table; a row is a key (state and class) and what it leads to (state and added pieces)."""
-        self.bits, self.filled = size.bit_length() - 1, 0
-        self.table = np.full((size, 2), -1, np.int64)
+        """An empty table; a row is a key (state and class) and what it leads to (state and added pieces).
+
+        A key has one place. A state's keys lie in the page of its number, so that states which texts lead
+        to early, and often, lie close together; the start's keys stand behind, by class. Keys whose
+        place is taken stand apart, sorted.
+        """
+        self.size, self.filled = size, 0
+        self.table = np.full((size + self.classes, 2), -1, np.int64)
+        self.rest = np.full((1, 2), np.iinfo(np.int64).max, np.int64)
         self.known: dict[int, int] | None = {0: 0}
 
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.view(np.uint64) * _MULTIPLIER) >> np.uint64(64 - self.bits)).view(np.int64)
+    def _slot(self, s: np.ndarray, c: np.ndarray, key: np.ndarray) -> np.ndarray:
+        place = ((key.view(np.uint64) * _MULTIPLIER) >> np.uint64(64 - _PAGE)).view(np.int64) | (s << 2 >> _PAGE << _PAGE)
+        return np.where(s == 0, self.size + c, place)
 
     def _place(self, rows: np.ndarray) -> None:
         """Put rows with distinct new keys in the table, all at once."""
-        if 2 * (self.filled + len(rows)) > len(self.table):
-            rows, known = np.r_[self.table[self.table[:, 0] >= 0], rows], self.known
-            self._table(2 << (2 * len(rows)).bit_length())
+        if 4 * len(self.states) > self.size:
+            rows, known = np.r_[self.table[self.table[:, 0] >= 0], self.rest[:-1], rows], self.known
+            self._table(2 * self.size)
             self.known = known
-        slot, todo, mask = self._slot(np.ascontiguousarray(rows[:, 0])), np.arange(len(rows)), len(self.table) - 1
-        while todo.size:
-            free = todo[self.table[slot[todo], 0] < 0]
-            self.table[slot[free], 0] = rows[free, 0]
-            won = self.table[slot[todo], 0] == rows[todo, 0]
-            put = todo[won]
-            self.table[slot[put], 1] = rows[put, 1]
-            todo = todo[~won]
-            slot[todo] = (slot[todo] + 1) & mask
+        key = np.ascontiguousarray(rows[:, 0])
+        slot = self._slot(key // self.classes, key % self.classes, key)
+        free = np.flatnonzero(self.table[slot, 0] < 0)
+        self.table[slot[free[::-1]]] = rows[free[::-1]]
+        left = rows[self.table[slot, 0] != key]
+        if len(left):
+            left = left[np.argsort(left[:, 0])]
+            self.rest = np.insert(self.rest, np.searchsorted(self.rest[:, 0], left[:, 0]), left, axis=0)
         self.filled += len(rows)
 
     def _learn(self, key: np.ndarray) -> None:
@@ -194,8 +201,8 @@ class Transducer:
     def trim(self) -> None:
         """Forget what texts have added, where it is more than MAX_STATES."""
         if len(self.states) > MAX_STATES or len(self._meets) > 8 * MAX_STATES:
-            n, table, self.filled = self.base
-            self.table, self.bits = table.copy(), len(table).bit_length() - 1
+            n, table, rest, self.filled = self.base
+            self.table, self.rest, self.size = table.copy(), rest.copy(), len(table) - self.classes
             del self.states[n:]
             self.number = {s: k for k, s in enumerate(self.states)}
             self._meets = {}
@@ -203,19 +210,19 @@ class Transducer:
     def advance(self, s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States and added pieces after each lane reads its class."""
         key = s * self.classes + c
-        slot = self._slot(key)
         while True:
-            got = self.table.take(slot, axis=0)
+            got = self.table.take(self._slot(s, c, key), axis=0)
             bad = np.flatnonzero(got[:, 0] != key)
-            if not bad.size:
-                to = got[:, 1]
-                return to >> _SINCE, (to & ((1 << _SINCE) - 1)) - _ZERO
-            new = bad[got[bad, 0] < 0]
-            if new.size:
-                self._learn(np.unique(key[new]))
-                slot = self._slot(key)
-            else:
-                slot[bad] = (slot[bad] + 1) & (len(self.table) - 1)
+            if bad.size:
+                other = key[bad]
+                found = self.rest.take(np.searchsorted(self.rest[:, 0], other), axis=0)
+                new = found[:, 0] != other
+                if new.any():
+                    self._learn(np.unique(other[new]))
+                    continue
+                got[bad] = found
+            to = got[:, 1]
+            return to >> _SINCE, (to & ((1 << _SINCE) - 1)) - _ZERO
 
     def resets(self, cls: np.ndarray) -> np.ndarray:
         """Places whose code point is in no piece together with the one before; the first is not judged."""
@@ -333,7 +340,8 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer.of(tables.value)
+        t = tables.value.setdefault("live", None) or Transducer.of({k: v for k, v in tables.value.items() if k != "live"})
+        tables.value["live"] = t  # a process's later tasks go on with what it has compiled
         for batch in batches:
             for part in pieces(batch, text_bytes(batch.column(1)), PIECE_BYTES):
                 n = t.count([x or "" for x in part.column(1).to_pylist()])
