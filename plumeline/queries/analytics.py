@@ -482,12 +482,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return d.where("rank <= 10").select("mmsi", "score", "weight_live", "rank")
 
 
-@query("flagship_suspects_whole")
-def flagship_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole plan, with silences scored and tracks walked between reports; a day between the sparse events is walked over."""
-    head = {**HEAD, "case_id": "c", "clon": -94.0, "clat": 29.0, "radius_90_km": 40.0, "method": "age"}
-    d = attribution.suspects(positions(spark, sf), grid(spark), head, instant(T0), instant(T1), min_points=10, dense_min=1440.0, hourly_min=1440.0)
-    return d.where("rank <= 10").select("mmsi", "score", "weight_live", "n_applicable", "rank")
-
-
 _ = math  # constants in SQL come from the engines

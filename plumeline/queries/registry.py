@@ -7,7 +7,6 @@ operators.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ship_class
+from ..sources.staging import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,9 +96,8 @@ def us(x: Column | str) -> Column:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/plumeline-queries/{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share."""
+    return f"{shared_folder(spark)}/plumeline-queries/{uuid.uuid4().hex}"
 
 
 def instant(text: str) -> Column:
