@@ -120,9 +120,9 @@ def label_components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
             a = label[: h - dr, max(0, -dc) : w - max(0, dc)]
             b = label[dr:, max(0, dc) : w - max(0, -dc)]
             both = (a < h * w) & (b < h * w)
-            low = np.minimum(a, b)
+            low = np.where(both, np.minimum(a, b), h * w)
             a[both] = low[both]
-            b[both] = low[both]
+            np.minimum(b, low, out=b)  # the two views overlap: what the first has lowered stays
         flat = np.append(label.ravel(), h * w)
         label = flat[flat[:-1]].reshape(h, w)
         if np.array_equal(before, label):

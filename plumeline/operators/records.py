@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .image import ellipse, label_components
+from ..sources.staging import staged
+from .image import ellipse
+from .regions import labelled, region_figures
 
 # The properties of a reference slick that may be kept; all others describe its source.
 KEPT_PROPERTIES = ("id", "slick_timestamp", "s1_scene_id", "length", "area", "perimeter", "machine_confidence", "polsby_popper", "fill_factor", "linearity")
@@ -36,48 +38,67 @@ def sealed_properties(features: DataFrame, body: str = "properties") -> DataFram
 
 
 def placeholders(documents: DataFrame, body: str = "body", mark: str = "TODO") -> DataFrame:
-    """(other columns, path) of every text in nested JSON that still holds the mark; keys with a leading underscore are notes."""
+    """(other columns, path) of every text in nested JSON that still holds the mark; keys with a leading underscore are notes.
 
-    def paths(node: object, at: str) -> Iterator[str]:
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if not k.startswith("_"):
-                    yield from paths(v, f"{at}.{k}" if at else k)
-        elif isinstance(node, list):
-            for i, v in enumerate(node):
-                yield from paths(v, f"{at}[{i}]")
-        elif isinstance(node, str) and mark in node:
-            yield at
-
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else list(paths(json.loads(t), "")))
-
-    return documents.select(*(c for c in documents.columns if c != body), F.explode(found(F.col(body))).alias("path"))
+    Documents are opened level by level: the values of a level are rows, of which texts are judged and
+    objects and arrays make the rows of the next. A level is a written table. Null documents and those
+    that are no JSON have no rows; a column named path is replaced.
+    """
+    others = [c for c in documents.columns if c not in (body, "path")]
+    level = documents.select(F.struct(*(documents[c] for c in others), F.lit(0).alias("_")).alias("row"), F.lit("").alias("path"), F.try_parse_json(documents[body]).alias("node"))
+    found = None
+    while True:
+        level = staged(level.where("node is not null").withColumn("kind", F.schema_of_variant("node")), "level")
+        texts = level.where((F.col("kind") == "STRING") & F.contains(F.variant_get("node", "$", "string"), F.lit(mark))).select("row", "path")
+        found = texts if found is None else found.union(texts)
+        nested = level.where(F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY"))
+        if nested.isEmpty():
+            return found.select(*(F.col("row")[c].alias(c) for c in others), "path")
+        inner = nested.lateralJoin(nested.sparkSession.tvf.variant_explode(F.col("node").outer()))
+        place = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "key"))
+        level = inner.where("key is null or not startswith(key, '_')").select("row", place.alias("path"), F.col("value").alias("node"))
 
 
 def limited(hits: DataFrame, client: str = "client", at: str = "at_s", most: int = 5, window_s: float = 60.0) -> DataFrame:
     """hits with `accepted`: a client's hit passes if fewer than `most` accepted ones lie within the last seconds.
 
-    What passes depends on what passed before: hits go by in order, and a client's last `most` are held.
-    """
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in hits.schema)}, accepted boolean"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, recent = object(), deque()
-        for pdf in frames:
-            passed = []
-            for who, t in zip(pdf[client], pdf[at], strict=True):
-                if who != now:
-                    now, recent = who, deque()
-                while recent and t - recent[0] > window_s:
-                    recent.popleft()
-                passed.append(len(recent) < most)
-                if passed[-1]:
-                    recent.append(t)
-            yield pdf.assign(accepted=passed)
+    A client's hits fall into spells: where a whole window passes without a hit, nothing before it counts
+    any more, so spells go to tasks on their own. They are found on the client's occupied windows, not on
+    its hits. Inside a spell, after `most` accepted hits, the next to pass is the first one later than the window
+    after the `most`-th last, found by bisection; refused hits are skipped.
 
-    return hits.repartition(client).sortWithinPartitions(client, at).mapInPandas(run, schema)
+    Null is a client of its own. Hits at one time go by their other columns' order. A hit without a time
+    is neither accepted nor refused: null. A column named accepted is replaced.
+    """
+    names = [c for c in hits.columns if c != "accepted"]
+    rows = hits.select(F.struct(*(hits[c] for c in names)).alias("row"), hits[client].alias("who"), hits[at].cast("double").alias("t"))
+    rows = rows.withColumn("w", F.floor(F.col("t") / F.lit(float(window_s))))
+    order = Window.partitionBy("who").orderBy("w")
+    busy = rows.where("w is not null").select("who", "w").distinct().withColumn("new", F.coalesce(F.col("w") - F.lag("w").over(order) > 1, F.lit(True)))
+    spells = busy.select(F.col("who").alias("who2"), F.col("w").alias("w2"), F.sum(F.col("new").cast("long")).over(order).alias("spell"))
+    timed = rows.where("w is not null").join(spells, F.col("who").eqNullSafe(F.col("who2")) & (F.col("w") == F.col("w2")))
+    timed = timed.withColumn("k", F.row_number().over(Window.partitionBy("who", "spell").orderBy("t", "row"))).select("k", "t", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: list[float] = []
+        for batch in batches:
+            t, first = batch.column(1).to_numpy(), np.flatnonzero(batch.column(0).to_numpy() == 1)
+            ok = np.zeros(len(t), bool)
+            for a, z in zip(np.r_[0, first], np.r_[first, len(t)], strict=True):
+                passed = [] if a < z and (a == first).any() else passed
+                i = a
+                while i < z:
+                    if len(passed) >= most:
+                        i = max(i, a + int(np.searchsorted(t[a:z], passed[-most] + window_s, "right")))
+                        if i == z:
+                            break
+                    ok[i] = True
+                    passed = [*passed[1 - most :], t[i]] if most > 1 else [t[i]]
+                    i += 1
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(ok)], ["row", "accepted"])
+
+    made = timed.mapInArrow(run, StructType([timed.schema["row"], StructField("accepted", BooleanType())]))
+    return made.union(rows.where("w is null").select("row", F.lit(None).cast("boolean"))).select(*(F.col("row")[c].alias(c) for c in names), "accepted")
 
 
 def field_figures(field: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,7 +160,7 @@ def close_mask(mask: DataFrame, scenes: DataFrame, size: int = 7) -> DataFrame:
 
     def spread(pixels: DataFrame) -> DataFrame:
         moved = pixels.withColumn("o", around).select("scene_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
-        return moved.groupBy("scene_id", "r", "c").agg(F.count("*").alias("votes")).join(F.broadcast(scenes), "scene_id").where(inside)
+        return moved.groupBy("scene_id", "r", "c").agg(F.count("*").alias("votes")).join(scenes, "scene_id").where(inside)
 
     out = sum(((F.col("r") + a < 0) | (F.col("c") + b < 0) | (F.col("r") + a >= F.col("rows")) | (F.col("c") + b >= F.col("cols"))).cast("int") for a, b in offsets)
     return spread(spread(mask.distinct())).where(F.col("votes") + out == len(offsets)).select("scene_id", "r", "c")
@@ -149,24 +170,14 @@ def regions_of_scores(scores: DataFrame, scenes: DataFrame, threshold: float, pi
     """(scene_id, region_id, n_px, area_km2, r0, r1, c0, c1) from scores (scene_id, r, c, p, valid).
 
     Pixels at the threshold or above, closed, fall into 8-connected regions that are large or long
-    enough, and not too large; ids follow the first pixel. Labelling takes one scene's closed
-    pixels at a time, which the threshold keeps far below the scene.
+    enough, and not too large; ids follow the first pixel. Regions are labelled over tiles, so a task
+    holds no more than one.
     """
     closed = close_mask(scores.where((F.col("p") >= threshold) & F.col("valid")).select("scene_id", "r", "c"), scenes, size)
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf.r.to_numpy(), pdf.c.to_numpy()
-        grid = pd.DataFrame(False, index=range(r.min(), r.max() + 1), columns=range(c.min(), c.max() + 1)).to_numpy(copy=True)
-        grid[r - r.min(), c - c.min()] = True
-        return pdf.assign(label=label_components(grid)[r - r.min(), c - c.min()])
-
-    kinds = {f.name: f.dataType.simpleString() for f in closed.schema}
-    labelled = closed.groupBy("scene_id").applyInPandas(label, f"scene_id {kinds['scene_id']}, r {kinds['r']}, c {kinds['c']}, label long")
-    each = labelled.groupBy("scene_id", "label").agg(F.count("*").alias("n_px"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("r", "c")).alias("first"))
-    each = each.withColumn("area_km2", F.col("n_px") * pixel_km2)
+    each = region_figures(labelled(closed)).withColumn("area_km2", F.col("n_px") * pixel_km2)
     long = F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) + 1 >= least_extent
     each = each.where((F.col("area_km2") <= most_km2) & ((F.col("area_km2") >= least_km2) | long))
-    order = F.row_number().over(Window.partitionBy("scene_id").orderBy("first"))
+    order = F.row_number().over(Window.partitionBy("scene_id").orderBy("label"))
     return each.select("scene_id", order.alias("region_id"), "n_px", "area_km2", "r0", "r1", "c0", "c1")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import records
+from ..operators import records, regions
 from .registry import query, r6, table
 
 
@@ -37,7 +37,13 @@ def c22(spark: SparkSession, sf: str) -> DataFrame:
     return records.placeholders(table(spark, sf, "supplier").selectExpr("s_suppkey as case_id", f"{_DOC} as body"))
 
 
-@query("f21_rate_limit")
+_RECENT = "list_filter(r.rec, lambda x: h.t - x <= 60)"
+
+
+@query("f21_rate_limit", f"""WITH RECURSIVE h AS (SELECT event_id, user_id AS who, epoch_us(ts) / 3600e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT who, k, event_id, TRUE AS accepted, [t] AS rec FROM h WHERE k = 1
+ UNION ALL SELECT h.who, h.k, h.event_id, len({_RECENT}) < 5, CASE WHEN len({_RECENT}) < 5 THEN list_append({_RECENT}, h.t) ELSE {_RECENT} END FROM r JOIN h ON h.who = r.who AND h.k = r.k + 1)
+SELECT event_id, accepted FROM r""")
 def f21(spark: SparkSession, sf: str) -> DataFrame:
     """Uploads of a user, a second for each hour of the events, five a minute."""
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600e6)).alias("at_s"))
@@ -96,6 +102,19 @@ def n18(spark: SparkSession, sf: str) -> DataFrame:
     return records.regions_of_scores(px, scenes, 0.5, 0.01).select("scene_id", "region_id", F.col("n_px").cast("int").alias("n_px"), r6("area_km2").alias("area_km2"))
 
 
+_SPOTS = "px AS (SELECT DISTINCT l_suppkey AS s, l_orderkey % 61 AS r, l_partkey % 59 AS c FROM lineitem)"
+
+
+@query("n06_tiled_regions", f"""WITH RECURSIVE {_SPOTS}, w AS (SELECT s, r * 100 + c AS a, r, c FROM px UNION SELECT w.s, w.a, px.r, px.c FROM w JOIN px ON px.s = w.s AND px.r BETWEEN w.r - 1 AND w.r + 1 AND px.c BETWEEN w.c - 1 AND w.c + 1),
+l AS (SELECT s, r, c, min(a) AS a FROM w GROUP BY ALL)
+SELECT s AS scene_id, a // 100 AS first_r, a % 100 AS first_c, count(*) AS n_px, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM l GROUP BY s, a""")
+def n06_tiled(spark: SparkSession, sf: str) -> DataFrame:
+    """A scene of 61 x 59 pixels for each supplier, a set one for each of its sales, labelled in tiles of 16."""
+    px = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("scene_id"), (F.col("l_orderkey") % 61).alias("r"), (F.col("l_partkey") % 59).alias("c"))
+    each = regions.region_figures(regions.labelled(px, tile=16))
+    return each.select("scene_id", F.shiftright("label", 32).alias("first_r"), F.col("label").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first_c"), "n_px", "r0", "r1", "c0", "c1")
+
+
 @query("u08_shrunk_scene", "SELECT l_suppkey % 3 AS scene_id, l_orderkey % 100 // 8 AS r, l_partkey % 100 // 8 AS c, round(avg(l_quantity), 6) AS db FROM lineitem GROUP BY 1, 2, 3")
 def u08(spark: SparkSession, sf: str) -> DataFrame:
     px = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("scene_id"), (F.col("l_orderkey") % 100).alias("r"), (F.col("l_partkey") % 100).alias("c"), F.col("l_quantity").alias("db"))
