@@ -5,9 +5,11 @@ are merge-anti-joined with the runs of keys already known to be frequent, and th
 sorted run. Runs are levelled: when a level has FANOUT runs they are merged into one run of the next
 level, and keys whose sum reaches the limit move to the settled runs. A last merge settles all.
 
-Runs are tables bucketed and sorted by key in one fixed number of buckets, as are the keys of the
-batches: after these are dealt to buckets once, counting, anti-joins and merges shuffle nothing. Runs
-outlive the session: `LineRuns.state` is all that a later one needs to add its own batches.
+Runs are tables bucketed and sorted by key in one number of buckets, taken from the size of the
+texts, as are the keys of the batches: after these are dealt to buckets once, counting, anti-joins and
+merges, always of two runs, shuffle nothing; Spark sorts a bucket again before it merges. Settled runs
+are levelled too, so that a batch meets a few of them. Runs outlive the session: `LineRuns.state` is all
+that a later one needs to add its own batches.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .text import pick, pieces, text_bytes
 
 PIECE_BYTES = 2_000_000
 FANOUT = 3
+#: Bytes of text for each bucket of keys, where that makes more buckets than there are shuffle partitions.
+BUCKET_BYTES = 512_000_000
 #: Settled keys that may be sent to every executor (16 bytes each); with more, keys are joined to documents.
 BROADCAST_KEYS = 500_000
 
@@ -47,17 +51,18 @@ class LineRuns:
         self.prefix = f"plumeline_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
         self.settled: list[str] = []
+        self.weights: list[int] = []  # compactions that a settled run holds
         self.made = 0
 
     def state(self) -> dict:
         """What :meth:`resume` needs, as plain values."""
-        return {"root": self.root, "limit": self.limit, "buckets": self.buckets, "fanout": self.fanout, "levels": self.levels, "settled": self.settled, "made": self.made}
+        return {"root": self.root, "limit": self.limit, "buckets": self.buckets, "fanout": self.fanout, "levels": self.levels, "settled": self.settled, "weights": self.weights, "made": self.made}
 
     @classmethod
     def resume(cls, spark: SparkSession, state: dict) -> LineRuns:
         """The runs that another session left under their root."""
         out = cls(spark, *(state[k] for k in ("root", "limit", "buckets", "fanout")))
-        out.levels, out.settled, out.made = [list(x) for x in state["levels"]], list(state["settled"]), state["made"]
+        out.levels, out.settled, out.weights, out.made = [list(x) for x in state["levels"]], list(state["settled"]), list(state["weights"]), state["made"]
         runs = {n: "key binary, n bigint" for level in out.levels for n in level} | dict.fromkeys(out.settled, "key binary")
         for name, columns in runs.items():
             spark.sql(f"CREATE TABLE {out.prefix}_{name} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {out.buckets} BUCKETS LOCATION '{out.root}/{name}'")
@@ -89,18 +94,35 @@ class LineRuns:
             self._compact(level)
             level += 1
 
+    def merged(self, a: str, b: str) -> DataFrame:
+        """Two runs as one: bucket by bucket, by one join, which keeps the buckets where a union or a chain of joins would not."""
+        counts = "n" in self.read(a).columns
+        both = self.read(a).withColumnRenamed("n", "n0").join(self.read(b).withColumnRenamed("n", "n1").hint("merge"), "key", "full")
+        return both.select("key", (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n")) if counts else both.select("key")
+
+    def _replace(self, a: str, b: str) -> str:
+        name = self.write(self.merged(a, b))
+        self.drop(a)
+        self.drop(b)
+        return name
+
     def _compact(self, level: int) -> None:
         names, self.levels[level] = self.levels[level], []
-        merged = self.read(names[0]).withColumnRenamed("n", "n0")
-        for k, name in enumerate(names[1:], 1):  # a merge of sorted runs; a union would lose their buckets
-            merged = merged.join(self.read(name).withColumnRenamed("n", f"n{k}").hint("merge"), "key", "full")
-        merged = self.write(merged.select("key", sum((F.coalesce(f"n{k}", F.lit(0)) for k in range(len(names))), F.lit(0)).cast("long").alias("n")))
-        self.settled.append(self.write(self.read(merged).where(F.col("n") >= self.limit).select("key")))
+        while len(names) > 1:
+            names = [*names[2:], self._replace(*names[:2])]
+        self.settled.append(self.write(self.read(names[0]).where(F.col("n") >= self.limit).select("key")))
+        self.weights.append(1)
+        while len(self.weights) > 1 and self.weights[-2] <= self.weights[-1]:
+            self.settled[-2:], self.weights[-2:] = [self._replace(*self.settled[-2:])], [sum(self.weights[-2:])]
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(self.write(self.read(merged).where(F.col("n") < self.limit)))
-        for name in (*names, merged):
-            self.drop(name)
+        self.levels[level + 1].append(self.write(self.read(names[0]).where(F.col("n") < self.limit)))
+        self.drop(names[0])
+
+    def close(self) -> None:
+        """Take the runs' names out of the session's catalog; their files stay for :meth:`resume`."""
+        for name in (*(n for level in self.levels for n in level), *self.settled):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
 
     def finish(self) -> DataFrame:
         """All keys with at least `limit` documents; more batches may follow."""
@@ -156,7 +178,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """
     docs = pick(docs, doc_id=id_col, text=text_col)
     scratch = Scratch(docs.sparkSession, "lines")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     runs = LineRuns(docs.sparkSession, scratch.path("runs"), min_docs, buckets)
     keyed = _document_keys(docs, min_chars, batches).repartition(buckets, "key").groupBy("batch", "key").agg(F.sum("n").alias("n"))
     runs.write(keyed, "keys")
@@ -164,6 +187,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         runs.add(runs.read("keys").where(F.col("batch") == k).select("key", "n"))
     runs.drop("keys")
     frequent = scratch.write(runs.finish(), "settled")
+    runs.close()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept string"
     if frequent.count() <= broadcast_keys:
         found = frozenset(bytes(r.key) for r in frequent.collect())

@@ -153,13 +153,35 @@ def test_line_runs_settle_across_batches_and_sessions(spark, tmp_path):
     assert sorted(bytes(r.key) for r in later.finish().collect()) == [b"a"]
 
 
-def test_runs_are_joined_and_merged_without_a_shuffle(spark, tmp_path):
-    runs = lines.LineRuns(spark, str(tmp_path), limit=2, buckets=3, fanout=9)
-    for k in range(3):
+def test_runs_are_joined_and_merged_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Every plan of a compaction at the fan-out that is used, of counts and of settled keys."""
+    plans, merged = [], lines.LineRuns.merged
+
+    def seen(self, a, b):
+        out = merged(self, a, b)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(lines.LineRuns, "merged", seen)
+    runs = lines.LineRuns(spark, str(tmp_path), limit=2, buckets=3)
+    for k in range(10):
         runs.add(batch(spark, k))
-    a, b = (runs.read(n) for n in runs.levels[0][:2])
-    for joined in (a.join(b.select("key").hint("merge"), "key", "left_anti"), a.groupBy("key").agg(F.sum("n"))):
-        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    frequent = {bytes(r.key) for r in runs.finish().collect()}
+    want = {}
+    for k in range(10):
+        for r in batch(spark, k).groupBy("key").agg(F.sum("n").alias("n")).collect():
+            want[bytes(r.key)] = want.get(bytes(r.key), 0) + r.n
+    assert frequent == {key for key, n in want.items() if n >= 2}
+    assert len(plans) >= 7 and len(runs.settled) <= 2 and not any("Exchange" in p for p in plans)
+    a, b = runs.settled[0], runs.settled[-1]
+    assert "Exchange" not in runs.read(a).join(runs.read(b).hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_table_of_runs_stays_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = spark.createDataFrame([(i, "common\nown " + str(i)) for i in range(30)], "doc_id long, text string")
+    assert {r.kept for r in lines.drop_frequent_lines(rows).collect()} == {f"own {i}" for i in range(30)}
+    assert {t.name for t in spark.catalog.listTables()} <= before
 
 
 @pytest.mark.parametrize("sizes", [{}, {"bits": 6, "fan": 2, "team": 2}])
