@@ -247,14 +247,18 @@ def n21(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("k").agg(r6(F.count_if(p & g) / F.count_if(p | g)).alias("iou"))
 
 
-@query("j14_burned_polygon", "SELECT r::INTEGER AS r, c::INTEGER AS c FROM range(20) AS a(r), range(20) AS b(c) WHERE r + 0.5 > 5 AND r + 0.5 < 15 AND c + 0.5 > 4 AND c + 0.5 < 12")
+@query("j14_burned_polygon", """WITH px AS (SELECT c_nationkey AS scene_id, c_custkey // 20 AS r, c_custkey % 20 AS c, c_custkey % 20 + 0.5 AS x, c_custkey // 20 % 40 + 0.5 AS y FROM customer),
+b AS (SELECT s_nationkey AS scene_id, s_suppkey % 7 AS x0, s_suppkey % 7 + 4 + s_suppkey % 5 AS x1, s_suppkey % 11 AS y0, s_suppkey % 11 + 6 + s_suppkey % 9 AS y1 FROM supplier)
+SELECT DISTINCT scene_id, r, c FROM px JOIN b USING (scene_id) WHERE x > x0 AND x < x1 AND y > y0 AND y < y1""")
 def j14(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("id")
-    px = spark.range(400).select(F.lit("s").alias("scene_id"), F.floor(k / 20).cast("int").alias("r"), (k % 20).cast("int").alias("c"))
-    px = px.withColumn("lon", F.col("c") + 0.5).withColumn("lat", F.col("r") + 0.5)
-    pt = lambda x, y: F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat"))
-    rings = spark.range(1).select(F.lit("s").alias("scene_id"), F.array(pt(4, 5), pt(12, 5), pt(12, 15), pt(4, 15)).alias("ring"))
-    return image.burn(rings, px).select("r", "c")
+    """Outlines of a nation's suppliers burned on pixels that its customers make."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    px = table(spark, sf, "customer").select(F.col("c_nationkey").alias("scene_id"), F.floor(k / 20).alias("r"), (k % 20).alias("c"), (k % 20 + 0.5).alias("lon"), (F.floor(k / 20) % 40 + 0.5).alias("lat"))
+    x, y = s % 7, s % 11
+    pt = lambda a, b: F.struct(a.cast("double").alias("lon"), b.cast("double").alias("lat"))
+    right, top = x + 4 + s % 5, y + 6 + s % 9
+    rings = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("scene_id"), F.array(pt(x, y), pt(right, y), pt(right, top), pt(x, top)).alias("ring"))
+    return image.burn(rings, px).select("scene_id", "r", "c")
 
 
 @query("j16_ellipse_ring", "SELECT s_suppkey AS id, round(28 + (s_suppkey % 9 + 2) / 111.32, 6) AS top FROM supplier")

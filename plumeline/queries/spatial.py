@@ -179,9 +179,11 @@ def e23(spark: SparkSession, sf: str) -> DataFrame:
     return G.peak(h, HEAD).select("r", "c", "p", r6("lon").alias("lon"), r6("lat").alias("lat"))
 
 
-@query("e24_mass_radius", f"WITH {GRID}, d AS (SELECT p, {hav('-95 + c * 2.0::DOUBLE / 39', '30 - r * 2.0::DOUBLE / 39', '-94', '29')} AS d FROM grid), s AS (SELECT d, sum(sum(p)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum FROM d GROUP BY d) SELECT round(min(d), 3) AS radius_km FROM s WHERE cum >= 0.9 * (SELECT sum(p) FROM grid)")
+@query("e24_mass_radius", f"WITH {POS}, g AS (SELECT 39 - least(floor((lat - 28) / 2 * 40), 39)::INTEGER AS r, least(floor((lon + 95) / 2 * 40), 39)::INTEGER AS c, count(*) AS p FROM pos WHERE lon BETWEEN -95 AND -93 AND lat BETWEEN 28 AND 30 GROUP BY 1, 2), d AS (SELECT p, {hav('-95 + c * 2.0::DOUBLE / 39', '30 - r * 2.0::DOUBLE / 39', '-94', '29')} AS d FROM g), s AS (SELECT d, sum(sum(p)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS cum FROM d GROUP BY d) SELECT round(min(d), 3) AS radius_km FROM s WHERE cum >= 0.9 * (SELECT sum(p) FROM d)")
 def e24(spark: SparkSession, sf: str) -> DataFrame:
-    return G.mass_radius(grid(spark), -94.0, 29.0, HEAD, 0.9).select(F.round("radius_km", 3).alias("radius_km"))
+    """About the middle of the box, the radius that holds nine tenths of all reports, counted by cell."""
+    cells = G.histogram2d(positions(spark, sf), HEAD).withColumnRenamed("w", "p")
+    return G.mass_radius(cells, -94.0, 29.0, HEAD, 0.9).select(F.round("radius_km", 3).alias("radius_km"))
 
 
 @query("e26_principal_axis", "WITH a AS (SELECT l_suppkey AS k, var_samp(l_quantity) AS sxx, var_samp(l_discount * 300) AS syy, covar_samp(l_quantity, l_discount * 300) AS sxy, count(*) AS n FROM lineitem GROUP BY 1) SELECT k, round(((90 - degrees(0.5 * atan2(2 * sxy, sxx - syy))) % 180 + 180) % 180, 4) AS axis_deg, round(sqrt((sxx + syy) / 2 + sqrt(pow((sxx - syy) / 2, 2) + sxy * sxy)), 6) AS sd_major, n FROM a")
