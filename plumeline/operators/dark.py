@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_KNOT_HOUR, angle_between_deg, bearing_deg, haversine_km
+from .nearest import nearest_vertex  # noqa: F401 - part of this module's interface
 
 # Fixed values.
 MATCH_KM, REACH_KNOTS, REACH_MIN, HEADROOM, LEAST_KNOTS, RELEVANT_KM, MOST_LISTED = 1.0, 25.0, 90.0, 1.5, 6.0, 5.0, 5
@@ -66,14 +67,69 @@ def match_contacts(contacts: DataFrame, placed: DataFrame, fixes: DataFrame, t0:
     return contacts.join(found, "contact_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
-def nearest_vertex(points: DataFrame, vertices: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, near_km, columns): for each point the nearest vertex of its case, all of whose vertices it is held against.
+def match_scene_contacts(contacts: DataFrame, placed: DataFrame, positions: DataFrame, minutes: float = REACH_MIN) -> DataFrame:
+    """(contact_id, matched, n_vessels) of contacts (contact_id, lon, lat, t0) of any number of scenes, each at its own instant.
 
-    A case's slick has a bounded outline; points and vertices meet by case, never across cases.
+    placed: (mmsi, lon, lat, t0) of vessels with a position at a scene's instant; they match within 1 km
+    and never by their prism at that instant. positions: (mmsi, ts, lon, lat). A vessel's track is laid out
+    as stretches between neighbouring fixes; a stretch goes to the time buckets and cells that it can
+    reach, and contacts of these are held against its prism. No scene meets all vessels.
+    Of fixes at one instant the greatest by place counts. Contacts of one id are one; a null id is one
+    too. What lacks a place, an instant or a vessel takes no part, but its contact is listed.
     """
-    d = haversine_km("lon", "lat", "vlon", "vlat")
-    pairs = points.join(vertices, "case_id").withColumn("d", d)
-    return pairs.groupBy(*keys).agg(F.min(F.struct("d", *columns)).alias("m")).select(*keys, F.col("m.d").alias("near_km"), *(f"m.{c}" for c in columns))
+    micros, cell = int(minutes * 60e6), 1.0
+    bucket = lambda x: F.floor(x / F.lit(micros))
+    column = lambda x: F.pmod(F.floor(x / cell), F.lit(int(360 / cell)))
+    row = lambda y: F.floor(y / cell)
+
+    def cells(lon: Column, lat: Column, km: Column) -> Column:
+        dy = km / 110.0
+        dx = F.least(dy / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + dy, F.lit(89.9)))), F.lit(0.001)), F.lit(180.0))
+        across, up = F.array_distinct(F.transform(F.sequence(F.floor((lon - dx) / cell), F.floor((lon + dx) / cell)), lambda x: F.pmod(x, F.lit(int(360 / cell))))), F.sequence(row(lat - dy), row(lat + dy))
+        return F.when(km.isNotNull(), F.flatten(F.transform(across, lambda x: F.transform(up, lambda y: F.struct(x.alias("cx"), y.alias("cy"))))))
+
+    at = contacts.where("lon is not null and lat is not null and t0 is not null").select("contact_id", "lon", "lat", "t0", F.unix_micros("t0").alias("t"))
+    at = at.withColumns({"cx": column(F.col("lon")), "cy": row(F.col("lat")), "b_t": bucket(F.col("t"))})
+    still = placed.where("mmsi is not null and t0 is not null").select("mmsi", F.col("lon").alias("vlon"), F.col("lat").alias("vlat"), F.unix_micros("t0").alias("t"))
+    near = still.withColumn("cell", F.explode(cells(F.col("vlon"), F.col("vlat"), F.lit(MATCH_KM)))).select("mmsi", "vlon", "vlat", "t", "cell.*")
+    by_place = at.join(near, ["t", "cx", "cy"]).where(haversine_km("lon", "lat", "vlon", "vlat") <= MATCH_KM).select("contact_id", "mmsi")
+
+    w = Window.partitionBy("mmsi").orderBy("ts")
+    fixes = positions.where("mmsi is not null and ts is not null and lon is not null and lat is not null").groupBy("mmsi", "ts").agg(F.max(F.struct("lon", "lat")).alias("at")).select("mmsi", "ts", "at.*")
+    kept = ["ts", "lon", "lat", "plon", "plat", "pts", "nlon", "nlat", "nts"]
+    beside = {"plon": F.lag("lon").over(w), "plat": F.lag("lat").over(w), "pts": F.lag("ts").over(w), "nlon": F.lead("lon").over(w), "nlat": F.lead("lat").over(w), "nts": F.lead("ts").over(w)}
+    track = fixes.withColumns(beside).select("mmsi", "ts", F.struct(*kept).alias("f"))
+    track = track.withColumns({"next": F.lead("f").over(w), "first": F.lag("ts").over(w).isNull()})
+    none = F.lit(None).cast(track.schema["f"].dataType)
+    stretch = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    ways = F.array(stretch(F.col("f"), F.col("f")), stretch(F.col("f"), F.col("next")), F.when(F.col("first"), stretch(none, F.col("f"))))
+    s = track.select("mmsi", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("s")).select("mmsi", "s.a", "s.b")
+    s = s.withColumns({"ua": F.unix_micros("a.ts"), "ub": F.unix_micros("b.ts")})
+
+    a, b, ua, ub = F.col("a"), F.col("b"), F.col("ua"), F.col("ub")
+    hours, most = (ub - ua) / F.lit(3600e6), minutes / 60
+    pace = lambda p, q: speed_bound(haversine_km(p["lon"], p["lat"], q["lon"], q["lat"]), (F.unix_micros(q["ts"]) - F.unix_micros(p["ts"])) / F.lit(3600e6)) * KM_PER_KNOT_HOUR
+    back = speed_bound(haversine_km(a["plon"], a["plat"], a["lon"], a["lat"]), (ua - F.unix_micros(a["pts"])) / F.lit(3600e6)) * KM_PER_KNOT_HOUR
+    ahead = speed_bound(haversine_km(b["lon"], b["lat"], b["nlon"], b["nlat"]), (F.unix_micros(b["nts"]) - ub) / F.lit(3600e6)) * KM_PER_KNOT_HOUR
+    alone = ua.isNull() | ub.isNull() | (hours > most)
+    both = F.when((hours > 0) & (hours <= 2 * most), pace(a, b) * hours + 2 * MATCH_KM)
+    by_a = F.when(ua == ub, F.lit(MATCH_KM)).otherwise(F.greatest(both, F.when(alone & ua.isNotNull(), back * most + MATCH_KM)))
+    by_b = F.when(alone & ub.isNotNull(), ahead * most + MATCH_KM)
+    span = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.sequence(bucket(x), bucket(y)))
+    empty = lambda x, kind: F.coalesce(x, F.array().cast(kind))
+    after, ahead_of = span(ua, F.least(ua + micros, F.coalesce(ub, ua + micros))), span(F.greatest(ub - micros, F.coalesce(ua, ub - micros)), ub)
+    places = "array<struct<cx:bigint,cy:bigint>>"
+    reach = F.array_union(empty(cells(a["lon"], a["lat"], by_a), places), empty(cells(b["lon"], b["lat"], by_b), places))
+    laid = s.withColumn("b_t", F.explode(F.array_union(empty(after, "array<bigint>"), empty(ahead_of, "array<bigint>")))).withColumn("cell", F.explode(reach)).select("mmsi", "a", "b", "ua", "ub", "b_t", "cell.*")
+
+    t = F.col("t")
+    inside = F.when(ua == ub, t == ua).otherwise(F.coalesce(t > ua, F.lit(True)) & F.coalesce(t < ub, F.lit(True)))
+    met = at.join(laid, ["b_t", "cx", "cy"]).where(inside).withColumns({"a": F.when(t - ua <= micros, a), "b": F.when(ub - t <= micros, b)})
+    met = met.where(in_prism(F.col("lon"), F.col("lat"), F.col("t0")))
+    by_prism = met.join(still.select("mmsi", "t"), ["mmsi", "t"], "left_anti").select("contact_id", "mmsi")
+    found = by_place.union(by_prism).distinct().groupBy(F.col("contact_id").alias("known")).agg(F.count("*").alias("n_vessels"))
+    ids = contacts.select("contact_id").distinct()
+    return ids.join(found, F.col("contact_id").eqNullSafe(F.col("known")), "left").select("contact_id", F.col("n_vessels").isNotNull().alias("matched"), F.coalesce("n_vessels", F.lit(0)).alias("n_vessels"))
 
 
 def contact_scores(contacts: DataFrame, r90_km: Column) -> DataFrame:

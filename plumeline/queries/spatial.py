@@ -78,6 +78,27 @@ def d05(spark: SparkSession, sf: str) -> DataFrame:
     return dark.match_contacts(_contacts(spark, sf), none, dark.scene_fixes(p, instant(T0)), instant(T0)).select("contact_id", "matched")
 
 
+_SCENES = """sc AS (SELECT c_custkey AS contact_id, -95 + ((c_custkey * 7919) % 2000) / 1000.0::DOUBLE AS lon, 28 + ((c_custkey * 104729) % 2000) / 1000.0::DOUBLE AS lat, {t0} + (c_custkey % 90) * 3600000000 AS t FROM customer)"""
+SCENES = f"""WITH {POS}, {_SCENES.format(t0=T0_US)}, f AS (SELECT *, lag(us) OVER w AS pus, lag(lon) OVER w AS plon, lag(lat) OVER w AS plat, lead(us) OVER w AS nus, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat FROM pos WINDOW w AS (PARTITION BY mmsi ORDER BY us)),
+times AS (SELECT DISTINCT t FROM sc), vt AS (SELECT mmsi, t FROM (SELECT DISTINCT mmsi FROM pos) CROSS JOIN times),
+a AS (SELECT vt.mmsi, vt.t, f.* EXCLUDE (mmsi) FROM vt ASOF JOIN f ON vt.mmsi = f.mmsi AND vt.t >= f.us WHERE vt.t - f.us <= 5400000000), b AS (SELECT vt.mmsi, vt.t, f.* EXCLUDE (mmsi) FROM vt ASOF JOIN f ON vt.mmsi = f.mmsi AND vt.t <= f.us WHERE f.us - vt.t <= 5400000000),
+m AS (SELECT c.contact_id, vt.mmsi, CASE WHEN a.us IS NOT NULL AND b.us IS NOT NULL AND a.us <> b.us THEN {hav('a.lon', 'a.lat', 'c.lon', 'c.lat')} + {hav('c.lon', 'c.lat', 'b.lon', 'b.lat')} <= {_knots('a.lon', 'a.lat', 'b.lon', 'b.lat', _H)} * 1.852 * {_H} + 2
+ WHEN a.us IS NOT NULL THEN {hav('a.lon', 'a.lat', 'c.lon', 'c.lat')} <= {_knots('a.plon', 'a.plat', 'a.lon', 'a.lat', '((a.us - a.pus) / 3600e6)')} * 1.852 * abs((c.t - a.us) / 3600e6) + 1
+ ELSE {hav('b.lon', 'b.lat', 'c.lon', 'c.lat')} <= {_knots('b.lon', 'b.lat', 'b.nlon', 'b.nlat', '((b.nus - b.us) / 3600e6)')} * 1.852 * abs((b.us - c.t) / 3600e6) + 1 END AS hit
+ FROM sc AS c JOIN vt USING (t) LEFT JOIN a ON a.mmsi = vt.mmsi AND a.t = vt.t LEFT JOIN b ON b.mmsi = vt.mmsi AND b.t = vt.t)
+SELECT contact_id, bool_or(coalesce(hit, FALSE)) AS matched, count(*) FILTER (WHERE hit) AS n_vessels FROM m GROUP BY contact_id"""
+
+
+@query("d05_contacts_of_scenes", SCENES)
+def d05_scenes(spark: SparkSession, sf: str) -> DataFrame:
+    """Contacts of ninety scenes, an hour apart, against the tracks of all vessels."""
+    p, k = positions(spark, sf), F.col("c_custkey")
+    when = F.timestamp_micros(F.lit(T0_US) + (k % 90) * 3600000000)
+    contacts = table(spark, sf, "customer").select(k.alias("contact_id"), (-95 + ((k * 7919) % 2000) / F.lit(1000.0)).alias("lon"), (28 + ((k * 104729) % 2000) / F.lit(1000.0)).alias("lat"), when.alias("t0"))
+    none = p.where("false").select("mmsi", "lon", "lat", F.col("ts").alias("t0"))
+    return dark.match_scene_contacts(contacts, none, p)
+
+
 @query("d06_radius_match", f"""WITH {POS}, {CONTACTS}, placed AS (SELECT mmsi, arg_min(lon, abs(us - {T0_US})) AS lon, arg_min(lat, abs(us - {T0_US})) AS lat FROM pos GROUP BY mmsi)
 SELECT c.contact_id, bool_or({hav('p.lon', 'p.lat', 'c.lon', 'c.lat')} <= 1) AS matched FROM contacts AS c CROSS JOIN placed AS p GROUP BY 1""")
 def d06(spark: SparkSession, sf: str) -> DataFrame:
