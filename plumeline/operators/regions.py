@@ -46,8 +46,8 @@ def contracted(links: DataFrame) -> DataFrame:
         e = staged(small.union(low.select("scene_id", "u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
 
 
-def labelled(mask: DataFrame, tile: int = TILE) -> DataFrame:
-    """(scene_id, r, c, label) of the set pixels (scene_id, r, c): pixels of one label touch, by sides or corners.
+def labelled(mask: DataFrame, tile: int = TILE, diagonal: bool = True) -> DataFrame:
+    """(scene_id, r, c, label) of the set pixels (scene_id, r, c): pixels of one label touch, by sides or, where diagonal, corners.
 
     A label is the place of its region's first pixel in row order, r * 2^32 + c. A tile is labelled on its
     own; each pixel at a tile's border that touches a set pixel of another tile links two tiles' labels.
@@ -60,14 +60,14 @@ def labelled(mask: DataFrame, tile: int = TILE) -> DataFrame:
         r, c = pdf.r.to_numpy(), pdf.c.to_numpy()
         grid = pd.DataFrame(False, index=range(tile), columns=range(tile)).to_numpy(copy=True)
         grid[r % tile, c % tile] = True
-        part = pdf.assign(k=label_components(grid)[r % tile, c % tile], own=r * _ROW + c)
+        part = pdf.assign(k=label_components(grid, diagonal)[r % tile, c % tile], own=r * _ROW + c)
         return part.assign(own=part.groupby("k")["own"].transform("min"))[["scene_id", "r", "c", "own"]]
 
     keyed = pixels.groupBy("scene_id", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
     local = staged(keyed.applyInPandas(one, f"scene_id {kind}, r long, c long, own long"), "local")
     row, column = F.pmod("r", F.lit(tile)), F.pmod("c", F.lit(tile))
     border = local.where(row.isin(0, tile - 1) | column.isin(0, tile - 1))
-    moves = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)))))
+    moves = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, 0), *(((1, -1), (1, 1)) if diagonal else ())))))
     to = border.withColumn("o", moves).select("scene_id", "own", "r", "c", (F.col("r") + F.col("o.dr")).alias("r2"), (F.col("c") + F.col("o.dc")).alias("c2"))
     to = to.where((F.floor(F.col("r") / tile) != F.floor(F.col("r2") / tile)) | (F.floor(F.col("c") / tile) != F.floor(F.col("c2") / tile)))
     met = to.select("scene_id", F.col("own").alias("a"), F.col("r2").alias("r"), F.col("c2").alias("c")).join(border.withColumnRenamed("own", "b"), ["scene_id", "r", "c"])

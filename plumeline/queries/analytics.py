@@ -172,9 +172,11 @@ def m19(spark: SparkSession, sf: str) -> DataFrame:
 AGE = "ages AS (SELECT i * 0.25::DOUBLE AS age_h FROM range(1, 289) AS t(i)), prior AS (SELECT age_h, (1 / age_h) / sum(1 / age_h) OVER () AS pr FROM ages)"
 
 
-@query("l01_log_uniform_prior", f"WITH {AGE} SELECT age_h, round(ln(pr), 8) AS lp FROM prior")
+@query("l01_log_uniform_prior", f"WITH {AGE} SELECT p_partkey, age_h, round(ln(pr), 8) AS lp FROM part JOIN prior ON age_h = p_size / 4.0::DOUBLE")
 def l01(spark: SparkSession, sf: str) -> DataFrame:
-    return P.log_prior(P.age_grid(spark)).select("age_h", F.round("lp", 8).alias("lp"))
+    """The prior at an age for each part, a quarter of its size."""
+    at = table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 4).alias("age_h"))
+    return at.join(P.log_prior(P.age_grid(spark)), "age_h").select("p_partkey", "age_h", F.round("lp", 8).alias("lp"))
 
 
 KDE = f"""{AGE}, smp AS (SELECT l_suppkey % 5 AS k, ln(l_quantity) AS ls FROM lineitem), bw AS (SELECT k, count(*) AS n, greatest(1.06 * stddev_pop(ls) * pow(count(*), -0.2), 0.15) AS b FROM smp GROUP BY k),
@@ -366,29 +368,6 @@ def e30(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.bootstrap(d, "scene", "a", "b", 500)
 
 
-@query("n06_dark_regions")
-def n06(spark: SparkSession, sf: str) -> DataFrame:
-    px = synth.radar_scene(spark, "s", 96, 96, slick=(48, 40, 5.0, 18.0, 0.3))
-    return image.dark_regions(px, 0.01, 0.3, 500.0, 80, (21, 41))
-
-
-@query("n09_bright_contacts")
-def n09(spark: SparkSession, sf: str) -> DataFrame:
-    px = synth.radar_scene(spark, "s", 96, 96, ships=((20, 20), (60, 70), (80, 15)))
-    return image.bright_contacts(px)
-
-
-@query("n05_component_sizes")
-def n05(spark: SparkSession, sf: str) -> DataFrame:
-    import pandas as pd
-
-    px = synth.radar_scene(spark, "s", 64, 64, slick=(30, 30, 4.0, 10.0, 0.0))
-    def sizes(pdf: pd.DataFrame) -> pd.DataFrame:
-        lab = image.label_components(image.dense(pdf, "gt") > 0)
-        return pd.Series(lab[lab > 0]).value_counts().rename_axis("label").reset_index(name="n")
-    return px.groupBy("scene_id").applyInPandas(sizes, "label int, n int")
-
-
 @query("n15_normalised_pixels", "WITH m AS (SELECT l_returnflag AS k, l_quantity AS db, median(l_quantity) OVER (PARTITION BY l_returnflag) AS med FROM lineitem), s AS (SELECT k, med, 1.4826 * median(abs(db - med)) + 1e-6 AS mad FROM m GROUP BY k, med) SELECT k, round(sum(greatest(-6, least(6, (db - med) / mad)) / 6), 4) AS s FROM m JOIN s USING (k, med) GROUP BY k")
 def n15(spark: SparkSession, sf: str) -> DataFrame:
     px = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("scene_id"), F.col("l_quantity").alias("db"))

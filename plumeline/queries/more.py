@@ -193,11 +193,13 @@ def l02(spark: SparkSession, sf: str) -> DataFrame:
     return P.floored(b, ["k"]).select("k", "age_h", r6("ll").alias("ll"))
 
 
-@query("i15_log_age_interpolation", """WITH ages AS (SELECT i * 0.25::DOUBLE AS age_h FROM range(1, 289) AS t(i)), c AS (SELECT * FROM (VALUES (1.0::DOUBLE, 0.1::DOUBLE), (4.0, 0.9), (16.0, 0.3), (48.0, 0.05)) AS v(h, l)), d AS (SELECT *, lead(h) OVER (ORDER BY h) AS h2, lead(l) OVER (ORDER BY h) AS l2 FROM c),
-v AS (SELECT age_h, CASE WHEN age_h < 1 THEN 0.1 WHEN h2 IS NULL THEN l ELSE l + (ln(age_h) - ln(h)) / (ln(h2) - ln(h)) * (l2 - l) END AS v FROM ages JOIN d ON (age_h >= h AND (age_h < h2 OR h2 IS NULL)) OR (age_h < 1 AND h = 1)) SELECT age_h, round(ln(v), 6) AS ll FROM v""")
+@query("i15_log_age_interpolation", """WITH ages AS (SELECT i * 0.25::DOUBLE AS age_h FROM range(1, 289) AS t(i)), c AS (SELECT s_suppkey AS case_id, h, l / (1 + s_suppkey % 5) AS l FROM supplier, (VALUES (1.0::DOUBLE, 0.1::DOUBLE), (4.0, 0.9), (16.0, 0.3), (48.0, 0.05)) AS v(h, l)), d AS (SELECT *, lead(h) OVER (PARTITION BY case_id ORDER BY h) AS h2, lead(l) OVER (PARTITION BY case_id ORDER BY h) AS l2 FROM c),
+v AS (SELECT case_id, age_h, CASE WHEN age_h < 1 OR h2 IS NULL THEN l ELSE l + (ln(age_h) - ln(h)) / (ln(h2) - ln(h)) * (l2 - l) END AS v FROM ages JOIN d ON (age_h >= h AND (age_h < h2 OR h2 IS NULL)) OR (age_h < 1 AND h = 1)) SELECT case_id, age_h, round(ln(v), 6) AS ll FROM v""")
 def i15(spark: SparkSession, sf: str) -> DataFrame:
-    c = spark.createDataFrame([("c", 1.0, 0.1), ("c", 4.0, 0.9), ("c", 16.0, 0.3), ("c", 48.0, 0.05)], "case_id string, hours double, lik double")
-    return P.interpolate_likelihood(c, P.age_grid(spark), ["case_id"]).select("age_h", r6("ll").alias("ll"))
+    k = F.col("s_suppkey")
+    few = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(v).alias("v")) for h, v in ((1.0, 0.1), (4.0, 0.9), (16.0, 0.3), (48.0, 0.05)))))
+    c = table(spark, sf, "supplier").withColumn("x", few).select(k.alias("case_id"), F.col("x.h").alias("hours"), (F.col("x.v") / (1 + k % 5)).alias("lik"))
+    return P.interpolate_likelihood(c, P.age_grid(spark), ["case_id"]).select("case_id", "age_h", r6("ll").alias("ll"))
 
 
 @query("l08_pit", "WITH p AS (SELECT i * 0.25::DOUBLE AS age_h, 1 / 288.0::DOUBLE AS p FROM range(1, 289) AS t(i)) SELECT p_partkey AS k, round(least(1, greatest(1 / 288.0::DOUBLE, (p_size / 0.25::DOUBLE) / 288)), 6) AS pit FROM part")

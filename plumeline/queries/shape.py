@@ -31,17 +31,6 @@ def l14(spark: SparkSession, sf: str) -> DataFrame:
     return P.summarise(post, P.log_prior(g), ["case_id"])
 
 
-@query("l13_width_profile")
-def l13(spark: SparkSession, sf: str) -> DataFrame:
-    px = synth.radar_scene(spark, "s", 80, 120, slick=(40, 60, 4.0, 40.0, 0.0)).where("gt = 1").select(F.col("scene_id").alias("case_id"), "r", "c")
-    return curves.width_profile(px, 50.0)
-
-
-@query("l23_centre_edge_contrast")
-def l23(spark: SparkSession, sf: str) -> DataFrame:
-    return curves.centre_edge_contrast(synth.radar_scene(spark, "s", 96, 96, slick=(48, 48, 12.0, 20.0, 0.0)))
-
-
 @query("j17_density_outline")
 def j17(spark: SparkSession, sf: str) -> DataFrame:
     p = positions(spark, sf).where(F.col("lon").between(-94.4, -93.6) & F.col("lat").between(28.7, 29.3))
@@ -55,14 +44,6 @@ def f16(spark: SparkSession, sf: str) -> DataFrame:
     return curves.every_nth_frame(p, 3).groupBy(F.col("case_id").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("f17_age_horizon", "SELECT * FROM (VALUES ('long', 60.0::DOUBLE, 28::BIGINT, 108::BIGINT), ('none', 45.0, 97, 288), ('short', 15.0, 41, 40)) AS v(case_id, output_min, n, last)")
-def f17(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.range(289).select(F.explode(F.array(F.lit("short"), F.lit("long"), F.lit("none"))).alias("case_id"), F.col("id").alias("step"))
-    b = spark.createDataFrame([("short", 9.9), ("long", 27.0), ("none", None)], "case_id string, hi_h double")
-    most = curves.horizon_frames(p.where("case_id <> 'long'"), b, 15.0).unionByName(curves.horizon_frames(p.where("case_id = 'long'"), b, 15.0, 30))
-    return most.groupBy("case_id", "output_min").agg(F.count("*").alias("n"), F.max("step").alias("last"))
-
-
 @query("f20_frame_lookup", "SELECT l_orderkey % 9 AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 3 GROUP BY 1")
 def f20(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 9).alias("case_id"), F.col("l_linenumber").alias("step"))
@@ -89,11 +70,6 @@ def u21(spark: SparkSession, sf: str) -> DataFrame:
     return curves.erased_scenes(px).groupBy("scene_id").agg(F.round(F.sum("db"), 3).alias("s"))
 
 
-@query("i14_normal_quantile")
-def i14(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1, 100).select((F.col("id") / 100).alias("p")).select("p", S.normal_quantile("p").alias("z"))
-
-
 @query("i13_log_sum_exp", "SELECT l_suppkey AS k, round(max(l_quantity) + ln(sum(exp(l_quantity - 50))) - (max(l_quantity) - 50), 6) AS v FROM lineitem GROUP BY 1")
 def i13(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(r6(F.lit(50.0) + F.log(F.sum(F.exp(F.col("l_quantity") - 50)))).alias("v"))
@@ -120,13 +96,17 @@ def o06(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.overlaps(d, ["gated"]).select("gated", r6("pooled_iou").alias("pooled_iou"))
 
 
-@query("n11_region_outline")
-def n11(spark: SparkSession, sf: str) -> DataFrame:
-    px = synth.radar_scene(spark, "s", 64, 64, slick=(30, 30, 5.0, 12.0, 0.4))
-    head = {**HEAD, "rows": 64, "cols": 64}
-    return curves.density_outline(px.select(F.col("scene_id").alias("case_id"), "r", "c", F.col("gt").cast("double").alias("w")), head)
+@query("f17_age_horizon", "SELECT s_suppkey AS case_id, CASE s_suppkey % 3 WHEN 0 THEN 15.0::DOUBLE WHEN 1 THEN 30.0 ELSE 45.0 END AS output_min, CASE s_suppkey % 3 WHEN 0 THEN 41 WHEN 1 THEN 81 ELSE 97 END::BIGINT AS n, CASE s_suppkey % 3 WHEN 0 THEN 40 WHEN 1 THEN 160 ELSE 288 END::BIGINT AS last FROM supplier")
+def f17(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of every supplier's case: a short age, a long one, none."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier")
+    p = s.select(k.alias("case_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(288).cast("long"))).alias("step"))
+    b = s.select(k.alias("case_id"), F.when(k % 3 == 0, 9.9).when(k % 3 == 1, 40.0).alias("hi_h"))
+    return curves.horizon_frames(p, b, 15.0).groupBy("case_id", "output_min").agg(F.count("*").alias("n"), F.max("step").alias("last"))
 
 
-@query("n08_edge_and_shape")
-def n08(spark: SparkSession, sf: str) -> DataFrame:
-    return image.dark_regions(synth.radar_scene(spark, "s", 96, 96, slick=(48, 48, 6.0, 24.0, 0.5)), 0.01, 0.3, 500.0, 80, (21, 41)).select("region_id", "edge_gradient", "solidity", "elongation")
+@query("i14_normal_quantile")
+def i14(spark: SparkSession, sf: str) -> DataFrame:
+    p = (F.col("c_custkey") % 999 + 1) / 1000
+    return table(spark, sf, "customer").select("c_custkey", p.alias("p"), S.normal_quantile(p).alias("z"))
