@@ -4,7 +4,7 @@ A window is matched whole, so a document that has it has each of its words: the
 join needs is the single rarest one, by counts over all documents. The join on prefix words gives,
 for each of their places in a document, the offset in the window and the window's length, which bound
 where the window would start and end; the words there are joined to the windows themselves, which
-verifies containment exactly. Results belong to texts, known by 96 bits of hashes, and come back to
+verifies containment exactly. Windows have sets of items, each set told once. Results belong to texts, known by 96 bits of hashes, and come back to
 rows by these: no table of documents is copied and no document travels for more than its hits.
 """
 
@@ -30,6 +30,8 @@ BROADCAST_ROWS = 300_000
 #: A-Z to a-z, other ASCII but letters and digits to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 TEXT = ("t1", "t2")
+#: A set of items, and a union of such sets.
+SET, UNION = ("a", "b", "n"), ("ua", "ub", "un")
 
 Index = dict[bytes, list[tuple[int, int]]]
 
@@ -136,31 +138,56 @@ def _places(docs: DataFrame, owners: DataFrame, most: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _marks(places: DataFrame, owners: DataFrame, small: bool) -> DataFrame:
-    """(t1, t2, spans, items) of the texts that have a window: maximal spans and sorted names."""
+def _set_id(*parts: str) -> list:
+    """A set known by 128 bits that don't depend on its order, and its size; rows are its distinct members."""
+    return [F.bit_xor(F.xxhash64(*parts)).alias("a"), F.bit_xor(F.xxhash64(F.lit("set"), *parts)).alias("b"), F.count("*").alias("n")]
+
+
+def _window_sets(owners: DataFrame) -> DataFrame:
+    """(window, a, b, n): each window once, with the set of items that own it."""
+    return owners.select("window", "name").distinct().groupBy("window").agg(*_set_id("name"))
+
+
+def _marks(places: DataFrame, sets: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, spans) of the texts that have a window, and their sets (t1, t2, a, b, n), each once.
+
+    A place meets its window's set of items, never the items themselves: a passage of many items in
+    many documents makes a row for each document.
+    """
     each = places.select(*TEXT, F.inline("places"))
-    named = owners.select("window", "name")
-    hits = each.join(F.broadcast(named) if small else named, "window").select(*TEXT, "start", "stop", "name").distinct()
-    names = hits.groupBy(*TEXT).agg(F.sort_array(F.collect_set("name")).alias("items"))
+    hits = each.join(F.broadcast(sets) if small else sets, "window").select(*TEXT, "start", "stop", *SET).distinct()
     order = Window.partitionBy(*TEXT).orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.select(*TEXT, "start", "stop").distinct().withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("long"))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*TEXT, "run").agg(F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"))
     spans = runs.groupBy(*TEXT).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    return spans.join(names, [*TEXT])
+    return spans, hits.select(*TEXT, *SET).distinct()
+
+
+def _unions(met: DataFrame, owners: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, ua, ub, un), the union of each text's sets, and (ua, ub, un, items) of each union once.
+
+    One window stands for each set, and one text for each union, when their members are listed.
+    """
+    one = sets.groupBy(*SET).agg(F.min("window").alias("window"))
+    names = one.join(owners.select("window", "name").distinct(), "window").select(*SET, "name")
+    union = met.groupBy(*TEXT).agg(*_set_id(*SET)).toDF(*TEXT, *UNION)
+    first = union.groupBy(*UNION).agg(F.min(F.struct(*TEXT)).alias("t")).select(*UNION, "t.*")
+    items = first.join(met, [*TEXT]).join(names, [*SET]).groupBy(*UNION).agg(F.sort_array(F.collect_set("name")).alias("items"))
+    return union, items
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, width: int, item_col: str, item_text_col: str, most: int) -> tuple[DataFrame, DataFrame, Scratch]:
-    """Written places of documents (doc_id, text, t1, t2), and marks of their texts."""
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, item_col: str, item_text_col: str, most: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+    """Written places of documents (doc_id, text, t1, t2), owners of windows and their sets."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     words = scratch.write(_benchmark_words(benchmark, item_col, item_text_col), "words")
     owners = scratch.write(_owners(words, _word_counts(docs, words.select("word").distinct(), most), width), "owners")
     places = scratch.write(_places(docs, owners, most), "places")
-    return places, scratch.write(_marks(places, owners, owners.count() <= most), "marks"), scratch
+    return places, owners, scratch.write(_window_sets(owners), "sets"), scratch
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of docs: (doc_id, n_words, spans, items).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, digest: bool = False) -> DataFrame:
+    """One row per row of docs: (doc_id, n_words, spans, items); with digest, (…, n_items, items_sha256) in place of items.
 
     spans are the maximal runs of words that lie in an occurrence of a window of an item, stop
     excluded; items are the ids, as text, of the items with occurring windows, sorted as text. Words
@@ -173,15 +200,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, i
     joined to them.
     """
     docs = _known(pick(docs, doc_id=id_col, text=text_col))
-    places, marks, _ = _found(docs, benchmark, width, item_col, item_text_col, broadcast_rows)
+    places, owners, sets, scratch = _found(docs, benchmark, width, item_col, item_text_col, broadcast_rows)
+    spans, met = _marks(places, sets, sets.count() <= broadcast_rows)
+    met = scratch.write(met, "met")
+    union, items = _unions(met, owners, sets)
+    if digest:
+        items = items.select(*UNION, F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    found = places.join(spans.join(union, [*TEXT]), [*TEXT], "left").join(items, [*UNION], "left")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return places.join(marks, [*TEXT], "left").select("doc_id", "n_words", none("spans", "array<struct<start:bigint,stop:bigint>>"), none("items", "array<string>"))
+    named = [F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256")] if digest else [none("items", "array<string>")]
+    return found.select("doc_id", "n_words", none("spans", "array<struct<start:bigint,stop:bigint>>"), *named)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no window of an item; see :func:`find_contamination`."""
     own = _known(pick(docs, text=text_col).withColumn("doc_id", F.lit(None).cast("string")).select("doc_id", "text"))
-    _, marks, _ = _found(own, benchmark, width, item_col, item_text_col, broadcast_rows)
-    marks = marks.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
+    places, _, sets, scratch = _found(own, benchmark, width, item_col, item_text_col, broadcast_rows)
+    small = sets.count() <= broadcast_rows
+    each = places.select(*TEXT, F.inline("places")).join(F.broadcast(sets) if small else sets, "window", "left_semi")
+    marks = scratch.write(each.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct(), "marks")
     marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
     return docs.join(marks, (F.xxhash64(docs[text_col]) == F.col("_t1")) & (F.hash(docs[text_col]) == F.col("_t2")), "left_anti")

@@ -92,12 +92,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) against windows of 10 words."""
-    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10, digest=True)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        _sha256(F.array_join("items", ",")).alias("items_sha256"), (hit > 0).alias("contaminated"),
-    )
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), "n_items", "items_sha256", (hit > 0).alias("contaminated"))
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scores, classifier, BPE and decontamination: brute force, exact round trips and held-out accuracy."""
 
 import binascii
+import hashlib
 import math
 from collections import Counter
 
@@ -169,6 +170,24 @@ def test_decontamination(spark, most):
     assert all(not r["items"] for r in decontaminate.find_contamination(docs(spark, rows), bench.where("false")).collect())
 
 
+def test_a_passage_of_many_items_in_many_documents(spark):
+    """A place meets its window's set of items, not the items; digests equal those of the lists."""
+    shared = "one passage that every item and every document has in it"
+    items = [(i, f"{shared} item {i} of its own kind") for i in range(200)]
+    rows = [(i, f"document {i} says {shared} and stops") for i in range(150)] + [(900, items[7][1]), (901, None)]
+    own = decontaminate._known(docs(spark, rows).select("doc_id", "text"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    places, owners, sets, _ = decontaminate._found(own, bench, 5, "item_id", "text", decontaminate.BROADCAST_ROWS)
+    _, met = decontaminate._marks(places, sets, True)
+    assert sets.select("a", "b", "n").distinct().count() == 201
+    assert met.count() == 152  # the shared set once a document, and one item's own
+    plain = {r.doc_id: (r.n_words, r.spans, r["items"]) for r in decontaminate.find_contamination(docs(spark, rows), bench, width=5).collect()}
+    assert {k: (n, sum(s.stop - s.start for s in spans), names) for k, (n, spans, names) in plain.items()} == {k: brute_hits(t, items, 5) for k, t in rows}
+    for r in decontaminate.find_contamination(docs(spark, rows), bench, width=5, digest=True).collect():
+        n, spans, names = plain[r.doc_id]
+        assert (r.n_words, r.spans, r.n_items, r.items_sha256) == (n, spans, len(names), hashlib.sha256(",".join(names).encode()).hexdigest())
+
+
 @pytest.mark.parametrize("most", [decontaminate.BROADCAST_ROWS, 50])
 def test_a_benchmark_larger_than_the_documents(spark, most):
     rng = np.random.default_rng(4)
