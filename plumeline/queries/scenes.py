@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, image, masks, regions
+from ..operators import curves, image, masks, regions, scanlines
 from .registry import HEAD, query, r6, table
 
 ROWS, COLS = 48, 64
@@ -105,3 +105,18 @@ def l23(spark: SparkSession, sf: str) -> DataFrame:
 def n11(spark: SparkSession, sf: str) -> DataFrame:
     px = scenes(spark, sf).select(F.col("scene_id").alias("case_id"), "r", "c", F.col("gt").cast("double").alias("w"))
     return curves.density_outline(px, {**HEAD, "rows": ROWS, "cols": COLS})
+
+
+@query("j14_scan_lines", """WITH pt AS (SELECT l_partkey AS ring_id, l_orderkey % 37 + 0.375::DOUBLE AS x, l_suppkey % 31 + 0.125::DOUBLE AS y, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS k, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem),
+e AS (SELECT a.ring_id, a.x, a.y, b.x AS x2, b.y AS y2 FROM pt AS a JOIN pt AS b ON a.ring_id = b.ring_id AND b.k = a.k % a.n + 1 WHERE a.n >= 3),
+cut AS (SELECT ring_id, r, x + (40 - (r + 0.5::DOUBLE) - y) / (y2 - y) * (x2 - x) AS cross_x FROM e, range(40) AS t(r) WHERE (y > 40 - (r + 0.5::DOUBLE)) <> (y2 > 40 - (r + 0.5::DOUBLE))),
+px AS (SELECT ring_id, r, c FROM cut, range(40) AS t(c) WHERE c + 0.5::DOUBLE < cross_x GROUP BY ring_id, r, c HAVING count(*) % 2 = 1)
+SELECT ring_id, count(*) AS n, sum(r * 40 + c)::BIGINT AS places FROM px GROUP BY ring_id""")
+def j14_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's outline, through its sales in order, burned on a scene of 40 x 40 pixels."""
+    point = F.struct("l_orderkey", "l_linenumber", "l_suppkey")
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("ring_id")).agg(F.sort_array(F.collect_list(point)).alias("p"))
+    ring = F.transform("p", lambda p: F.struct((p["l_orderkey"] % 37 + F.lit(0.375)).alias("lon"), (p["l_suppkey"] % 31 + F.lit(0.125)).alias("lat")))
+    scene = spark.range(1).select(F.lit("s").alias("scene_id"), F.lit(40).alias("rows"), F.lit(40).alias("cols"), F.lit(0.0).alias("west"), F.lit(0.0).alias("south"), F.lit(40.0).alias("east"), F.lit(40.0).alias("north"))
+    px = scanlines.burned(lines.select(F.lit("s").alias("scene_id"), "ring_id", ring.alias("ring")), scene)
+    return px.groupBy("ring_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * 40 + F.col("c")).alias("places"))
