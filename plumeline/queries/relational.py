@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import evaluate, grid as G, ingest, score, tracks
-from ..sources import readers, sinks
+from ..sources import curve, readers, sinks
 from .registry import GRID, HEAD, POS, T0, T0_US, T1, T1_US, folder, grid, instant, positions, query, r6, sampled, table, us
 
 
@@ -55,6 +55,17 @@ def a05(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_extracts(spark, [path]).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("lon"), 4).alias("s"))
 
 
+_BOXES = [(-94.6, 28.3, -94.2, 28.9), (-94.3, 28.5, -93.9, 29.1), (-93.2, 29.7, -93.0, 30.0)]
+
+
+@query("a05_boxes_of_curve_extract", f"WITH {POS} SELECT event_id, mmsi, us AS ts_us, round(lon, 6) AS lon, round(lat, 6) AS lat FROM pos WHERE " + " OR ".join(f"(lon BETWEEN {w} AND {e} AND lat BETWEEN {s} AND {n})" for w, s, e, n in _BOXES))
+def a05_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions in any of three boxes, from an extract that is laid along a curve and opened where they lie."""
+    path = folder(spark)
+    curve.write_by_place(positions(spark, sf), path, extent=(-95.0, 28.0, -93.0, 30.0), zone_bits=4)
+    return curve.read_boxes(spark, path, _BOXES).select("event_id", "mmsi", us("ts").alias("ts_us"), r6("lon").alias("lon"), r6("lat").alias("lat"))
+
+
 @query("a06_union_by_name", f"WITH {POS} SELECT source, count(*) AS n FROM (SELECT source FROM pos WHERE event_id % 2 = 0 UNION ALL SELECT 'noaa' FROM pos WHERE event_id % 2 = 1) GROUP BY source")
 def a06(spark: SparkSession, sf: str) -> DataFrame:
     a, b = folder(spark), folder(spark)
