@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records, regions
-from .registry import query, r6, table
+from ..streaming import spaced
+from .registry import ORACLES, folder, query, r6, table
 
 
 @query("u17_bounds_with_clamp", "SELECT s_suppkey AS case_id, CASE WHEN s_suppkey % 3 = 0 THEN -25.0 ELSE -30.0 END::DOUBLE AS db_min, 0.0::DOUBLE AS db_max FROM supplier")
@@ -50,6 +51,21 @@ def f21(spark: SparkSession, sf: str) -> DataFrame:
     return records.limited(e).select("event_id", "accepted")
 
 
+@query("f21_rate_limit_of_stream", ORACLES["f21_rate_limit"])
+def f21_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same hits as a stream, five in sixty hours; stopped, and begun again with a last hit that takes the watermark past all others."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out, check = (folder(spark) for _ in range(3))
+    hits = table(own, sf, "events").select("event_id", F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    last = own.createDataFrame([(None, None, "2200-01-01 00:00:00")], "event_id long, client long, ts string").select("event_id", "client", F.col("ts").cast("timestamp").alias("ts"))
+    for part in (hits, last):
+        part.write.mode("append").parquet(source)
+        told = spaced.limited(own.readStream.schema(hits.schema).parquet(source), window_s=216000.0, late="1 hour", grain_ms=3_600_000)
+        told.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).where("event_id is not null").select("event_id", "accepted")
+
+
 @query("u35_field_figures", "WITH f AS (SELECT l_suppkey % 7 AS case_id, sqrt(pow(l_quantity / 10, 2) + pow(l_tax, 2)) AS s, l_linenumber = 7 AS masked FROM lineitem) SELECT case_id, round(quantile_cont(s, 0.5) FILTER (WHERE NOT masked), 6) AS median_ms, round(quantile_cont(s, 0.99) FILTER (WHERE NOT masked), 6) AS p99_ms, round(max(s) FILTER (WHERE NOT masked), 6) AS max_ms, round(100.0::DOUBLE * count(*) FILTER (WHERE masked) / count(*), 6) AS masked_pct FROM f GROUP BY case_id")
 def u35(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 7).alias("case_id"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity") / 10).alias("u"), F.col("l_tax").cast("double").alias("v"))
