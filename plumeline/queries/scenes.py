@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, image, masks, regions, scanlines
+from ..operators import curves, image, masks, regions, scanlines, thinning
 from .registry import HEAD, query, r6, table
 
 ROWS, COLS = 48, 64
@@ -120,3 +120,32 @@ def j14_scan(spark: SparkSession, sf: str) -> DataFrame:
     scene = spark.range(1).select(F.lit("s").alias("scene_id"), F.lit(40).alias("rows"), F.lit(40).alias("cols"), F.lit(0.0).alias("west"), F.lit(0.0).alias("south"), F.lit(40.0).alias("east"), F.lit(40.0).alias("north"))
     px = scanlines.burned(lines.select(F.lit("s").alias("scene_id"), "ring_id", ring.alias("ring")), scene)
     return px.groupBy("ring_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * 40 + F.col("c")).alias("places"))
+
+
+# The neighbours' places, clockwise from above, in a block of four by four that begins above and left of the pixel.
+_P = [f"((m >> {k}) & 1)" for k in (1, 2, 6, 10, 9, 8, 4, 0)]
+_RUNS = " + ".join(f"(1 - {a}) * {b}" for a, b in zip(_P, _P[1:] + _P[:1], strict=True))
+_TRIO = [" OR ".join("(" + " AND ".join(f"{_P[i]} = 1" for i in t) + ")" for t in two) for two in (((0, 2, 4), (2, 4, 6)), ((0, 2, 6), (0, 4, 6)))]
+AXES = f"""g AS (SELECT s, r, c FROM px WHERE gt),
+t AS (SELECT s, r, c, 0 AS k FROM g UNION ALL SELECT s, r, c, k + 1 FROM (SELECT a.s, a.r, a.c, a.k, bit_or((1 << ((b.r - a.r + 1) * 4 + b.c - a.c + 1)::INTEGER)::INTEGER) AS m FROM t AS a JOIN t AS b ON a.s = b.s AND b.r BETWEEN a.r - 1 AND a.r + 2 AND b.c BETWEEN a.c - 1 AND a.c + 2 GROUP BY ALL)
+ WHERE k < 40 AND (NOT ({" + ".join(_P)} BETWEEN 2 AND 6 AND {_RUNS} = 1 AND NOT CASE WHEN k % 2 = 0 THEN {_TRIO[0]} ELSE {_TRIO[1]} END) OR m = 1632)),
+x AS (SELECT s, r, c FROM t WHERE k = 40), big AS (SELECT s FROM x GROUP BY s HAVING count(*) >= 20),
+turn AS (SELECT s, count(*) AS n, avg(r) AS r0, avg(c) AS c0, atan2(-2 * covar_pop(c, r), var_pop(c) - var_pop(r)) / 2 AS a FROM g GROUP BY s),
+w AS (SELECT x.s, x.r, x.c, 100 * sqrt(min((x.r - e.r) * (x.r - e.r) + (x.c - e.c) * (x.c - e.c))) AS w FROM x JOIN px AS e ON x.s = e.s AND NOT e.gt GROUP BY ALL)"""
+
+
+@query("l13_medial_axes", f"""WITH RECURSIVE {SCENES}, {AXES}
+SELECT s AS scene_id, r::BIGINT AS r, c::BIGINT AS c, round(50 * ((c - c0) * cos(a) - (r - r0) * sin(a)), 4) AS along_m, round(w, 4) AS width_m FROM w SEMI JOIN big USING (s) JOIN turn USING (s)""")
+def l13_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each slick's medial axis of pixels of 50 m, with the place along the slick and the width there."""
+    p = thinning.medial_profile(scenes(spark, sf).where("gt = 1"), 50.0, tile=32, reach=16)
+    return p.select("scene_id", "r", "c", F.round("along_m", 4).alias("along_m"), F.round("width_m", 4).alias("width_m"))
+
+
+@query("l13_axis_figures", f"""WITH RECURSIVE {SCENES}, {AXES}
+SELECT s AS scene_id, count(*) AS axis_px, round(any_value(n) * 50.0::DOUBLE / count(*), 6) AS mean_width_m, round(count(*) * 50.0::DOUBLE / 1000, 6) AS length_km, round(count(*)::DOUBLE * count(*) / any_value(n), 6) AS aspect, round(max(w), 6) AS widest_m FROM w SEMI JOIN big USING (s) JOIN turn USING (s) GROUP BY s""")
+def l13_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Length, mean and largest width of each slick along its medial axis."""
+    slicks = scenes(spark, sf).where("gt = 1")
+    f = thinning.profile_figures(thinning.medial_profile(slicks, 50.0, tile=32, reach=16), slicks, 50.0)
+    return f.select("scene_id", "axis_px", *(r6(c).alias(c) for c in ("mean_width_m", "length_km", "aspect", "widest_m")))
