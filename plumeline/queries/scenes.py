@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curves, image, masks, regions, scanlines, thinning
+from ..operators import curves, image, masks, regions, scanlines, spots, thinning
 from .registry import HEAD, query, r6, table
 
 ROWS, COLS = 48, 64
@@ -149,3 +149,12 @@ def l13_figures(spark: SparkSession, sf: str) -> DataFrame:
     slicks = scenes(spark, sf).where("gt = 1")
     f = thinning.profile_figures(thinning.medial_profile(slicks, 50.0, tile=32, reach=16), slicks, 50.0)
     return f.select("scene_id", "axis_px", *(r6(c).alias(c) for c in ("mean_width_m", "length_km", "aspect", "widest_m")))
+
+
+@query("n06_dark_spots_of_scenes")
+def n06_spots(spark: SparkSession, sf: str) -> DataFrame:
+    """Dark regions of each prepared scene with depth and contrast against valid water; ships and land are no part of either."""
+    size, px = sizes(spark, sf), scenes(spark, sf)
+    prepared = masks.prepare(px, size, 0.01, window=9, bright_steps=2, above_db=3.0, close=2, least_km2=0.05, land_steps=2)
+    d = spots.dark_spots(px, size, 0.01, prepared=prepared, sizes=(21, 41), close=5, least_extent=20, tile=64)
+    return d.select("scene_id", "label", "n_px", *(r6(c).alias(c) for c in ("area_km2", "elongation", "fill", "mean_depth_db", "max_depth_db", "contrast_db")))
