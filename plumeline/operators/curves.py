@@ -205,7 +205,8 @@ def horizon_frames(particles: DataFrame, bands: DataFrame, minutes: float, most:
 
     particles: (case_id, step, ...); bands: (case_id, hi_h), null for no measured age, which keeps the
     whole span and the coarsest cadence that divides it. Adds output_min; cadences that are no whole
-    number of steps are passed over.
+    number of steps are passed over. Frames and cases meet by a sorted merge: Spark takes rows made by
+    an explode for few, and would broadcast them.
     """
     last = particles.groupBy("case_id").agg(F.max("step").alias("last")).join(bands, "case_id", "left")
     span = F.col("last") * minutes / 60.0
@@ -218,21 +219,21 @@ def horizon_frames(particles: DataFrame, bands: DataFrame, minutes: float, most:
             stop = F.when(up > F.col("last"), F.floor(F.col("last") / k) * k).otherwise(up)
             pick = F.when(stop / k + 1 <= most, F.struct(F.lit(k).cast("bigint").alias("every"), stop.cast("bigint").alias("stop"))).otherwise(pick)
     chosen = last.select("case_id", F.coalesce(pick, F.struct(F.lit(1).cast("bigint").alias("every"), F.col("last").cast("bigint").alias("stop"))).alias("f"))
-    return particles.join(chosen, "case_id").where((F.col("step") <= F.col("f.stop")) & (F.col("step") % F.col("f.every") == 0)).withColumn("output_min", F.col("f.every") * minutes).drop("f")
+    return particles.join(chosen.hint("merge"), "case_id").where((F.col("step") <= F.col("f.stop")) & (F.col("step") % F.col("f.every") == 0)).withColumn("output_min", F.col("f.every") * minutes).drop("f")
 
 
 def every_nth_frame(particles: DataFrame, stride: int) -> DataFrame:
     """Every stride-th step; a case whose span the stride does not divide is an error, since it would change the span."""
     last = particles.groupBy("case_id").agg(F.max("step").alias("_last"))
     fits = F.when(F.col("_last") % stride == 0, F.col("step") % stride == 0).otherwise(F.raise_error(F.lit("the stride does not divide the span")).cast("boolean"))
-    return particles.join(last, "case_id").where(fits).drop("_last")
+    return particles.join(last.hint("merge"), "case_id").where(fits).drop("_last")
 
 
 def frame_at(particles: DataFrame, hours_back: Column, minutes: float) -> DataFrame:
     """The frame nearest to some hours back, held at the ends of a case's span."""
     last = particles.groupBy("case_id").agg(F.max("step").alias("_last"))
     want = F.greatest(F.lit(0.0), F.least(F.bround(hours_back * 60 / minutes, 0), F.col("_last").cast("double")))
-    return particles.join(last, "case_id").where(F.col("step") == want).drop("_last")
+    return particles.join(last.hint("merge"), "case_id").where(F.col("step") == want).drop("_last")
 
 
 def on_land(points: DataFrame, land: DataFrame, cell_deg: float = 0.01) -> DataFrame:
