@@ -3,6 +3,8 @@
 A scene is a row of scenes (scene_id, rows, cols) and pixels (scene_id, r, c, db); a place without a
 pixel, or whose value is null, not finite or zero, has no data. A task holds one tile and as much
 beside it as its window reaches; medians and percentiles are exact and gather a thousandth of a scene.
+Pixels are joined by sorted merges: Spark takes made rows, and alike ones in a small file, for few and
+would broadcast them.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def quantiles(values: DataFrame, share: float) -> DataFrame:
     far = F.lit(float("inf"))
     low = F.when((F.col("n") <= SMALL) | F.lit(share <= 1e-3), -far).otherwise(F.col("at")[0])
     high = F.when((F.col("n") <= SMALL) | F.lit(share >= 1 - 1e-3), far).otherwise(F.col("at")[1])
-    met = v.join(ends.select("scene_id", (share * (F.col("n") - 1)).alias("rank"), low.alias("low"), high.alias("high")), "scene_id").where("v <= high")
+    met = v.hint("merge").join(ends.select("scene_id", (share * (F.col("n") - 1)).alias("rank"), low.alias("low"), high.alias("high")), "scene_id").where("v <= high")
     each = met.groupBy("scene_id", "rank", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("scene_id").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     upto = each.withColumn("upto", F.sum("n").over(order)).where("v is not null")
@@ -57,7 +59,7 @@ def raster(pixels: DataFrame, scenes: DataFrame) -> DataFrame:
     own = pixels.where(usable).groupBy(*KEYS).agg(F.max("db").alias("db"))
     size = scenes.where("scene_id is not null and rows > 0 and cols > 0").groupBy("scene_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"))
     every = size.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols").cast("int") - 1)))
-    return every.select(*KEYS).join(own.select("scene_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("db").cast("double").alias("db")), KEYS, "left")
+    return every.select(*KEYS).hint("merge").join(own.select("scene_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("db").cast("double").alias("db")), KEYS, "left")
 
 
 def over_tiles(pixels: DataFrame, scenes: DataFrame, reach: int, kernel: Callable[[np.ndarray], np.ndarray], tile: int = TILE, missing: float = 0.0) -> DataFrame:
@@ -68,21 +70,22 @@ def over_tiles(pixels: DataFrame, scenes: DataFrame, reach: int, kernel: Callabl
     """
     size = scenes.groupBy("scene_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"))
     spread = lambda x, most: F.explode(F.sequence(F.greatest(F.floor((F.col(x) - reach) / tile), F.lit(0)), F.least(F.floor((F.col(x) + reach) / tile), F.floor((F.col(most) - 1) / tile))))
-    sent = pixels.join(size, "scene_id").withColumn("tr", spread("r", "rows")).withColumn("tc", spread("c", "cols"))
+    sent = pixels.hint("merge").join(size, "scene_id").withColumn("tr", spread("r", "rows")).withColumn("tc", spread("c", "cols"))
     kind = pixels.schema["scene_id"].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        top, left = int(first.tr) * tile, int(first.tc) * tile
+    def one(t: pa.Table) -> pa.Table:
+        rows, cols, tr, tc = (int(t[x][0].as_py()) for x in ("rows", "cols", "tr", "tc"))
+        top, left = tr * tile, tc * tile
         r0, c0 = max(top - reach, 0), max(left - reach, 0)
-        r1, c1 = min(top + tile + reach, int(first.rows)), min(left + tile + reach, int(first.cols))
+        r1, c1 = min(top + tile + reach, rows), min(left + tile + reach, cols)
         held = np.full((r1 - r0, c1 - c0), missing)
-        held[pdf.r.to_numpy() - r0, pdf.c.to_numpy() - c0] = pdf.v.to_numpy(dtype=float)
+        held[t["r"].to_numpy() - r0, t["c"].to_numpy() - c0] = t["v"].to_numpy()
         own = np.asarray(kernel(held), dtype=float)[top - r0 : top - r0 + tile, left - c0 : left - c0 + tile]
         r, c = np.nonzero(~np.isnan(own) & ((own != 0) | (missing != 0)))
-        return pd.DataFrame({"scene_id": first.scene_id, "r": r + top, "c": c + left, "v": own[r, c]})
+        scene = t["scene_id"].take(pa.array(np.zeros(len(r), np.int64)))
+        return pa.table({"scene_id": scene, "r": pa.array(r + top, pa.int32()), "c": pa.array(c + left, pa.int32()), "v": own[r, c]})
 
-    return sent.groupBy("scene_id", "tr", "tc").applyInPandas(one, f"scene_id {kind}, r int, c int, v double")
+    return sent.withColumn("v", F.col("v").cast("double")).groupBy("scene_id", "tr", "tc").applyInArrow(one, f"scene_id {kind}, r int, c int, v double")
 
 
 def _cross(mask: np.ndarray, grow: bool) -> np.ndarray:
@@ -113,7 +116,7 @@ def local_means(full: DataFrame, scenes: DataFrame, window: int = SEA_WINDOW, ti
     full: a raster. A scene without any data has no rows.
     """
     median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5)
-    whole = full.join(median, "scene_id").select(*KEYS, F.coalesce("db", "q").alias("v"))
+    whole = full.hint("merge").join(median, "scene_id").select(*KEYS, F.coalesce("db", "q").alias("v"))
     half = window // 2
 
     def mean(a: np.ndarray) -> np.ndarray:
@@ -124,10 +127,10 @@ def local_means(full: DataFrame, scenes: DataFrame, window: int = SEA_WINDOW, ti
 
 def filled_holes(mask: DataFrame, full: DataFrame, scenes: DataFrame, tile: int = TILE) -> DataFrame:
     """The set pixels and those from which no way of steps up, down and aside over unset ones leads to a side of the scene."""
-    outside = labelled(full.select(*KEYS).join(mask, KEYS, "left_anti"), tile, diagonal=False)
+    outside = labelled(full.select(*KEYS).hint("merge").join(mask, KEYS, "left_anti"), tile, diagonal=False)
     side = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("rows") - 1) | (F.col("c") == F.col("cols") - 1)
-    open_ = outside.join(scenes, "scene_id").where(side).select("scene_id", "label").distinct()
-    holes = outside.join(open_, ["scene_id", "label"], "left_anti").select(*KEYS)
+    open_ = outside.hint("merge").join(scenes, "scene_id").where(side).select("scene_id", "label").distinct()
+    holes = outside.hint("merge").join(open_, ["scene_id", "label"], "left_anti").select(*KEYS)
     return mask.select(*KEYS).union(holes)
 
 
@@ -136,12 +139,12 @@ def land_mask(full: DataFrame, means: DataFrame, sea: DataFrame, scenes: DataFra
 
     Closing counts what lies outside the scene as unset. Pieces of land touch by their sides.
     """
-    rated = full.join(means, KEYS, "left").join(sea, "scene_id", "left")
+    rated = full.hint("merge").join(means, KEYS, "left").join(sea.hint("merge"), "scene_id", "left")
     high = rated.where(F.col("db").isNull() | (F.col("v") > F.col("sea_db") + above_db))
     shut = staged(over_tiles(_marked(high), scenes, 2 * close, lambda a: grown(grown(a > 0, close), close, grow=False), tile).select(*KEYS), "closed")
     whole = labelled(filled_holes(shut, full, scenes, tile), tile, diagonal=False)
     large = whole.groupBy("scene_id", "label").agg(F.count("*").alias("n")).where(F.col("n") * pixel_km2 >= least_km2)
-    kept = whole.join(large, ["scene_id", "label"], "left_semi")
+    kept = whole.hint("merge").join(large, ["scene_id", "label"], "left_semi")
     return dilated(kept, scenes, steps, tile)
 
 
@@ -155,12 +158,12 @@ def prepare(pixels: DataFrame, scenes: DataFrame, pixel_km2: float, window: int
     full = staged(raster(pixels, scenes), "raster")
     means = staged(local_means(full, scenes, window, tile), "means")
     with_data = full.where("db is not null")
-    sea = staged(quantiles(with_data.join(means, KEYS).select("scene_id", "v"), SEA_SHARE).withColumnRenamed("q", "sea_db"), "sea")
+    sea = staged(quantiles(with_data.hint("merge").join(means, KEYS).select("scene_id", "v"), SEA_SHARE).withColumnRenamed("q", "sea_db"), "sea")
     bright = dilated(with_data.where(F.col("db") > bright_db), scenes, bright_steps, tile)
     land = land_mask(full, means, sea, scenes, pixel_km2, above_db, close, least_km2, land_steps, tile)
     land = land if coast is None else land.union(coast.select(*KEYS)).distinct()
-    flag = lambda m, name: m.select(*KEYS, F.lit(True).alias(name))
-    each = full.join(flag(bright, "bright"), KEYS, "left").join(flag(land, "land"), KEYS, "left").join(sea, "scene_id", "left")
+    flag = lambda m, name: m.select(*KEYS, F.lit(True).alias(name)).hint("merge")
+    each = full.join(flag(bright, "bright"), KEYS, "left").join(flag(land, "land"), KEYS, "left").join(sea.hint("merge"), "scene_id", "left")
     each = each.withColumns({"bright": F.coalesce("bright", F.lit(False)), "land": F.coalesce("land", F.lit(False))})
     valid = F.col("db").isNotNull() & ~F.col("bright") & ~F.col("land")
     return each.select(*KEYS, F.when(valid, F.col("db")).otherwise(F.col("sea_db")).alias("filled"), valid.alias("valid"), "land", "sea_db")
@@ -186,7 +189,7 @@ def merged_contacts(found: DataFrame, reach: Column | float) -> DataFrame:
     at = f.select("scene_id", "label", "r", "c", "peak_db", "reach", cell("r").alias("y"), cell("c").alias("x"))
     beside = lambda x: F.explode(F.sequence(F.col(x) - 1, F.col(x) + 1))
     other = at.select("scene_id", F.col("label").alias("over"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("peak_db").alias("peak2"), F.col("y"), F.col("x"))
-    met = at.withColumn("y", beside("y")).withColumn("x", beside("x")).join(other, ["scene_id", "y", "x"])
+    met = at.withColumn("y", beside("y")).withColumn("x", beside("x")).join(other.hint("merge"), ["scene_id", "y", "x"])
     brighter = (F.col("peak2") > F.col("peak_db")) | ((F.col("peak2") == F.col("peak_db")) & (F.col("over") < F.col("label")))
     links = staged(met.where(brighter & (F.hypot(F.col("r") - F.col("r2"), F.col("c") - F.col("c2")) <= F.col("reach"))).select("scene_id", "label", "over", "peak2"), "links")
     open_, heads = staged(f.select("scene_id", "label"), "open"), None
@@ -211,13 +214,13 @@ def ships(pixels: DataFrame, scenes: DataFrame, pixel_m: float, exclude: DataFra
     pixels that fill a fifth of their box count. label is a region's first pixel in row order.
     """
     own = raster(pixels, scenes).where("db is not null")
-    full = staged(own if exclude is None else own.join(exclude.select(*KEYS), KEYS, "left_anti"), "sea")
+    full = staged(own if exclude is None else own.join(exclude.select(*KEYS).hint("merge"), KEYS, "left_anti"), "sea")
     median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5).withColumnRenamed("q", "med")
-    apart = full.join(median, "scene_id").select("scene_id", "med", F.abs(F.col("db") - F.col("med")).alias("v"))
+    apart = full.hint("merge").join(median, "scene_id").select("scene_id", "med", F.abs(F.col("db") - F.col("med")).alias("v"))
     level = quantiles(apart, 0.5).join(median, "scene_id").select("scene_id", F.greatest(F.lit(SHIP_DB), F.col("med") + SHIP_MADS * 1.4826 * F.col("q")).alias("cut"))
-    bright = full.join(level, "scene_id").where("db > cut")
+    bright = full.hint("merge").join(level, "scene_id").where("db > cut")
     shut = over_tiles(_marked(bright), scenes, 2, lambda a: _closed_square(a > 0), tile).select(*KEYS)
-    whole = labelled(shut, tile).join(raster(pixels, scenes), KEYS)
+    whole = labelled(shut, tile).join(raster(pixels, scenes).hint("merge"), KEYS)
     box = (F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1)
     each = whole.groupBy("scene_id", "label").agg(F.avg("r").alias("r"), F.avg("c").alias("c"), F.count("*").alias("px_area"), F.max("db").alias("peak_db"), (F.count("*") / box).alias("fill"))
     kept = each.where(F.col("px_area").between(SHIP_LEAST, SHIP_MOST) & (F.col("fill") >= SHIP_FILL)).drop("fill")

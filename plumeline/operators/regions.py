@@ -40,9 +40,9 @@ def contracted(links: DataFrame) -> DataFrame:
             return e.select("scene_id", F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         both = e.union(e.select("scene_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), ["scene_id", "u"]).where("v > u").select("scene_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.hint("merge").join(_least(both), ["scene_id", "u"]).where("v > u").select("scene_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = _least(large)
-        small = large.join(low, ["scene_id", "u"]).where("v <> m").select("scene_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.hint("merge").join(low, ["scene_id", "u"]).where("v <> m").select("scene_id", F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.union(low.select("scene_id", "u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
 
 
@@ -70,17 +70,17 @@ def labelled(mask: DataFrame, tile: int = TILE, diagonal: bool = True) -> DataFr
     moves = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, 0), *(((1, -1), (1, 1)) if diagonal else ())))))
     to = border.withColumn("o", moves).select("scene_id", "own", "r", "c", (F.col("r") + F.col("o.dr")).alias("r2"), (F.col("c") + F.col("o.dc")).alias("c2"))
     to = to.where((F.floor(F.col("r") / tile) != F.floor(F.col("r2") / tile)) | (F.floor(F.col("c") / tile) != F.floor(F.col("c2") / tile)))
-    met = to.select("scene_id", F.col("own").alias("a"), F.col("r2").alias("r"), F.col("c2").alias("c")).join(border.withColumnRenamed("own", "b"), ["scene_id", "r", "c"])
+    met = to.select("scene_id", F.col("own").alias("a"), F.col("r2").alias("r"), F.col("c2").alias("c")).join(border.withColumnRenamed("own", "b").hint("merge"), ["scene_id", "r", "c"])
     roots = contracted(met.select("scene_id", "a", "b").distinct()).withColumnRenamed("node", "own")
-    return local.join(roots, ["scene_id", "own"], "left").select("scene_id", "r", "c", F.coalesce("root", "own").alias("label"))
+    return local.hint("merge").join(roots, ["scene_id", "own"], "left").select("scene_id", "r", "c", F.coalesce("root", "own").alias("label"))
 
 
 def held(weak: DataFrame, strong: DataFrame, tile: int = TILE) -> DataFrame:
     """Labelled pixels of the weak regions that hold a strong pixel; both are (scene_id, r, c)."""
     labels = labelled(weak, tile)
     keys = ["scene_id", "r", "c"]
-    keep = labels.join(strong.select(*keys).distinct(), keys, "left_semi").select("scene_id", "label").distinct()
-    return labels.join(keep, ["scene_id", "label"], "left_semi").select(*keys, "label")
+    keep = labels.hint("merge").join(strong.select(*keys).distinct(), keys, "left_semi").select("scene_id", "label").distinct()
+    return labels.hint("merge").join(keep, ["scene_id", "label"], "left_semi").select(*keys, "label")
 
 
 def region_figures(labels: DataFrame, values: DataFrame | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def region_figures(labels: DataFrame, values: DataFrame | None = None) -> DataFr
     least of the region's own values; pixels without one count for the shape alone. Sums only, before the shuffle.
     """
     keys = ["scene_id", "r", "c"]
-    rows = labels if values is None else labels.join(values.select(*keys, "db"), keys, "left")
+    rows = labels if values is None else labels.join(values.select(*keys, "db").hint("merge"), keys, "left")
     each = rows.groupBy("scene_id", "label").agg(
         F.count("*").alias("n_px"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.avg("r").alias("r"), F.avg("c").alias("c"),
         F.var_pop("r").alias("vr"), F.var_pop("c").alias("vc"), F.covar_pop("r", "c").alias("vrc"), *([] if values is None else [F.avg("db").alias("mean"), F.min("db").alias("low")]),

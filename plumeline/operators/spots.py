@@ -27,7 +27,7 @@ def depths(prepared: DataFrame, scenes: DataFrame, sizes: tuple[int, ...] = SCAL
 def noise_floor(depth: DataFrame) -> DataFrame:
     """(scene_id, med, mad): median and 1.4826 median deviations, at least 0.001, of the depths (scene_id, v) of valid places."""
     med = masks.quantiles(depth, 0.5).withColumnRenamed("q", "med")
-    off = masks.quantiles(depth.join(med, "scene_id").select("scene_id", F.abs(F.col("v") - F.col("med")).alias("v")), 0.5)
+    off = masks.quantiles(depth.hint("merge").join(med, "scene_id").select("scene_id", F.abs(F.col("v") - F.col("med")).alias("v")), 0.5)
     return med.join(off, "scene_id").select("scene_id", "med", F.greatest(1.4826 * F.col("q"), F.lit(LEAST_MAD)).alias("mad"))
 
 
@@ -38,7 +38,7 @@ def rings(labels: DataFrame, scenes: DataFrame, inner: int = image.RING_IN, oute
     """
     size = scenes.groupBy("scene_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"))
     near = lambda x, most: F.explode(F.sequence(F.greatest(F.floor((F.col(x) - outer) / tile), F.lit(0)), F.least(F.floor((F.col(x) + outer) / tile), F.floor((F.col(most) - 1) / tile))))
-    sent = labels.select(*KEYS, "label").join(size, "scene_id").withColumn("tr", near("r", "rows")).withColumn("tc", near("c", "cols"))
+    sent = labels.select(*KEYS, "label").hint("merge").join(size, "scene_id").withColumn("tr", near("r", "rows")).withColumn("tc", near("c", "cols"))
     kind = labels.schema["scene_id"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,18 +69,18 @@ def dark_spots(pixels: DataFrame, scenes: DataFrame, pixel_km2: float, *, prepar
     """
     prep = staged(prepared if prepared is not None else masks.prepare(pixels, scenes, pixel_km2, tile=tile), "prepared")
     valid = prep.where("valid").select(*KEYS, F.col("filled").alias("db"))
-    depth = staged(depths(prep, scenes, sizes, tile=tile).join(valid, KEYS).select(*KEYS, "v", "db"), "depths")
-    rated = depth.join(noise_floor(depth.select("scene_id", "v")), "scene_id")
+    depth = staged(depths(prep, scenes, sizes, tile=tile).join(valid.hint("merge"), KEYS).select(*KEYS, "v", "db"), "depths")
+    rated = depth.hint("merge").join(noise_floor(depth.select("scene_id", "v")), "scene_id")
     over = lambda db, mads: rated.where(F.col("v") >= F.col("med") + F.greatest(F.lit(db), mads * F.col("mad"))).select(*KEYS)
     spots = regions.held(over(image.WEAK_DB, image.WEAK_MADS), over(image.STRONG_DB, image.STRONG_MADS), tile)
     shut = masks.over_tiles(spots.select(*KEYS, F.lit(1.0).alias("v")), scenes, 2 * (close // 2), lambda a: image.closed(a > 0, close), tile)
-    labels = staged(regions.labelled(shut.join(valid, KEYS, "left_semi"), tile), "spots")
+    labels = staged(regions.labelled(shut.join(valid.hint("merge"), KEYS, "left_semi"), tile), "spots")
     figures = regions.region_figures(labels).withColumn("area_km2", F.col("n_px") * F.lit(float(pixel_km2)))
     extent = F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) + 1
     figures = figures.where((F.col("area_km2") <= most_km2) & ((F.col("area_km2") >= least_km2) | (extent >= least_extent)))
-    own = labels.join(figures.select("scene_id", "label"), ["scene_id", "label"], "left_semi")
-    inside = staged(own.join(depth, KEYS).select(*KEYS, "label", "v", "db"), "inside")
-    about = rings(inside, scenes, tile=tile).join(valid, KEYS).select("scene_id", "label", "db")
+    own = labels.hint("merge").join(figures.select("scene_id", "label"), ["scene_id", "label"], "left_semi")
+    inside = staged(own.join(depth.hint("merge"), KEYS).select(*KEYS, "label", "v", "db"), "inside")
+    about = rings(inside, scenes, tile=tile).join(valid.hint("merge"), KEYS).select("scene_id", "label", "db")
     median = lambda rows, name: masks.quantiles(rows.select(F.struct("scene_id", "label").alias("scene_id"), F.col("db").alias("v")), 0.5).select("scene_id.scene_id", "scene_id.label", F.col("q").alias(name))
     deep = inside.groupBy("scene_id", "label").agg(F.avg("v").alias("mean_depth_db"), F.max("v").alias("max_depth_db"))
     at = ["scene_id", "label"]

@@ -77,14 +77,14 @@ def thinned(mask: DataFrame, tile: int = TILE, reach: int = 32) -> DataFrame:
     while True:
         sent = kept.withColumn("tr", reached("r")).withColumn("tc", reached("c"))
         if busy is not None:
-            sent = sent.join(busy, tiles, "left_semi")
+            sent = sent.hint("merge").join(busy, tiles, "left_semi")
         told = staged(sent.groupBy(*tiles).applyInPandas(one, f"scene_id {kind}, r long, c long, kept boolean"), "thinning")
         lost = told.where("not kept").select("scene_id", at("r"), at("c")).distinct()
         if lost.isEmpty():
             return kept
         still = told.where("kept").select(*KEYS)
         if busy is not None:
-            idle = kept.select(*KEYS, at("r"), at("c")).join(busy, tiles, "left_anti").select(*KEYS)
+            idle = kept.select(*KEYS, at("r"), at("c")).hint("merge").join(busy, tiles, "left_anti").select(*KEYS)
             still = still.union(idle)
         kept = staged(still, "thinned")
         side = lambda x: F.explode(F.sequence(F.col(x) - 1, F.col(x) + 1)).alias(x)
@@ -102,10 +102,10 @@ def half_widths(mask: DataFrame, places: DataFrame) -> DataFrame:
     whole = Window.partitionBy("scene_id", "c", "run")
     up = own.withColumn("run", F.col("r") - F.row_number().over(run)).select(*KEYS, F.least(F.col("r") - F.min("r").over(whole) + 1, F.max("r").over(whole) + 1 - F.col("r")).alias("g"))
     up = staged(up, "columns")
-    wanted = places.select("scene_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct().join(up, KEYS)
+    wanted = places.select("scene_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct().join(up.hint("merge"), KEYS)
     beside = wanted.select("scene_id", "r", F.col("c").alias("c0"), F.explode(F.sequence(F.col("c") - F.col("g"), F.col("c") + F.col("g"))).alias("c"))
     g, apart = F.coalesce(F.col("g"), F.lit(0)).cast("double"), (F.col("c") - F.col("c0")).cast("double")
-    return beside.join(up, KEYS, "left").groupBy("scene_id", "r", F.col("c0").alias("c")).agg(F.sqrt(F.min(apart * apart + g * g)).alias("d"))
+    return beside.join(up.hint("merge"), KEYS, "left").groupBy("scene_id", "r", F.col("c0").alias("c")).agg(F.sqrt(F.min(apart * apart + g * g)).alias("d"))
 
 
 def medial_profile(mask: DataFrame, pixel_m: float, tile: int = TILE, reach: int = 32) -> DataFrame:
@@ -117,7 +117,7 @@ def medial_profile(mask: DataFrame, pixel_m: float, tile: int = TILE, reach: int
     axis = thinned(own, tile, reach)
     long_ = own.groupBy("scene_id").agg(F.avg("r").alias("r0"), F.avg("c").alias("c0"), (F.atan2(-2 * F.covar_pop("c", "r"), F.var_pop("c") - F.var_pop("r")) / 2).alias("turn"))
     enough = axis.groupBy("scene_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_AXIS).select("scene_id")
-    at = half_widths(own, axis).join(enough, "scene_id").join(long_, "scene_id")
+    at = half_widths(own, axis).join(enough.hint("merge"), "scene_id").join(long_.hint("merge"), "scene_id")
     along = ((F.col("c") - F.col("c0")) * F.cos("turn") - (F.col("r") - F.col("r0")) * F.sin("turn")) * F.lit(float(pixel_m))
     return at.select(*KEYS, along.alias("along_m"), (2 * F.col("d") * F.lit(float(pixel_m))).alias("width_m"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import curves, image, masks, regions, scanlines, spots, thinning
+from ..sources.staging import staged
 from .registry import HEAD, query, r6, table
 
 ROWS, COLS = 48, 64
@@ -28,7 +29,7 @@ def scenes(spark: SparkSession, sf: str) -> DataFrame:
     for r, c in _BRIGHT:
         bright = bright | (F.col("r").between(r, r + 2) & F.col("c").between(c, c + 1 + k % 2))
     water = F.lit(-18.0) + F.coalesce((F.col("q") - 25) / 25, F.lit(0.0))
-    return px.join(sold, ["scene_id", "r", "c"], "left").select("scene_id", "r", "c", F.when(bright, 5.0 + k % 4).otherwise(water - F.when(inside, 8.0).otherwise(0.0)).alias("db"), inside.cast("int").alias("gt"))
+    return px.hint("merge").join(sold, ["scene_id", "r", "c"], "left").select("scene_id", "r", "c", F.when(bright, 5.0 + k % 4).otherwise(water - F.when(inside, 8.0).otherwise(0.0)).alias("db"), inside.cast("int").alias("gt"))
 
 
 _SHIPS = " OR ".join(f"(r BETWEEN {r} AND {r + 2} AND c BETWEEN {c} AND {c + 1} + s % 2)" for r, c in _BRIGHT)
@@ -45,8 +46,8 @@ SELECT s AS scene_id, round(quantile_cont(m, 0.2), 6) AS sea_db, round(avg(m), 6
 def n01_means(spark: SparkSession, sf: str) -> DataFrame:
     """Local means of 9 x 9 pixels, mirrored at the sides, and the sea's level."""
     size = sizes(spark, sf)
-    means = masks.local_means(masks.raster(scenes(spark, sf), size), size, 9, tile=32)
-    return masks.quantiles(means.select("scene_id", "v"), 0.2).join(means.groupBy("scene_id").agg(F.avg("v").alias("a"), F.max("v").alias("b")), "scene_id").select("scene_id", r6("q").alias("sea_db"), r6("a").alias("mean_db"), r6("b").alias("top_db"))
+    means = staged(masks.local_means(staged(masks.raster(scenes(spark, sf), size), "raster"), size, 9, tile=32).select("scene_id", "v"), "means")
+    return masks.quantiles(means, 0.2).join(means.groupBy("scene_id").agg(F.avg("v").alias("a"), F.max("v").alias("b")), "scene_id").select("scene_id", r6("q").alias("sea_db"), r6("a").alias("mean_db"), r6("b").alias("top_db"))
 
 
 @query("n01_prepared_scenes")

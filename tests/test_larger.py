@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumeline.operators import curves
+from plumeline.operators import curves, masks
 
 
 def plan(df):
@@ -18,6 +18,15 @@ def test_frames_are_never_broadcast(spark):
     assert curves.horizon_frames(frames, bands, 15.0).count() == 40 * 5
 
 
+def test_pixels_are_never_broadcast(spark):
+    scenes = spark.range(3).select(F.col("id").alias("scene_id"), F.lit(40).alias("rows"), F.lit(40).alias("cols"))
+    px = scenes.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("r")).select("scene_id", "r", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("c"), F.lit(-18.0).alias("db"))
+    full = masks.raster(px, scenes)
+    for made in (full, masks.local_means(full, scenes, 9, tile=16)):
+        assert "Generate" not in _broadcast_parts(plan(made))
+    assert masks.quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5).count() == 3
+
+
 def _broadcast_parts(text):
     """The subtrees below each broadcast exchange of a plan."""
     lines, out = text.splitlines(), []
