@@ -316,7 +316,10 @@ def region_overlap(region_pixels: DataFrame, truth: DataFrame, least: float = 0.
 
 
 def burn(rings: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Pixels (scene_id, r, c, lon, lat) whose centre lies in a ring (scene_id, ring), by counting crossings."""
+    """Pixels (scene_id, r, c, lon, lat) whose centre lies in a ring (scene_id, ring), by counting crossings.
+
+    Equal rings of a scene and pixels of one place meet once; a place meets only rings that its latitude crosses.
+    """
     def crossings(ring, x, y):  # noqa: ANN001, ANN202
         n = F.size(ring)
         def crossed(i):  # noqa: ANN001, ANN202
@@ -324,4 +327,11 @@ def burn(rings: DataFrame, pixels: DataFrame) -> DataFrame:
             spans = (a["lat"] > y) != (b["lat"] > y)
             return F.when(spans & (x < a["lon"] + (y - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) * (b["lon"] - a["lon"])), 1).otherwise(0)
         return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + crossed(i))
-    return pixels.join(rings, "scene_id").where(crossings(F.col("ring"), F.col("lon"), F.col("lat")) % 2 == 1).select("scene_id", "r", "c").distinct()
+    at = ["scene_id", "lon", "lat"]
+    tasks = pixels.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: adaptive execution would put them in one task
+    places = pixels.select(*at).distinct().repartition(tasks, *at)
+    high = F.transform("ring", lambda p: p["lat"])
+    each = rings.select("scene_id", "ring").distinct().withColumns({"low": F.array_min(high), "high": F.array_max(high)}).repartition(tasks, "scene_id", "ring")
+    met = places.join(each, "scene_id").where((F.col("lat") >= F.col("low")) & (F.col("lat") < F.col("high")))
+    inside = met.where(crossings(F.col("ring"), F.col("lon"), F.col("lat")) % 2 == 1).select(*at).distinct()
+    return pixels.join(inside, at, "left_semi").select("scene_id", "r", "c").distinct()
