@@ -48,7 +48,7 @@ def match_contacts(contacts: DataFrame, placed: DataFrame, fixes: DataFrame, t0:
     placed: (mmsi, lon, lat) of vessels with a position at the scene; they match within 1 km and never
     fall through to the prism. Others match by their prism. Both joins are on cells of `cell_deg`
     degrees: a vessel is put in every cell that its reach touches, so that no pair is made between far
-    things. Reach is bounded by 25 knots for 90 minutes.
+    things. Reach is bounded by 25 knots for 90 minutes. Contacts at one place are compared once.
     """
     key = lambda x, d: F.floor(x / d).cast("int")
 
@@ -57,13 +57,16 @@ def match_contacts(contacts: DataFrame, placed: DataFrame, fixes: DataFrame, t0:
         dx = F.lit(km) / (110.0 * F.greatest(F.cos(F.radians(F.least(F.abs(lat) + dy, F.lit(89.0)))), F.lit(0.01)))
         return df.withColumn("cx", F.explode(F.sequence(key(lon - dx, cell_deg), key(lon + dx, cell_deg)))).withColumn("cy", F.explode(F.sequence(key(lat - dy, cell_deg), key(lat + dy, cell_deg))))
 
-    at = contacts.withColumn("cx", key(F.col("lon"), cell_deg)).withColumn("cy", key(F.col("lat"), cell_deg))
+    place = ["lon", "lat"]
+    at = contacts.select(*place).distinct().withColumn("cx", key(F.col("lon"), cell_deg)).withColumn("cy", key(F.col("lat"), cell_deg))
     near = cells(placed.select("mmsi", F.col("lon").alias("vlon"), F.col("lat").alias("vlat")), F.col("vlon"), F.col("vlat"), MATCH_KM)
-    by_place = at.join(near, ["cx", "cy"]).where(haversine_km("lon", "lat", "vlon", "vlat") <= MATCH_KM).select("contact_id")
+    by_place = at.join(near, ["cx", "cy"]).where(haversine_km("lon", "lat", "vlon", "vlat") <= MATCH_KM).select(*place)
     rest = fixes.join(placed.select("mmsi"), "mmsi", "left_anti").where("a is not null or b is not null")
+    rest = rest.repartition(rest.sparkSession.sparkContext.defaultParallelism, "mmsi")  # few bytes, much work: adaptive execution would put them in one task
     reach = cells(rest, F.coalesce(F.col("a.lon"), F.col("b.lon")), F.coalesce(F.col("a.lat"), F.col("b.lat")), REACH_KNOTS * KM_PER_KNOT_HOUR * 2 * REACH_MIN / 60 + 2 * MATCH_KM)
-    by_prism = at.join(reach, ["cx", "cy"]).where(in_prism(F.col("lon"), F.col("lat"), t0)).select("contact_id")
-    found = by_place.union(by_prism).distinct().withColumn("matched", F.lit(True))
+    by_prism = at.join(reach, ["cx", "cy"]).where(in_prism(F.col("lon"), F.col("lat"), t0)).select(*place)
+    hit = by_place.union(by_prism).distinct()
+    found = contacts.join(hit, place, "left_semi").select("contact_id").distinct().withColumn("matched", F.lit(True))
     return contacts.join(found, "contact_id", "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
