@@ -6,12 +6,16 @@ have in common is a table of links, which alternating large and small stars cont
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .image import TILE, label_components
+from .image import TILE
 
 #: A pixel's place in row order as one number.
 _ROW = 1 << 32
@@ -46,25 +50,85 @@ def contracted(links: DataFrame) -> DataFrame:
         e = staged(small.union(low.select("scene_id", "u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
 
 
+def _turns(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; nulls are alike, and so is what is not a number."""
+    x = column.combine_chunks()
+    if pa.types.is_nested(x.type):
+        v = x.to_pylist()
+        return np.array([a != b for a, b in zip(v[1:], v[:-1], strict=True)], bool)
+    a, b = x[1:], x[:-1]
+    told = pc.not_equal(a, b).fill_null(False).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(x.type):
+        nan = lambda y: pc.is_nan(y).fill_null(False).to_numpy(zero_copy_only=False)
+        told = told & ~(nan(a) & nan(b))
+    void = x.is_null().to_numpy(zero_copy_only=False)
+    return told | (void[1:] != void[:-1])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, with the place where each begins, of batches whose rows are sorted by keys: one call of Python for many small groups."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = pa.Table.from_batches([b])
+        now = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
+        at = np.append(0, np.flatnonzero(np.logical_or.reduce([_turns(now[k]) for k in keys])) + 1)
+        if len(at) > 1:
+            yield now[: at[-1]], at[:-1]
+        rest = now[at[-1] :]
+    if rest is not None:
+        yield rest, np.zeros(1, np.int64)
+
+
+def joined_places(group: np.ndarray, r: np.ndarray, c: np.ndarray, tile: int, diagonal: bool = True) -> np.ndarray:
+    """For each distinct place of a tile (group, r, c), the index of the first place in row order that it is joined to inside its tile."""
+    wide = tile + 2
+    code = (group * wide + r % tile) * wide + c % tile
+    order = np.argsort(code)
+    code = code[order]
+    a, b = [], []
+    for move in (1, wide, *((wide - 1, wide + 1) if diagonal else ())):
+        at = np.minimum(np.searchsorted(code, code + move), len(code) - 1)
+        met = np.flatnonzero(code[at] == code + move)
+        a.append(met)
+        b.append(at[met])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(code))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    out = np.empty(len(code), np.int64)
+    out[order] = order[root]
+    return out
+
+
 def labelled(mask: DataFrame, tile: int = TILE, diagonal: bool = True) -> DataFrame:
     """(scene_id, r, c, label) of the set pixels (scene_id, r, c): pixels of one label touch, by sides or, where diagonal, corners.
 
     A label is the place of its region's first pixel in row order, r * 2^32 + c. A tile is labelled on its
-    own; each pixel at a tile's border that touches a set pixel of another tile links two tiles' labels.
+    own, many tiles in one call; each pixel at a tile's border that touches a set pixel of another tile links two tiles' labels.
     Pixels may repeat; those without a scene or a place are left out. A scene without pixels has no rows.
     """
-    pixels = mask.select("scene_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).where("scene_id is not null and r is not null and c is not null").distinct()
+    pixels = mask.select("scene_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).where("scene_id is not null and r is not null and c is not null")
     kind = pixels.schema["scene_id"].dataType.simpleString()
+    tiles = ["scene_id", "tr", "tc"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf.r.to_numpy(), pdf.c.to_numpy()
-        grid = pd.DataFrame(False, index=range(tile), columns=range(tile)).to_numpy(copy=True)
-        grid[r % tile, c % tile] = True
-        part = pdf.assign(k=label_components(grid, diagonal)[r % tile, c % tile], own=r * _ROW + c)
-        return part.assign(own=part.groupby("k")["own"].transform("min"))[["scene_id", "r", "c", "own"]]
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, tiles):
+            r, c = t["r"].to_numpy(), t["c"].to_numpy()
+            group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(r))))
+            first = joined_places(group, r, c, tile, diagonal)
+            yield from t.select(["scene_id", "r", "c"]).append_column("own", pa.array((r * _ROW + c)[first])).combine_chunks().to_batches()
 
-    keyed = pixels.groupBy("scene_id", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
-    local = staged(keyed.applyInPandas(one, f"scene_id {kind}, r long, c long, own long"), "local")
+    keyed = pixels.select("*", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).repartition(*tiles).distinct()
+    local = staged(keyed.sortWithinPartitions(*tiles).mapInArrow(many, f"scene_id {kind}, r long, c long, own long"), "local")
     row, column = F.pmod("r", F.lit(tile)), F.pmod("c", F.lit(tile))
     border = local.where(row.isin(0, tile - 1) | column.isin(0, tile - 1))
     moves = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, 0), *(((1, -1), (1, 1)) if diagonal else ())))))

@@ -78,3 +78,19 @@ def test_placeholders_of_malformed_and_awkward_documents(spark):
     assert got.columns == ["case_id", "key", "path"]
     assert sorted((r.case_id, r.path) for r in got.collect()) == [(4, ""), (5, "[4][0]"), (6, "z"), (7, "b[0].c[1]")]
     assert records.placeholders(given.where("false")).count() == 0
+
+
+def test_many_small_tiles_share_one_call(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from plumeline.operators import regions
+
+    px = spark.range(3000).select(F.concat(F.lit("s"), F.col("id")).alias("scene_id"), F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), (1, 1), (3, 5), (3, 6), (0, 0))))).alias("p")).select("scene_id", "p.*")
+    made = regions.labelled(px, tile=4)
+    sizes = made.groupBy("scene_id", "label").count().groupBy("count").agg(F.count("*").alias("n")).collect()
+    assert [(r["count"], r.n) for r in sizes] == [(2, 6000)]
+    told = [pa.record_batch({"k": pa.array(x)}) for x in ([1.0, 1.0], [], [1.0, None, None], [float("nan"), float("nan"), 2.0])]
+    assert [(t.num_rows, at.tolist()) for t, at in regions.whole_groups(iter(told), ["k"])] == [(3, [0]), (4, [0, 2]), (1, [0])]
+    r, c = np.array([0, 1, 0]), np.array([3, 4, 3])
+    assert regions.joined_places(np.array([0, 0, 1]), r, c, 8).tolist() == [0, 0, 2]
