@@ -213,14 +213,14 @@ def ships(pixels: DataFrame, scenes: DataFrame, pixel_m: float, exclude: DataFra
     with data that are not excluded. Bright ones are closed by 3 x 3, so that one dim pixel parts no hull; regions of 4 to 4000
     pixels that fill a fifth of their box count. label is a region's first pixel in row order.
     """
-    own = raster(pixels, scenes).where("db is not null")
-    full = staged(own if exclude is None else own.join(exclude.select(*KEYS).hint("merge"), KEYS, "left_anti"), "sea")
+    own = staged(raster(pixels, scenes).where("db is not null"), "sea")
+    full = own if exclude is None else staged(own.join(exclude.select(*KEYS).hint("merge"), KEYS, "left_anti"), "kept")
     median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5).withColumnRenamed("q", "med")
     apart = full.hint("merge").join(median, "scene_id").select("scene_id", "med", F.abs(F.col("db") - F.col("med")).alias("v"))
     level = quantiles(apart, 0.5).join(median, "scene_id").select("scene_id", F.greatest(F.lit(SHIP_DB), F.col("med") + SHIP_MADS * 1.4826 * F.col("q")).alias("cut"))
     bright = full.hint("merge").join(level, "scene_id").where("db > cut")
     shut = over_tiles(_marked(bright), scenes, 2, lambda a: _closed_square(a > 0), tile).select(*KEYS)
-    whole = labelled(shut, tile).join(raster(pixels, scenes).hint("merge"), KEYS)
+    whole = labelled(shut, tile).hint("merge").join(own, KEYS, "left")
     box = (F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1)
     each = whole.groupBy("scene_id", "label").agg(F.avg("r").alias("r"), F.avg("c").alias("c"), F.count("*").alias("px_area"), F.max("db").alias("peak_db"), (F.count("*") / box).alias("fill"))
     kept = each.where(F.col("px_area").between(SHIP_LEAST, SHIP_MOST) & (F.col("fill") >= SHIP_FILL)).drop("fill")
