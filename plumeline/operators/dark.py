@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_KNOT_HOUR, angle_between_deg, bearing_deg, haversine_km
+from ..sources.staging import staged
 from .nearest import nearest_vertex  # noqa: F401 - part of this module's interface
 
 # Fixed values.
@@ -76,7 +77,7 @@ def match_scene_contacts(contacts: DataFrame, placed: DataFrame, positions: Data
     placed: (mmsi, lon, lat, t0) of vessels with a position at a scene's instant; they match within 1 km
     and never by their prism at that instant. positions: (mmsi, ts, lon, lat). A vessel's track is laid out
     as stretches between neighbouring fixes; a stretch goes to the time buckets and cells that it can
-    reach, and contacts of these are held against its prism. No scene meets all vessels.
+    reach, and contacts of these are held against its prism, those at one place and instant once. No scene meets all vessels.
     Of fixes at one instant the greatest by place counts. Contacts of one id are one; a null id is one
     too. What lacks a place, an instant or a vessel takes no part, but its contact is listed.
     """
@@ -91,11 +92,13 @@ def match_scene_contacts(contacts: DataFrame, placed: DataFrame, positions: Data
         across, up = F.array_distinct(F.transform(F.sequence(F.floor((lon - dx) / cell), F.floor((lon + dx) / cell)), lambda x: F.pmod(x, F.lit(int(360 / cell))))), F.sequence(row(lat - dy), row(lat + dy))
         return F.when(km.isNotNull(), F.flatten(F.transform(across, lambda x: F.transform(up, lambda y: F.struct(x.alias("cx"), y.alias("cy"))))))
 
-    at = contacts.where("lon is not null and lat is not null and t0 is not null").select("contact_id", "lon", "lat", "t0", F.unix_micros("t0").alias("t"))
+    place = ["lon", "lat", "t0"]
+    own = contacts.where("lon is not null and lat is not null and t0 is not null").select("contact_id", *place).distinct()
+    at = own.select(*place).distinct().withColumn("t", F.unix_micros("t0"))
     at = at.withColumns({"cx": column(F.col("lon")), "cy": row(F.col("lat")), "b_t": bucket(F.col("t"))})
     still = placed.where("mmsi is not null and t0 is not null").select("mmsi", F.col("lon").alias("vlon"), F.col("lat").alias("vlat"), F.unix_micros("t0").alias("t"))
     near = still.withColumn("cell", F.explode(cells(F.col("vlon"), F.col("vlat"), F.lit(MATCH_KM)))).select("mmsi", "vlon", "vlat", "t", "cell.*")
-    by_place = at.join(near, ["t", "cx", "cy"]).where(haversine_km("lon", "lat", "vlon", "vlat") <= MATCH_KM).select("contact_id", "mmsi")
+    by_place = at.join(near, ["t", "cx", "cy"]).where(haversine_km("lon", "lat", "vlon", "vlat") <= MATCH_KM).select(*place, "mmsi")
 
     w = Window.partitionBy("mmsi").orderBy("ts")
     fixes = positions.where("mmsi is not null and ts is not null and lon is not null and lat is not null").groupBy("mmsi", "ts").agg(F.max(F.struct("lon", "lat")).alias("at")).select("mmsi", "ts", "at.*")
@@ -123,14 +126,19 @@ def match_scene_contacts(contacts: DataFrame, placed: DataFrame, positions: Data
     after, ahead_of = span(ua, F.least(ua + micros, F.coalesce(ub, ua + micros))), span(F.greatest(ub - micros, F.coalesce(ua, ub - micros)), ub)
     places = "array<struct<cx:bigint,cy:bigint>>"
     reach = F.array_union(empty(cells(a["lon"], a["lat"], by_a), places), empty(cells(b["lon"], b["lat"], by_b), places))
-    laid = s.withColumn("b_t", F.explode(F.array_union(empty(after, "array<bigint>"), empty(ahead_of, "array<bigint>")))).withColumn("cell", F.explode(reach)).select("mmsi", "a", "b", "ua", "ub", "b_t", "cell.*")
+    timed = s.withColumn("b_t", F.explode(F.array_union(empty(after, "array<bigint>"), empty(ahead_of, "array<bigint>")))).join(F.broadcast(at.select("b_t").distinct()), "b_t", "left_semi")
+    laid = timed.withColumn("cell", F.explode(reach)).select("mmsi", "a", "b", "ua", "ub", "b_t", "cell.*")
 
     t = F.col("t")
     inside = F.when(ua == ub, t == ua).otherwise(F.coalesce(t > ua, F.lit(True)) & F.coalesce(t < ub, F.lit(True)))
     met = at.join(laid, ["b_t", "cx", "cy"]).where(inside).withColumns({"a": F.when(t - ua <= micros, a), "b": F.when(ub - t <= micros, b)})
     met = met.where(in_prism(F.col("lon"), F.col("lat"), F.col("t0")))
-    by_prism = met.join(still.select("mmsi", "t"), ["mmsi", "t"], "left_anti").select("contact_id", "mmsi")
-    found = by_place.union(by_prism).distinct().groupBy(F.col("contact_id").alias("known")).agg(F.count("*").alias("n_vessels"))
+    by_prism = met.join(still.select("mmsi", "t"), ["mmsi", "t"], "left_anti").select(*place, "mmsi")
+    pairs = staged(by_place.union(by_prism).distinct(), "pairs")
+    each = own.join(pairs.groupBy(*place).agg(F.count("*").alias("n")), place).groupBy("contact_id").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
+    # a contact with vessels at several of its places may have met one of them twice
+    again = own.join(each.where("places > 1").select(F.col("contact_id").alias("known")), F.col("contact_id").eqNullSafe(F.col("known")), "left_semi").join(pairs, place).select("contact_id", "mmsi").distinct().groupBy("contact_id").agg(F.count("*").alias("n"))
+    found = each.where("places = 1").select("contact_id", "n").union(again).select(F.col("contact_id").alias("known"), F.col("n").alias("n_vessels"))
     ids = contacts.select("contact_id").distinct()
     return ids.join(found, F.col("contact_id").eqNullSafe(F.col("known")), "left").select("contact_id", F.col("n_vessels").isNotNull().alias("matched"), F.coalesce("n_vessels", F.lit(0)).alias("n_vessels"))
 
