@@ -18,6 +18,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
+#: So many cells of time wait in one value of the state, with one timer for the first of them; those due are judged together.
+PAGE = 4096
+
+
 class _Spaced(StatefulProcessor):
     """Told rows with whether they pass: fewer than ``most`` passed ones lie within the gap before them."""
 
@@ -31,34 +35,44 @@ class _Spaced(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         for part in rows:
-            cells: dict[int, list] = {}
+            pages: dict[int, list] = {}
             unjudged = []
             for us, row in zip(part["us"], part["row"], strict=True):
                 if pd.isna(us):
                     unjudged.append(row)
                 else:
-                    cells.setdefault(int(us) // (self.grain_ms * 1000), []).append((int(us), _plain(row)))
-            for cell, got in cells.items():
-                if self.waiting.containsKey((cell,)):
-                    got = pickle.loads(self.waiting.getValue((cell,))[0]) + got
-                else:
-                    self.handle.registerTimer((cell + 1) * self.grain_ms)
-                self.waiting.updateValue((cell,), (pickle.dumps(got),))
+                    pages.setdefault(self._cell(int(us)) // PAGE, []).append((int(us), _plain(row)))
+            for page, got in pages.items():
+                due, held = self._due(got), None
+                if self.waiting.containsKey((page,)):
+                    held, before = pickle.loads(self.waiting.getValue((page,))[0])
+                    got = before + got
+                if held is None or due < held:
+                    self.handle.registerTimer(due)
+                self.waiting.updateValue((page,), (pickle.dumps((due if held is None else min(due, held), got)),))
             if unjudged:
                 yield _told(unjudged, [None] * len(unjudged))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         due = int(expiredTimerInfo.getExpiryTimeInMs())
-        cell = due // self.grain_ms - 1
+        now = max(due, int(timerValues.getCurrentWatermarkInMs()))
+        page = (due // self.grain_ms - 1) // PAGE
         passed = list(self.passed.get()[0]) if self.passed.exists() else []
-        if not self.waiting.containsKey((cell,)):
+        rows = pickle.loads(self.waiting.getValue((page,))[0])[1] if self.waiting.containsKey((page,)) else []
+        ready = [r for r in rows if (self._cell(r[0]) + 1) * self.grain_ms <= now]
+        if not ready:
             if passed and passed[-1] + self.gap_us < due * 1000:
                 self.passed.clear()
             return
-        rows = sorted(pickle.loads(self.waiting.getValue((cell,))[0]), key=lambda r: (r[0], _order(r[1])))
-        self.waiting.removeKey((cell,))
+        if len(ready) < len(rows):
+            rest = [r for r in rows if (self._cell(r[0]) + 1) * self.grain_ms > now]
+            self.waiting.updateValue((page,), (pickle.dumps((self._due(rest), rest)),))
+            self.handle.registerTimer(self._due(rest))
+        else:
+            self.waiting.removeKey((page,))
+        ready.sort(key=lambda r: (r[0], _order(r[1])))
         ok = []
-        for us, _ in rows:
+        for us, _ in ready:
             ok.append(len(passed) < self.most or us > passed[-self.most] + self.gap_us)
             if ok[-1]:
                 passed = [*passed, us][-self.most :]
@@ -66,7 +80,14 @@ class _Spaced(StatefulProcessor):
             self.passed.update((passed,))
             # behind the cell in which the gap ends: whatever is told until then may need what passed
             self.handle.registerTimer((passed[-1] + self.gap_us) // (self.grain_ms * 1000) * self.grain_ms + 2 * self.grain_ms)
-        yield _told([r for _, r in rows], ok)
+        yield _told([r for _, r in ready], ok)
+
+    def _cell(self, us: int) -> int:
+        return us // (self.grain_ms * 1000)
+
+    def _due(self, rows: list) -> int:
+        """When the first of these rows' cells is over."""
+        return (self._cell(min(us for us, _ in rows)) + 1) * self.grain_ms
 
     def close(self) -> None:
         return
