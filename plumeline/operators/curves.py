@@ -77,7 +77,8 @@ def track_age_samples(tracks: DataFrame, draws: int = 4000, seed: int = 143) ->
     A wake spreads sideways as sigma^2 = sigma0^2 + 2 K t; width, its sigmas, the wake and K are drawn
     from stated ranges, by hashes of case and draw.
     """
-    t = tracks.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    few = tracks.repartition(tracks.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work: a small file would be one task
+    t = few.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     u = lambda k: F.greatest(uniform("case_id", "draw", seed=seed + k), F.lit(1e-9))
     t = t.select("case_id", "width_tail_m", *(u(k).alias(f"u{k}") for k in range(5)))
     normal = lambda a, b: F.sqrt(-2 * F.log(a)) * F.cos(2 * math.pi * F.col(b))

@@ -38,7 +38,8 @@ def kde_log_age(samples: DataFrame, grid: DataFrame, keys: list[str], young_boun
 
     samples: (keys, sample_h, censored), censored being null, 'young' or 'old' for runs that only
     bound the age; those add an even slab beyond their bound. Ages not above zero are dropped. The
-    bandwidth is 1.06 sd n^-0.2, at least 0.15.
+    bandwidth is 1.06 sd n^-0.2, at least 0.15. Samples and their sums meet by sorted merges: Spark takes
+    rows made by an explode for few, and would broadcast them.
     """
     own = samples.where("censored is null and sample_h > 0").withColumn("ls", F.log("sample_h"))
     bw = F.greatest(F.coalesce(F.stddev_pop("ls"), F.lit(0.0)) * 1.06 * F.pow(F.count("*").cast("double"), F.lit(-0.2)), F.lit(0.15))
@@ -59,9 +60,9 @@ def kde_log_age(samples: DataFrame, grid: DataFrame, keys: list[str], young_boun
     wide = wide.withColumn("s_young", slab("in_young")).withColumn("s_old", slab("in_old"))
     # equal samples count together; each of them meets the 288 ages, and tasks sum before the shuffle
     z = (F.col("lg") - F.col("ls")) / F.col("bw")
-    met = alike.join(widths, keys).crossJoin(F.broadcast(grid.select("age_h", lg.alias("lg"))))
+    met = alike.hint("merge").join(widths, keys).crossJoin(F.broadcast(grid.select("age_h", lg.alias("lg"))))
     sums = met.groupBy(*keys, "age_h").agg((F.sum(F.col("m") * F.exp(-0.5 * z * z)) / (F.first("bw") * math.sqrt(2 * math.pi))).alias("kernel"))
-    each = counts.crossJoin(F.broadcast(wide)).join(sums, [*keys, "age_h"], "left")
+    each = counts.crossJoin(F.broadcast(wide)).hint("merge").join(sums, [*keys, "age_h"], "left")
     kernel = F.coalesce(F.col("kernel"), F.lit(0.0))
     dens = (kernel + F.col("n_young") * F.col("s_young") + F.col("n_old") * F.col("s_old")) / F.col("n")
     out = each.select(*keys, "age_h", F.when(dens > 0, F.log(dens)).alias("ll"))
@@ -95,7 +96,7 @@ def mix_models(lls: DataFrame, keys: list[str], model: str = "model") -> DataFra
 def fuse(terms: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, age_h, p): prior times the terms (keys, age_h, ll, weight); groups without a term have no answer."""
     evidence = terms.where("weight > 0 and ll is not null").groupBy(*keys, "age_h").agg(F.sum(F.col("weight") * F.col("ll")).alias("e"))
-    lp = evidence.join(prior, "age_h").withColumn("lp", F.col("lp") + F.col("e"))
+    lp = evidence.join(F.broadcast(prior), "age_h").withColumn("lp", F.col("lp") + F.col("e"))
     return lp.withColumn("p", F.exp(F.col("lp") - _lse("lp", keys))).select(*keys, "age_h", "p")
 
 
@@ -132,7 +133,7 @@ def quantile(post: DataFrame, keys: list[str], q: float, name: str = "quantile_h
 def information_gain(post: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, gain_nats): divergence of the posterior from the prior."""
     term = F.when(F.col("p") > 0, F.col("p") * (F.log("p") - F.col("lp"))).otherwise(0.0)
-    return post.join(prior, "age_h").groupBy(*keys).agg(F.sum(term).alias("gain_nats"))
+    return post.join(F.broadcast(prior), "age_h").groupBy(*keys).agg(F.sum(term).alias("gain_nats"))
 
 
 def pit(post: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,7 +152,7 @@ def pit(post: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
 def summarise(post: DataFrame, prior: DataFrame, keys: list[str], least_gain: float = LEAST_GAIN) -> DataFrame:
     """Band, median, mode and gain by group; status 'none' where the evidence barely moved the prior."""
     mode = post.groupBy(*keys).agg(F.max_by("age_h", F.struct("p", (-F.col("age_h")).alias("a"))).alias("mode_h"))
-    out = hpd(post, keys).join(quantile(post, keys, 0.5, "median_h"), keys).join(mode, keys).join(information_gain(post, prior, keys), keys)
+    out = hpd(post, keys).hint("merge").join(quantile(post, keys, 0.5, "median_h"), keys).join(mode.hint("merge"), keys).join(information_gain(post, prior, keys).hint("merge"), keys)
     return out.withColumn("status", F.when(F.col("gain_nats") < least_gain, "none").otherwise("ok"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import curves, dark, drift, evaluate, grid as G, image, posterior as P, synth
+from ..sources.staging import staged
 from .registry import HEAD, POS, positions, query, r6, table
 
 
@@ -25,7 +26,7 @@ def l14(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("case_id"), (300.0 + 200 * (F.col("s_suppkey") % 5)).alias("width_tail_m"))
     s = curves.track_age_samples(t, 2000)
     lo, hi = F.col("sample_h") < 0.25, F.col("sample_h") > 72
-    s = s.select("case_id", F.when(~lo & ~hi, F.col("sample_h")).alias("sample_h"), F.when(lo, "young").when(hi, "old").alias("censored"))
+    s = staged(s.select("case_id", F.when(~lo & ~hi, F.col("sample_h")).alias("sample_h"), F.when(lo, "young").when(hi, "old").alias("censored")), "samples")
     g = P.age_grid(spark)
     post = P.fuse(P.kde_log_age(s, g, ["case_id"], 0.25, 72.0).withColumn("weight", F.lit(1.0)), P.log_prior(g), ["case_id"])
     return P.summarise(post, P.log_prior(g), ["case_id"])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumeline.operators import curves, dark, masks
+from plumeline.operators import curves, dark, masks, posterior as P
 from plumeline.plans import cases as C
 from plumeline.queries import cases as Q
 from plumeline.streaming import spaced
@@ -35,6 +35,16 @@ def test_cases_that_agree_have_one_head(spark):
     assert {r.case_id: r.head for r in C.alike(cases, ["west"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
 
 
+def test_samples_of_ages_are_never_broadcast(spark):
+    t = spark.range(3).select(F.col("id").cast("string").alias("case_id"), F.lit(300.0).alias("width_tail_m"))
+    s = curves.track_age_samples(t, 50).withColumn("censored", F.lit(None).cast("string"))
+    g = P.age_grid(spark)
+    post = P.fuse(P.kde_log_age(s, g, ["case_id"]).withColumn("weight", F.lit(1.0)), P.log_prior(g), ["case_id"])
+    made = P.summarise(post, P.log_prior(g), ["case_id"])
+    assert "Generate" not in _broadcast_parts(plan(made))
+    assert made.count() == 3
+
+
 class _Held:
     """A state of one key, that counts what is put and the timers."""
 
