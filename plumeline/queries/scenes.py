@@ -147,7 +147,7 @@ def l13_axes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT s AS scene_id, count(*) AS axis_px, round(any_value(n) * 50.0::DOUBLE / count(*), 6) AS mean_width_m, round(count(*) * 50.0::DOUBLE / 1000, 6) AS length_km, round(count(*)::DOUBLE * count(*) / any_value(n), 6) AS aspect, round(max(w), 6) AS widest_m FROM w SEMI JOIN big USING (s) JOIN turn USING (s) GROUP BY s""")
 def l13_figures(spark: SparkSession, sf: str) -> DataFrame:
     """Length, mean and largest width of each slick along its medial axis."""
-    slicks = scenes(spark, sf).where("gt = 1")
+    slicks = staged(scenes(spark, sf).where("gt = 1").select("scene_id", "r", "c"), "slicks")
     f = thinning.profile_figures(thinning.medial_profile(slicks, 50.0, tile=32, reach=16), slicks, 50.0)
     return f.select("scene_id", "axis_px", *(r6(c).alias(c) for c in ("mean_width_m", "length_km", "aspect", "widest_m")))
 

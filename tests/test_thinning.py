@@ -91,3 +91,21 @@ def test_widths_and_profiles(spark):
     n = len(brute(all_["a"]))
     assert f["a"].axis_px == n and f["a"].mean_width_m == pytest.approx(len(all_["a"]) * 50 / n) and f["a"].aspect == pytest.approx(n * n / len(all_["a"]))
     assert thinning.medial_profile(df.where("scene_id = 'c' and r > 45"), 50.0).count() == 0
+
+
+def test_many_tiles_are_thinned_in_one_call():
+    draw = np.random.default_rng(7)
+    for share in (0.4, 0.7, 0.9):
+        m = np.pad(draw.random((5, 30, 33)) < share, ((0, 0), (3, 3), (3, 3)))
+        g, r, c = np.nonzero(m)
+        shuffled = draw.permutation(len(g))
+        for steps in (2, 8):
+            kept, late = thinning.peeled_places(g[shuffled], r[shuffled], c[shuffled], steps)
+            told = np.zeros((2, *m.shape), bool)
+            told[:, g[shuffled], r[shuffled], c[shuffled]] = kept, late
+            for k, whole in enumerate(m):
+                before = whole
+                for j in range(steps):
+                    before = whole if j == steps - 2 else before
+                    whole = thinning.peeled(whole, bool(j % 2))
+                assert (told[0, k] == whole).all() and (told[1, k] == (before & ~whole)).all()
