@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import percentiles
+
 # Fixed values.
 WEAK_DB, STRONG_DB, WEAK_MADS, STRONG_MADS, TILE = 1.0, 2.0, 1.5, 3.0, 256
 RING_OUT, RING_IN, CLOSE_SIZE, SEA_SIGMA = 25, 5, 11, 3.0
@@ -270,11 +272,13 @@ def sea_reference(pixels: DataFrame, share: float = 0.2, block: int = 51) -> Dat
 
 def normalise(pixels: DataFrame, most: float = 6.0) -> DataFrame:
     """x in [-1, 1]: decibels over the scene's median in robust deviations, cut at six."""
-    med = pixels.groupBy("scene_id").agg(F.median("db").alias("med"))
-    mad = pixels.join(med, "scene_id").groupBy("scene_id", "med").agg((F.median(F.abs(F.col("db") - F.col("med"))) * 1.4826 + 1e-6).alias("mad"))
+    med = percentiles(pixels, ["scene_id"], "db", {"med": 0.5})
+    off = pixels.join(F.broadcast(med), "scene_id").select("scene_id", F.abs(F.col("db") - F.col("med")).alias("off"))
+    spread = percentiles(off, ["scene_id"], "off", {"mad": 0.5}).join(med, "scene_id").select("scene_id", "med", (F.col("mad") * 1.4826 + 1e-6).alias("mad"))
+    mad = pixels.select("scene_id").where("scene_id is not null").distinct().join(spread, "scene_id", "left")  # a row each, also without a value
     z = (F.col("db") - F.col("med")) / F.col("mad")
     x = F.when(F.col("db").isNotNull(), F.greatest(F.lit(-most), F.least(F.lit(most), z)) / most)
-    return pixels.join(mad, "scene_id").withColumn("x", x).drop("med", "mad")
+    return pixels.join(F.broadcast(mad), "scene_id").withColumn("x", x).drop("med", "mad")
 
 
 def histogram_modes(pixels: DataFrame, bins: int = 256, lo: float = -40.0, hi: float = 0.0) -> DataFrame:
