@@ -137,12 +137,28 @@ def complete_rows(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFra
     return df.dropna(subset=columns), df.agg(F.count("*").alias("n"), F.count_if(null).alias("n_dropped"))
 
 
+#: What `ablations` leaves out.
+ABLATED = ("none", "proximity", "temporality", "trajectory", "gap", "slowdown", "type_prior")
+
+
 def ablations(components: DataFrame) -> DataFrame:
     """components once whole and once without each component, keyed by `without`."""
-    names = F.array(*(F.lit(x) for x in ("none", "proximity", "temporality", "trajectory", "gap", "slowdown", "type_prior")))
+    names = F.array(*(F.lit(x) for x in ABLATED))
     return components.withColumn("without", F.explode(names)).where(F.col("component") != F.col("without"))
 
 
+def ablation_totals(components: DataFrame, value: Column) -> DataFrame:
+    """(without, n, total): the candidates and the sum of value of each of the `ablations`, from one row a candidate instead of one for each ablation."""
+    c = F.col("component")
+    every = components.where(c.isNotNull()).groupBy("case_id", "mmsi").agg(
+        F.count("*").alias("_n"), *(F.count_if(c == x).alias(f"_n_{x}") for x in ABLATED[1:]), F.sum(value).alias("_s"), *(F.sum(F.when(c == x, value)).alias(f"_s_{x}") for x in ABLATED[1:]), F.count(value).alias("_m"), *(F.count(F.when(c == x, value)).alias(f"_m_{x}") for x in ABLATED[1:]),
+    )
+    known = F.col("case_id").isNotNull() & F.col("mmsi").isNotNull()
+    left = lambda k, x: F.col(f"_{k}") - F.coalesce(f"_{k}_{x}", F.lit(0)) if x != "none" else F.col(f"_{k}")
+    figures = [F.struct(F.lit(x).alias("without"), F.sum(left("n", x)).alias("rows"), F.count_if(known & (left("n", x) > 0)).alias("n"), F.sum(F.when(left("m", x) > 0, left("s", x))).alias("total")) for x in ABLATED]
+    return every.agg(F.array(*figures).alias("f")).select(F.inline("f")).where("rows > 0").drop("rows")
+
+
 def region_model(trees: int = 300, label: str = "label", features: str = "features", weight: str = "w"):  # noqa: ANN201
     """A random forest over region features, classes weighted by their rarity."""
     from pyspark.ml.classification import RandomForestClassifier
