@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..sources.staging import staged
-from .image import ellipse
+from .image import closed
+from .masks import over_tiles
 from .regions import labelled, region_figures
 
 # The properties of a reference slick that may be kept; all others describe its source.
@@ -152,18 +153,12 @@ def close_mask(mask: DataFrame, scenes: DataFrame, size: int = 7) -> DataFrame:
     """Morphological closing with an ellipse: mask (scene_id, r, c) of set pixels, scenes (scene_id, rows, cols).
 
     Set pixels reach their neighbours, and a pixel stays if all its neighbours inside the scene were
-    reached; both are votes over offsets, summed before the shuffle.
+    reached; a task holds one tile and what the ellipse reaches beside it. Pixels outside their scene are left out.
     """
-    offsets = ellipse(size)
-    around = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets)))
-    inside = (F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("rows")) & (F.col("c") < F.col("cols"))
-
-    def spread(pixels: DataFrame) -> DataFrame:
-        moved = pixels.withColumn("o", around).select("scene_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
-        return moved.groupBy("scene_id", "r", "c").agg(F.count("*").alias("votes")).join(scenes, "scene_id").where(inside)
-
-    out = sum(((F.col("r") + a < 0) | (F.col("c") + b < 0) | (F.col("r") + a >= F.col("rows")) | (F.col("c") + b >= F.col("cols"))).cast("int") for a, b in offsets)
-    return spread(spread(mask.distinct())).where(F.col("votes") + out == len(offsets)).select("scene_id", "r", "c")
+    own = mask.select("scene_id", "r", "c").hint("merge").join(scenes.groupBy("scene_id").agg(F.max("rows").alias("_rows"), F.max("cols").alias("_cols")), "scene_id")
+    own = own.where((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < F.col("_rows")) & (F.col("c") < F.col("_cols"))).select("scene_id", "r", "c", F.lit(1.0).alias("v"))
+    shut = over_tiles(own, scenes, 2 * (size // 2), lambda a: closed(a > 0, size))
+    return shut.select("scene_id", *(F.col(x).cast(mask.schema[x].dataType).alias(x) for x in ("r", "c")))
 
 
 def regions_of_scores(scores: DataFrame, scenes: DataFrame, threshold: float, pixel_km2: float, size: int = 7, least_km2: float = 0.02, most_km2: float = 500.0, least_extent: int = 60) -> DataFrame:
@@ -173,8 +168,8 @@ def regions_of_scores(scores: DataFrame, scenes: DataFrame, threshold: float, pi
     enough, and not too large; ids follow the first pixel. Regions are labelled over tiles, so a task
     holds no more than one.
     """
-    closed = close_mask(scores.where((F.col("p") >= threshold) & F.col("valid")).select("scene_id", "r", "c"), scenes, size)
-    each = region_figures(labelled(closed)).withColumn("area_km2", F.col("n_px") * pixel_km2)
+    shut = close_mask(scores.where((F.col("p") >= threshold) & F.col("valid")).select("scene_id", "r", "c"), scenes, size)
+    each = region_figures(labelled(shut)).withColumn("area_km2", F.col("n_px") * pixel_km2)
     long = F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) + 1 >= least_extent
     each = each.where((F.col("area_km2") <= most_km2) & ((F.col("area_km2") >= least_km2) | long))
     order = F.row_number().over(Window.partitionBy("scene_id").orderBy("label"))

@@ -69,3 +69,16 @@ def test_ablations_are_counted_from_a_row_a_candidate(spark):
     got = {r["without"]: (r.n, r.total) for r in evaluate.ablation_totals(c, F.col("value")).collect()}
     want = {r["without"]: (r.n, r.total) for r in evaluate.ablations(c).groupBy("without").agg(F.countDistinct("case_id", "mmsi").alias("n"), F.sum("value").alias("total")).collect()}
     assert got == want
+
+
+def test_masks_are_closed_by_tiles(spark):
+    from plumeline.operators import records
+
+    draw = np.random.default_rng(6)
+    m = draw.random((2, 40, 50)) < 0.2
+    g, r, c = np.nonzero(m)
+    df = spark.createDataFrame([(int(a), int(b), int(d)) for a, b, d in zip(g, r, c, strict=True)] + [(0, 45, 3), (0, None, 3)], "scene_id int, r long, c long")
+    scenes = spark.createDataFrame([(0, 40, 50), (1, 40, 50), (2, 9, 9)], "scene_id int, rows int, cols int")
+    shut = records.close_mask(df, scenes, 7)
+    assert {tuple(p) for p in shut.collect()} == {(k, int(y), int(x)) for k in (0, 1) for y, x in zip(*np.nonzero(image.closed(m[k], 7)), strict=True)}
+    assert "FlatMapGroupsInArrow" in plan(shut) and dict(shut.dtypes)["r"] == "bigint"
