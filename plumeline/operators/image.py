@@ -28,16 +28,19 @@ def dense(pdf: pd.DataFrame, value: str = "db") -> np.ndarray:
 
 
 def _sliding(a: np.ndarray, size: int, axis: int, pick) -> np.ndarray:  # noqa: ANN001
-    """Running extreme over a centred window, edges repeated."""
-    half = size // 2
+    """Running extreme over a centred window, edges repeated; pick is a ufunc, and windows are put together by doubling."""
+    half, n = size // 2, a.shape[axis]
     pad = [(half, size - 1 - half) if k == axis else (0, 0) for k in range(a.ndim)]
-    view = np.lib.stride_tricks.sliding_window_view(np.pad(a, pad, mode="edge"), size, axis=axis)
-    return pick(view, axis=-1)
+    a = np.moveaxis(np.pad(a, pad, mode="edge"), axis, 0)
+    wide = 1
+    while 2 * wide <= size:
+        a, wide = pick(a[:-wide], a[wide:]), 2 * wide
+    return np.moveaxis(pick(a[:n], a[size - wide : size - wide + n]), 0, axis)
 
 
 def grey_closing(a: np.ndarray, size: int) -> np.ndarray:
     """Maximum then minimum over a square: dark spots narrower than it are filled."""
-    for pick in (np.max, np.min):
+    for pick in (np.maximum, np.minimum):
         a = _sliding(_sliding(a, size, 0, pick), size, 1, pick)
     return a
 
@@ -45,6 +48,8 @@ def grey_closing(a: np.ndarray, size: int) -> np.ndarray:
 def median_filter(a: np.ndarray, size: int) -> np.ndarray:
     half = size // 2
     view = np.lib.stride_tricks.sliding_window_view(np.pad(a, half, mode="edge"), (size, size))
+    if size % 2 and not np.isnan(a).any():
+        return np.partition(view.reshape(*a.shape, size * size), size * size // 2, axis=-1)[..., size * size // 2]
     return np.nanmedian(view, axis=(-2, -1))
 
 
@@ -113,35 +118,43 @@ def steps_to(mask: np.ndarray) -> np.ndarray:
 def label_components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Numbers of connected regions from 1 on, in the order of their first pixel; 0 outside."""
     h, w = mask.shape
-    place = np.arange(h * w).reshape(h, w)
-    label = np.where(mask, place, h * w)
-    moves = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+    r, c = np.nonzero(mask)
+    place = np.full((h + 1, w + 2), -1)
+    place[r, c + 1] = np.arange(len(r))
+    near = [place[r + dr, c + 1 + dc] for dr, dc in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])]
+    met = [np.flatnonzero(b >= 0) for b in near]
+    a, b = np.concatenate(met), np.concatenate([x[m] for x, m in zip(near, met, strict=True)])
+    root = np.arange(len(r))
     while True:
-        before = label.copy()
-        for dr, dc in moves:
-            a = label[: h - dr, max(0, -dc) : w - max(0, dc)]
-            b = label[dr:, max(0, dc) : w - max(0, -dc)]
-            both = (a < h * w) & (b < h * w)
-            low = np.where(both, np.minimum(a, b), h * w)
-            a[both] = low[both]
-            np.minimum(b, low, out=b)  # the two views overlap: what the first has lowered stays
-        flat = np.append(label.ravel(), h * w)
-        label = flat[flat[:-1]].reshape(h, w)
-        if np.array_equal(before, label):
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
             break
-    names = np.unique(label[mask])
-    return np.where(mask, np.searchsorted(names, label) + 1, 0)
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    out = np.zeros((h, w), int)
+    out[r, c] = np.cumsum(root == np.arange(len(r)))[root]
+    return out
+
+
+def held(weak: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """Pixels of the weak regions that hold a strong one."""
+    lab = label_components(weak)
+    keep = np.zeros(int(lab.max(initial=0)) + 1, bool)
+    keep[lab[strong]] = True
+    keep[0] = False
+    return keep[lab]
 
 
 def hysteresis(depth: np.ndarray, weak: float, strong: float) -> np.ndarray:
     """Weak regions that hold a strong pixel, labelled."""
-    lab = label_components(depth >= weak)
-    keep = np.unique(lab[(depth >= strong) & (lab > 0)])
-    return label_components(np.isin(lab, keep) & (lab > 0))
+    return label_components(held(depth >= weak, depth >= strong))
 
 
 def binary_dilate(mask: np.ndarray, times: int = 1) -> np.ndarray:
-    return _sliding(_sliding(mask.astype(np.int8), 2 * times + 1, 0, np.max), 2 * times + 1, 1, np.max) > 0
+    return _sliding(_sliding(mask.astype(np.int8), 2 * times + 1, 0, np.maximum), 2 * times + 1, 1, np.maximum) > 0
 
 
 def distance_to(mask: np.ndarray) -> np.ndarray:
@@ -181,7 +194,7 @@ def regions_of(scene_id: str, db: np.ndarray, pixel_km2: float, least_km2: float
     depth = depth_map(db, sizes)
     med = np.median(depth)
     mad = 1.4826 * np.median(np.abs(depth - med))
-    lab = label_components(closed(hysteresis(depth, med + max(WEAK_DB, WEAK_MADS * mad), med + max(STRONG_DB, STRONG_MADS * mad)) > 0, close))
+    lab = label_components(closed(held(depth >= med + max(WEAK_DB, WEAK_MADS * mad), depth >= med + max(STRONG_DB, STRONG_MADS * mad)), close))
     gy, gx = np.gradient(np.where(np.isnan(db), np.nanmedian(db), db))
     slope = np.hypot(gx, gy)
     out = []

@@ -9,7 +9,8 @@ would broadcast them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .image import TILE, box_mean
-from .regions import labelled
+from .image import TILE, box_mean, label_components
+from .regions import labelled, whole_groups
 
 # Fixed values.
 SEA_WINDOW, SEA_SHARE, BRIGHT_DB, BRIGHT_STEPS = 51, 0.2, -10.0, 5
@@ -50,6 +51,58 @@ def quantiles(values: DataFrame, share: float) -> DataFrame:
     return found.select("scene_id", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("q"))
 
 
+def quantile(values: np.ndarray, share: float) -> float:
+    """The same quantile of an array that is not empty."""
+    rank = share * (len(values) - 1)
+    low = math.floor(rank)
+    at = np.partition(values, sorted({low, math.ceil(rank)}))
+    return float(at[low] + (at[math.ceil(rank)] - at[low]) * (rank - low))
+
+
+def by_size(scenes: DataFrame, tile: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Scenes (scene_id, rows, cols), each once: those that one tile holds, larger ones, and whether there are any of these."""
+    each = scenes.where("scene_id is not null and rows > 0 and cols > 0").groupBy("scene_id").agg(F.max("rows").cast("int").alias("rows"), F.max("cols").cast("int").alias("cols"))
+    fits = (F.col("rows") <= tile) & (F.col("cols") <= tile)
+    large = each.where(~fits)
+    return each.where(fits), large, not large.isEmpty()
+
+
+def by_scene(pixels: DataFrame, small: DataFrame, values: list[str], kernel: Callable[..., dict[str, np.ndarray] | None], out: str) -> DataFrame:
+    """(scene_id, out): kernel's columns for each scene of small, all within one tile; many scenes in one call.
+
+    The kernel gets rows, cols and the columns r, c and values of the scene's pixels inside it; of these r and c are never null.
+    """
+    head = small.select("scene_id", (-F.col("rows")).alias("r"), F.col("cols").alias("c"), *(F.lit(None).cast(pixels.schema[v].dataType).alias(v) for v in values))
+    own = pixels.where("scene_id is not null and r >= 0 and c >= 0").select("scene_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *values)
+    kind, names = small.schema["scene_id"].dataType.simpleString(), [x.split()[0] for x in out.split(", ")]
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, ["scene_id"]):
+            columns = {x: t[x].to_numpy() for x in ("r", "c", *values)}
+            sizes = np.flatnonzero(columns["r"] < 0)
+            known = np.searchsorted(at, sizes, side="right") - 1
+            made, first = [], []
+            for a, b, size in zip(at[known], np.append(at[1:], t.num_rows)[known], sizes, strict=True):
+                rows, cols = -int(columns["r"][size]), int(columns["c"][size])
+                r = columns["r"][a:b]
+                inside = a + np.flatnonzero((r >= 0) & (r < rows) & (columns["c"][a:b] < cols))
+                if (found := kernel(rows, cols, *(columns[x][inside] for x in ("r", "c", *values)))) is not None:
+                    made.append(found)
+                    first.append(np.full(len(found[names[0]]), a))
+            if made:
+                scene = t["scene_id"].combine_chunks().take(pa.array(np.concatenate(first)))
+                rest = [pa.array(np.concatenate([m[x] for m in made]), from_pandas=True) for x in names]
+                yield pa.RecordBatch.from_arrays([scene, *rest], ["scene_id", *names])
+
+    sent = head.union(own).repartition("scene_id").sortWithinPartitions("scene_id")
+    return sent.mapInArrow(many, f"scene_id {kind}, {out}")
+
+
+def dealt(scenes: DataFrame) -> DataFrame:
+    """Scenes in many tasks: they are few bytes, which one task would read, and many pixels once their places are told."""
+    return scenes.repartition(4 * scenes.sparkSession.sparkContext.defaultParallelism, "scene_id")
+
+
 def raster(pixels: DataFrame, scenes: DataFrame) -> DataFrame:
     """(scene_id, r, c, db): each place of each scene once, db null without data; of repeated pixels the brightest.
 
@@ -58,7 +111,7 @@ def raster(pixels: DataFrame, scenes: DataFrame) -> DataFrame:
     usable = F.col("db").isNotNull() & ~F.isnan("db") & (F.abs("db") != float("inf")) & (F.col("db") != 0)
     own = pixels.where(usable).groupBy(*KEYS).agg(F.max("db").alias("db"))
     size = scenes.where("scene_id is not null and rows > 0 and cols > 0").groupBy("scene_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"))
-    every = size.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols").cast("int") - 1)))
+    every = dealt(size).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols").cast("int") - 1)))
     return every.select(*KEYS).hint("merge").join(own.select("scene_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("db").cast("double").alias("db")), KEYS, "left")
 
 
@@ -110,6 +163,12 @@ def dilated(mask: DataFrame, scenes: DataFrame, steps: int, tile: int = TILE) ->
     return over_tiles(_marked(mask), scenes, steps, lambda a: grown(a > 0, steps), tile).select(*KEYS)
 
 
+def mirrored_mean(a: np.ndarray, window: int) -> np.ndarray:
+    """Mean of the centred square, mirrored at the sides."""
+    half = window // 2
+    return box_mean(np.pad(a, half, mode="symmetric"), window)[half : half + a.shape[0], half : half + a.shape[1]]
+
+
 def local_means(full: DataFrame, scenes: DataFrame, window: int = SEA_WINDOW, tile: int = TILE) -> DataFrame:
     """(scene_id, r, c, v): mean of the centred square by sums of sums, mirrored at the scene's sides; no data counts as the scene's median.
 
@@ -118,11 +177,7 @@ def local_means(full: DataFrame, scenes: DataFrame, window: int = SEA_WINDOW, ti
     median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5)
     whole = full.hint("merge").join(median, "scene_id").select(*KEYS, F.coalesce("db", "q").alias("v"))
     half = window // 2
-
-    def mean(a: np.ndarray) -> np.ndarray:
-        return box_mean(np.pad(a, half, mode="symmetric"), window)[half : half + a.shape[0], half : half + a.shape[1]]
-
-    return over_tiles(whole, scenes, half, mean, max(tile, half + 1), missing=np.nan)
+    return over_tiles(whole, scenes, half, lambda a: mirrored_mean(a, window), max(tile, half + 1), missing=np.nan)
 
 
 def filled_holes(mask: DataFrame, full: DataFrame, scenes: DataFrame, tile: int = TILE) -> DataFrame:
@@ -148,13 +203,54 @@ def land_mask(full: DataFrame, means: DataFrame, sea: DataFrame, scenes: DataFra
     return dilated(kept, scenes, steps, tile)
 
 
+def _prepared(rows: int, cols: int, r: np.ndarray, c: np.ndarray, db: np.ndarray, pixel_km2: float, window: int, bright_db: float, bright_steps: int, above_db: float, close: int, least_km2: float, land_steps: int) -> dict[str, np.ndarray]:  # noqa: PLR0913
+    """The steps of ``prepare`` on one scene within a tile."""
+    ok = np.isfinite(db) & (db != 0)
+    full = np.full((rows, cols), -np.inf)
+    np.maximum.at(full, (r[ok], c[ok]), db[ok])
+    data = full > -np.inf
+    sea, high = np.nan, ~data
+    if data.any():
+        means = mirrored_mean(np.where(data, full, quantile(full[data], 0.5)), window)
+        sea = quantile(means[data], SEA_SHARE)
+        high = high | (means > sea + above_db)
+    shut = grown(grown(high, close), close, grow=False)
+    outside = label_components(~shut, diagonal=False)
+    open_ = np.zeros(int(outside.max(initial=0)) + 1, bool)
+    for side in (outside[0], outside[-1], outside[:, 0], outside[:, -1]):
+        open_[side] = True
+    open_[0] = False
+    whole = label_components(~open_[outside], diagonal=False)
+    large = np.bincount(whole.ravel()) * pixel_km2 >= least_km2
+    large[0] = False
+    land = grown(large[whole], land_steps)
+    bright = grown(data & (full > bright_db), bright_steps)
+    valid = data & ~bright & ~land
+    y, x = np.divmod(np.arange(rows * cols, dtype=np.int32), np.int32(cols))
+    return {"r": y, "c": x, "filled": np.where(valid, full, sea).ravel(), "valid": valid.ravel(), "land": land.ravel(), "sea_db": np.full(rows * cols, sea)}
+
+
 def prepare(pixels: DataFrame, scenes: DataFrame, pixel_km2: float, window: int = SEA_WINDOW, bright_db: float = BRIGHT_DB, bright_steps: int = BRIGHT_STEPS, above_db: float = LAND_DB, close: int = LAND_CLOSE, least_km2: float = LAND_KM2, land_steps: int = LAND_STEPS, coast: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """(scene_id, r, c, filled, valid, land, sea_db) of each place of each scene.
 
     sea_db is the 20th percentile of local means where there is data. Bright points grow by a few
     steps. A place is valid with data, away from bright points and land; others take the sea's level.
+    Scenes that one tile holds are prepared whole, many in one call, larger ones over tiles.
     coast: (scene_id, r, c) of land known from elsewhere, as it is. A scene without data is all land, with a null level.
     """
+    small, large, some = by_size(scenes, tile)
+    kernel = lambda rows, cols, r, c, db: _prepared(rows, cols, r, c, db, pixel_km2, window, bright_db, bright_steps, above_db, close, least_km2, land_steps)
+    each = by_scene(pixels.withColumn("db", F.col("db").cast("double")), small, ["db"], kernel, "r int, c int, filled double, valid boolean, land boolean, sea_db double")
+    if coast is not None:
+        land = coast.select(*KEYS, F.lit(True).alias("coast")).distinct().hint("merge")
+        each = each.join(land, KEYS, "left").withColumns({"filled": F.when(F.col("coast"), F.col("sea_db")).otherwise(F.col("filled")), "valid": F.col("valid") & F.col("coast").isNull(), "land": F.col("land") | F.col("coast").isNotNull()}).drop("coast")
+    if not some:
+        return each
+    of = pixels.join(large.select("scene_id").hint("merge"), "scene_id", "left_semi")
+    return each.union(_prepared_over_tiles(of, large, pixel_km2, window, bright_db, bright_steps, above_db, close, least_km2, land_steps, coast, tile))
+
+
+def _prepared_over_tiles(pixels: DataFrame, scenes: DataFrame, pixel_km2: float, window: int, bright_db: float, bright_steps: int, above_db: float, close: int, least_km2: float, land_steps: int, coast: DataFrame | None, tile: int) -> DataFrame:  # noqa: PLR0913
     full = staged(raster(pixels, scenes), "raster")
     means = staged(local_means(full, scenes, window, tile), "means")
     with_data = full.where("db is not null")

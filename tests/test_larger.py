@@ -1,10 +1,12 @@
 """Steps that grow with their tables: plans without broadcasts of made rows, and bounded tasks."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from plumeline.operators import curves, dark, masks, posterior as P
 from plumeline.plans import cases as C
-from plumeline.queries import cases as Q
+from plumeline.queries import cases as Q, scenes as S
 from plumeline.streaming import spaced
 
 
@@ -30,6 +32,25 @@ def test_pixels_are_never_broadcast(spark):
     assert masks.quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5).count() == 3
 
 
+def test_scenes_are_made_in_many_tasks_by_compiled_methods(spark, sf_dir, capsys):
+    """One small file of suppliers is not one task of pixels, and no generated method is too long to be compiled."""
+    sizes = S.sizes(spark, sf_dir)
+    made = masks.raster(S.scenes(spark, sf_dir), sizes)
+    assert plan(made).count("REPARTITION_BY_NUM") == 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        masks.raster(S.scenes(spark, sf_dir), sizes).explain(mode="codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    longest = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert len(longest) > 5 and max(longest) < 8000
+
+
+def test_scenes_within_a_tile_are_prepared_in_one_pass(spark, sf_dir):
+    made = masks.prepare(S.scenes(spark, sf_dir), S.sizes(spark, sf_dir), 0.01, window=9, tile=64)
+    assert "MapInArrow" in plan(made) and "FlatMapGroups" not in plan(made) and "plumeline-staged" not in plan(made)
+
+
 def test_cases_that_agree_have_one_head(spark):
     cases = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 1.5), (4, None), (5, None)], "case_id long, west double")
     assert {r.case_id: r.head for r in C.alike(cases, ["west"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
