@@ -27,15 +27,15 @@ def scenes(spark: SparkSession, sf: str) -> DataFrame:
     at = F.col("at")
     px = masks.dealt(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"))).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1))))
     px = px.select("scene_id", F.floor(at / COLS).cast("int").alias("r"), (at % COLS).alias("c"), place(k, at))
-    # a place is one number, whose sort takes no comparisons; a method of over 8000 bytes is never compiled, so rows and columns are told before the join
-    met = px.hint("merge").join(sold, "place", "left")
     y, x = F.col("r") - 20 - k % 8, F.col("c") - 26 - k % 12
     inside = 16 * y * y * (1 + k % 3) + x * x <= 196
     bright = F.lit(False)
     for r, c in _BRIGHT:
         bright = bright | (F.col("r").between(r, r + 2) & F.col("c").between(c, c + 1 + k % 2))
-    water = F.lit(-18.0) + F.coalesce((F.col("q") - 25) / 25, F.lit(0.0))
-    return met.select("scene_id", "r", "c", F.when(bright, 5.0 + k % 4).otherwise(water - F.when(inside, 8.0).otherwise(0.0)).alias("db"), inside.cast("int").alias("gt"))
+    # a place is one number, whose sort takes no comparisons; what is drawn is told before the join, as filters on db repeat its expression and a method of over 8000 bytes is never compiled
+    px = px.withColumns({"ship": F.when(bright, 5.0 + k % 4), "gt": inside.cast("int")})
+    water = F.lit(-18.0) + F.coalesce((F.col("q") - 25) / 25, F.lit(0.0)) - F.when(F.col("gt") == 1, 8.0).otherwise(0.0)
+    return px.hint("merge").join(sold, "place", "left").select("scene_id", "r", "c", F.coalesce("ship", water).alias("db"), "gt")
 
 
 _SHIPS = " OR ".join(f"(r BETWEEN {r} AND {r + 2} AND c BETWEEN {c} AND {c + 1} + s % 2)" for r, c in _BRIGHT)

@@ -50,3 +50,23 @@ def test_tiles_equal_the_whole_scene(spark):
     assert all(found[s, k] == pytest.approx(v) for s, per in want.items() for k, v in per.items())
     none = prepared.where(F.col("scene_id") == "empty")
     assert spots.dark_spots(none, scenes, 0.01, prepared=none, sizes=(9,), tile=16).count() == 0
+
+
+def test_a_scene_within_a_tile_equals_its_tiles(spark):
+    """Whole and over tiles, the same regions and figures; small scenes alone need no tiles, and their chain is one pass of Python."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for name, (h, w) in {"a": (40, 52), "b": (30, 33), "bare": (9, 12)}.items():
+        db = -15 + rng.normal(0, 0.4, (h, w))
+        y, x = np.indices((h, w))
+        for r, c, a, b in ((14, 12, 5, 9), (27, 20, 2, 7)) if name != "bare" else ():
+            db[((y - r) / a) ** 2 + ((x - c) / b) ** 2 <= 1] -= 5
+        rows += [(name, i, j, float(db[i, j]), bool(i < h - 4 or j % 3 > 0), False, -15.0) for i in range(h) for j in range(w)]
+    scenes = spark.createDataFrame([("a", 40, 52), ("b", 30, 33), ("bare", 9, 12), ("none", 5, 5)], "scene_id string, rows int, cols int")
+    prepared = spark.createDataFrame(rows, "scene_id string, r int, c int, filled double, valid boolean, land boolean, sea_db double")
+    made = [spots.dark_spots(prepared, scenes, 0.01, prepared=prepared, sizes=(9, 25), close=5, least_extent=9, tile=t) for t in (64, 16)]
+    text = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "FlatMapGroups" not in text and "plumeline-staged" not in text
+    whole, tiled = ({(p.scene_id, p.label): [p[x] for x in made[0].columns[2:]] for p in m.select(made[0].columns).collect()} for m in made)
+    assert set(whole) == set(tiled) and {s for s, _ in whole} == {"a", "b"}
+    assert all(whole[k] == pytest.approx(tiled[k]) for k in whole)
