@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from plumeline.operators import curves, dark, masks, posterior as P
+from plumeline.operators import curves, dark, image, masks, posterior as P
 from plumeline.plans import cases as C
 from plumeline.queries import cases as Q, scenes as S
+from plumeline.sources import readers
 from plumeline.streaming import spaced
 
 
@@ -51,6 +53,28 @@ def test_scenes_within_a_tile_are_prepared_in_one_pass(spark, sf_dir):
     assert "MapInArrow" in plan(made) and "FlatMapGroups" not in plan(made) and "plumeline-staged" not in plan(made)
 
 
+def test_windows_are_put_together_by_doubling():
+    """Running extremes equal those of each window, with as many steps as the window's size has bits; the median of nine is picked, not sorted."""
+    a = np.random.default_rng(4).normal(size=(7, 11))
+    for size in (1, 2, 3, 5, 8, 13):
+        calls = []
+        got = image._sliding(a, size, 1, lambda x, y: (calls.append(1), np.maximum(x, y))[1])
+        wide = np.pad(a, ((0, 0), (size // 2, size - 1 - size // 2)), mode="edge")
+        assert np.array_equal(got, np.stack([wide[:, k : k + size].max(1) for k in range(11)], 1)) and len(calls) <= size.bit_length()
+    wide = np.pad(a, 1, mode="edge")
+    assert np.array_equal(image.median_filter(a, 3), [[np.median(wide[r : r + 3, c : c + 3]) for c in range(11)] for r in range(7)])
+
+
+def test_byte_scale_gathers_no_scene(spark):
+    """Percentiles from cells of values, not from a map of all values in one task; scenes without a value keep their rows."""
+    px = spark.createDataFrame([("a", float(v)) for v in range(101)] + [("a", None), ("b", None), ("c", 1.0), (None, 1.0)], "scene_id string, db double")
+    made = readers.byte_scale(px)
+    assert "percentile(" not in plan(made)
+    got = made.collect()
+    assert {r.byte for r in got if r.scene_id == "a" and r.db == 50} == {128} and {r.byte for r in got if r.db is None or r.scene_id == "c"} == {None}
+    assert len(got) == 104 and sorted(r.byte for r in got if r.scene_id == "a" and r.byte is not None)[::100] == [0, 255]
+
+
 def test_cases_that_agree_have_one_head(spark):
     cases = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 1.5), (4, None), (5, None)], "case_id long, west double")
     assert {r.case_id: r.head for r in C.alike(cases, ["west"]).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
