@@ -159,7 +159,7 @@ def byte_scale(pixels: DataFrame, value: str = "db", lo: float = 0.02, hi: float
     ends = pixels.groupBy("scene_id").agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("e"))
     a, z = F.col("e")[0], F.col("e")[1]
     share = F.when(F.col(value).isNotNull() & (z > a), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - a) / F.nullif(z - a, F.lit(0.0)))))
-    return pixels.join(ends, "scene_id").withColumn("byte", F.bround(share * 255).cast("int")).drop("e")
+    return pixels.join(F.broadcast(ends), "scene_id").withColumn("byte", F.bround(share * 255).cast("int")).drop("e")
 
 
 def scene_search(catalogue: DataFrame, west: float, south: float, east: float, north: float, start, end, limit: int = 50, **equal: str) -> DataFrame:  # noqa: ANN001
