@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..sources.staging import staged
-from .image import closed
+from .image import closed, ellipse  # noqa: F401 - ellipse is part of this module's interface
 from .masks import over_tiles
 from .regions import labelled, region_figures
 
