@@ -77,7 +77,7 @@ def match_scene_contacts(contacts: DataFrame, placed: DataFrame, positions: Data
     placed: (mmsi, lon, lat, t0) of vessels with a position at a scene's instant; they match within 1 km
     and never by their prism at that instant. positions: (mmsi, ts, lon, lat). A vessel's track is laid out
     as stretches between neighbouring fixes; a stretch goes to the time buckets and cells that it can
-    reach, and contacts of these are held against its prism, those at one place and instant once. No scene meets all vessels.
+    reach, its prism is found once for each instant there, and places of that instant are held against it. No scene meets all vessels.
     Of fixes at one instant the greatest by place counts. Contacts of one id are one; a null id is one
     too. What lacks a place, an instant or a vessel takes no part, but its contact is listed.
     """
@@ -85,60 +85,86 @@ def match_scene_contacts(contacts: DataFrame, placed: DataFrame, positions: Data
     bucket = lambda x: F.floor(x / F.lit(micros))
     column = lambda x: F.pmod(F.floor(x / cell), F.lit(int(360 / cell)))
     row = lambda y: F.floor(y / cell)
+    code = lambda x, y: x * 1000 + y
 
-    def cells(lon: Column, lat: Column, km: Column) -> Column:
-        dy = km / 110.0
-        dx = F.least(dy / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + dy, F.lit(89.9)))), F.lit(0.001)), F.lit(180.0))
-        across, up = F.array_distinct(F.transform(F.sequence(F.floor((lon - dx) / cell), F.floor((lon + dx) / cell)), lambda x: F.pmod(x, F.lit(int(360 / cell))))), F.sequence(row(lat - dy), row(lat + dy))
-        return F.when(km.isNotNull(), F.flatten(F.transform(across, lambda x: F.transform(up, lambda y: F.struct(x.alias("cx"), y.alias("cy"))))))
+    around = F.lit(int(360 / cell))
+
+    def bounded(df: DataFrame, name: str, lon: Column, lat: Column, km: Column) -> DataFrame:
+        """With the first and last cells within km; each step is a column, so that none is worked out again for each cell."""
+        df = df.withColumn(f"{name}dy", km / 110.0)
+        dy = F.col(f"{name}dy")
+        df = df.withColumn(f"{name}dx", F.least(dy / F.greatest(F.cos(F.radians(F.least(F.abs(lat) + dy, F.lit(89.9)))), F.lit(0.001)), F.lit(180.0)))
+        dx = F.col(f"{name}dx")
+        return df.withColumns({f"{name}x0": F.floor((lon - dx) / cell), f"{name}x1": F.floor((lon + dx) / cell), f"{name}y0": row(lat - dy), f"{name}y1": row(lat + dy)})
+
+    def cells(name: str) -> Column:
+        up = F.sequence(f"{name}y0", f"{name}y1")
+        each = F.flatten(F.transform(F.sequence(f"{name}x0", f"{name}x1"), lambda x: F.transform(up, lambda y: code(F.pmod(x, around), y))))
+        return F.coalesce(F.when(F.col(f"{name}dy").isNotNull(), F.array_distinct(each)), F.array().cast("array<bigint>"))
 
     place = ["lon", "lat", "t0"]
     own = contacts.where("lon is not null and lat is not null and t0 is not null").select("contact_id", *place).distinct()
-    at = own.select(*place).distinct().withColumn("t", F.unix_micros("t0"))
-    at = at.withColumns({"cx": column(F.col("lon")), "cy": row(F.col("lat")), "b_t": bucket(F.col("t"))})
+    several = own.groupBy("contact_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("contact_id").alias("known"))
+    shared = own.join(several, F.col("contact_id").eqNullSafe(F.col("known")), "left_semi").select(*place).distinct().withColumn("named", F.lit(True))
+    at = own.select(*place).distinct().join(shared, place, "left").withColumns({"t": F.unix_micros("t0"), "named": F.coalesce("named", F.lit(False))})
+    at = staged(at.withColumns({"cell": code(column(F.col("lon")), row(F.col("lat"))), "b_t": bucket(F.col("t"))}), "places")
     still = placed.where("mmsi is not null and t0 is not null").select("mmsi", F.col("lon").alias("vlon"), F.col("lat").alias("vlat"), F.unix_micros("t0").alias("t"))
-    near = still.withColumn("cell", F.explode(cells(F.col("vlon"), F.col("vlat"), F.lit(MATCH_KM)))).select("mmsi", "vlon", "vlat", "t", "cell.*")
-    by_place = at.join(near, ["t", "cx", "cy"]).where(haversine_km("lon", "lat", "vlon", "vlat") <= MATCH_KM).select(*place, "mmsi")
-
-    w = Window.partitionBy("mmsi").orderBy("ts")
-    fixes = positions.where("mmsi is not null and ts is not null and lon is not null and lat is not null").groupBy("mmsi", "ts").agg(F.max(F.struct("lon", "lat")).alias("at")).select("mmsi", "ts", "at.*")
-    kept = ["ts", "lon", "lat", "plon", "plat", "pts", "nlon", "nlat", "nts"]
-    beside = {"plon": F.lag("lon").over(w), "plat": F.lag("lat").over(w), "pts": F.lag("ts").over(w), "nlon": F.lead("lon").over(w), "nlat": F.lead("lat").over(w), "nts": F.lead("ts").over(w)}
-    track = fixes.withColumns(beside).select("mmsi", "ts", F.struct(*kept).alias("f"))
-    track = track.withColumns({"next": F.lead("f").over(w), "first": F.lag("ts").over(w).isNull()})
-    none = F.lit(None).cast(track.schema["f"].dataType)
-    stretch = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    ways = F.array(stretch(F.col("f"), F.col("f")), stretch(F.col("f"), F.col("next")), F.when(F.col("first"), stretch(none, F.col("f"))))
-    s = track.select("mmsi", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("s")).select("mmsi", "s.a", "s.b")
-    s = s.withColumns({"ua": F.unix_micros("a.ts"), "ub": F.unix_micros("b.ts")})
-
-    a, b, ua, ub = F.col("a"), F.col("b"), F.col("ua"), F.col("ub")
-    hours, most = (ub - ua) / F.lit(3600e6), minutes / 60
-    pace = lambda p, q: speed_bound(haversine_km(p["lon"], p["lat"], q["lon"], q["lat"]), (F.unix_micros(q["ts"]) - F.unix_micros(p["ts"])) / F.lit(3600e6)) * KM_PER_KNOT_HOUR
-    back = speed_bound(haversine_km(a["plon"], a["plat"], a["lon"], a["lat"]), (ua - F.unix_micros(a["pts"])) / F.lit(3600e6)) * KM_PER_KNOT_HOUR
-    ahead = speed_bound(haversine_km(b["lon"], b["lat"], b["nlon"], b["nlat"]), (F.unix_micros(b["nts"]) - ub) / F.lit(3600e6)) * KM_PER_KNOT_HOUR
-    alone = ua.isNull() | ub.isNull() | (hours > most)
-    both = F.when((hours > 0) & (hours <= 2 * most), pace(a, b) * hours + 2 * MATCH_KM)
+    near = bounded(still, "v", F.col("vlon"), F.col("vlat"), F.lit(MATCH_KM)).withColumn("cell", F.explode(cells("v"))).select("mmsi", "vlon", "vlat", "t", "cell")
+    by_place = at.join(near, ["t", "cell"]).where(haversine_km("lon", "lat", "vlon", "vlat") <= MATCH_KM).select(*place, "named", "mmsi").distinct()
+
+    known = positions.where("mmsi is not null and ts is not null and lon is not null and lat is not null").select("mmsi", "ts", "lon", "lat")
+    known = known.repartition(4 * known.sparkSession.sparkContext.defaultParallelism, "mmsi")  # few bytes, much work: adaptive execution would put them in few tasks
+    fixes = known.groupBy("mmsi", "ts").agg(F.max(F.struct("lon", "lat")).alias("at")).select("mmsi", F.unix_micros("ts").alias("u"), "at.*")
+    w = Window.partitionBy("mmsi").orderBy("u")
+    track = fixes.withColumns({"nlon": F.lead("lon").over(w), "nlat": F.lead("lat").over(w), "nu": F.lead("u").over(w)})
+    track = track.withColumn("ahead", speed_bound(haversine_km("lon", "lat", "nlon", "nlat"), (F.col("nu") - F.col("u")) / F.lit(3600e6)))
+    track = track.withColumns({"back": F.coalesce(F.lag("ahead").over(w), F.lit(REACH_KNOTS)), "next_ahead": F.coalesce(F.lead("ahead").over(w), F.lit(REACH_KNOTS)), "first": F.lag("u").over(w).isNull()})
+    # a stretch from a to b: the pace between them, that up to a and that from b on
+    end = lambda name, u, lon, lat: [x.alias(f"{name}{k}") for k, x in (("", u), ("lon", lon), ("lat", lat))]
+    u, lon, lat, none = F.col("u"), F.col("lon"), F.col("lat"), F.lit(None).cast("double")
+    nothing = (F.lit(None).cast("long"), none, none)
+    stretch = lambda a, b, v, back, ahead: F.struct(*end("a", *a), *end("b", *b), v.alias("v"), back.alias("back"), ahead.alias("ahead"))
+    here, after = (u, lon, lat), (F.col("nu"), F.col("nlon"), F.col("nlat"))
+    ways = F.array(stretch(here, here, none, F.col("back"), F.col("ahead")), stretch(here, after, F.col("ahead"), F.col("back"), F.col("next_ahead")), F.when(F.col("first"), stretch(nothing, here, none, none, F.col("ahead"))))
+    s = track.select("mmsi", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("s")).select("mmsi", "s.*").withColumnsRenamed({"a": "ua", "b": "ub"})
+
+    ua, ub, span = F.col("ua"), F.col("ub"), (F.col("ub") - F.col("ua")) / F.lit(3600e6)
+    most = minutes / 60
+    back, ahead = F.col("back") * KM_PER_KNOT_HOUR, F.col("ahead") * KM_PER_KNOT_HOUR
+    alone = ua.isNull() | ub.isNull() | (span > most)
+    both = F.when((span > 0) & (span <= 2 * most), F.col("v") * KM_PER_KNOT_HOUR * span + 2 * MATCH_KM)
     by_a = F.when(ua == ub, F.lit(MATCH_KM)).otherwise(F.greatest(both, F.when(alone & ua.isNotNull(), back * most + MATCH_KM)))
     by_b = F.when(alone & ub.isNotNull(), ahead * most + MATCH_KM)
-    span = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.sequence(bucket(x), bucket(y)))
+    buckets = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.sequence(bucket(x), bucket(y)))
     empty = lambda x, kind: F.coalesce(x, F.array().cast(kind))
-    after, ahead_of = span(ua, F.least(ua + micros, F.coalesce(ub, ua + micros))), span(F.greatest(ub - micros, F.coalesce(ua, ub - micros)), ub)
-    places = "array<struct<cx:bigint,cy:bigint>>"
-    reach = F.array_union(empty(cells(a["lon"], a["lat"], by_a), places), empty(cells(b["lon"], b["lat"], by_b), places))
-    timed = s.withColumn("b_t", F.explode(F.array_union(empty(after, "array<bigint>"), empty(ahead_of, "array<bigint>")))).join(F.broadcast(at.select("b_t").distinct()), "b_t", "left_semi")
-    laid = timed.withColumn("cell", F.explode(reach)).select("mmsi", "a", "b", "ua", "ub", "b_t", "cell.*")
+    since, until = buckets(ua, F.least(ua + micros, F.coalesce(ub, ua + micros))), buckets(F.greatest(ub - micros, F.coalesce(ua, ub - micros)), ub)
+    timed = s.withColumn("b_t", F.explode(F.array_union(empty(since, "array<bigint>"), empty(until, "array<bigint>")))).join(F.broadcast(at.select("b_t").distinct()), "b_t", "left_semi")
 
-    t = F.col("t")
+    # what a vessel can reach at an instant is found once, then held against the instant's places
+    t, from_a = F.col("t"), F.col("from_a")
+    instants = staged(at.select("b_t", "cell", "t").distinct(), "instants")
     inside = F.when(ua == ub, t == ua).otherwise(F.coalesce(t > ua, F.lit(True)) & F.coalesce(t < ub, F.lit(True)))
-    met = at.join(laid, ["b_t", "cx", "cy"]).where(inside).withColumns({"a": F.when(t - ua <= micros, a), "b": F.when(ub - t <= micros, b)})
-    met = met.where(in_prism(F.col("lon"), F.col("lat"), F.col("t0")))
-    by_prism = met.join(still.select("mmsi", "t"), ["mmsi", "t"], "left_anti").select(*place, "mmsi")
-    pairs = staged(by_place.union(by_prism).distinct(), "pairs")
-    each = own.join(pairs.groupBy(*place).agg(F.count("*").alias("n")), place).groupBy("contact_id").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
-    # a contact with vessels at several of its places may have met one of them twice
-    again = own.join(each.where("places > 1").select(F.col("contact_id").alias("known")), F.col("contact_id").eqNullSafe(F.col("known")), "left_semi").join(pairs, place).select("contact_id", "mmsi").distinct().groupBy("contact_id").agg(F.count("*").alias("n"))
-    found = each.where("places = 1").select("contact_id", "n").union(again).select(F.col("contact_id").alias("known"), F.col("n").alias("n_vessels"))
+    laid = bounded(bounded(timed.withColumns({"by_a": by_a, "by_b": by_b}), "of_a", F.col("alon"), F.col("alat"), F.col("by_a")), "of_b", F.col("blon"), F.col("blat"), F.col("by_b"))
+    laid = laid.withColumn("cell", F.explode(F.array_union(cells("of_a"), cells("of_b")))).select("cell", "b_t", *s.columns)
+    at_once = laid.join(instants, ["b_t", "cell"]).where(inside)
+    at_once = at_once.withColumns({"from_a": F.coalesce(t - ua <= micros, F.lit(False)), "from_b": F.coalesce(ub - t <= micros, F.lit(False))}).where("from_a or from_b")
+    two = from_a & F.col("from_b") & (ua != ub)
+    km = F.when(two, F.col("v") * KM_PER_KNOT_HOUR * span + 2 * MATCH_KM).when(from_a, back * F.abs((t - ua) / F.lit(3600e6)) + MATCH_KM).otherwise(ahead * F.abs((t - ub) / F.lit(3600e6)) + MATCH_KM)
+    end_at = lambda c: F.when(from_a, F.col(f"a{c}")).otherwise(F.col(f"b{c}")).alias(f"x{c}")
+    reached = at_once.select("mmsi", "t", "cell", end_at("lon"), end_at("lat"), F.when(two, F.col("blon")).alias("ylon"), F.when(two, F.col("blat")).alias("ylat"), km.alias("km"))
+    # no way leads past both ends of a stretch that is longer than the way; a hair is left for rounding
+    reached = reached.where(F.col("ylon").isNull() | (haversine_km("xlon", "xlat", "ylon", "ylat") <= F.col("km") * (1 + 1e-9) + 1e-6))
+    up = F.col("km") / 110.0
+    reached = reached.join(still.select("mmsi", "t"), ["mmsi", "t"], "left_anti").withColumns({"up": up, "aside": up / F.greatest(F.cos(F.radians(F.least(F.abs("xlat") + up, F.lit(89.9)))), F.lit(0.001))})
+    reached = staged(reached, "reached")  # the joins before and after it in one method would be too long to be compiled
+    beside = (F.abs(F.col("lat") - F.col("xlat")) <= F.col("up")) & (F.abs(F.pmod(F.col("lon") - F.col("xlon") + 180, F.lit(360.0)) - 180) <= F.col("aside"))
+    way = haversine_km("xlon", "xlat", "lon", "lat") + F.when(F.col("ylon").isNotNull(), haversine_km("lon", "lat", "ylon", "ylat")).otherwise(0.0)
+    by_prism = at.join(reached, ["t", "cell"]).where(beside & (way <= F.col("km"))).select(*place, "named", "mmsi")
+    # a vessel is at one stretch at an instant, so its pairs are told once; they are kept by name where a contact has several places and may have met it twice
+    pairs = staged(by_place.union(by_prism).groupBy(*place, F.when(F.col("named"), F.col("mmsi")).alias("mmsi")).agg(F.count("*").alias("n")), "pairs")
+    alone = own.join(several, F.col("contact_id").eqNullSafe(F.col("known")), "left_anti").join(pairs.groupBy(*place).agg(F.sum("n").alias("n")), place).select("contact_id", "n")
+    again = own.join(several, F.col("contact_id").eqNullSafe(F.col("known")), "left_semi").join(pairs.where("mmsi is not null"), place).select("contact_id", "mmsi").distinct().groupBy("contact_id").agg(F.count("*").alias("n"))
+    found = alone.union(again).select(F.col("contact_id").alias("known"), F.col("n").alias("n_vessels"))
     ids = contacts.select("contact_id").distinct()
     return ids.join(found, F.col("contact_id").eqNullSafe(F.col("known")), "left").select("contact_id", F.col("n_vessels").isNotNull().alias("matched"), F.coalesce("n_vessels", F.lit(0)).alias("n_vessels"))
 

@@ -110,3 +110,21 @@ def test_contacts_of_scenes_of_awkward_rows(spark):
     assert {r.contact_id: r.n_vessels for r in dark.match_scene_contacts(c, none, p).collect()} == {1: 0, None: 1, 2: 0}
     assert dark.match_scene_contacts(c.where("false"), none, p).count() == 0
     assert {r.matched for r in dark.match_scene_contacts(c, none, p.where("false")).collect()} == {False}
+
+
+def test_a_prism_is_found_once_for_an_instant_and_met_pairs_are_counted(spark):
+    """Places of an instant meet a row of each vessel there; contacts of one place send no pairs, and no window or join holds whole prisms."""
+    when = F.timestamp_micros(F.lit(1704844800000000))
+    c = spark.range(40).select(F.col("id").alias("contact_id"), (-94 + F.col("id") * 0.02).alias("lon"), F.lit(29.0).alias("lat"), when.alias("t0"))
+    p = spark.range(60).select((F.col("id") % 6).cast("string").alias("mmsi"), F.timestamp_micros(F.lit(1704844800000000) + (F.col("id") - 30) * 600_000_000).alias("ts"), (-94 + (F.col("id") * 7 % 40) * 0.02).alias("lon"), F.lit(29.0).alias("lat"))
+    none = p.where("false").select("mmsi", "lon", "lat", F.col("ts").alias("t0"))
+    names, held = [], dark.staged
+    dark.staged = lambda df, name: names.append(name) or held(df, name)
+    try:
+        got = {r.contact_id: r.n_vessels for r in dark.match_scene_contacts(c, none, p).collect()}
+    finally:
+        dark.staged = held
+    fixes = dark.scene_fixes(p, when).where("a is not null or b is not null")
+    want = c.crossJoin(fixes).where(dark.in_prism(F.col("lon"), F.col("lat"), F.col("t0"))).groupBy("contact_id").count().collect()
+    assert {k: n for k, n in got.items() if n} == {r.contact_id: r["count"] for r in want} and want
+    assert names == ["places", "instants", "reached", "pairs"]
