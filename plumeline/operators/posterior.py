@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +37,62 @@ def floored(ll: DataFrame, keys: list[str]) -> DataFrame:
     return ll.withColumn("ll", F.greatest("ll", F.max("ll").over(Window.partitionBy(*keys)) + math.log(FLOOR)))
 
 
+def alike_samples(own: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ls, m): distinct values of (keys, ls) and how often they occur, as a row of arrays for each group of a batch."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*keys).schema)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b]).group_by([*keys, "ls"]).aggregate([([], "count_all")])
+            t = t.group_by(keys).aggregate([("ls", "list"), ("count_all", "list")]) if keys else t
+            yield from t.select([*keys, "ls_list", "count_all_list"]).rename_columns([*keys, "ls", "m"]).to_batches()
+
+    return own.mapInArrow(gathered, f"{fields}, ls array<double>, m array<bigint>")
+
+
+def kernel_sums(rows: DataFrame, ages: list[float], keys: list[str], facts: list[str]) -> DataFrame:
+    """(keys, age_h, kernel, facts): each row's arrays (ls, m) under Gaussians of width bw, at every age; zero without samples."""
+    lg = np.log(np.array(ages))
+    kept = rows.select(*keys, *facts, "ls", "m", "bw")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*keys, *facts).schema)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ls, m = b["ls"], b["m"]
+            x, times, first, width = ls.flatten().to_numpy(), m.flatten().to_numpy().astype(float), np.append(0, np.cumsum(pc.list_value_length(ls).fill_null(0).to_numpy(zero_copy_only=False))), b["bw"].to_numpy()
+            out = np.zeros((b.num_rows, len(lg)))
+            for k in range(b.num_rows):
+                for at in range(first[k], first[k + 1], 512):
+                    to = min(at + 512, first[k + 1])
+                    z = np.subtract.outer(lg, x[at:to])
+                    z /= width[k]
+                    np.multiply(z, z, out=z)
+                    z *= -0.5
+                    out[k] += np.exp(z, out=z) @ times[at:to]
+            out /= (width * math.sqrt(2 * math.pi))[:, None]
+            again = pa.array(np.repeat(np.arange(b.num_rows), len(lg)))
+            rest = [b[c].take(again) for c in (*keys, *facts)]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.tile(ages, b.num_rows)), pa.array(out.ravel())], [*keys, *facts, "age_h", "kernel"])
+
+    return kept.mapInArrow(summed, f"{fields}, age_h double, kernel double")
+
+
 def kde_log_age(samples: DataFrame, grid: DataFrame, keys: list[str], young_bound: float | None = None, old_bound: float | None = None) -> DataFrame:
     """(keys, age_h, ll): a Gaussian density estimate in the logarithm of age.
 
     samples: (keys, sample_h, censored), censored being null, 'young' or 'old' for runs that only
     bound the age; those add an even slab beyond their bound. Ages not above zero are dropped. The
-    bandwidth is 1.06 sd n^-0.2, at least 0.15. Samples and their sums meet by sorted merges: Spark takes
-    rows made by an explode for few, and would broadcast them.
+    bandwidth is 1.06 sd n^-0.2, at least 0.15. Equal samples of a batch count together, a group's of
+    a batch are one row, and each row is summed over all ages in one call.
     """
-    own = samples.where("censored is null and sample_h > 0").withColumn("ls", F.log("sample_h"))
-    bw = F.greatest(F.coalesce(F.stddev_pop("ls"), F.lit(0.0)) * 1.06 * F.pow(F.count("*").cast("double"), F.lit(-0.2)), F.lit(0.15))
-    widths = own.groupBy(*keys).agg(bw.alias("bw"))
-    alike = own.groupBy(*keys, "ls").agg(F.count("*").alias("m"))
-    alike = alike.repartition(samples.sparkSession.sparkContext.defaultParallelism, *keys, "ls")  # few bytes, much work: adaptive execution would put them in one task
-    counts = samples.where("censored is not null or sample_h > 0").groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("censored") == "young").alias("n_young"), F.count_if(F.col("censored") == "old").alias("n_old"))
+    told = F.col("censored").isNull() & (F.col("sample_h") > 0)
+    ls = F.when(told, F.log("sample_h"))
+    bw = F.greatest(F.coalesce(F.stddev_pop(ls), F.lit(0.0)) * 1.06 * F.pow(F.greatest(F.count(ls), F.lit(1)).cast("double"), F.lit(-0.2)), F.lit(0.15))
+    counts = samples.where("censored is not null or sample_h > 0").groupBy(*keys).agg(bw.alias("bw"), F.count("*").alias("n"), F.count_if(F.col("censored") == "young").alias("n_young"), F.count_if(F.col("censored") == "old").alias("n_old"))
+    alike = alike_samples(samples.where(told).select(*keys, ls.alias("ls")), keys)
+    alike = alike.repartition(4 * samples.sparkSession.sparkContext.defaultParallelism, *keys)  # few bytes, much work: adaptive execution would put them in one task
     lg = F.log("age_h")
     wide = grid.withColumn("lg", lg)
     order = Window.orderBy("age_h")
@@ -58,11 +104,10 @@ def kde_log_age(samples: DataFrame, grid: DataFrame, keys: list[str], young_boun
     wide = wide.withColumn("in_young", F.coalesce(F.col("age_h") <= low, F.lit(False)).cast("double")).withColumn("in_old", F.coalesce(F.col("age_h") >= high, F.lit(False)).cast("double"))
     slab = lambda c: F.coalesce(F.col(c) / F.nullif(F.sum(F.col(c) * F.col("width")).over(Window.partitionBy(F.lit(0))), F.lit(0.0)), F.lit(0.0))
     wide = wide.withColumn("s_young", slab("in_young")).withColumn("s_old", slab("in_old"))
-    # equal samples count together; each of them meets the 288 ages, and tasks sum before the shuffle
-    z = (F.col("lg") - F.col("ls")) / F.col("bw")
-    met = alike.hint("merge").join(widths, keys).crossJoin(F.broadcast(grid.select("age_h", lg.alias("lg"))))
-    sums = met.groupBy(*keys, "age_h").agg((F.sum(F.col("m") * F.exp(-0.5 * z * z)) / (F.first("bw") * math.sqrt(2 * math.pi))).alias("kernel"))
-    each = counts.crossJoin(F.broadcast(wide)).hint("merge").join(sums, [*keys, "age_h"], "left")
+    facts = ["n", "n_young", "n_old"]
+    # a group's partial sums are few; by its keys alone they need no further shuffle
+    sums = kernel_sums(counts.hint("merge").join(alike, keys, "left"), [r.age_h for r in grid.select("age_h").collect()], keys, facts).repartition(*keys)
+    each = sums.groupBy(*keys, "age_h").agg(F.sum("kernel").alias("kernel"), *(F.first(c).alias(c) for c in facts)).join(F.broadcast(wide), "age_h")
     kernel = F.coalesce(F.col("kernel"), F.lit(0.0))
     dens = (kernel + F.col("n_young") * F.col("s_young") + F.col("n_old") * F.col("s_old")) / F.col("n")
     out = each.select(*keys, "age_h", F.when(dens > 0, F.log(dens)).alias("ll"))
@@ -150,9 +195,21 @@ def pit(post: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def summarise(post: DataFrame, prior: DataFrame, keys: list[str], least_gain: float = LEAST_GAIN) -> DataFrame:
-    """Band, median, mode and gain by group; status 'none' where the evidence barely moved the prior."""
-    mode = post.groupBy(*keys).agg(F.max_by("age_h", F.struct("p", (-F.col("age_h")).alias("a"))).alias("mode_h"))
-    out = hpd(post, keys).hint("merge").join(quantile(post, keys, 0.5, "median_h"), keys).join(mode.hint("merge"), keys).join(information_gain(post, prior, keys).hint("merge"), keys)
+    """Band, median, mode and gain by group, in one pass over it; status 'none' where the evidence barely moved the prior. The parts are those of hpd, quantile and information_gain."""
+    by_age, by_p = Window.partitionBy(*keys).orderBy("age_h"), Window.partitionBy(*keys).orderBy(F.desc("p"), F.desc("age_h"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    c = post.join(F.broadcast(prior), "age_h", "left").withColumn("dense", F.sum("p").over(upto(by_p)) - F.col("p") < MASS)
+    held = F.when(F.col("dense"), F.col("age_h"))
+    c = c.withColumns({"cdf": F.sum("p").over(upto(by_age)), "held": held, "before": F.last(held, ignorenulls=True).over(by_age.rowsBetween(Window.unboundedPreceding, -1))})
+    c = c.withColumns({"c0": F.lag("cdf").over(by_age), "a0": F.lag("age_h").over(by_age)})
+    middle = F.when(F.col("c0").isNull(), F.col("age_h")).otherwise(F.col("a0") + (F.lit(0.5) - F.col("c0")) / F.nullif(F.col("cdf") - F.col("c0"), F.lit(0.0)) * (F.col("age_h") - F.col("a0")))
+    term = F.when(F.col("lp").isNotNull(), F.when(F.col("p") > 0, F.col("p") * (F.log("p") - F.col("lp"))).otherwise(0.0))
+    out = c.groupBy(*keys).agg(
+        F.greatest(F.min("held") - STEP_H / 2, F.lit(0.0)).alias("lo_h"), F.least(F.max("held") + STEP_H / 2, F.lit(CELLS * STEP_H)).alias("hi_h"),
+        F.coalesce(F.bool_or(F.when(F.col("dense"), F.col("age_h") - F.col("before") > STEP_H * 1.5)), F.lit(False)).alias("multimodal"),
+        F.coalesce(F.min(F.when(F.col("cdf") >= 0.5, F.struct("age_h", middle.alias("v"))))["v"], F.max("age_h")).alias("median_h"),
+        F.max_by("age_h", F.struct("p", (-F.col("age_h")).alias("a"))).alias("mode_h"), F.sum(term).alias("gain_nats"), F.count("held").alias("n_held"), F.count("lp").alias("n_lp"),
+    ).where("n_held > 0 and n_lp > 0").drop("n_held", "n_lp")
     return out.withColumn("status", F.when(F.col("gain_nats") < least_gain, "none").otherwise("ok"))
 
 

@@ -90,6 +90,29 @@ def test_samples_of_ages_are_never_broadcast(spark):
     assert made.count() == 3
 
 
+def test_a_group_of_samples_meets_all_ages_in_one_row(spark):
+    """No row for each sample and age; groups over several batches, repeated samples and groups without any of their own count right."""
+    import math
+
+    rows = [("a", 1.0 + k % 7, None) for k in range(50)] + [("b", 3.0, None), ("b", -1.0, None), ("c", None, "old"), ("a", None, "old"), (None, 2.0, None)]
+    s = spark.createDataFrame(rows, "k string, sample_h double, censored string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        made = P.kde_log_age(s, P.age_grid(spark), ["k"], old_bound=48.0)
+        assert "NestedLoop" not in plan(made)
+        got = {(r.k, r.age_h): r.ll for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 4 * P.CELLS
+    x = [math.log(1.0 + k % 7) for k in range(50)]
+    mean = sum(x) / 50
+    bw = max((sum((v - mean) ** 2 for v in x) / 50) ** 0.5 * 1.06 * 50**-0.2, 0.15)
+    for age in (1.0, 5.5, 20.0):
+        kernel = sum(math.exp(-0.5 * ((math.log(age) - v) / bw) ** 2) for v in x) / (bw * math.sqrt(2 * math.pi))
+        assert abs(got["a", age] - math.log(kernel / 51)) < 1e-9 or math.log(kernel / 51) < max(v for (k, _), v in got.items() if k == "a") + math.log(P.FLOOR)
+    assert abs(got["b", 3.0] - math.log(1 / (0.15 * math.sqrt(2 * math.pi)))) < 1e-9 and got["c", 50.0] > got["c", 10.0]
+
+
 class _Held:
     """A state of one key, that counts what is put and the timers."""
 
