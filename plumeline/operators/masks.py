@@ -30,15 +30,17 @@ KEYS = ["scene_id", "r", "c"]
 SMALL = 10_000
 
 
-def quantiles(values: DataFrame, share: float) -> DataFrame:
+def quantiles(values: DataFrame, share: float, scenes: DataFrame | None = None) -> DataFrame:
     """(scene_id, q): the exact quantile of v of (scene_id, v), between ranks by their distance; nulls don't count.
 
     Approximate quantiles a thousandth below and above, good to a tenth of that, hold it between them;
-    only values between these are ordered, equal ones once.
+    only values between these are ordered, equal ones once. scenes: (scene_id, rows, cols), where there is
+    a value for each place at most; if all are small, nothing is sketched.
     """
     v = values.where("v is not null").select("scene_id", "v")
+    small = scenes is not None and (scenes.agg(F.max(F.col("rows").cast("long") * F.col("cols"))).first()[0] or 0) <= SMALL
     beside = F.percentile_approx("v", [max(share - 1e-3, 0.0), min(share + 1e-3, 1.0)], 10_000)
-    ends = v.groupBy("scene_id").agg(F.count("*").alias("n"), beside.alias("at"))
+    ends = v.groupBy("scene_id").agg(F.count("*").alias("n"), (F.lit(None).cast("array<double>") if small else beside).alias("at"))
     far = F.lit(float("inf"))
     low = F.when((F.col("n") <= SMALL) | F.lit(share <= 1e-3), -far).otherwise(F.col("at")[0])
     high = F.when((F.col("n") <= SMALL) | F.lit(share >= 1 - 1e-3), far).otherwise(F.col("at")[1])
@@ -108,11 +110,37 @@ def raster(pixels: DataFrame, scenes: DataFrame) -> DataFrame:
 
     Pixels outside their scene or without one are left out.
     """
-    usable = (F.abs("db") > 0) & (F.abs("db") < float("inf"))  # what is not a number counts as larger
-    own = pixels.where(usable).groupBy(*KEYS).agg(F.max("db").alias("db"))
-    size = scenes.where("scene_id is not null and rows > 0 and cols > 0").groupBy("scene_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"))
-    every = dealt(size).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols").cast("int") - 1)))
-    return every.select(*KEYS).hint("merge").join(own.select("scene_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("db").cast("double").alias("db")), KEYS, "left")
+    part = lambda x: F.floor(F.col(x) / TILE).cast("int")
+    size = scenes.where("scene_id is not null and rows > 0 and cols > 0").groupBy("scene_id").agg(F.max("rows").cast("int").alias("rows"), F.max("cols").cast("int").alias("cols"))
+    tiles = lambda x: F.explode(F.sequence(F.lit(0), F.floor((F.col(x) - 1) / TILE).cast("int")))
+    # a tile begins with a row of its scene's size; tiles of pixels without one lie outside
+    heads = size.withColumn("tr", tiles("rows")).withColumn("tc", tiles("cols")).select("scene_id", "tr", "tc", (-F.col("rows")).alias("r"), F.col("cols").alias("c"), F.lit(None).cast("double").alias("db"))
+    own = pixels.where((F.col("r") >= 0) & (F.col("c") >= 0)).select("scene_id", part("r").alias("tr"), part("c").alias("tc"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("db").cast("double").alias("db"))
+    keys, kind = ["scene_id", "tr", "tc"], size.schema["scene_id"].dataType.simpleString()
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, keys):
+            r, c, db, tr, tc = (t[x].to_numpy() for x in ("r", "c", "db", "tr", "tc"))
+            made = []
+            for a, b in zip(at, np.append(at[1:], t.num_rows), strict=True):
+                size = a + np.flatnonzero(r[a:b] < 0)
+                if not len(size):
+                    continue
+                top, left = int(tr[a]) * TILE, int(tc[a]) * TILE
+                high, wide = min(TILE, -int(r[size[0]]) - top), min(TILE, int(c[size[0]]) - left)
+                y, x = r[a:b] - top, c[a:b] - left
+                inside = np.flatnonzero((r[a:b] >= 0) & (y < high) & (x < wide) & np.isfinite(db[a:b]) & (db[a:b] != 0))
+                held = np.full(high * wide, -np.inf)
+                np.maximum.at(held, y[inside] * wide + x[inside], db[a:b][inside])
+                place = np.arange(high * wide)
+                made.append((np.full(high * wide, a), place // wide + top, place % wide + left, held))
+            if made:
+                first, y, x, held = (np.concatenate(m) for m in zip(*made, strict=True))
+                scene = t["scene_id"].combine_chunks().take(pa.array(first))
+                yield pa.RecordBatch.from_arrays([scene, pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(held, mask=held == -np.inf)], [*KEYS, "db"])
+
+    sent = heads.union(own).repartition(*keys).sortWithinPartitions(*keys)
+    return sent.mapInArrow(many, f"scene_id {kind}, r int, c int, db double")
 
 
 def over_tiles(pixels: DataFrame, scenes: DataFrame, reach: int, kernel: Callable[[np.ndarray], np.ndarray], tile: int = TILE, missing: float = 0.0) -> DataFrame:
@@ -126,19 +154,27 @@ def over_tiles(pixels: DataFrame, scenes: DataFrame, reach: int, kernel: Callabl
     sent = pixels.hint("merge").join(size, "scene_id").withColumn("tr", spread("r", "rows")).withColumn("tc", spread("c", "cols"))
     kind = pixels.schema["scene_id"].dataType.simpleString()
 
-    def one(t: pa.Table) -> pa.Table:
-        rows, cols, tr, tc = (int(t[x][0].as_py()) for x in ("rows", "cols", "tr", "tc"))
+    def one(rows: int, cols: int, tr: int, tc: int, r: np.ndarray, c: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
         top, left = tr * tile, tc * tile
         r0, c0 = max(top - reach, 0), max(left - reach, 0)
         r1, c1 = min(top + tile + reach, rows), min(left + tile + reach, cols)
         held = np.full((r1 - r0, c1 - c0), missing)
-        held[t["r"].to_numpy() - r0, t["c"].to_numpy() - c0] = t["v"].to_numpy()
+        held[r - r0, c - c0] = v
         own = np.asarray(kernel(held), dtype=float)[top - r0 : top - r0 + tile, left - c0 : left - c0 + tile]
         r, c = np.nonzero(~np.isnan(own) & ((own != 0) | (missing != 0)))
-        scene = t["scene_id"].take(pa.array(np.zeros(len(r), np.int64)))
-        return pa.table({"scene_id": scene, "r": pa.array(r + top, pa.int32()), "c": pa.array(c + left, pa.int32()), "v": own[r, c]})
+        return r + top, c + left, own[r, c]
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, ["scene_id", "tr", "tc"]):
+            x = [t[k].to_numpy() for k in ("rows", "cols", "tr", "tc", "r", "c", "v")]
+            made = [one(*(int(k[a]) for k in x[:4]), *(k[a:b] for k in x[4:])) for a, b in zip(at, np.append(at[1:], t.num_rows), strict=True)]
+            r, c, v = (np.concatenate(m) for m in zip(*made, strict=True))
+            scene = t["scene_id"].combine_chunks().take(pa.array(np.repeat(at, [len(m[0]) for m in made])))
+            yield pa.RecordBatch.from_arrays([scene, pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(v)], [*KEYS, "v"])
 
-    return sent.withColumn("v", F.col("v").cast("double")).groupBy("scene_id", "tr", "tc").applyInArrow(one, f"scene_id {kind}, r int, c int, v double")
+    # a window leaves a tile's rows side by side, and needs no further shuffle after the join by scene; so many small tiles are one call
+    beside = Window.partitionBy("scene_id", "tr", "tc")
+    return sent.select(*KEYS, "rows", "cols", "tr", "tc", F.col("v").cast("double").alias("v"), F.count("*").over(beside).alias("n")).mapInArrow(many, f"scene_id {kind}, r int, c int, v double")
 
 
 def _cross(mask: np.ndarray, grow: bool) -> np.ndarray:
@@ -174,7 +210,7 @@ def local_means(full: DataFrame, scenes: DataFrame, window: int = SEA_WINDOW, ti
 
     full: a raster. A scene without any data has no rows.
     """
-    median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5)
+    median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5, scenes)
     whole = full.hint("merge").join(median, "scene_id").select(*KEYS, F.coalesce("db", "q").alias("v"))
     half = window // 2
     return over_tiles(whole, scenes, half, lambda a: mirrored_mean(a, window), max(tile, half + 1), missing=np.nan)
@@ -311,9 +347,9 @@ def ships(pixels: DataFrame, scenes: DataFrame, pixel_m: float, exclude: DataFra
     """
     own = staged(raster(pixels, scenes).where("db is not null"), "sea")
     full = own if exclude is None else staged(own.join(exclude.select(*KEYS).hint("merge"), KEYS, "left_anti"), "kept")
-    median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5).withColumnRenamed("q", "med")
+    median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5, scenes).withColumnRenamed("q", "med")
     apart = full.hint("merge").join(median, "scene_id").select("scene_id", "med", F.abs(F.col("db") - F.col("med")).alias("v"))
-    level = quantiles(apart, 0.5).join(median, "scene_id").select("scene_id", F.greatest(F.lit(SHIP_DB), F.col("med") + SHIP_MADS * 1.4826 * F.col("q")).alias("cut"))
+    level = quantiles(apart, 0.5, scenes).join(median, "scene_id").select("scene_id", F.greatest(F.lit(SHIP_DB), F.col("med") + SHIP_MADS * 1.4826 * F.col("q")).alias("cut"))
     bright = full.hint("merge").join(level, "scene_id").where("db > cut")
     shut = over_tiles(_marked(bright), scenes, 2, lambda a: _closed_square(a > 0), tile).select(*KEYS)
     whole = labelled(shut, tile).hint("merge").join(own, KEYS, "left")

@@ -20,22 +20,22 @@ def sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def scenes(spark: SparkSession, sf: str) -> DataFrame:
     """(scene_id, r, c, db, gt): water of -18 dB, up to one more or less by the quantities sold; a slick 8 dB darker, which gt marks, and three ships."""
-    k = F.col("scene_id")
-    place = lambda scene, at: (scene * (ROWS * COLS) + at).alias("place")
+    k, at = F.col("scene_id"), F.col("at")
     r, c = F.col("l_orderkey") % ROWS, F.col("l_partkey") % COLS
-    sold = table(spark, sf, "lineitem").where((r >= 0) & (c >= 0)).groupBy(place(F.col("l_suppkey"), r * COLS + c)).agg(F.avg("l_quantity").alias("q"))
-    at = F.col("at")
-    px = masks.dealt(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"))).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1))))
-    px = px.select("scene_id", F.floor(at / COLS).cast("int").alias("r"), (at % COLS).alias("c"), place(k, at))
+    each = table(spark, sf, "lineitem").where((r >= 0) & (c >= 0)).groupBy("l_suppkey", (r * COLS + c).cast("int").alias("at")).agg(F.avg("l_quantity").alias("q"))
+    sold = each.groupBy(F.col("l_suppkey").alias("scene_id")).agg(F.collect_list(F.struct("at", "q")).alias("sold"))
+    # a scene's sales come as one row, of its places at most, and its pixels are made from it: no pixel is shuffled
+    px = masks.dealt(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("scene_id"))).join(sold, "scene_id", "left").withColumn("sold", F.coalesce("sold", F.array().cast("array<struct<at:int,q:double>>")))
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1)), F.col("sold.at")), lambda x: F.struct(x.alias("at"), F.lit(None).cast("double").alias("q")))
+    px = px.select("scene_id", F.inline(F.concat("sold", rest))).select("scene_id", "q", F.floor(at / COLS).cast("int").alias("r"), (at % COLS).alias("c"))
     y, x = F.col("r") - 20 - k % 8, F.col("c") - 26 - k % 12
     inside = 16 * y * y * (1 + k % 3) + x * x <= 196
     bright = F.lit(False)
     for r, c in _BRIGHT:
         bright = bright | (F.col("r").between(r, r + 2) & F.col("c").between(c, c + 1 + k % 2))
-    # a place is one number, whose sort takes no comparisons; what is drawn is told before the join, as filters on db repeat its expression and a method of over 8000 bytes is never compiled
     px = px.withColumns({"ship": F.when(bright, 5.0 + k % 4), "gt": inside.cast("int")})
     water = F.lit(-18.0) + F.coalesce((F.col("q") - 25) / 25, F.lit(0.0)) - F.when(F.col("gt") == 1, 8.0).otherwise(0.0)
-    return px.hint("merge").join(sold, "place", "left").select("scene_id", "r", "c", F.coalesce("ship", water).alias("db"), "gt")
+    return px.select("scene_id", "r", "c", F.coalesce("ship", water).alias("db"), "gt")
 
 
 _SHIPS = " OR ".join(f"(r BETWEEN {r} AND {r + 2} AND c BETWEEN {c} AND {c + 1} + s % 2)" for r, c in _BRIGHT)
@@ -53,7 +53,7 @@ def n01_means(spark: SparkSession, sf: str) -> DataFrame:
     """Local means of 9 x 9 pixels, mirrored at the sides, and the sea's level."""
     size = sizes(spark, sf)
     means = staged(masks.local_means(staged(masks.raster(scenes(spark, sf), size), "raster"), size, 9, tile=32).select("scene_id", "v"), "means")
-    return masks.quantiles(means, 0.2).join(means.groupBy("scene_id").agg(F.avg("v").alias("a"), F.max("v").alias("b")), "scene_id").select("scene_id", r6("q").alias("sea_db"), r6("a").alias("mean_db"), r6("b").alias("top_db"))
+    return masks.quantiles(means, 0.2, size).join(means.groupBy("scene_id").agg(F.avg("v").alias("a"), F.max("v").alias("b")), "scene_id").select("scene_id", r6("q").alias("sea_db"), r6("a").alias("mean_db"), r6("b").alias("top_db"))
 
 
 @query("n01_prepared_scenes")

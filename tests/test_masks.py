@@ -125,3 +125,21 @@ def test_merging_goes_from_the_brightest(spark):
     f = spark.createDataFrame([("s", k, 0.0, 4.0 * k, 10, float(9 - k)) for k in range(6)] + [("t", k, 0.0, 4.0 * k, 1, 1.0) for k in range(3)], "scene_id string, label long, r double, c double, px_area long, peak_db double")
     got = {(r.scene_id, r.label): r.px_area for r in masks.merged_contacts(f, 5.0).collect()}
     assert got == {("s", 0): 20, ("s", 2): 20, ("s", 4): 20, ("t", 0): 2, ("t", 2): 1}
+
+
+def test_a_raster_is_made_from_its_pixels_in_one_shuffle_and_small_scenes_are_not_sketched(spark):
+    """No join with every place; repeated, unusable and outlying pixels, scenes over several parts, and scenes without any."""
+    from plumeline.operators import masks
+
+    px = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 0, 2.0), ("a", 0, 1, float("nan")), ("a", 1, 0, 0.0), ("a", 5, 0, 3.0), ("a", -1, 0, 3.0), ("z", 0, 0, 1.0), (None, 0, 0, 1.0), ("w", 0, masks.TILE, 4.0)], "scene_id string, r int, c int, db double")
+    scenes = spark.createDataFrame([("a", 2, 2), ("b", 1, 1), ("w", 1, masks.TILE + 1), (None, 1, 1)], "scene_id string, rows int, cols int")
+    made = masks.raster(px, scenes)
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange hashpartitioning(scene_id") <= 2
+    got = {(r.scene_id, r.r, r.c): r.db for r in made.collect()}
+    assert len(got) == 4 + 1 + masks.TILE + 1
+    assert {k: v for k, v in got.items() if v is not None} == {("a", 0, 0): 2.0, ("w", 0, masks.TILE): 4.0}
+    values = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("b", 5.0)], "scene_id string, v double")
+    small = masks.quantiles(values, 0.5, scenes)
+    assert "percentile_approx" not in small._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.scene_id: r.q for r in small.collect()} == {"a": 1.5, "b": 5.0}
