@@ -350,9 +350,11 @@ def ships(pixels: DataFrame, scenes: DataFrame, pixel_m: float, exclude: DataFra
     median = quantiles(full.select("scene_id", F.col("db").alias("v")), 0.5, scenes).withColumnRenamed("q", "med")
     apart = full.hint("merge").join(median, "scene_id").select("scene_id", "med", F.abs(F.col("db") - F.col("med")).alias("v"))
     level = quantiles(apart, 0.5, scenes).join(median, "scene_id").select("scene_id", F.greatest(F.lit(SHIP_DB), F.col("med") + SHIP_MADS * 1.4826 * F.col("q")).alias("cut"))
-    bright = full.hint("merge").join(level, "scene_id").where("db > cut")
+    bright = staged(full.hint("merge").join(level, "scene_id").where("db > cut").select(*KEYS, "db"), "bright")
+    # a region holds a bright pixel, which is its peak unless excluded ones lie in it
+    lit = bright if exclude is None else own
     shut = over_tiles(_marked(bright), scenes, 2, lambda a: _closed_square(a > 0), tile).select(*KEYS)
-    whole = labelled(shut, tile).hint("merge").join(own, KEYS, "left")
+    whole = labelled(shut, tile).hint("merge").join(lit, KEYS, "left")
     box = (F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1)
     each = whole.groupBy("scene_id", "label").agg(F.avg("r").alias("r"), F.avg("c").alias("c"), F.count("*").alias("px_area"), F.max("db").alias("peak_db"), (F.count("*") / box).alias("fill"))
     kept = each.where(F.col("px_area").between(SHIP_LEAST, SHIP_MOST) & (F.col("fill") >= SHIP_FILL)).drop("fill")
